@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, quality_forest
+from . import common, language_mixture, quality_forest, toxicity_grammar
+
+
+def op4_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity_grammar.toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    return out.select("doc_id", common.held_out(F.col("doc_id"), 5).alias("held_out"), "score", "predicted")
 
 
 def op8_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,7 +18,14 @@ def op8_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_mixture.language_id(common.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", common.held_out(F.col("doc_id"), 5).alias("held_out"), "lang_pred", "score", "n_langs")
+
+
 QUERIES = {
+    "op4_toxicity_grammar": op4_toxicity_grammar,
     "op8_quality_forest": op8_quality_forest,
+    "op9_language_mixture": op9_language_mixture,
 }
 ORACLE_SQL: dict[str, str] = {}
