@@ -44,14 +44,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
-def delete(spark: SparkSession, *paths: str) -> None:
-    """Remove scratch tables that no later plan reads."""
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def drop(*frames: DataFrame) -> None:
+    """Remove scratch tables made by saved() that no later plan reads."""
+    for df in frames:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, language_mixture, quality_forest, toxicity_grammar
+from . import common, language_mixture, minmax_dedup, quality_forest, toxicity_grammar
 
 
 def op4_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,10 @@ def op4_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", common.held_out(F.col("doc_id"), 5).alias("held_out"), "score", "predicted")
 
 
+def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.near_duplicates(common.table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op8_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_forest.quality_rules(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
@@ -25,6 +29,7 @@ def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_toxicity_grammar": op4_toxicity_grammar,
+    "op5_minmax_dedup": op5_minmax_dedup,
     "op8_quality_forest": op8_quality_forest,
     "op9_language_mixture": op9_language_mixture,
 }
