@@ -180,27 +180,41 @@ def _predict(model: Model, ids: list, texts: list[str | None]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs), pa.array(scores, pa.float64()), pa.array(kinds, pa.int32())], ["doc_id", "lang_pred", "score", "n_langs"])
 
 
+def _predicted(model: Model, ids: list, texts: list[str | None]) -> Iterator[pa.RecordBatch]:
+    """Predictions for a batch, in runs of bounded text; at least one, even if empty."""
+    size = first = 0
+    for k, text in enumerate(texts):
+        size += len(text or "")
+        if size > SLICE:
+            yield _predict(model, ids[first : k + 1], texts[first : k + 1])
+            size, first = 0, k + 1
+    yield _predict(model, ids[first:], texts[first:])
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each document its main language, that language's share, and how many languages are selected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, size, first = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0, 0
-            for k, text in enumerate(texts):
-                size += len(text or "")
-                if size > SLICE or k == len(texts) - 1:
-                    yield _predict(shared.value, ids[first : k + 1], texts[first : k + 1])
-                    size, first = 0, k + 1
+            yield from _predicted(shared.value, batch.column(0).to_pylist(), batch.column(1).to_pylist())
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, n_langs int")
 
 
+def with_main_language(docs: DataFrame, model: Model, text_col: str = "text", least: float = MAIN_SHARE) -> DataFrame:
+    """The rows, with all their columns, whose main language is known and has at least the given share."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.Table.from_batches(_predicted(shared.value, [0] * batch.num_rows, batch.column(at).to_pylist()))
+            keep = [x != UNDEFINED and s >= least for x, s in zip(found["lang_pred"].to_pylist(), found["score"].to_pylist())]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learn from the rows that aren't held out and predict for all of them."""
     return predict(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col)
-
-
-def accepted(predictions: DataFrame) -> DataFrame:
-    """The rows whose main language is known and has at least MAIN_SHARE of the words."""
-    return predictions.where((F.col("lang_pred") != UNDEFINED) & (F.col("score") >= MAIN_SHARE))

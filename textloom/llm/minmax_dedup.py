@@ -8,8 +8,7 @@ bucket, their classes are compared once more by the rare shingles they share, so
 classes of a bucket is lost and a group of copies is never expanded into all its pairs. Every link is confirmed on the full sets.
 
 Nulls, ties and repeats: a null or empty text has no shingles, links with nothing and is kept;
-a row with a null id links others no less, has no component unless its class holds an id, and is
-kept; equal texts are one class; rows that repeat an id with other texts are judged by their own
+a row with a null id belongs to its class, and is kept only if no row of the class has an id; equal texts are one class; rows that repeat an id with other texts are judged by their own
 text; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
@@ -249,4 +248,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         member = member.withColumn("_own", F.col("rep"))
     component = F.when(F.col("n_shingles") > 0, F.col("_own")).otherwise(F.col("doc_id"))
-    return member.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return member.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

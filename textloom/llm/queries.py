@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, language_mixture, minmax_dedup, quality_forest, toxicity_grammar
+from . import common, language_mixture, length_buckets, minmax_dedup, quality_forest, token_orc, toxicity_grammar, trie_bpe
 
 
 def op4_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +19,16 @@ def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(common.table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = common.table(spark, sf_dir, "documents"), common.scratch_path(spark, "tokens")
+    token_orc.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_orc.checksums(token_orc.read_tokens(spark, path))
+
+
+def op7_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_buckets.length_buckets(common.table(spark, sf_dir, "documents"))
+
+
 def op8_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_forest.quality_rules(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
@@ -27,10 +39,19 @@ def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", common.held_out(F.col("doc_id"), 5).alias("held_out"), "lang_pred", "score", "n_langs")
 
 
+def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = trie_bpe.encode_decode(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op4_toxicity_grammar": op4_toxicity_grammar,
     "op5_minmax_dedup": op5_minmax_dedup,
+    "op6_token_orc": op6_token_orc,
+    "op7_length_buckets": op7_length_buckets,
     "op8_quality_forest": op8_quality_forest,
     "op9_language_mixture": op9_language_mixture,
+    "op10_trie_bpe": op10_trie_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {}

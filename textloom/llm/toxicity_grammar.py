@@ -248,6 +248,18 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that aren't predicted to be toxic."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(grammar), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [shared.value.features(x) for x in common.text_of(batch.column(at))]
+            yield batch.filter(pa.array(shared.value.score(np.array(rows).reshape(-1, len(TAGS))) < 0.5, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Fit the grammar to labelled rows that aren't held out and score all documents."""
     return score(docs, fit(docs, labels, id_col, text_col, label_col), id_col, text_col)
