@@ -7,7 +7,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, language_mixture, length_buckets, minmax_dedup, quality_forest, token_orc, toxicity_grammar, trie_bpe
+from . import class_ngrams, common, language_mixture, length_buckets, minmax_dedup, quality_forest, rotated_codes, token_orc, toxicity_grammar, trie_bpe
+
+
+def op1_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotated_codes.nearest(common.table(spark, sf_dir, "embeddings"), F.pmod(F.col("id"), F.lit(100)) == 0, 10)
+
+
+def op2_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_ngrams.class_bigram_scores(common.table(spark, sf_dir, "documents"))
 
 
 def op4_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +53,8 @@ def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_rotated_codes": op1_rotated_codes,
+    "op2_class_ngrams": op2_class_ngrams,
     "op4_toxicity_grammar": op4_toxicity_grammar,
     "op5_minmax_dedup": op5_minmax_dedup,
     "op6_token_orc": op6_token_orc,
