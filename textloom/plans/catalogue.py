@@ -2,5 +2,459 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from textloom.functions import numeric as N
+from textloom.functions import text as T
+from textloom.operators import bpe, corpus, evals, metrics, samples, shards
+from textloom.streaming import pack_stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: The pre-tokenizer for engines without look-ahead; equal to ours on texts without runs of white space before a word.
+RE2 = r"'(?i:[sdmt]|ll|ve|re)|[^\r\n\w\x{80}-\x{10FFFF}]?[^\W\d_]+|\d{1,3}| ?[^\s\w]+[\r\n]*|\s+".replace("'", "''")
+CHUNKS = f"(SELECT *, unnest(regexp_extract_all(text, '{RE2}')) AS chunk FROM documents)"
+COUNTS = f"(SELECT chunk, count(*) AS cnt FROM {CHUNKS} GROUP BY chunk)"
+PAIRS = f"(SELECT substr(chunk, i::INT, 1) AS pair_left, substr(chunk, i::INT + 1, 1) AS pair_right, sum(cnt)::BIGINT AS cnt FROM (SELECT chunk, cnt, unnest(range(1, length(chunk))) AS i FROM {COUNTS}) GROUP BY ALL)"
+HEX = "list_sum(list_transform(range(1, 9), lambda i: ((instr('0123456789abcdef', substr({md5}, i::INT, 1)) - 1) * power(16, 8 - i))::BIGINT))::BIGINT"
+#: Points of a text, and where its delimiter (.) stands, from 0.
+POINTS = "list_transform(string_split(text, ''), lambda c: unicode(c))"
+STOPS = "list_filter(range(0, length(text)), lambda i: substr(text, i::INT + 1, 1) = '.')"
+STOP, BLOCK, PAD = 46, 64, 0
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query, and its SQL if it has any."""
+
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return keep
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def r6(c: Column) -> Column:
+    return F.round(c, 6)
+
+
+# --- scans, filters, pre-tokens
+
+
+@query("scan_project_filter", "SELECT d.doc_id, d.lang, d.n_chars, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE l.quality >= 1")
+def scan_project_filter(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", "lang", "n_chars").join(read(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    return corpus.score_at_least(rows, "quality", 1)
+
+
+@query("score_filter_null_nan", "SELECT c_custkey, score FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN 'nan'::DOUBLE ELSE c_acctbal END AS score FROM customer) WHERE score >= 1000 AND NOT isnan(score)")
+def score_filter_null_nan(spark, d):
+    score = F.when(F.col("c_custkey") % 7 == 0, None).when(F.col("c_custkey") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal"))
+    return corpus.score_at_least(read(spark, d, "customer").select("c_custkey", score.alias("score")), "score", 1000)
+
+
+@query("pretoken_top", f"SELECT chunk, cnt FROM {COUNTS} ORDER BY cnt DESC, chunk LIMIT 100")
+def pretoken_top(spark, d):
+    return corpus.chunk_counts(read(spark, d, "documents")).orderBy(F.desc("cnt"), "chunk").limit(100)
+
+
+@query("pretoken_by_lang", f"SELECT lang, chunk, count(*) AS cnt FROM {CHUNKS} GROUP BY ALL")
+def pretoken_by_lang(spark, d):
+    return corpus.chunk_counts(read(spark, d, "documents"), by=("lang",))
+
+
+@query("merged_counts", f"SELECT chunk, cnt FROM {COUNTS}")
+def merged_counts(spark, d):
+    docs = read(spark, d, "documents")
+    return corpus.merged_counts(*[corpus.chunk_counts(docs.where(F.col("doc_id") % 3 == k)) for k in range(3)])
+
+
+@query("base_alphabet", f"SELECT DISTINCT ch, unicode(ch) AS code FROM (SELECT unnest(string_split(chunk, '')) AS ch FROM {COUNTS})")
+def base_alphabet(spark, d):
+    return corpus.alphabet(corpus.chunk_counts(read(spark, d, "documents")))
+
+
+@query("char_pair_counts", f"SELECT * FROM {PAIRS}")
+def char_pair_counts(spark, d):
+    return corpus.pair_counts(corpus.chunk_counts(read(spark, d, "documents")))
+
+
+@query("bpe_best_pair", f"SELECT * FROM {PAIRS} ORDER BY cnt DESC, pair_left, pair_right LIMIT 1")
+def bpe_best_pair(spark, d):
+    return corpus.best_pair(corpus.pair_counts(corpus.chunk_counts(read(spark, d, "documents"))))
+
+
+@query("special_left_anti", f"SELECT chunk, cnt FROM {COUNTS} WHERE chunk NOT IN ('.', ',', ' the')")
+def special_left_anti(spark, d):
+    return corpus.without(corpus.chunk_counts(read(spark, d, "documents")), spark.createDataFrame([(".",), (",",), (" the",)], "token string"))
+
+
+@query("bos_join", "SELECT doc_id, md5('<BOS>' || text) AS joined_md5, length(text) + 5 AS n FROM documents WHERE text IS NOT NULL")
+def bos_join(spark, d):
+    return corpus.with_bos(read(spark, d, "documents"), "<BOS>").select("doc_id", F.md5(F.col("text").cast("binary")).alias("joined_md5"), F.length("text").alias("n"))
+
+
+@query("vocab_extend", "WITH v AS (SELECT (row_number() OVER (ORDER BY lang) - 1)::INT AS id, lang AS token FROM (SELECT DISTINCT lang FROM documents)), t AS (SELECT token, min(ord) AS ord FROM (VALUES ('en', 0), ('<BOS>', 1), ('<PAD>', 2), ('<BOS>', 3)) x(token, ord) GROUP BY token) SELECT id, token FROM v UNION ALL SELECT ((SELECT max(id) FROM v) + row_number() OVER (ORDER BY ord))::INT, token FROM t WHERE token NOT IN (SELECT token FROM v)")
+def vocab_extend(spark, d):
+    langs = read(spark, d, "documents").select(F.col("lang").alias("token")).distinct()
+    vocabulary = langs.select((F.row_number().over(Window.orderBy("token")) - 1).alias("id"), "token")
+    return corpus.extended_vocabulary(vocabulary, spark.createDataFrame([("en", 0), ("<BOS>", 1), ("<PAD>", 2), ("<BOS>", 3)], "token string, ord int"))
+
+
+# --- byte pairs
+
+
+def small_vocabulary(spark: SparkSession, d: str, size: int = 356) -> bpe.Vocabulary:
+    return bpe.train(corpus.chunk_counts(read(spark, d, "documents")), size + 2, ["<BOS>", "<PAD>"])
+
+
+@query("bpe_merges_100")
+def bpe_merges_100(spark, d):
+    found = small_vocabulary(spark, d)
+    return spark.createDataFrame([(made, a, b, found.tokens[made].hex()) for made, (a, b) in found.merges.items()], "id int, merge_left int, merge_right int, token_hex string")
+
+
+@query("encode_docs")
+def encode_docs(spark, d):
+    rows = bpe.encode(read(spark, d, "documents").select("doc_id", "text"), small_vocabulary(spark, d), bos="<BOS>")
+    return rows.select("doc_id", F.size("ids").alias("n_tokens"), F.array_join("ids", " ").alias("ids"))
+
+
+@query("decode_roundtrip", "SELECT doc_id, md5(replace(text, '_', '')) AS text_md5 FROM documents")
+def decode_roundtrip(spark, d):
+    vocabulary = small_vocabulary(spark, d)
+    rows = bpe.decode(bpe.encode(read(spark, d, "documents").select("doc_id", "text"), vocabulary), vocabulary)
+    return rows.select("doc_id", F.md5(F.col("decoded").cast("binary")).alias("text_md5"))
+
+
+# --- chats and evaluations
+
+
+def messages(spark: SparkSession, d: str) -> DataFrame:
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    return read(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("messages"))
+
+
+@query("chatml_render", "SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>', chr(10) ORDER BY turn) AS rendered, count(*) AS n_messages FROM conversations GROUP BY conv_id")
+def chatml_render(spark, d):
+    return messages(spark, d).where(F.size("messages") > 0).select("conv_id", T.chatml(F.col("messages")).alias("rendered"), F.size("messages").cast("long").alias("n_messages"))
+
+
+@query("eval_normalize", "SELECT question, array_to_string(answers, '|') AS answers, label FROM (SELECT p_name AS question, [p_brand, p_type] AS answers, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN '' ELSE (p_size % 2)::VARCHAR END AS key, p_size % 2 AS label FROM part) WHERE key IS NOT NULL AND key <> ''")
+def eval_normalize(spark, d):
+    key = F.when(F.col("p_partkey") % 5 == 0, None).when(F.col("p_partkey") % 7 == 0, "").otherwise((F.col("p_size") % 2).cast("string"))
+    rows = read(spark, d, "part").select(F.col("p_name").alias("ctx"), F.array("p_brand", "p_type").alias("endings"), key.alias("label"))
+    return evals.normalized(rows, "ctx", "endings", "label").withColumn("answers", F.array_join("answers", "|"))
+
+
+@query("arc_normalize", "WITH c AS (SELECT r_regionkey, r_name, list(n_name ORDER BY n_nationkey) AS texts, list(n_nationkey::VARCHAR ORDER BY n_nationkey) AS labels, max(n_nationkey)::VARCHAR AS key FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ALL) SELECT r_name AS question, array_to_string(texts, '|') AS answers, (list_position(labels, key) - 1)::INT AS label FROM c WHERE r_regionkey <> 3")
+def arc_normalize(spark, d):
+    rows = read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    found = rows.groupBy("r_regionkey", "r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("n"), F.max("n_nationkey").cast("string").alias("key"))
+    choices = F.struct(F.col("n.n_name").alias("text"), F.transform("n.n_nationkey", lambda k: k.cast("string")).alias("label"))
+    key = F.when(F.col("r_regionkey") == 3, "none").otherwise(F.col("key"))
+    return evals.science_choices(found.select(F.col("r_name").alias("question"), choices.alias("choices"), key.alias("answerKey"))).withColumn("answers", F.array_join("answers", "|"))
+
+
+@query("winogrande_split", "WITH s AS (SELECT doc_id, replace(text, ' ', '_') AS sentence, lang AS option1, source AS option2, CASE WHEN doc_id % 11 = 0 THEN '' ELSE (1 + doc_id % 2)::VARCHAR END AS answer FROM documents) SELECT md5(rtrim(substr(sentence, 1, instr(sentence, '_') - 1), ' ' || chr(9) || chr(10) || chr(13))) AS question, md5(option1 || substr(sentence, instr(sentence, '_') + 1)) AS first, md5(option2 || substr(sentence, instr(sentence, '_') + 1)) AS second, answer::INT - 1 AS label FROM s WHERE instr(sentence, '_') > 0 AND answer <> ''")
+def winogrande_split(spark, d):
+    answer = F.when(F.col("doc_id") % 11 == 0, "").otherwise((1 + F.col("doc_id") % 2).cast("string"))
+    rows = read(spark, d, "documents").select(F.translate("text", " ", "_").alias("sentence"), F.col("lang").alias("option1"), F.col("source").alias("option2"), answer.alias("answer"))
+    md5 = lambda c: F.md5(c.cast("binary"))
+    return evals.fill_in_choices(rows).select(md5(F.col("question")).alias("question"), md5(F.col("answers")[0]).alias("first"), md5(F.col("answers")[1]).alias("second"), "label")
+
+
+LOSSES = "SELECT doc_id AS example_id, k AS candidate, p AS pos, ((doc_id * 7919 + k * 104729 + p * 1299709 + length(text)) % 1000) / 100.0::DOUBLE AS loss, p >= k + 1 AS is_answer FROM documents, range(0, 4) c(k), range(0, 6) q(p)"
+
+
+def losses(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("example_id"), F.length("text").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("candidate"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("pos"))
+    loss = ((F.col("example_id") * 7919 + F.col("candidate") * 104729 + F.col("pos") * 1299709 + F.col("n")) % 1000) / F.lit(100.0)
+    return rows.select("example_id", "candidate", "pos", loss.alias("loss"), (F.col("pos") >= F.col("candidate") + 1).alias("is_answer"))
+
+
+@query("eval_acc", f"WITH s AS (SELECT example_id, candidate, round(sum(loss) FILTER (is_answer), 6) AS s, round(sum(loss) FILTER (is_answer) / greatest(count(*) FILTER (is_answer), 1), 6) AS m FROM ({LOSSES}) GROUP BY ALL), b AS (SELECT example_id, first(candidate ORDER BY s, candidate) AS bs, first(candidate ORDER BY m, candidate) AS bm FROM s GROUP BY ALL) SELECT round(avg((bs = example_id % 4)::INT), 6) AS acc, round(avg((bm = example_id % 4)::INT), 6) AS acc_norm, count(*) AS num_total FROM b")
+def eval_acc(spark, d):
+    scores = evals.candidate_scores(losses(spark, d)).select("example_id", "candidate", r6(F.col("sum_loss")).alias("sum_loss"), r6(F.col("mean_loss")).alias("mean_loss"))
+    labels = read(spark, d, "documents").select(F.col("doc_id").alias("example_id"), F.pmod("doc_id", F.lit(4)).alias("label"))
+    return evals.accuracy(scores, labels).select(r6(F.col("acc")).alias("acc"), r6(F.col("acc_norm")).alias("acc_norm"), "num_total")
+
+
+@query("candidate_scores", f"SELECT example_id, candidate::INT AS candidate, round(sum(loss) FILTER (is_answer), 6) AS sum_loss, round(sum(loss) FILTER (is_answer) / greatest(count(*) FILTER (is_answer), 1), 6) AS mean_loss FROM ({LOSSES}) GROUP BY ALL")
+def candidate_scores(spark, d):
+    return evals.candidate_scores(losses(spark, d)).select("example_id", "candidate", r6(F.col("sum_loss")).alias("sum_loss"), r6(F.col("mean_loss")).alias("mean_loss"))
+
+
+@query("masked_mean_loss", f"SELECT example_id, round(coalesce(sum(loss) FILTER (is_answer), 0) / greatest(count(*) FILTER (is_answer), 1), 6) AS loss FROM ({LOSSES}) GROUP BY example_id")
+def masked_mean_loss(spark, d):
+    return metrics.masked_mean(losses(spark, d).withColumnRenamed("is_answer", "mask"), "example_id").select("example_id", r6(F.col("loss")).alias("loss"))
+
+
+@query("eval_candidates", "WITH c AS (SELECT item_id AS example_id, k AS candidate, list_transform(string_split(text, ''), lambda c: unicode(c)) AS q, list_transform(string_split(' ' || ['yes', 'no', 'it depends'][k + 1], ''), lambda c: unicode(c)) AS a FROM benchmark, range(0, 3) r(k)), i AS (SELECT *, list_concat([1], q, a) AS ids FROM c), s AS (SELECT *, ids[greatest(len(ids) - 127, 1):] AS cut FROM i) SELECT example_id, candidate::INT AS candidate, list_sum(cut)::BIGINT AS id_sum, len(cut)::INT AS n_real, len(a)::INT AS n_answer FROM s")
+def eval_candidates(spark, d):
+    rows = read(spark, d, "benchmark").select(F.col("item_id").alias("example_id"), F.col("text").alias("question"), F.array(F.lit("yes"), F.lit("no"), F.lit("it depends")).alias("answers"), F.lit(0).alias("label"))
+    found = evals.candidates(rows, T.code_points, 1, 0, 128)
+    return found.select("example_id", "candidate", F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"), F.size(F.filter("ids", lambda x: x != 0)).alias("n_real"), F.size(F.filter("is_answer", lambda x: x)).alias("n_answer"))
+
+
+# --- samples
+
+TOKENS = f"(SELECT doc_id, length(text) AS n, {STOPS} AS stops FROM documents)"
+SPANS = f"(SELECT doc_id, n, unnest(stops) AS span_start, unnest(list_concat(stops[2:], [n])) AS span_end FROM {TOKENS} WHERE len(stops) > 0)"
+
+
+def token_rows(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", T.code_points(F.col("text")).alias("tokens"))
+
+
+def span_rows(spark: SparkSession, d: str) -> DataFrame:
+    return token_rows(spark, d).select("doc_id", F.explode(samples.spans(F.col("tokens"), STOP)).alias("s")).select("doc_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
+
+
+@query("doc_spans", f"SELECT doc_id, span_start::INT AS span_start, span_end::INT AS span_end FROM {SPANS}")
+def doc_spans(spark, d):
+    return span_rows(spark, d)
+
+
+@query("doc_chunks", f"SELECT doc_id, c::INT AS chunk_start, least({BLOCK}, span_end - c)::INT AS chunk_len FROM (SELECT doc_id, span_end, unnest(range(span_start, span_end, {BLOCK})) AS c FROM {SPANS})")
+def doc_chunks(spark, d):
+    rows = span_rows(spark, d).select("doc_id", F.explode(samples.chunk_starts(F.col("span_start"), F.col("span_end"), BLOCK)).alias("c"))
+    return rows.select("doc_id", F.col("c.start").alias("chunk_start"), F.col("c.len").alias("chunk_len"))
+
+
+@query("delimiter_counts", f"SELECT doc_id, len(stops)::INT AS n_docs, CASE WHEN len(stops) > 0 THEN n - stops[1] ELSE 0 END::INT AS n_after_prefix FROM {TOKENS}")
+def delimiter_counts(spark, d):
+    return token_rows(spark, d).select("doc_id", shards.delimiter_count(F.col("tokens"), STOP).alias("n_docs"), F.size(samples.without_prefix(F.col("tokens"), STOP)).alias("n_after_prefix"))
+
+
+@query("shift_mask", f"WITH p AS (SELECT doc_id, {POINTS}[1:{BLOCK}] AS t FROM documents WHERE text <> '') SELECT doc_id, len(t)::INT AS n_real, ({BLOCK} - len(t))::INT AS n_pad, list_sum(t)::BIGINT AS x_sum, (list_sum(t) - t[1])::BIGINT AS y_sum, (len(t) - 1)::INT AS n_loss, greatest(len(list_filter(t, lambda c: c = {STOP})) - 1, 0)::INT AS last_doc FROM p")
+def shift_mask(spark, d):
+    packs = token_rows(spark, d).where(F.size("tokens") > 0).select("doc_id", samples.truncated(F.col("tokens"), BLOCK).alias("tokens"))
+    rows = samples.samples(packs, BLOCK, STOP, PAD)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    real = F.size(F.filter("x", lambda t: t != PAD))
+    return rows.select("doc_id", real.alias("n_real"), (F.size("x") - real).alias("n_pad"), total("x").alias("x_sum"), total("y").alias("y_sum"), F.size(F.filter("loss_mask", lambda m: m)).alias("n_loss"), F.element_at("doc_ids", -1).alias("last_doc"))
+
+
+@query("fixed_blocks", f"WITH p AS (SELECT doc_id, {POINTS} AS t FROM documents), b AS (SELECT doc_id, t, unnest(range(0, (len(t) - 1) // {BLOCK})) AS b FROM p) SELECT doc_id, b::INT AS block, list_sum(t[b * {BLOCK} + 1:b * {BLOCK} + {BLOCK}])::BIGINT AS x_sum, list_sum(t[b * {BLOCK} + 2:b * {BLOCK} + {BLOCK} + 1])::BIGINT AS y_sum FROM b")
+def fixed_blocks(spark, d):
+    rows = token_rows(spark, d).select("doc_id", F.explode(samples.fixed_blocks(F.col("tokens"), BLOCK)).alias("b"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("doc_id", F.col("b.block").alias("block"), total("b.x").alias("x_sum"), total("b.y").alias("y_sum"))
+
+
+PACK = 8192
+ORDERED = "(SELECT source, doc_id, {n} AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)"
+PACKED = f"WITH RECURSIVE o AS MATERIALIZED {ORDERED.format(n=f'least(n_chars, {PACK})')}, p AS (SELECT source, doc_id, n, k, 0::BIGINT AS pack, 0::BIGINT AS place FROM o WHERE k = 1 UNION ALL SELECT o.source, o.doc_id, o.n, o.k, CASE WHEN p.place + p.n + o.n > {PACK} AND p.place + p.n > 0 THEN p.pack + 1 ELSE p.pack END, CASE WHEN p.place + p.n + o.n > {PACK} AND p.place + p.n > 0 THEN 0 ELSE p.place + p.n END FROM p JOIN o ON o.source = p.source AND o.k = p.k + 1)"
+
+
+def pack_input(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select(F.col("source").alias("stream"), "doc_id", F.least("n_chars", F.lit(PACK)).alias("n"))
+
+
+@query("pack_nextfit", f"{PACKED} SELECT source AS stream, doc_id, n, pack, place FROM p")
+def pack_nextfit(spark, d):
+    return samples.pack_next_fit(pack_input(spark, d), PACK)
+
+
+@query("pack_stats", f"{PACKED} SELECT stream, pack, n_docs, n_tokens, n_loss FROM (SELECT source AS stream, pack, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens, sum(n)::BIGINT - 1 AS n_loss, max(pack) OVER (PARTITION BY source) AS last FROM p GROUP BY source, pack) WHERE pack < last")
+def pack_stats(spark, d):
+    packed = samples.full_packs(samples.pack_next_fit(pack_input(spark, d), PACK))
+    return packed.groupBy("stream", "pack").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"), (F.sum("n") - 1).alias("n_loss"))
+
+
+CAPACITY = 20_000
+
+
+@query("shard_cut", f"WITH RECURSIVE o AS MATERIALIZED {ORDERED.format(n='n_chars')}, p AS (SELECT source, doc_id, n, k, 0::BIGINT AS shard, 0::BIGINT AS place, CASE WHEN n < {CAPACITY} THEN 0 ELSE n // {CAPACITY} END AS next_shard, CASE WHEN n < {CAPACITY} THEN n ELSE n % {CAPACITY} END AS next_at FROM o WHERE k = 1 UNION ALL SELECT source, doc_id, n, k, shard, place, CASE WHEN place > 0 OR n < {CAPACITY} THEN CASE WHEN place + n < {CAPACITY} THEN shard ELSE shard + n // {CAPACITY} END ELSE shard + n // {CAPACITY} END, CASE WHEN place + n < {CAPACITY} THEN place + n ELSE n % {CAPACITY} END FROM (SELECT o.source, o.doc_id, o.n, o.k, CASE WHEN p.next_at + o.n < {CAPACITY} OR p.next_at = 0 THEN p.next_shard ELSE p.next_shard + 1 END AS shard, CASE WHEN p.next_at + o.n < {CAPACITY} THEN p.next_at ELSE 0 END AS place FROM p JOIN o ON o.source = p.source AND o.k = p.k + 1)) SELECT source AS stream, doc_id, n, shard, place FROM p")
+def shard_cut(spark, d):
+    return samples.cut_shards(read(spark, d, "documents").select(F.col("source").alias("stream"), "doc_id", F.col("n_chars").alias("n")), CAPACITY)
+
+
+# --- shards and mixtures
+
+SCATTER = f"(SELECT doc_id, n_chars, ({HEX.format(md5='h')} % 8)::INT AS shard FROM (SELECT doc_id, n_chars, md5('42:' || doc_id) AS h FROM documents))"
+
+
+@query("shard_scatter", f"SELECT doc_id, shard FROM {SCATTER}")
+def shard_scatter(spark, d):
+    return shards.scattered(read(spark, d, "documents").select("doc_id"), 8)
+
+
+@query("split_train_val", f"SELECT 'shard_000' || shard || '.bin' AS name, shard, count(*) AS n_docs, sum(n_chars)::BIGINT AS n_tokens, CASE WHEN shard < 6 THEN 'train' ELSE 'val' END AS split, shard = 6 AS recorded FROM {SCATTER} GROUP BY shard")
+def split_train_val(spark, d):
+    return shards.with_split(shards.shard_counts(shards.scattered(read(spark, d, "documents"), 8), F.col("n_chars")), 8, 2)
+
+
+@query("epoch_order", f"SELECT epoch::INT AS epoch, place::INT AS place, name FROM (SELECT epoch, name, row_number() OVER (PARTITION BY epoch ORDER BY {HEX.format(md5='h')}, name) - 1 AS place FROM (SELECT e AS epoch, source AS name, md5((42 + e) || ':' || source) AS h FROM (SELECT DISTINCT source FROM documents), range(0, 3) r(e))) WHERE epoch > 0 OR place >= 4")
+def epoch_order(spark, d):
+    return shards.epoch_order(read(spark, d, "documents").select(F.col("source").alias("name")).distinct(), 3, skip=4)
+
+
+SHARES = "(SELECT source, w / sum(w) OVER () AS weight, coalesce(sum(w) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(w) OVER () AS total, w FROM (SELECT source, (count(*) % 7 + 1)::DOUBLE AS w FROM documents GROUP BY source))"
+
+
+def mixture(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").groupBy("source").agg((F.count(F.lit(1)) % 7 + 1).cast("double").alias("weight"))
+
+
+@query("mixture_weights", f"SELECT source, round(weight, 6) AS weight, round(below / total, 6) AS low, round((below + w) / total, 6) AS high FROM {SHARES}")
+def mixture_weights(spark, d):
+    return shards.normalized_weights(mixture(spark, d)).select("source", *[r6(F.col(c)).alias(c) for c in ("weight", "low", "high")])
+
+
+@query("mixture_share", f"WITH u AS (SELECT i, {HEX.format(md5='h')} / 4294967296.0 AS u FROM (SELECT i, md5('42:' || i) AS h FROM range(0, 5000) r(i))) SELECT source, count(*) AS drawn FROM u JOIN {SHARES} s ON u.u * s.total >= s.below AND u.u * s.total < s.below + s.w GROUP BY source")
+def mixture_share(spark, d):
+    return shards.draws(mixture(spark, d), 5000).groupBy("source").agg(F.count(F.lit(1)).alias("drawn"))
+
+
+@query("mixture_documents")
+def mixture_documents(spark, d):
+    return shards.mixed(read(spark, d, "documents").select("source", "doc_id", "n_chars"), mixture(spark, d), 5000).select("slot", "source", "doc_id", "n_chars")
+
+
+@query("resume_offsets", "SELECT source, count(*) AS n, coalesce(max(CASE WHEN source IN ('src1', 'src3') THEN 5 END), 0)::INT AS consumed FROM documents GROUP BY source")
+def resume_offsets(spark, d):
+    manifest = read(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return shards.resumed(manifest, spark.createDataFrame([("src1", 5), ("src3", 5)], "source string, consumed int"))
+
+
+# --- numbers
+
+
+@query("softmax_topk", "WITH z AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_max(embedding)::DOUBLE AS m FROM embeddings), w AS (SELECT vec_id, list_transform(e, lambda x: exp(x - m)) AS w FROM z), p AS (SELECT vec_id, list_reverse_sort(list_transform(w, lambda x: x / list_sum(w)))[1:5] AS p FROM w) SELECT vec_id, round(p[1], 6) AS p1, round(p[2], 6) AS p2, round(p[5], 6) AS p5 FROM p")
+def softmax_topk(spark, d):
+    rows = read(spark, d, "embeddings").select("vec_id", N.softmax(F.col("embedding")).alias("p")).select("vec_id", N.top_k(F.col("p"), 5).alias("p"))
+    return rows.select("vec_id", *[r6(F.element_at("p", k)).alias(f"p{k}") for k in (1, 2, 5)])
+
+
+@query("cross_entropy", "SELECT vec_id, round(m + ln(list_sum(list_transform(e, lambda x: exp(x - m)))) - e[label + 1], 6) AS loss FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e, list_max(embedding)::DOUBLE AS m FROM embeddings)")
+def cross_entropy(spark, d):
+    return read(spark, d, "embeddings").select("vec_id", r6(N.cross_entropy(F.col("embedding"), F.col("label"))).alias("loss"))
+
+
+@query("vector_norm_clip", "SELECT vec_id, round(n, 6) AS norm, round(least(1, 0.5 / (n + 1e-12)), 6) AS clip FROM (SELECT vec_id, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)")
+def vector_norm_clip(spark, d):
+    rows = read(spark, d, "embeddings").select("vec_id", N.norm(F.col("embedding")).alias("n"))
+    return rows.select("vec_id", r6(F.col("n")).alias("norm"), r6(N.clip_ratio(F.col("n"), 0.5)).alias("clip"))
+
+
+@query("global_norm", "SELECT label, round(sqrt(sum(n)), 6) AS norm FROM (SELECT label, list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) AS n FROM embeddings) GROUP BY label")
+def global_norm(spark, d):
+    return read(spark, d, "embeddings").groupBy("label").agg(r6(F.sqrt(F.sum(F.pow(N.norm(F.col("embedding")), F.lit(2.0))))).alias("norm"))
+
+
+@query("activations", "SELECT vec_id, round(30 * tanh(x / 30), 6) AS capped, round(power(greatest(x, 0), 2), 6) AS relu2, round(x / (1 + exp(-x)), 6) AS silu FROM (SELECT vec_id, embedding[1]::DOUBLE * 50 AS x FROM embeddings)")
+def activations(spark, d):
+    x = F.element_at("embedding", 1).cast("double") * 50
+    rows = read(spark, d, "embeddings").select("vec_id", x.alias("x"))
+    return rows.select("vec_id", r6(N.soft_cap(F.col("x"), 30.0)).alias("capped"), r6(N.relu_squared(F.col("x"))).alias("relu2"), r6(N.silu(F.col("x"))).alias("silu"))
+
+
+@query("probability_entropy", "WITH z AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: exp(x)) AS w FROM embeddings) SELECT vec_id, round(-list_sum(list_transform(w, lambda x: x / list_sum(w) * ln(x / list_sum(w) + 1e-9))), 6) AS entropy FROM z")
+def probability_entropy(spark, d):
+    return read(spark, d, "embeddings").select("vec_id", r6(N.entropy(N.softmax(F.col("embedding")))).alias("entropy"))
+
+
+@query("rms_norm", "SELECT vec_id, round(e[1] / s, 6) AS first, round(e[64] / s, 6) AS last FROM (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) / len(embedding) + 1e-6) AS s FROM embeddings)")
+def rms_norm(spark, d):
+    rows = read(spark, d, "embeddings").select("vec_id", N.rms_norm(F.col("embedding")).alias("r"))
+    return rows.select("vec_id", r6(F.element_at("r", 1)).alias("first"), r6(F.element_at("r", 64)).alias("last"))
+
+
+@query("rotary_positions", "SELECT vec_id, round(e[3] * cos(a) - e[4] * sin(a), 6) AS third, round(e[3] * sin(a) + e[4] * cos(a), 6) AS fourth FROM (SELECT vec_id, embedding::DOUBLE[] AS e, (vec_id % 16) / power(10000, 2.0 / 64) AS a FROM embeddings)")
+def rotary_positions(spark, d):
+    rows = read(spark, d, "embeddings").select("vec_id", N.rotate_pairs(F.col("embedding"), F.pmod("vec_id", F.lit(16))).alias("r"))
+    return rows.select("vec_id", r6(F.element_at("r", 3)).alias("third"), r6(F.element_at("r", 4)).alias("fourth"))
+
+
+@query("activation_stats", "SELECT place::INT AS place, round(avg((a <= 0)::INT), 6) AS dead_fraction, bool_or(a > 0) AS ever_active, round(avg(abs(a)), 6) AS mean_abs FROM (SELECT unnest(range(0, len(embedding))) AS place, unnest(embedding)::DOUBLE AS a FROM embeddings) GROUP BY place")
+def activation_stats(spark, d):
+    return metrics.activation_stats(read(spark, d, "embeddings")).select(F.col("place"), r6(F.col("dead_fraction")).alias("dead_fraction"), "ever_active", r6(F.col("mean_abs")).alias("mean_abs"))
+
+
+@query("attention_pairs", "SELECT q.conv_id, q.pos::INT AS q_pos, k.pos::INT AS k_pos FROM (SELECT conv_id, turn, p AS pos FROM conversations, range(0, 32) r(p) WHERE p % 8 = turn) q JOIN (SELECT conv_id, turn, p AS pos FROM conversations, range(0, 32) r(p) WHERE p % 8 = turn) k ON q.conv_id = k.conv_id AND q.turn = k.turn AND q.pos >= k.pos")
+def attention_pairs(spark, d):
+    rows = read(spark, d, "conversations").select("conv_id", "turn", F.explode(F.filter(F.sequence(F.lit(0), F.lit(31)), lambda p: p % 8 == F.col("turn"))).alias("pos"))
+    keys = rows.withColumnRenamed("pos", "k_pos")
+    return rows.withColumnRenamed("pos", "q_pos").join(keys, ["conv_id", "turn"]).where("q_pos >= k_pos").select("conv_id", "q_pos", "k_pos")
+
+
+@query("lr_schedule", "SELECT s::BIGINT AS step, round(CASE WHEN s < 100 THEN 3e-4 * (0.01 + 0.99 * s / 100) WHEN s < 500 THEN 3e-4 ELSE 3e-5 + 0.5 * (3e-4 - 3e-5) * (1 + cos(pi() * (s - 500) / 500.0)) END, 9) AS cosine, round(CASE WHEN s < 100 THEN 3e-4 * (0.01 + 0.99 * s / 100) WHEN s < 500 THEN 3e-4 ELSE 3e-4 + (3e-5 - 3e-4) * (s - 500) / 500.0 END, 9) AS linear FROM range(0, 1000) r(s)")
+def lr_schedule(spark, d):
+    rows = spark.range(1000).withColumnRenamed("id", "step")
+    rate = lambda kind: F.round(N.learning_rate(F.col("step"), 1000, 100, 3e-4, 3e-5, 0.5, kind), 9).alias(kind)
+    return rows.select("step", rate("cosine"), rate("linear"))
+
+
+@query("steps_budget", "SELECT b::BIGINT AS batch, (b * 8 * 1024)::BIGINT AS per_step, 524288000 // (b * 8 * 1024)::BIGINT AS steps FROM range(8, 65, 8) r(b)")
+def steps_budget(spark, d):
+    per_step = N.tokens_per_step(F.col("batch"), F.lit(8), F.lit(1024))
+    return spark.range(8, 65, 8).withColumnRenamed("id", "batch").select("batch", per_step.alias("per_step"), N.total_steps(F.lit(524_288_000), per_step).alias("steps"))
+
+
+@query("short_counts", "SELECT o_orderkey, CASE WHEN n > 1000000000 THEN printf('%.1fb', n / 1e9) WHEN n > 1000000 THEN printf('%.1fm', n / 1e6) WHEN n > 1000 THEN printf('%.1fk', n / 1e3) ELSE printf('%.1f', n::DOUBLE) END AS short FROM (SELECT o_orderkey, o_orderkey * 65537 + 3 AS n FROM orders)")
+def short_counts(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", T.short_count(F.col("o_orderkey") * 65537 + 3).alias("short"))
+
+
+# --- metrics
+
+RUNS = "(SELECT event_id AS step, user_id % 10 AS run, event_type, value, floor(epoch(ts))::BIGINT AS seconds FROM events)"
+
+
+def runs(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select(F.col("event_id").alias("step"), (F.col("user_id") % 10).alias("run"), "event_type", "value", F.col("ts").cast("timestamp").cast("long").alias("seconds"))
+
+
+@query("metrics_best_val", f"SELECT step, run, v_loss, best_val_loss, v_loss < coalesce(before, 'inf'::DOUBLE) AS is_best FROM (SELECT step, run, value AS v_loss, min(value) OVER (PARTITION BY run ORDER BY step) AS best_val_loss, min(value) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {RUNS} WHERE event_type = 'click' AND value IS NOT NULL)")
+def metrics_best_val(spark, d):
+    rows = runs(spark, d).select("step", "run", F.when(F.col("event_type") == "click", F.col("value")).alias("v_loss"))
+    return metrics.running_best(rows).select("step", "run", "v_loss", "best_val_loss", "is_best")
+
+
+@query("throughput", f"SELECT step, run, round(CASE WHEN ds > 0 THEN dn * 65536 / ds::DOUBLE END, 6) AS tok_s FROM (SELECT step, run, step - lag(step) OVER w AS dn, seconds - lag(seconds) OVER w AS ds FROM {RUNS} WINDOW w AS (PARTITION BY run ORDER BY step))")
+def throughput(spark, d):
+    return metrics.throughput(runs(spark, d), 65_536).select("step", "run", r6(F.col("tok_s")).alias("tok_s"))
+
+
+@query("accumulated_loss", "SELECT event_id // 8 AS optimizer_step, round(sum(value / 8), 6) AS loss FROM events GROUP BY 1 HAVING count(*) = 8")
+def accumulated_loss(spark, d):
+    rows = read(spark, d, "events").select(F.col("event_id").alias("batch"), F.col("value").alias("loss"))
+    return metrics.accumulated(rows, 8).select("optimizer_step", r6(F.col("loss")).alias("loss"))
+
+
+@query("mean_of_first", "SELECT round(coalesce(avg(value), 'inf'::DOUBLE), 6) AS loss FROM (SELECT value FROM events ORDER BY event_id LIMIT 20)")
+def mean_of_first(spark, d):
+    rows = read(spark, d, "events").select(F.col("event_id").alias("batch"), F.col("value").alias("loss"))
+    return metrics.mean_of_first(rows, 20).select(r6(F.col("loss")).alias("loss"))
+
+
+@query("prefix_split", "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) <= floor(0.9 * count(*) OVER ()) THEN 'train' ELSE 'val' END AS split FROM documents")
+def prefix_split(spark, d):
+    return metrics.prefix_split(read(spark, d, "documents").select("doc_id"), 0.9, "doc_id").select("doc_id", "split")
+
+
+# --- streams
+
+
+@query("stream_pack_smoke")
+def stream_pack_smoke(spark, d):
+    """Documents as arriving files, packed with state, until all have been read."""
+    import tempfile
+    import uuid
+
+    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    schema = read(spark, d, "documents").schema
+    arriving = pack_stream.document_stream(spark, f"{d}/documents.parquet", schema).select(F.col("source").alias("stream"), "doc_id", F.least("n_chars", F.lit(PACK)).alias("n"))
+    return pack_stream.run_to_end(pack_stream.pack_stream(arriving, PACK), f"{base}/out", f"{base}/checkpoint")
