@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Entries that a task remembers at most, of each kind.
-MEMO = 200_000
+MEMO = 400_000
 #: Fixed value: white space as Unicode has it; Python's split() also cuts at the four control characters below.
 WHITE_SPACE = re.compile("[\t-\r \u0085   -     　]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -48,18 +48,31 @@ class TrieBPE:
         model = config["model"]
         self.end = model["end_of_word_suffix"] or ""
         self.ids: dict[str, int] = model["vocab"]
+        self.names = [""] * (max([*self.ids.values(), *(x["id"] for x in config.get("added_tokens", []))], default=-1) + 1)
+        for token, i in self.ids.items():
+            self.names[i] = token
         self.ranks = {tuple(pair if isinstance(pair, list) else pair.split(" ")): k for k, pair in enumerate(model["merges"])}
         self.specials = {x["content"]: x["id"] for x in config.get("added_tokens", [])}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         splits = [x for x in config["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"]
         self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
-        self.longest = max(len(t.removesuffix(self.end)) for t in self.ids)
-        self.bytes = byte_characters()
+        self.bytes = str.maketrans(dict(enumerate(byte_characters())))
+        self.sizes = [len(t.removesuffix(self.end)) for t in self.names]
+        self.inner, self.final = self._token_lengths()
         self._alone: dict[str, bool] = {}
-        self._pairs: dict[tuple[str, str], bool] = {}
-        self._words: dict[str, list[str]] = {}
+        self._pairs: dict[int, bool] = {}
+        self._words: dict[str, tuple[bytes, str]] = {}
         self._pieces: dict[str, tuple[bytes, str]] = {}
 
+    def _token_lengths(self) -> tuple[dict[str, tuple[int, ...]], dict[str, tuple[int, ...]]]:
+        """By the last two characters of tokens inside words, and of tokens that end them: which lengths occur, falling. 1 always does."""
+        inner, final = {}, {}
+        for token in self.ids:
+            body = token.removesuffix(self.end)
+            if len(body) > 1:
+                (final if len(body) < len(token) else inner).setdefault(body[-2:], {1}).add(len(body))
+        return tuple({k: tuple(sorted(v, reverse=True)) for k, v in found.items()} for found in (inner, final))
+
     def _symbols(self, token: str) -> list[str]:
         body = token.removesuffix(self.end)
         return [*body[:-1], body[-1] + self.end] if token.endswith(self.end) and body else list(token)
@@ -73,89 +86,106 @@ class TrieBPE:
             symbols = [*symbols[:at], symbols[at] + symbols[at + 1], *symbols[at + 2 :]]
         return symbols
 
-    def _may_follow(self, before: str | None, token: str) -> bool:
-        """Whether the token may stand after another one, or at a word's start."""
-        if before is None:
-            found = self._alone.get(token)
-            if found is None:
-                found = self._alone[token] = self._merged(self._symbols(token)) == [token]
-            return found
-        found = self._pairs.get((before, token))
+    def _starts(self, token: str) -> bool:
+        """Whether the token may begin a word: whether its text encodes to it."""
+        found = self._alone.get(token)
         if found is None:
-            if len(self._pairs) > 4 * MEMO:
-                self._pairs.clear()
-            found = self._merged(self._symbols(before) + self._symbols(token)) == [before, token]
-            self._pairs[before, token] = found
+            found = self._alone[token] = self._merged(self._symbols(token)) == [token]
         return found
 
-    def _last(self, word: str, stop: int, states: list[str | None], suffix: str) -> str:
+    def _follows(self, before: int, token: str, pair: int) -> bool:
+        """Whether the token may stand after another: whether their joined text encodes to the two. pair: their number among all pairs."""
+        if len(self._pairs) > 4 * MEMO:
+            self._pairs.clear()
+        name = self.names[before]
+        found = self._pairs[pair] = self._merged(self._symbols(name) + self._symbols(token)) == [name, token]
+        return found
+
+    def _last(self, word: str, stop: int, states: list[int], lengths: dict[str, tuple[int, ...]], suffix: str) -> int:
         """The last token of word[:stop], the longest that may follow; states: last tokens of shorter prefixes."""
-        for start in range(max(0, stop - self.longest), stop):
+        ids, pairs = self.ids, self._pairs
+        for size in lengths.get(word[stop - 2 : stop], (1,)) if stop > 1 else (1,):
+            start = stop - size
+            if start < 0:
+                continue
             token = word[start:stop] + suffix
-            if token in self.ids and (not start or states[start]) and self._may_follow(states[start], token):
-                return token
+            own = ids.get(token)
+            if own is None:
+                continue
+            if not start:
+                if self._starts(token):
+                    return own
+                continue
+            pair = states[start] << 24 | own
+            found = pairs.get(pair)
+            if found is None:
+                found = self._follows(states[start], token, pair)
+            if found:
+                return own
         raise ValueError(f"no encoding of {word[:stop]!r}")
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, list[str]]:
-        """Tokens of distinct words, given as characters that stand for bytes."""
-        found: dict[str, list[str]] = {}
-        last, states = "", [None]
+    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
+        """Ids of distinct words, given as characters that stand for bytes."""
+        found: dict[str, list[int]] = {}
+        last, states, sizes, inner, final, end, step = "", [-1], self.sizes, self.inner, self.final, self.end, self._last
         for word in sorted(words):
-            same = 0
-            for a, b in zip(last, word):
-                if a != b:
-                    break
+            size = len(word)
+            same, most = 0, min(len(states) - 1, size)
+            while same < most and last[same] == word[same]:
                 same += 1
-            del states[min(same, len(states) - 1) + 1 :]
-            for stop in range(len(states), len(word)):
-                states.append(self._last(word, stop, states, ""))
-            tokens = [self._last(word, len(word), states, self.end)]
-            at = len(word) - len(tokens[0]) + len(self.end)
+            del states[same + 1 :]
+            for stop in range(same + 1, size):
+                states.append(step(word, stop, states, inner, ""))
+            own = step(word, size, states, final, end)
+            ids, at = [own], size - sizes[own]
             while at:
-                tokens.append(states[at])
-                at -= len(states[at])
-            found[word] = tokens[::-1]
+                own = states[at]
+                ids.append(own)
+                at -= sizes[own]
+            ids.reverse()
+            found[word] = ids
             last = word
         return found
 
     def _split(self, piece: str) -> list[tuple[str, bool]]:
         """Words of a piece without white space, in characters that stand for bytes; specials are marked."""
+        if piece.isascii() and piece.isalpha():
+            return [(piece.lower(), False)]
         out = []
         for k, part in enumerate(self.special.split(piece) if self.special and "<" in piece else [piece]):
             if k % 2:
                 out.append((part, True))
             elif part:
-                if part.isascii():
-                    part = part.lower()
-                else:
-                    part = "".join(c.lower() for c in unicodedata.normalize("NFC", part))
-                for word in self.pattern.findall(part):
-                    out.append((word if word.isascii() and word.isalnum() else "".join(self.bytes[b] for b in word.encode()), False))
+                if not part.isascii():
+                    part = unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3")  # the capital sigma's lower case depends on what follows; the library's doesn't
+                for word in self.pattern.findall(part.lower()):
+                    out.append((word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.bytes), False))
         return out
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Remember the ids and tokens of pieces; new words go through the trie together."""
-        if len(self._pieces) > MEMO:
-            self._pieces.clear()
         if len(self._words) > MEMO:
             self._words.clear()
+        words, names = self._words, self.names
         split = {p: self._split(p) for p in pieces}
-        self._words.update(self.encode_words({w for parts in split.values() for w, special in parts if not special and w not in self._words}))
+        for word, ids in self.encode_words({w for parts in split.values() for w, special in parts if not special and w not in words}).items():
+            words[word] = struct.pack(f"<{len(ids)}I", *ids), " ".join([names[i] for i in ids])
+        known = self._pieces
         for piece, parts in split.items():
-            tokens = [t for w, special in parts for t in ([w] if special else self._words[w])]
-            ids = [self.specials[t] if t in self.specials else self.ids[t] for t in tokens]
-            self._pieces[piece] = struct.pack(f"<{len(ids)}I", *ids), " ".join(tokens)
+            if len(parts) == 1 and not parts[0][1]:
+                known[piece] = words[parts[0][0]]
+            else:
+                rows = [(struct.pack("<I", self.specials[w]), w) if special else words[w] for w, special in parts]
+                known[piece] = b"".join([r[0] for r in rows]), " ".join([r[1] for r in rows])
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
-        """Ids as little-endian unsigned 32-bit integers, and the decoded text, of each text."""
-        for text in texts:
-            pieces = [p for p in WHITE_SPACE.split(text) if p] if SEPARATORS.search(text) else text.split()
-            known = self._pieces
-            new = {p for p in pieces if p not in known}
-            if new:
-                if len(known) > MEMO or len(self._words) > MEMO:
-                    new = set(pieces)
-                self.learn(new)
+        """Ids as little-endian unsigned 32-bit integers, and the decoded text, of each text. What is new in all of them is learned first."""
+        if len(self._pieces) > MEMO:
+            self._pieces.clear()
+        cut = [[p for p in WHITE_SPACE.split(text) if p] if SEPARATORS.search(text) else text.split() for text in texts]
+        known = self._pieces
+        self.learn({p for pieces in cut for p in pieces if p not in known})
+        for pieces in cut:
             rows = [known[p] for p in pieces]
             yield b"".join([r[0] for r in rows]), " ".join([r[1] for r in rows if r[0]])
 

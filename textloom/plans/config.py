@@ -23,9 +23,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     total = F.aggregate("dataset.dataset_weights", F.lit(0.0), lambda a, x: a + x)
     rows = rows.withColumn("dataset", F.col("dataset").withField("dataset_weights", F.transform("dataset.dataset_weights", lambda w: w / total)))
     usual = {"log_interval": 10, "save_interval": 5000, "seed": 42, "description": ""}
-    run = F.col("run")
-    for name, value in usual.items():
-        run = run.withField(name, F.coalesce(F.col(f"run.{name}"), F.lit(value)))
+    run = F.struct(F.col("run.name").alias("name"), *[F.coalesce(F.col(f"run.{name}"), F.lit(value)).alias(name) for name, value in usual.items()])
     return rows.withColumn("run", run)
 
 
