@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
 import zlib
@@ -72,11 +74,28 @@ def held_out(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == 0, F.lit(False))
 
 
+def _in_fraction(key: Column, rows: int, total: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(97)), F.lit(1_000_000)) < int(1_000_000 * rows / max(total, 1)) + 1
+
+
 def hash_fraction(df: DataFrame, key: Column, rows: int, total: int) -> DataFrame:
     """About `rows` of `total` rows, chosen by a hash of their key: the same rows whatever the partitioning."""
-    if total <= rows:
-        return df
-    return df.where(F.pmod(F.xxhash64(key, F.lit(97)), F.lit(1_000_000)) < int(1_000_000 * rows / total) + 1)
+    return df if total <= rows else df.where(_in_fraction(key, rows, total))
+
+
+def outside_fraction(df: DataFrame, key: Column, rows: int, total: int) -> DataFrame:
+    """The rows that hash_fraction leaves out; the key has no nulls."""
+    return df.where(key.isNull()) if total <= rows else df.where(~_in_fraction(key, rows, total))
+
+
+@contextlib.contextmanager
+def uncollected() -> Iterator[None]:
+    """Without passes of the cycle collector, for code that makes many objects and no cycles."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
 
 
 def text_of(column: pa.Array) -> list[str]:

@@ -8,7 +8,8 @@ full. Every vector is indexed; queries go to all rows in broadcast blocks of bou
 
 Nulls, ties and repeats: rows with a null id, and vectors that are null, zero, of another length
 than the most frequent one, or that hold null or non-finite components, take no part; ties go to
-the smaller id; a row that repeats an id is a candidate of its own, but never for that id; an empty
+the smaller id; a row that repeats an id is a candidate of its own, but never for that id, and of rows that repeat
+a query's id the vector that sorts first asks; an empty
 table gives no rows; other columns are ignored, whatever their names.
 """
 
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,14 +64,16 @@ class Block:
         self.length = np.sqrt((rest * rest).sum(1))
         self.rotated = rest / np.maximum(self.length, 1e-30)[:, None]
         self.limit = np.full(len(ids), np.inf)
+        #: What the pilot rows gave: query, distance, row.
+        self.first = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
 
 
 class Nearest:
     """The k nearest rows seen so far for each query of a block."""
 
-    def __init__(self, block: Block):
+    def __init__(self, block: Block, with_first: bool = False):
         self.block, self.limit = block, block.limit.copy()
-        self.query, self.dist, self.row = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.query, self.dist, self.row = block.first if with_first else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
 
     def add(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, length: np.ndarray, own: np.ndarray) -> None:
         """Compare rows with all queries: by the codes, then in full where the bound allows."""
@@ -135,7 +139,7 @@ def build_index(rows: DataFrame, dim: int, center: np.ndarray) -> DataFrame:
 
 def _search(shared, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Nearest(shared.value)
+        found = Nearest(shared.value, TaskContext.get().partitionId() == 0)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
@@ -157,17 +161,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     center, size = np.array([r["total"] / r["n"] for r in sums]), sums[0]["n"]
     index = build_index(rows, dim, center)
     pilot = common.hash_fraction(index, F.col("id"), PILOT, size).select("id", "v", "code", "length", "own").collect()
+    others = common.outside_fraction(index, F.col("id"), PILOT, size)
     first = [np.array([r["id"] for r in pilot], np.int64), np.array([r["v"] for r in pilot]).reshape(-1, dim), np.array([np.frombuffer(r["code"], np.uint8) for r in pilot]).reshape(len(pilot), -1), np.array([r["length"] for r in pilot]), np.array([r["own"] for r in pilot])]
-    queries = index.where(is_query).select("id", "v").toLocalIterator()
+    queries = index.where(is_query).groupBy("id").agg(F.min("v").alias("v")).toLocalIterator()
     results, block = [], []
 
     def search(block: list) -> DataFrame:
         own = Block(np.array([r["id"] for r in block], np.int64), np.array([r["v"] for r in block]).reshape(-1, dim), center, rotation(dim), k)
         start = Nearest(own)
         start.add(*first)
-        own.limit = start.limit
+        own.limit, own.first = start.limit, (start.query, start.dist, start.row)
         shared = spark.sparkContext.broadcast(own)
-        found = common.saved(index.mapInArrow(_search(shared, dim), "query_id long, vec_id long, score double"), "candidates")
+        found = common.saved(others.mapInArrow(_search(shared, dim), "query_id long, vec_id long, score double"), "candidates")
         shared.unpersist()
         return found
 
