@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from textloom.llm import class_ngrams, common, language_mixture, length_buckets, minmax_dedup, quality_forest, token_orc, toxicity_grammar, trie_bpe
+from textloom.llm import class_ngrams, common, edit_counts, language_mixture, length_buckets, minmax_dedup, quality_forest, token_orc, toxicity_grammar, trie_bpe
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,7 @@ def tokens(docs):
 
 OPERATORS = {
     "op2": lambda docs, labels: class_ngrams.class_bigram_scores(docs),
+    "op3": lambda docs, labels: edit_counts.edit_counts(docs, BYTES),
     "op4": toxicity_grammar.toxicity,
     "op5": lambda docs, labels: minmax_dedup.near_duplicates(docs),
     "op6": lambda docs, labels: tokens(docs),

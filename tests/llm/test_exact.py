@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from textloom.llm import class_ngrams, common, language_mixture, length_buckets, minmax_dedup, quality_forest, rotated_codes, token_orc, toxicity_grammar, trie_bpe
+from textloom.llm import class_ngrams, common, edit_counts, language_mixture, length_buckets, minmax_dedup, quality_forest, rotated_codes, token_orc, toxicity_grammar, trie_bpe
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -109,6 +109,37 @@ def test_exchange_reaches_a_local_best():
         assert likelihood(pairs, moved, 4) <= best + 1e-6
 
 
+# --- edit-aware counts
+
+COUNTER = edit_counts.Counter(public_tokenizers.path("byte_bpe_50k.json"))
+EDITED = st.lists(st.sampled_from(["the", "in", " ", "  ", "\n", "\t", " \n", "'s", "'", "'l", "l", "é", "12", "½", "<|endoftext|>", "漢", "🙂", "\u2003", "\x1c", "\x85", "!!", "_"]), max_size=30).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(EDITED, st.lists(st.tuples(st.integers(0, 60), st.integers(0, 8), EDITED), max_size=4))
+def test_edits_equal_recounting(text, edits):
+    tree = edit_counts.CountTree(edit_counts.PATTERN.findall(text), COUNTER)
+    for start, size, new in edits:
+        tree.edit(start, start + size, new)
+        start = min(start, len(text))
+        text = text[:start] + new + text[start + size :]
+        assert (tree.text(), tree.n_chars, tree.n_tokens) == (text, len(text), len(COUNTER.tokenizer.encode(text, add_special_tokens=False).ids))
+
+
+def test_edits_touch_little():
+    tree = edit_counts.CountTree(edit_counts.PATTERN.findall("word " * 10_000), COUNTER)
+    assert all(tree.edit(*e) <= 12 for e in edit_counts.sample_edits(tree.text()))
+
+
+def test_edit_query(spark, data, docs):
+    out = query(spark, data, "op3_edit_counts")
+    for i, text in docs:
+        assert out[i].n_tokens == len(COUNTER.tokenizer.encode(text, add_special_tokens=False).ids)
+        for start, end, new in edit_counts.sample_edits(text):
+            text = text[:start] + new + text[max(start, end) :]
+        assert (out[i].edited_chars, out[i].edited_tokens) == (len(text), len(COUNTER.tokenizer.encode(text, add_special_tokens=False).ids))
+
+
 # --- toxicity
 
 

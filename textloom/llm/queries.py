@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_ngrams, common, language_mixture, length_buckets, minmax_dedup, quality_forest, rotated_codes, token_orc, toxicity_grammar, trie_bpe
+from . import class_ngrams, common, edit_counts, language_mixture, length_buckets, minmax_dedup, quality_forest, rotated_codes, token_orc, toxicity_grammar, trie_bpe
 
 
 def op1_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_ngrams.class_bigram_scores(common.table(spark, sf_dir, "documents"))
 
 
+def op3_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts.edit_counts(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity_grammar.toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
     return out.select("doc_id", common.held_out(F.col("doc_id"), 5).alias("held_out"), "score", "predicted")
@@ -55,6 +59,7 @@ def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_rotated_codes": op1_rotated_codes,
     "op2_class_ngrams": op2_class_ngrams,
+    "op3_edit_counts": op3_edit_counts,
     "op4_toxicity_grammar": op4_toxicity_grammar,
     "op5_minmax_dedup": op5_minmax_dedup,
     "op6_token_orc": op6_token_orc,
