@@ -9,6 +9,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +60,43 @@ def drop(*frames: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bits of an id filter, and tasks that fill it: both fixed, so that what is broadcast and sent to the driver is bounded.
+FILTER_BITS, FILTER_TASKS = 1 << 24, 8
+
+
+def _filter_places(ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    mixed = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return tuple(((mixed >> np.uint64(k)) % np.uint64(FILTER_BITS)).astype(np.int64) for k in (0, 20, 40))
+
+
+def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(FILTER_BITS, bool)
+    for batch in batches:
+        for places in _filter_places(batch.column(0).to_numpy(zero_copy_only=False)):
+            bits[places] = True
+    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+
+def may_be_in(ids: DataFrame, column: Column) -> Column:
+    """A condition that holds for every row whose id is in a frame of one column of ids, and for few others: a Bloom filter of fixed size. Rows outside it needn't be shuffled to be joined; if the ids are very many it lets all through, and the join that must follow decides alone. False for null."""
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    known = ids.select(F.col(ids.columns[0]).cast("long").alias("id")).where("id is not null")
+    for row in known.repartition(FILTER_TASKS).mapInArrow(_fill, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(row["bits"], np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def holds(values: pd.Series) -> pd.Series:
+        found = np.ones(len(values), bool)
+        for places in _filter_places(values.to_numpy()):
+            found &= (shared.value[places >> 3] >> (7 - (places & 7)) & 1).astype(bool)
+        return pd.Series(found)
+
+    return column.isNotNull() & holds(F.coalesce(column.cast("long"), F.lit(0).cast("long")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, with Arrow batches bounded."""
     tune(spark)

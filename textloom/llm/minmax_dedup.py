@@ -195,7 +195,8 @@ def _across(apart: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     those before it; with rare shingles first, sets that have only frequent ones in common never
     meet. Under each shingle only the classes outside its largest component are compared with the rest.
     """
-    ours = common.saved(texts.join(apart.withColumnRenamed("rep", "_id"), "_id"), "apart-texts")
+    wanted = apart.withColumnRenamed("rep", "_id")
+    ours = common.saved(texts.where(common.may_be_in(wanted.select("_id"), F.col("_id"))).join(wanted, "_id"), "apart-texts")
     size = ours.count()
     if not size:
         return None
@@ -227,7 +228,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowded = common.saved(rows.join(shared, "key"), "buckets")
     central = crowded.groupBy("rep").agg(F.sum("size").alias("central"))
     buckets = common.saved(crowded.join(central, "rep").select("key", "rep", "n", "central", F.col("rep").alias("component")), "central-buckets")
-    texts = common.saved(given.join(central.select(F.col("rep").alias("_id")), "_id", "left_semi"), "dedup-texts")
+    wanted = buckets.select(F.col("rep").alias("_id")).distinct()
+    texts = common.saved(given.where(common.may_be_in(wanted, F.col("_id"))).join(wanted, "_id", "left_semi"), "dedup-texts")
     links = labels = None
     central_one = buckets.groupBy("key").agg(F.max(F.struct("central", (-F.col("rep")).alias("minus"), "n")).alias("_p"))
     pairs = buckets.join(central_one, "key").select((-F.col("_p.minus")).alias("a"), F.col("rep").alias("b"), F.col("_p.n").alias("na"), F.col("n").alias("nb"))
