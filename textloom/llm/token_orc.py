@@ -6,8 +6,8 @@ the rest, and each row knows how many ids its file holds before it, so a documen
 whole sequence needs only the files' totals.
 
 Texts are encoded by the tokenizers library. Since no token spans the border before a white-space
-character that follows another character, a text is cut there and each distinct piece is encoded
-once per task; texts in which a border is in doubt go to the library whole.
+character that follows another character, a text is cut there and a distinct piece is encoded
+once by a worker that remembers it; texts in which a border is in doubt go to the library whole.
 
 Nulls, ties and repeats: a null or empty text is the end id alone; rows with a null id come first;
 rows that share an id are ordered by text; an empty table gives no rows; other columns are ignored.
@@ -19,6 +19,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,55 +28,105 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Pieces whose ids a task remembers at most, and those encoded in one call.
-MEMO = 300_000
+#: Pieces of a generation that a Python worker remembers, besides those of one batch.
+MEMO = 350_000
+#: New pieces that are encoded as one text.
+RUN = 1000
 #: Bytes of a stripe, rows of an index entry, false positives of the Bloom filters, and the codec.
 STRIPE, STRIDE, FALSE_POSITIVES, CODEC = 16 << 20, 1000, 0.01, "zstd"
 #: White space other than a lone space makes borders doubtful only next to a space.
+DOUBTFUL_ASCII = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ", "\x1c ", "\x1d ", "\x1e ", "\x1f ")
 DOUBTFUL = re.compile(r"\s (?!\S)|  | $")
 SCHEMA = "doc_id long, shard int, file_start long, n_tokens long, ids array<int>"
 
 
 class Encoder:
-    """The library's tokenizer with the ids of recent pieces."""
+    """The library's tokenizer with the ids of recent pieces, in two generations: what the older one still serves moves to the newer."""
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.end = np.array([end_id], np.int32).tobytes()
-        self.memo: dict[str, bytes] = {}
+        self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.bytes[i] = len(token)  # each character stands for a byte
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _batch(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.int32).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text and the end id, as little-endian 32-bit integers."""
-        if not text:
-            return self.end
-        if DOUBTFUL.search(text) or any(s in text for s in self.specials):
-            return self._batch([text])[0] + self.end
-        first, *rest = text.split(" ")
-        pieces = [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
-        memo = self.memo
-        found = [memo.get(p) for p in pieces]
-        if None in found:
-            new = list({p for p, x in zip(pieces, found) if x is None})
-            if len(memo) > MEMO:
-                memo.clear()
-            ids = dict(zip(new, self._batch(new)))
-            memo.update(ids)
-            found = [ids[p] if x is None else x for p, x in zip(pieces, found)]
-        return b"".join(found) + self.end
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = [*accumulate(map(len, ids), initial=0)]
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, ends[-1]).tobytes()
+        return [flat[4 * a : 4 * b] for a, b in zip(ends, ends[1:])]
+
+    def _whole(self, text: str) -> bool:
+        """Whether the text must go to the library whole."""
+        doubt = any(x in text for x in DOUBTFUL_ASCII) or text[-1] == " " if text.isascii() else DOUBTFUL.search(text)
+        return bool(doubt) or any(s in text for s in self.specials)
+
+    def _learn(self, pieces: set[str]) -> None:
+        recent, older = self.recent, self.older
+        for p in [p for p in pieces if p in older]:
+            recent[p] = older[p]
+            pieces.discard(p)
+        alone = [p for p in pieces if p[-1].isspace()]
+        joined = [p for p in pieces if not p[-1].isspace()]
+        recent.update(zip(alone, self._batch([" " + p for p in alone])))
+        recent.update(zip(joined, self._joined([" " + p for p in joined])))
+
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that begin with a space and don't end with white space: they are encoded in runs, and the bytes that tokens stand for tell where each piece ends."""
+        if not pieces:
+            return []
+        runs = self.tokenizer.encode_batch_fast(["".join(pieces[k : k + RUN]) for k in range(0, len(pieces), RUN)], add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, np.int32) for x in runs])
+        ends, stops = np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) for p in pieces])
+        last = np.searchsorted(ends, stops)
+        if not np.array_equal(ends[last], stops):
+            raise ValueError("a token spans the border of two pieces")
+        flat, cuts = ids.tobytes(), [0, *(4 * (last + 1)).tolist()]
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers. Pieces are kept without the space before them; a text's first piece, which has none, isn't kept."""
+        if len(self.recent) > MEMO:
+            self.recent, self.older = {}, self.recent
+        known, firsts, rows, gaps = self.recent, [], [], {}
+        for k, text in enumerate(texts):
+            first, *pieces = [text] if not text or self._whole(text) else text.split(" ")
+            found = list(map(known.get, pieces))
+            if None in found:
+                gaps[k] = [(at, p) for at, (p, x) in enumerate(zip(pieces, found)) if x is None]
+            firsts.append(first)
+            rows.append(found)
+        self._learn({p for own in gaps.values() for _, p in own})
+        for k, own in gaps.items():
+            row = rows[k]
+            for at, p in own:
+                row[at] = known[p]
+        return [b"".join([first, *row]) for first, row in zip(self._batch(firsts), rows)]
+
+
+#: One encoder for each vocabulary in a Python worker, which runs many tasks.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def _encode(path: str, end_id: int):
+    end = np.array([end_id], np.int32).tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, total = Encoder(path, end_id), 0
+        own, total = encoder(path), 0
         for batch in batches:
-            rows = [encoder.encode(x) for x in common.text_of(batch.column(1))]
+            with common.uncollected():
+                rows = [x + end for x in own.encode(common.text_of(batch.column(1)))]
             sizes = np.array([len(x) // 4 for x in rows], np.int64)
             ends = np.concatenate([[0], np.cumsum(sizes)])
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), np.int32)))
