@@ -36,6 +36,7 @@ RUN = 1000
 STRIPE, STRIDE, FALSE_POSITIVES, CODEC = 16 << 20, 1000, 0.01, "zstd"
 #: White space other than a lone space makes borders doubtful only next to a space.
 DOUBTFUL_ASCII = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ", "\x1c ", "\x1d ", "\x1e ", "\x1f ")
+WIDE_SPACES = [chr(x) for x in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 DOUBTFUL = re.compile(r"\s (?!\S)|  | $")
 SCHEMA = "doc_id long, shard int, file_start long, n_tokens long, ids array<int>"
 
@@ -63,8 +64,9 @@ class Encoder:
 
     def _whole(self, text: str) -> bool:
         """Whether the text must go to the library whole."""
-        doubt = any(x in text for x in DOUBTFUL_ASCII) or text[-1] == " " if text.isascii() else DOUBTFUL.search(text)
-        return bool(doubt) or any(s in text for s in self.specials)
+        if text[-1] == " " or any(x in text for x in DOUBTFUL_ASCII) or any(s in text for s in self.specials):
+            return True
+        return not text.isascii() and any(x in text for x in WIDE_SPACES) and DOUBTFUL.search(text) is not None
 
     def _learn(self, pieces: set[str]) -> None:
         recent, older = self.recent, self.older
@@ -98,7 +100,13 @@ class Encoder:
             first, *pieces = [text] if not text or self._whole(text) else text.split(" ")
             found = list(map(known.get, pieces))
             if None in found:
-                gaps[k] = [(at, p) for at, (p, x) in enumerate(zip(pieces, found)) if x is None]
+                own, at = [], found.index(None)
+                try:
+                    while True:
+                        own.append((at, pieces[at]))
+                        at = found.index(None, at + 1)
+                except ValueError:
+                    gaps[k] = own
             firsts.append(first)
             rows.append(found)
         self._learn({p for own in gaps.values() for _, p in own})
