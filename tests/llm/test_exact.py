@@ -109,6 +109,48 @@ def test_exchange_reaches_a_local_best():
         assert likelihood(pairs, moved, 4) <= best + 1e-6
 
 
+def test_gains_are_differences_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    pairs, k = rng.integers(0, 4, (12, 12)).astype(float), 4
+    own = rng.integers(0, k, 12)
+    member = np.eye(k)[own]
+    table = member.T @ pairs @ member
+    both = np.diag(pairs)
+    out, into = pairs @ member, pairs.T @ member
+    out[np.arange(12), own] -= both
+    into[np.arange(12), own] -= both
+    gain = class_ngrams.gains(table, table.sum(1), table.sum(0), own, out, into, both)
+    for w, c in itertools.product(range(12), range(k)):
+        moved = own.copy()
+        moved[w] = c
+        assert gain[w, c] - gain[w, own[w]] == pytest.approx(likelihood(pairs, moved, k) - likelihood(pairs, own, k), abs=1e-6)
+
+
+def test_words_outside_the_core_are_clustered(spark):
+    """Words that end alike and are rarer than the core's: those between x and y differ from those between p and q, as frequent ones do."""
+    rows = [f"{a} {kind}{n}{end} {b}" for kind, a, b in (("l", "x", "y"), ("r", "p", "q")) for end, words, times in (("often", 10, 100), ("same", 40, 5)) for n in range(words) for _ in range(times)]
+    rows += [f"filler{n} " * 50 for n in range(class_ngrams.WORDS)]
+    texts = spark.createDataFrame([(r,) for r in rows], "text string").repartition(3)
+    counts = class_ngrams.word_counts(texts)
+    model = class_ngrams.learned(texts, counts, sum(len(r.split()) for r in rows) + len(rows))
+    left, right = ({model.class_of(f"{kind}{n}same".encode()) for n in range(40)} for kind in "lr")
+    assert not left & right
+    table = np.zeros_like(model.steps)
+    for r in rows:
+        own = [len(model.steps) - 1, *(model.class_of(w.encode()) for w in r.split()), len(model.steps) - 1]
+        np.add.at(table, (own[:-1], own[1:]), 1)
+    assert np.allclose(model.steps, class_ngrams.smoothed(table))
+
+
+def test_vocabulary_and_classes_grow(spark, monkeypatch):
+    monkeypatch.setattr(class_ngrams, "HEAD", 10)
+    texts = spark.createDataFrame([(" ".join(f"w{k}" for k in range(n, n + 50)),) for n in range(0, 2000, 50)] * 2, "text string")
+    counts = class_ngrams.word_counts(texts)
+    assert len(class_ngrams.learned(texts, counts, 40_000).word) == 2000
+    monkeypatch.setattr(class_ngrams, "PER_CLASS", 0.5)
+    assert len(class_ngrams.learned(texts, counts, 40_000).steps) == 89
+
+
 # --- edit-aware counts
 
 COUNTER = edit_counts.Counter(public_tokenizers.path("byte_bpe_50k.json"))

@@ -1,8 +1,10 @@
 """LM scoring with Brown class-based bigrams.
 
-Word counts come from all training documents. The most frequent words, and the endings of all
-others, are symbols; exchange clustering assigns the symbols, and so every word, known or not, to
-classes. A text's probability is the product of class transitions and of word emissions within
+Word counts come from all training documents. The words of the vocabulary, which grows with the
+corpus, and the endings of all rarer ones, are symbols; exchange clustering assigns the symbols, and
+so every word, known or not, to classes. The most frequent words and the endings, the core, are
+exchanged first, on the driver; then sweeps over all symbols follow, in which tasks exchange the
+words whose neighbours they hold and the driver exchanges the core. A text's probability is the product of class transitions and of word emissions within
 the classes, both smoothed so that they sum to one.
 
 Nulls, ties and repeats: a null text is empty and is its end token alone; a row with a null id is
@@ -26,11 +28,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Frequent words that tasks hold with their counts; of these, words that are symbols; endings; classes; sweeps of exchange.
+#: Words of the vocabulary, and classes, at least; words of the core; endings; sweeps of exchange.
 HEAD, WORDS, ENDINGS, CLASSES, SWEEPS = 150_000, 500, 128, 48, 8
+#: The vocabulary has this many words per square root of the tokens; the classes are the square root of its size by this.
+GROWTH, PER_CLASS = 20, 8
+#: Tokens whose pairs a task counts at once, tokens to a part of the neighbours, entries to a block, words exchanged at once, and the relative gain below which sweeps end.
+RUN, PART, BLOCK, TOGETHER, LEAST_GAIN = 2_000_000, 2_000_000, 50_000, 64, 1e-5
 #: Words that a task counts before it hands them on; added counts; weight of the class shares in transitions.
 FLUSH, ADDED, BACK_OFF = 250_000, 0.1, 50.0
-#: The end token is the last symbol and the last class.
+#: Within the core: the end token is the last symbol and the last class.
 END = WORDS + ENDINGS
 SYMBOLS = END + 1
 
@@ -41,7 +47,7 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def ending(word: bytes) -> int:
-    """The symbol of a word that isn't one itself: a bucket of its last three bytes."""
+    """The core symbol of a word that isn't one itself: a bucket of its last three bytes."""
     return WORDS + zlib.crc32(word[-3:]) % ENDINGS
 
 
@@ -79,23 +85,57 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
     return sorted(((r["word"], r["n"]) for r in counts.where(F.col("n") >= least).collect()), key=lambda x: (-x[1], x[0]))
 
 
-def _symbols(words: list[bytes], symbol: dict[bytes, int]) -> np.ndarray:
-    return np.array([s if (s := symbol.get(w)) is not None else ending(w) for w in words], np.int64)
+class Symbols:
+    """Numbers of symbols: the words of the vocabulary by falling count, the endings, the end token; and the core's symbol of each."""
 
+    def __init__(self, words: list[str]):
+        self.word = {w.encode(): k for k, w in enumerate(words)}
+        self.size = len(words)
+        self.core = np.arange(self.size + ENDINGS + 1) - self.size + WORDS
+        self.core[: self.size] = [k if k < WORDS else ending(w.encode()) for k, w in enumerate(words)]
 
-def _pairs(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS * SYMBOLS, np.int64)
+    def of(self, words: list[bytes]) -> np.ndarray:
+        rest = self.size - WORDS
+        return np.array([s if (s := self.word.get(w)) is not None else rest + ending(w) for w in words], np.int64)
+
+    def in_core(self, symbols: np.ndarray) -> np.ndarray:
+        return (symbols < WORDS) | (symbols >= self.size)
+
+    def runs(self, batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        """The symbols of texts, each between two end tokens, many texts at once."""
+        end, rows, n = np.array([self.size + ENDINGS]), [], 0
         for batch in batches:
-            rows = []
             for text in common.bytes_of(batch.column(0)):
-                rows += [[END], _symbols(words_of(text), shared.value), [END]]
-            if rows:
-                flat = np.concatenate(rows).astype(np.int64)
-                code = flat[:-1] * SYMBOLS + flat[1:]
-                total += np.bincount(code, minlength=len(total))
-                # the borders between texts are no transitions
-                total[-1] -= len(rows) // 3 - 1
+                found = self.of(words_of(text))
+                rows += [end, found, end]
+                n += len(found) + 2
+                if n > RUN:
+                    yield np.concatenate(rows)
+                    rows, n = [], 0
+        if rows:
+            yield np.concatenate(rows)
+
+
+def _steps(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a run, without the borders between texts."""
+    end = flat.max()
+    left, right = flat[:-1], flat[1:]
+    # end tokens open and close texts in turn; a closing one and the next opening one are no transition
+    ends = np.flatnonzero(flat == end)
+    inner = np.ones(len(left), bool)
+    inner[ends[1:-1:2]] = False
+    return left[inner], right[inner]
+
+
+def _pairs(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, cells = shared.value, SYMBOLS * SYMBOLS
+        total = np.zeros(2 * cells, np.int64)
+        for flat in symbols.runs(batches):
+            left, right = _steps(flat)
+            code = symbols.core[left] * SYMBOLS + symbols.core[right]
+            total[:cells] += np.bincount(code, minlength=cells)
+            total[cells:] += np.bincount(code[symbols.in_core(left) & symbols.in_core(right)], minlength=cells)
         at = np.flatnonzero(total)
         for low in range(0, len(at), 100_000):
             part = at[low : low + 100_000]
@@ -104,13 +144,88 @@ def _pairs(shared):
     return run
 
 
-def pair_counts(texts: DataFrame, symbol: dict[bytes, int]) -> np.ndarray:
-    """How often each symbol follows each other one, over all rows of a text column; a text begins and ends with the end token."""
-    shared = texts.sparkSession.sparkContext.broadcast(symbol)
-    counts = np.zeros(SYMBOLS * SYMBOLS)
+def pair_counts(texts: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
+    """How often each core symbol follows each other one, over all rows of a text column, with the vocabulary's other words counted as their endings, and without them; a text begins and ends with the end token."""
+    counts = np.zeros(2 * SYMBOLS * SYMBOLS)
     for pair, n in texts.mapInArrow(_pairs(shared), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[pair] = n
-    return counts.reshape(SYMBOLS, SYMBOLS)
+    both = counts.reshape(2, SYMBOLS, SYMBOLS)
+    return both[0], both[1]
+
+
+NEIGHBOURS = "part int, word binary, other binary, n binary"
+
+
+def _entries(code: np.ndarray, n: np.ndarray, size: int) -> list[bytes]:
+    """Words, their neighbours (~ of those before them) and counts, from codes."""
+    word, other = np.divmod(code, 2 * size)
+    other = np.where(other < size, other, size - 1 - other)
+    return [x.astype(np.int32).tobytes() for x in (word, other, n)]
+
+
+def _read(row: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.int32) for x in row]
+
+
+def _blobs(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows))
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["part", "word", "other", "n"])
+
+
+def _neighbours(shared, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols = shared.value
+        size = len(symbols.core)
+        for flat in symbols.runs(batches):
+            left, right = _steps(flat)
+            a, b = ~symbols.in_core(left), ~symbols.in_core(right)
+            code = np.concatenate([left[a] * (2 * size) + right[a], right[b] * (2 * size) + size + left[b]])
+            code, n = np.unique(code, return_counts=True)
+            part = code // (2 * size) % parts
+            order = np.argsort(part, kind="stable")
+            code, n, part = code[order], n[order], part[order]
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            for low, high in zip([0, *cuts], [*cuts, len(code)]):
+                if high > low:
+                    yield _blobs([(int(part[low]), *_entries(code[low:high], n[low:high], size))])
+
+    return run
+
+
+def _merge(size: int):
+    """Entries of one part brought together, in blocks that end with a word's last entry."""
+
+    def blocks(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        word, other, n = (np.concatenate(x) for x in zip(*[_read(r) for r in rows]))
+        code, back = np.unique(word.astype(np.int64) * (2 * size) + np.where(other >= 0, other, size - 1 - other.astype(np.int64)), return_inverse=True)
+        n = np.bincount(back, weights=n, minlength=len(code)).astype(np.int64)
+        first = np.append(np.flatnonzero(np.diff(code // (2 * size), prepend=-1)), len(code))
+        low = 0
+        while low < len(code):
+            high = int(first[min(np.searchsorted(first, low + BLOCK), len(first) - 1)])
+            yield _blobs([(part, *_entries(code[low:high], n[low:high], size))])
+            low = high
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rows = None, []
+        for batch in batches:
+            for part, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                if part != last and rows:
+                    yield from blocks(last, rows)
+                    rows = []
+                last = part
+                rows.append(row)
+        if rows:
+            yield from blocks(last, rows)
+
+    return run
+
+
+def neighbours(texts: DataFrame, shared, tokens: int) -> DataFrame:
+    """Blocks of the words outside the core with how often every symbol follows and precedes each; a word stands in one block only."""
+    parts = max(8, tokens // PART)
+    found = texts.mapInArrow(_neighbours(shared, parts), NEIGHBOURS)
+    return common.saved(found.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_merge(len(shared.value.core)), NEIGHBOURS), "neighbours")
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -157,40 +272,217 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return own
 
 
+def _sums(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Rows of values added up by a sorted index."""
+    out = np.zeros((n, values.shape[1]))
+    if len(index):
+        first = np.flatnonzero(np.diff(index, prepend=-1))
+        out[index[first]] = np.add.reduceat(values, first, axis=0)
+    return out
+
+
+def gains(table: np.ndarray, rows: np.ndarray, columns: np.ndarray, own: np.ndarray, out: np.ndarray, into: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """For each of some symbols, whose classes are `own`, and each class: the likelihood of the class bigrams if the symbol were there, less that without it. `out` and `into` count its pairs by the others' class, `both` those with itself; rows and columns are the table's sums."""
+    n = len(own)
+    at = np.arange(n)
+    gain = np.zeros(out.shape)
+    for grid, mine, back in ((table.T, out, into), (table, into, out)):
+        i, c = np.nonzero(mine)
+        rest, count = grid[c].astype(float), mine[i, c]
+        home = np.flatnonzero(c == own[i])
+        rest[home] -= back[i[home]]
+        rest[np.arange(len(i)), own[i]] -= count
+        rest[home, c[home]] -= both[i[home]]
+        gain += _sums(i, _f(rest + count[:, None]) - _f(rest), n)
+    diagonal = np.repeat(np.diag(table)[None].astype(float), n, 0)
+    diagonal[at, own] -= out[at, own] + into[at, own] + both
+    gain += _f(diagonal) - _f(diagonal + out) - _f(diagonal + into) + _f(diagonal + out + into + both[:, None])
+    for total, mine in ((rows, out), (columns, into)):
+        own_total = mine.sum(1) + both
+        rest = np.repeat(total[None].astype(float), n, 0)
+        rest[at, own] -= own_total
+        gain -= _f(rest + own_total[:, None]) - _f(rest)
+    return gain
+
+
+def _moved(table: np.ndarray, own: np.ndarray, out: np.ndarray, into: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """The best classes of some symbols; the table follows them. The last class takes none."""
+    gain = gains(table, table.sum(1), table.sum(0), own, out, into, both)[:, :-1]
+    at = np.arange(len(own))
+    best = gain.argmax(1)
+    best = np.where(gain[at, best] > gain[at, own] + 1e-9, best, own)
+    for k in np.flatnonzero(best != own):
+        for c, sign in ((own[k], -1), (best[k], 1)):
+            table[c] += sign * out[k]
+            table[:, c] += sign * into[k]
+            table[c, c] += sign * both[k]
+    return best
+
+
+def _per_class(row: list[bytes], own: np.ndarray, classes: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of a block, some words at once: the words, and their out, into and both."""
+    word, other, n = _read(row)
+    first = np.append(np.flatnonzero(np.diff(word, prepend=-1)), len(word))
+    for k in range(0, len(first) - 1, TOGETHER):
+        cut = first[k : k + TOGETHER + 1]
+        low, high, size = cut[0], cut[-1], len(cut) - 1
+        w, v, m = word[low:high], other[low:high], n[low:high]
+        place = np.repeat(np.arange(size), np.diff(cut))
+        after = v >= 0
+        v = np.where(after, v, ~v)
+        self = v == w
+        sides = [np.bincount(place[t] * classes + own[v[t]], weights=m[t], minlength=size * classes).reshape(size, classes) for t in (after & ~self, ~after & ~self)]
+        yield word[cut[:-1]], *sides, np.bincount(place[self & after], weights=m[self & after], minlength=size)
+
+
+def _sweep(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, table = (x.copy() for x in shared.value)
+        for batch in batches:
+            for _, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                words, classes = [], []
+                for word, out, into, both in _per_class(row, own, len(table)):
+                    best = _moved(table, own[word], out, into, both)
+                    there = np.flatnonzero(best != own[word])
+                    words.append(word[there])
+                    classes.append(best[there])
+                    own[word] = best
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(x).astype(np.int32).tobytes()], pa.binary()) for x in (words, classes)], ["word", "class"])
+
+    return run
+
+
+def _tables(shared, core: np.ndarray, size: int, classes: int):
+    """Pairs of classes, and of core symbols with classes on either side, without the pairs within the core."""
+    shape = (classes + 2 * SYMBOLS, classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total = shared.value, np.zeros(shape[0] * shape[1])
+        for batch in batches:
+            for _, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                word, other, n = _read(row)
+                after = other >= 0
+                v = np.where(after, other, ~other)
+                held = (v < WORDS) | (v >= size)
+                w = own[word].astype(np.int64)
+                at = [own[word[after]].astype(np.int64) * classes + own[v[after]], own[v[~after & held]].astype(np.int64) * classes + w[~after & held]]
+                # what follows a core symbol, then what precedes it
+                at += [(classes + core[v[t]] + k * SYMBOLS) * classes + w[t] for k, t in enumerate((~after & held, after & held))]
+                weights = [n[t] for t in (after, ~after & held, ~after & held, after & held)]
+                total += np.bincount(np.concatenate(at), weights=np.concatenate(weights), minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            total = np.frombuffer(x) + (0 if total is None else total)
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+
+def class_table(blocks: DataFrame, symbols: Symbols, own: np.ndarray, inner: np.ndarray, classes: int) -> tuple[np.ndarray, ...]:
+    """The class bigrams over all pairs; and of each core symbol, by class, the words outside the core that follow it and that precede it."""
+    context = blocks.sparkSession.sparkContext
+    found = blocks.mapInArrow(_tables(context.broadcast(own), symbols.core, symbols.size, classes), "total binary").repartition(8).mapInArrow(_added, "total binary")
+    total = np.zeros((classes + 2 * SYMBOLS, classes))
+    for row in found.toLocalIterator():
+        total += np.frombuffer(row["total"]).reshape(total.shape)
+    member = np.eye(classes)[_core_own(symbols, own)]
+    return total[:classes] + member.T @ inner @ member, total[classes : classes + SYMBOLS], total[classes + SYMBOLS :]
+
+
+def _core_at(symbols: Symbols) -> np.ndarray:
+    """The symbols of the core; -1 where a small vocabulary has none."""
+    return np.array([*[k if k < symbols.size else -1 for k in range(WORDS)], *range(symbols.size, len(symbols.core))])
+
+
+def _core_own(symbols: Symbols, own: np.ndarray) -> np.ndarray:
+    at = _core_at(symbols)
+    return np.where(at >= 0, own[at], 0)
+
+
+def _likelihood(table: np.ndarray) -> float:
+    return float(_f(table).sum() - _f(table.sum(0)).sum() - _f(table.sum(1)).sum())
+
+
+def clustered(texts: DataFrame, shared, tokens: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each symbol and the class bigrams. Tasks exchange side by side, so a sweep that lowers the likelihood isn't kept."""
+    symbols, context = shared.value, texts.sparkSession.sparkContext
+    seen, inner = pair_counts(texts, shared)
+    own = exchange(seen, classes)[symbols.core].astype(np.int16)
+    blocks, at = neighbours(texts, shared, tokens), _core_at(symbols)
+    table, after, before = class_table(blocks, symbols, own, inner, classes)
+    for _ in range(SWEEPS):
+        new, moving = own.copy(), table.copy()
+        for k in np.flatnonzero(at[:-1] >= 0):
+            mine = _core_own(symbols, new)
+            others = np.arange(SYMBOLS) != k
+            out = after[k] + np.bincount(mine[others], weights=inner[k, others], minlength=classes)
+            into = before[k] + np.bincount(mine[others], weights=inner[others, k], minlength=classes)
+            new[at[k]] = _moved(moving, new[at[k : k + 1]], out[None], into[None], inner[k, k : k + 1])[0]
+        for row in blocks.mapInArrow(_sweep(context.broadcast((new, moving))), "word binary, class binary").toLocalIterator():
+            word, where = _read(row)
+            new[word] = where
+        found = class_table(blocks, symbols, new, inner, classes)
+        gain = _likelihood(found[0]) - _likelihood(table)
+        if gain <= 0:
+            break
+        own, (table, after, before) = new, found
+        if gain < LEAST_GAIN * abs(_likelihood(table)):
+            break
+    common.drop(blocks)
+    return own, table
+
+
 def transitions(pairs: np.ndarray, own: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """log10 of the probability of each class after each other one, smoothed by the classes' shares."""
     member = np.zeros((len(own), classes))
     member[np.arange(len(own)), own] = 1
-    table = member.T @ pairs @ member
+    return smoothed(member.T @ pairs @ member)
+
+
+def smoothed(table: np.ndarray) -> np.ndarray:
+    """The same from the table of class bigrams."""
+    classes = len(table)
     share = (table.sum(0) + ADDED) / (table.sum() + ADDED * classes)
     return np.log10((table + BACK_OFF * share) / (table.sum(1, keepdims=True) + BACK_OFF))
 
 
 class Model:
-    """Head words with class and count, classes of the endings, transitions, and the log10 denominators of emissions and of the base."""
+    """Vocabulary with classes and counts, classes of the endings, transitions, and the log10 denominators of emissions and of the base."""
 
-    def __init__(self, head: list[tuple[str, int]], pairs: np.ndarray):
-        self.symbol = {w.encode(): k for k, (w, _) in enumerate(head[:WORDS])}
-        self.own = exchange(pairs)
-        self.steps = transitions(pairs, self.own)
-        self.word = {w.encode(): k for k, (w, _) in enumerate(head)}
-        self.logs = np.log10(np.array([n for _, n in head], float) + ADDED)
-        self.classes = self.own[np.array([k if k < WORDS else ending(w.encode()) for k, (w, _) in enumerate(head)], np.int64)] if head else np.zeros(0, np.int64)
-        self.denominators = np.zeros(CLASSES)
+    def __init__(self, symbols: Symbols, counts: list[int], own: np.ndarray, table: np.ndarray):
+        self.word, self.own, self.steps = symbols.word, own, smoothed(table)
+        self.logs = np.log10(np.array(counts, float) + ADDED)
+        self.denominators = np.zeros(len(table))
 
     def class_of(self, word: bytes) -> int:
-        found = self.symbol.get(word)
-        return int(self.own[ending(word) if found is None else found])
+        found = self.word.get(word)
+        return int(self.own[len(self.word) - WORDS + ending(word) if found is None else found])
+
+
+def learned(train: DataFrame, counts: DataFrame, tokens: int) -> Model:
+    """The model of a text column and its word counts, yet without denominators. The vocabulary and the number of classes grow with the tokens."""
+    head = frequent(counts, max(HEAD, int(GROWTH * math.sqrt(tokens))))
+    symbols = Symbols([w for w, _ in head])
+    classes = max(CLASSES, int(math.sqrt(symbols.size) / PER_CLASS))
+    shared = train.sparkSession.sparkContext.broadcast(symbols)
+    return Model(symbols, [n for _, n in head], *clustered(train, shared, tokens, classes))
 
 
 def _class_sizes(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+        classes = len(shared.value.denominators)
+        tokens, types = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
         for batch in batches:
             own = np.array([shared.value.class_of(w) for w in common.bytes_of(batch.column(0))], np.int64)
-            tokens += np.bincount(own, weights=batch.column(1).to_numpy(), minlength=CLASSES).astype(np.int64)
-            types += np.bincount(own, minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(tokens), pa.array(types)], ["class", "tokens", "types"])
+            tokens += np.bincount(own, weights=batch.column(1).to_numpy(), minlength=classes).astype(np.int64)
+            types += np.bincount(own, minlength=classes)
+        yield pa.RecordBatch.from_arrays([pa.array(range(classes), pa.int32()), pa.array(tokens), pa.array(types)], ["class", "tokens", "types"])
 
     return run
 
@@ -204,8 +496,8 @@ def _score(shared):
                 words = words_of(text)
                 at = np.array([model.word.get(w, -1) for w in words], np.int64)
                 known = at >= 0
-                own = np.full(len(words) + 2, CLASSES - 1)
-                own[1:-1][known] = model.classes[at[known]]
+                own = np.full(len(words) + 2, len(model.steps) - 1)
+                own[1:-1][known] = model.own[at[known]]
                 rest = np.flatnonzero(~known)
                 rare = [words[k] for k in rest]
                 own[rest + 1] = [model.class_of(w) for w in rare]
@@ -227,9 +519,7 @@ def class_bigram_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ends = train.count()
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("types")).first()
     tokens, types = size["tokens"] + ends, size["types"] + (ends > 0)
-    head = frequent(counts, HEAD)
-    symbol = {w.encode(): k for k, (w, _) in enumerate(head[:WORDS])}
-    model = Model(head, pair_counts(train, symbol))
+    model = learned(train, counts, tokens)
     context = docs.sparkSession.sparkContext
     sizes = counts.mapInArrow(_class_sizes(context.broadcast(model)), "class int, tokens long, types long").groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).collect()
     for r in sizes:
