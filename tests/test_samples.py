@@ -29,6 +29,11 @@ def test_packing_by_hand(spark):
     assert totals == {0: 7, 1: 7, 2: 8}
 
 
+def test_long_documents_are_packed_in_pieces(spark):
+    packed = samples.pack_next_fit(samples.pieces(lengths(spark, [3, 17, 0, 4]), 8), 8).orderBy("doc_id", "chunk")
+    assert [tuple(r)[1:] for r in packed.collect()] == [(0, 0, 3, 0, 0), (1, 0, 8, 1, 0), (1, 1, 8, 2, 0), (1, 2, 1, 3, 0), (2, 0, 0, 3, 1), (3, 0, 4, 3, 1)]
+
+
 def test_packing_is_independent_of_partitions(spark):
     df = lengths(spark, [(k * 37) % 50 + 1 for k in range(300)])
     want = sorted(map(tuple, samples.pack_next_fit(df.repartition(7), 64).collect()))

@@ -91,25 +91,35 @@ def _streamed(df: DataFrame, stream: str, order: list[str], schema: str, step, s
             names = [x.strip().split()[0] for x in schema.split(",")]
             yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=names), preserve_index=False)
 
-    key = F.col(stream).cast("string") if streams == 1 else F.concat_ws("#", F.col(stream).cast("string"), F.pmod(F.xxhash64(*order), F.lit(streams)).cast("string"))
+    key = F.col(stream).cast("string") if streams == 1 else F.concat_ws("#", F.col(stream).cast("string"), F.pmod(F.xxhash64(order[0]), F.lit(streams)).cast("string"))
     rest = [c for c in df.columns if c != stream]
     rows = df.select(key.alias("_stream"), *rest).repartition("_stream").sortWithinPartitions("_stream", *order)
     return rows.mapInArrow(run, schema)
 
 
+def pieces(lengths: DataFrame, block: int, n: str = "n") -> DataFrame:
+    """Each document's pieces of at most `block` tokens, numbered by chunk, with their lengths as n, beside its other columns; an empty document, or one of no known length, is one empty piece."""
+    rest = [c for c in lengths.columns if c != n]
+    length = F.coalesce(F.col(n).cast("long"), F.lit(0).cast("long"))
+    rows = lengths.select(*rest, F.posexplode(chunk_starts(F.lit(0).cast("long"), length, block)).alias("chunk", "_piece"))
+    return rows.select(*rest, F.col("chunk").cast("long").alias("chunk"), F.col("_piece.len").alias("n"))
+
+
 def pack_next_fit(lengths: DataFrame, block: int, stream: str = "stream", streams: int = 1) -> DataFrame:
-    """(stream, doc_id, n, pack, place): each document's pack within its stream and its place in it. Documents come in order of their ids; one that doesn't fit into what is left opens the next pack. n must be at most `block`.
+    """(stream, doc_id, n, pack, place): each document's pack within its stream and its place in it. Documents come in order of their ids; one that doesn't fit into what is left opens the next pack. n must be at most `block`: longer documents come as pieces(), whose chunk then follows doc_id in the order and the result.
 
     The order of a stream is sequential; `streams` over 1 splits each into that many by a hash.
     """
 
-    def step(state, doc_id, n):
-        pack, used = state or (0, 0)
+    def step(state, *piece):
+        (pack, used), n = state or (0, 0), piece[-1]
         if used + n > block and used:
             pack, used = pack + 1, 0
         return (pack, used + n), (pack, used)
 
-    return _streamed(lengths.select(stream, "doc_id", F.col("n").cast("long").alias("n")), stream, ["doc_id"], "stream string, doc_id long, n long, pack long, place long", step, streams)
+    chunk = ["chunk"] if "chunk" in lengths.columns else []
+    schema = f"stream string, doc_id long, {'chunk long, ' if chunk else ''}n long, pack long, place long"
+    return _streamed(lengths.select(stream, "doc_id", *chunk, F.col("n").cast("long").alias("n")), stream, ["doc_id", *chunk], schema, step, streams)
 
 
 def full_packs(packed: DataFrame) -> DataFrame:

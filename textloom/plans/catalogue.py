@@ -273,6 +273,26 @@ def pack_stats(spark, d):
     return packed.groupBy("stream", "pack").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"), (F.sum("n") - 1).alias("n_loss"))
 
 
+#: Whole documents, in pieces of at most PACK.
+PIECES = f"(SELECT source, doc_id, c // {PACK} AS chunk, greatest(least({PACK}, n_chars - c), 0) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id, c) AS k FROM (SELECT source, doc_id, coalesce(n_chars, 0) AS n_chars, unnest(range(0, greatest(coalesce(n_chars, 0), 1), {PACK})) AS c FROM documents))"
+PIECES_PACKED = f"WITH RECURSIVE o AS MATERIALIZED {PIECES}, p AS (SELECT source, doc_id, chunk, n, k, 0::BIGINT AS pack, 0::BIGINT AS place FROM o WHERE k = 1 UNION ALL SELECT o.source, o.doc_id, o.chunk, o.n, o.k, CASE WHEN p.place + p.n + o.n > {PACK} AND p.place + p.n > 0 THEN p.pack + 1 ELSE p.pack END, CASE WHEN p.place + p.n + o.n > {PACK} AND p.place + p.n > 0 THEN 0 ELSE p.place + p.n END FROM p JOIN o ON o.source = p.source AND o.k = p.k + 1)"
+
+
+def piece_input(documents: DataFrame) -> DataFrame:
+    return samples.pieces(documents.select(F.col("source").alias("stream"), "doc_id", F.col("n_chars").alias("n")), PACK)
+
+
+@query("pack_chunks", f"{PIECES_PACKED} SELECT source AS stream, doc_id, chunk, n, pack, place FROM p")
+def pack_chunks(spark, d):
+    return samples.pack_next_fit(piece_input(read(spark, d, "documents")), PACK)
+
+
+@query("pack_chunk_stats", f"{PIECES_PACKED} SELECT stream, pack, n_chunks, n_tokens, n_loss FROM (SELECT source AS stream, pack, count(*) AS n_chunks, sum(n)::BIGINT AS n_tokens, sum(n)::BIGINT - 1 AS n_loss, max(pack) OVER (PARTITION BY source) AS last FROM p GROUP BY source, pack) WHERE pack < last")
+def pack_chunk_stats(spark, d):
+    packed = samples.full_packs(samples.pack_next_fit(piece_input(read(spark, d, "documents")), PACK))
+    return packed.groupBy("stream", "pack").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n").alias("n_tokens"), (F.sum("n") - 1).alias("n_loss"))
+
+
 CAPACITY = 20_000
 
 
@@ -456,5 +476,5 @@ def stream_pack_smoke(spark, d):
 
     base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
     schema = read(spark, d, "documents").schema
-    arriving = pack_stream.document_stream(spark, f"{d}/documents.parquet", schema).select(F.col("source").alias("stream"), "doc_id", F.least("n_chars", F.lit(PACK)).alias("n"))
+    arriving = piece_input(pack_stream.document_stream(spark, f"{d}/documents.parquet", schema))
     return pack_stream.run_to_end(pack_stream.pack_stream(arriving, PACK), f"{base}/out", f"{base}/checkpoint")

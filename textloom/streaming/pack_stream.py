@@ -24,12 +24,13 @@ def document_stream(spark: SparkSession, folder: str, schema, files_per_batch: i
 
 
 def pack_stream(lengths: DataFrame, block: int, stream: str = "stream") -> DataFrame:
-    """(stream, doc_id, n, pack, place) of arriving rows (stream, doc_id, n): next-fit packing whose open pack is kept as state across batches; within a batch documents come in order of their ids."""
+    """(stream, doc_id, n, pack, place) of arriving rows (stream, doc_id, n): next-fit packing whose open pack is kept as state across batches; within a batch documents come in order of their ids. Pieces of documents have a chunk, which follows doc_id in the order and the result."""
     ship(lengths.sparkSession)
+    chunk = ["chunk"] if "chunk" in lengths.columns else []
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pack, used = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(frames)).sort_values("doc_id")
+        rows = pd.concat(list(frames)).sort_values(["doc_id", *chunk])
         packs, places = [], []
         for n in rows["n"]:
             if used + n > block and used:
@@ -38,9 +39,9 @@ def pack_stream(lengths: DataFrame, block: int, stream: str = "stream") -> DataF
             places.append(used)
             used += int(n)
         state.update((pack, used))
-        yield pd.DataFrame({"stream": key[0], "doc_id": rows["doc_id"], "n": rows["n"], "pack": packs, "place": places})
+        yield pd.DataFrame({"stream": key[0], "doc_id": rows["doc_id"], **{c: rows[c] for c in chunk}, "n": rows["n"], "pack": packs, "place": places})
 
-    return lengths.groupBy(stream).applyInPandasWithState(step, "stream string, doc_id long, n long, pack long, place long", "pack long, used long", "append", GroupStateTimeout.NoTimeout)
+    return lengths.groupBy(stream).applyInPandasWithState(step, f"stream string, doc_id long, {'chunk long, ' if chunk else ''}n long, pack long, place long", "pack long, used long", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
