@@ -246,6 +246,17 @@ def shift_mask(spark, d):
     return rows.select("doc_id", real.alias("n_real"), (F.size("x") - real).alias("n_pad"), total("x").alias("x_sum"), total("y").alias("y_sum"), F.size(F.filter("loss_mask", lambda m: m)).alias("n_loss"), F.element_at("doc_ids", -1).alias("last_doc"))
 
 
+@query("shift_mask_chunks", f"WITH p AS (SELECT doc_id, {POINTS} AS p FROM documents WHERE text <> ''), c AS (SELECT doc_id, p, unnest(range(0, len(p), {BLOCK})) AS c FROM p), t AS (SELECT doc_id, (c // {BLOCK})::INT AS chunk, p[c + 1:c + {BLOCK}] AS t FROM c) SELECT doc_id, chunk, len(t)::INT AS n_real, ({BLOCK} - len(t))::INT AS n_pad, list_sum(t)::BIGINT AS x_sum, (list_sum(t) - t[1])::BIGINT AS y_sum, (len(t) - 1)::INT AS n_loss, greatest(len(list_filter(t, lambda c: c = {STOP})) - 1, 0)::INT AS last_doc FROM t")
+def shift_mask_chunks(spark, d):
+    # cut as text: slices of one long array would go over it once for each chunk
+    texts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    packs = read(spark, d, "documents").select("doc_id", F.posexplode(texts).alias("chunk", "text")).select("doc_id", "chunk", T.code_points(F.col("text")).alias("tokens"))
+    rows = samples.samples(packs, BLOCK, STOP, PAD)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    real = F.size(F.filter("x", lambda t: t != PAD))
+    return rows.select("doc_id", "chunk", real.alias("n_real"), (F.size("x") - real).alias("n_pad"), total("x").alias("x_sum"), total("y").alias("y_sum"), F.size(F.filter("loss_mask", lambda m: m)).alias("n_loss"), F.element_at("doc_ids", -1).alias("last_doc"))
+
+
 @query("fixed_blocks", f"WITH p AS (SELECT doc_id, {POINTS} AS t FROM documents), b AS (SELECT doc_id, t, unnest(range(0, (len(t) - 1) // {BLOCK})) AS b FROM p) SELECT doc_id, b::INT AS block, list_sum(t[b * {BLOCK} + 1:b * {BLOCK} + {BLOCK}])::BIGINT AS x_sum, list_sum(t[b * {BLOCK} + 2:b * {BLOCK} + {BLOCK} + 1])::BIGINT AS y_sum FROM b")
 def fixed_blocks(spark, d):
     rows = token_rows(spark, d).select("doc_id", F.explode(samples.fixed_blocks(F.col("tokens"), BLOCK)).alias("b"))
