@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import gc
+import shutil
 import tempfile
 import uuid
 import zlib
@@ -30,24 +32,54 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: Folders of local sessions that name none, by application; they go when the driver ends.
+_LOCAL_DIRS: dict[str, str] = {}
+#: Scratch paths of the innermost scratch() that is open, if any.
+_OWNED: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or, where it is unset, a new local one."""
+    """The folder all executors share: spark.checkpoint.dir of the session. A local session, whose executors are the driver, may do without; a cluster may not. No setting is changed."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if context.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[context.applicationId] = folder = tempfile.mkdtemp(prefix="textloom-")
+        atexit.register(shutil.rmtree, folder, True)
+    return "file://" + _LOCAL_DIRS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder."""
-    return f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+    """A path of its own below the shared folder, owned by the innermost scratch() that is open."""
+    path = f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+    if _OWNED:
+        _OWNED[-1].append(path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Owns the scratch tables made within: they are removed at its end, so results must have been read or written by then. Outside of it, the caller removes what results still read."""
+    _OWNED.append([])
+    try:
+        yield _OWNED[-1]
+    finally:
+        for path in _OWNED.pop():
+            _remove(spark, path)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -56,8 +88,22 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def drop(*frames: DataFrame) -> None:
     """Remove scratch tables made by saved() that no later plan reads."""
     for df in frames:
-        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        _remove(df.sparkSession, df._scratch)
+
+
+#: Rows of a key beyond which join_hot() deals them to several tasks, and to how many.
+HOT_ROWS, SALTS = 256, 64
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, by: Column, size: str) -> DataFrame:
+    """Inner join of rows with a table that has one row for each key and its number of rows in a column: the rows of a key with many of them are dealt to SALTS tasks by the hash of `by`, beside as many copies of the key's row."""
+    hot = table.where(F.col(size) > HOT_ROWS)
+    if hot.isEmpty():
+        return rows.join(table, key)
+    maybe = may_be_in(hot.select(key), F.col(key))
+    salted = table.where(maybe).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.where(maybe).withColumn("_salt", F.pmod(F.xxhash64(by, F.lit(5)), F.lit(SALTS)).cast("int"))
+    return rows.where(~maybe).join(table, key).unionByName(dealt.join(salted, [key, "_salt"]).drop("_salt"))
 
 
 #: Bits of an id filter, and tasks that fill it: both fixed, so that what is broadcast and sent to the driver is bounded.
@@ -113,28 +159,22 @@ def held_out(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == 0, F.lit(False))
 
 
-def _in_fraction(key: Column, rows: int, total: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(97)), F.lit(1_000_000)) < int(1_000_000 * rows / max(total, 1)) + 1
-
-
-def hash_fraction(df: DataFrame, key: Column, rows: int, total: int) -> DataFrame:
-    """About `rows` of `total` rows, chosen by a hash of their key: the same rows whatever the partitioning."""
-    return df if total <= rows else df.where(_in_fraction(key, rows, total))
-
-
-def outside_fraction(df: DataFrame, key: Column, rows: int, total: int) -> DataFrame:
-    """The rows that hash_fraction leaves out; the key has no nulls."""
-    return df.where(key.isNull()) if total <= rows else df.where(~_in_fraction(key, rows, total))
+def hash_fraction(df: DataFrame, rows: int, total: int) -> DataFrame:
+    """About `rows` of `total` rows, distinct ones, chosen by a hash of all their columns: the same whatever the partitioning, and a bound even if one id or one row is repeated without end."""
+    share = F.pmod(F.xxhash64(*df.columns, F.lit(97)), F.lit(1_000_000)) < int(1_000_000 * rows / max(total, 1)) + 1
+    return (df if total <= rows else df.where(share)).distinct()
 
 
 @contextlib.contextmanager
 def uncollected() -> Iterator[None]:
     """Without passes of the cycle collector, for code that makes many objects and no cycles."""
+    on = gc.isenabled()
     gc.disable()
     try:
         yield
     finally:
-        gc.enable()
+        if on:
+            gc.enable()
 
 
 def text_of(column: pa.Array) -> list[str]:
