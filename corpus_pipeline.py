@@ -26,17 +26,9 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents linked by five-word shingles at a similarity of 0.8 or more, the one with the smallest id."""
+    """Of the documents linked by five-word shingles at a similarity of 0.8 or more, the row with the smallest id."""
     common.tune(spark)
-    found = common.saved(minmax_dedup.near_duplicates(docs, width=5, percent=80), "near-duplicates")
-    gone = common.saved(found.where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    doubtful = common.may_be_in(gone, F.col("doc_id"))
-    rest = docs.where(~doubtful).unionByName(docs.where(doubtful).join(gone, "doc_id", "left_anti").select(docs.columns))
-    twice = found.where(F.col("doc_id").isNotNull() & F.col("kept")).groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if twice.isEmpty():
-        return rest
-    twice = common.saved(twice, "repeated-ids")
-    return rest.join(twice, "doc_id", "left_anti").unionByName(rest.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(docs.columns)
+    return minmax_dedup.one_of_each(docs, width=5, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

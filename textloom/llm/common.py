@@ -91,19 +91,9 @@ def drop(*frames: DataFrame) -> None:
         _remove(df.sparkSession, df._scratch)
 
 
-#: Rows of a key beyond which join_hot() deals them to several tasks, and to how many.
-HOT_ROWS, SALTS = 256, 64
-
-
-def join_hot(rows: DataFrame, table: DataFrame, key: str, by: Column, size: str) -> DataFrame:
-    """Inner join of rows with a table that has one row for each key and its number of rows in a column: the rows of a key with many of them are dealt to SALTS tasks by the hash of `by`, beside as many copies of the key's row."""
-    hot = table.where(F.col(size) > HOT_ROWS)
-    if hot.isEmpty():
-        return rows.join(table, key)
-    maybe = may_be_in(hot.select(key), F.col(key))
-    salted = table.where(maybe).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = rows.where(maybe).withColumn("_salt", F.pmod(F.xxhash64(by, F.lit(5)), F.lit(SALTS)).cast("int"))
-    return rows.where(~maybe).join(table, key).unionByName(dealt.join(salted, [key, "_salt"]).drop("_salt"))
+def redealt(df: DataFrame, key: str) -> DataFrame:
+    """The frame with its whole-number key computed anew. An aggregate by a key is already dealt by it, and a join would take it as it lies, so that a hot key's rows on the other side couldn't be split; dealt again, adaptive execution can split them."""
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
 
 
 #: Bits of an id filter, and tasks that fill it: both fixed, so that what is broadcast and sent to the driver is bounded.

@@ -2,14 +2,19 @@
 
 A document's set is its distinct word shingles. Under each of half as many random permutations
 as a signature has values, both the smallest and the largest hash are kept; bands of the
-signature put documents into buckets. Texts with equal sets form a class at once; each bucket
-compares its classes with its most central member. Where that leaves several components in a
-bucket, their classes are compared once more by the rare shingles they share, so no link between
-classes of a bucket is lost and a group of copies is never expanded into all its pairs. Every link is confirmed on the full sets.
-
-Nulls, ties and repeats: a null or empty text has no shingles, links with nothing and is kept;
-a row with a null id belongs to its class, and is kept only if no row of the class has an id; equal texts are one class; rows that repeat an id with other texts are judged by their own
-text; an empty table gives no rows; other columns are ignored, whatever their names.
+signature put documents into buckets. Texts with equal sets form a class at once. A bucket is cut
+into chunks of bounded size; classes are compared with the most central one of their chunk, and the
+chunks' central ones with that of the bucket. Where that leaves several components in a bucket, its
+classes of different components are compared with each other in blocks, by odd sketches: the bits in
+which two of them differ are at most the elements in which the sets differ, so no link is lost, and
+only pairs that pass are written. Every link is confirmed on the full sets.
+
+Nulls, ties and repeats: each row has a number of its own, so repeated and null ids are no obstacle,
+and rows that repeat an id with other texts are judged by their own text; a null or empty text has no
+shingles, links with nothing and is kept; component_id is the smallest id of the component's rows,
+null if none has one; a row with a null id is kept only if it is the first of such a component; of
+each component one row is `first`; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -29,8 +34,10 @@ from . import common
 VALUES, MISS = 100, 1e-5
 #: Shingles hashed under all permutations at once, and words whose hashes a task remembers.
 CHUNK, MEMO = 8192, 300_000
-#: Cells of the sketch that tells frequent shingles from rare ones, and texts and tasks that fill it; results don't depend on it.
-SKETCH, SKETCH_SAMPLE, SKETCH_TASKS = 1 << 20, 20_000, 16
+#: Bits of an odd sketch: the power of two that a set's size reaches, between these.
+LEAST_BITS, MOST_BITS = 1024, 16_384
+#: Classes of a bucket that are compared with one central class, about; classes of a block, about, and those compared at once.
+STAR, BLOCK, TILE = 256, 4096, 256
 #: Pairs of ids that may be broadcast.
 BROADCAST_PAIRS = 50_000
 
@@ -94,16 +101,57 @@ def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def odd_sketch(found: np.ndarray) -> bytes:
+    """Packed parities of how many of the hashes fall into each cell."""
+    bits = LEAST_BITS
+    while bits < min(len(found), MOST_BITS):
+        bits *= 2
+    cells = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((cells & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Odd sketches of `size` bytes as rows of 64-bit words, from ones of that size or larger ones."""
+    out = np.empty((len(sketches), size // 8), np.uint64)
+    for k, x in enumerate(sketches):
+        words = np.frombuffer(x, np.uint64)
+        out[k] = words if len(x) == size else np.bitwise_xor.reduce(words.reshape(-1, size // 8), axis=0)
+    return out
+
+
+def may_link(na: np.ndarray, nb: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes that differ in at least so many elements may be similar enough."""
+    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (apart * (100 + percent) <= (na + nb) * (100 - percent))
+
+
 def _signatures(width: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, sets, bands = [], [], []
-            for text in common.bytes_of(batch.column(1)):
+            sizes, sets, bands, sketches = [], [], [], []
+            for text in common.bytes_of(batch.column(2)):
                 found = shingles(text, width)
                 sizes.append(len(found))
                 sets.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 bands.append(band_keys(signature(found), rows) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "same", "bands"])
+                sketches.append(odd_sketch(found) if len(found) else None)
+            columns = [pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["row", "doc_id", "n_shingles", "same", "bands", "sketch"])
+
+    return run
+
+
+def _sketched(percent: int):
+    """Of pairs with both sketches, those that may be links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = []
+            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                size = min(len(x), len(y))
+                one, other = folded([x, y], size)
+                apart.append(int(np.bitwise_count(one ^ other).sum()))
+            keep = may_link(batch.column(2).to_numpy(), batch.column(3).to_numpy(), np.array(apart, np.int64), percent)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["a", "b"])
 
     return run
 
@@ -126,21 +174,25 @@ def _confirm(width: int, percent: int):
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of ids whose full sets are similar enough, as (u, v). texts: _id, _text."""
+    """Those of the pairs (a, b) of row numbers whose full sets are similar enough, as (u, v). texts: row, text."""
+    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row")))
+    ours = common.saved(texts.where(common.may_be_in(wanted, F.col("row"))).select("row", "text"), "dedup-texts")
     few = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
-    joined = few.join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("text_b")), "b").join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("text_a")), "a")
-    return common.saved(joined.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), "u long, v long"), "dedup-links")
+    joined = few.join(ours.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b").join(ours.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
+    found = common.saved(joined.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), "u long, v long"), "dedup-links")
+    common.drop(ours)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of the nodes of the edges (u, v): the smallest node that is reachable. Large-star and small-star rounds in turn, each written to the shared folder."""
+    """(node, component) of the nodes of the edges (u, v): the smallest node that is reachable, written to the shared folder. Large-star and small-star rounds in turn, each written there too."""
     edges = common.saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = common.redealt(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "u")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = common.redealt(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         before, edges = edges, common.saved(small, "edges")
@@ -149,105 +201,149 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(found) == state:
             break
         state = tuple(found)
-    return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+    labels = common.saved(edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component"), "components")
+    common.drop(edges)
+    return labels
 
 
-def _with_components(rows: DataFrame, labels: DataFrame) -> DataFrame:
+def _with_components(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return rows.withColumn("component", F.col("rep"))
     return rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
-def _meeting(rows: DataFrame, key: str) -> DataFrame:
-    """The rows of those keys under which several components meet."""
-    several = rows.groupBy(key).agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select(key)
-    return rows.join(several, key, "left_semi")
-
+def _central_pairs(buckets: DataFrame, percent: int) -> DataFrame:
+    """(a, na, b, nb): each class with the most central one of its chunk, and that with the most central one of the bucket. buckets: key, chunk, rep, n, central."""
+    best = F.max(F.struct("central", (-F.col("rep")).alias("minus"), "n")).alias("_p")
+    centers = common.saved(buckets.groupBy("key", "chunk").agg(best).select("key", "chunk", F.col("_p.central").alias("central"), (-F.col("_p.minus")).alias("rep"), F.col("_p.n").alias("n")), "centers")
+    top = centers.groupBy("key").agg(best, F.count(F.lit(1)).alias("_c")).where("_c > 1").select("key", (-F.col("_p.minus")).alias("a"), F.col("_p.n").alias("na"))
+    stars = [buckets.select("key", "chunk", F.col("rep").alias("b"), F.col("n").alias("nb")).join(centers.select("key", "chunk", F.col("rep").alias("a"), F.col("n").alias("na")), ["key", "chunk"])]
+    stars.append(centers.select("key", F.col("rep").alias("b"), F.col("n").alias("nb")).join(common.redealt(top, "key"), "key"))
+    found = [x.where(f"a <> b and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "na", "b", "nb") for x in stars]
+    pairs = common.saved(found[0].union(found[1]).distinct(), "star-pairs")
+    common.drop(centers)
+    return pairs
+
+
+def _compared(percent: int):
+    """Of the classes of each block, those pairs of different components, and between different chunks if the block has two, that may be links."""
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        rep, component, n, chunk = (rows[c].to_numpy() for c in ("rep", "component", "n", "chunk"))
+        order = np.argsort(n, kind="stable")
+        rep, component, n, chunk = (x[order] for x in (rep, component, n, chunk))
+        sketch = rows["sketch"].to_pylist()
+        sketch = [sketch[k] for k in order]
+        inner = chunk.min() == chunk.max()
+        out: list[list[np.ndarray]] = [[], []]
+        for at in range(0, len(n), TILE):
+            end = min(at + TILE, len(n))
+            stop = int(np.searchsorted(n, 100 * n[end - 1] // percent, "right"))
+            size = len(sketch[at])  # sorted by size of set, so none here is smaller
+            own, other = folded(sketch[at:end], size), folded(sketch[at:stop], size)
+            apart = np.zeros((len(own), len(other)), np.int64)
+            for w in range(size // 8):
+                apart += np.bitwise_count(own[:, w, None] ^ other[None, :, w])
+            ok = may_link(n[at:end, None], n[None, at:stop], apart, percent) & (component[at:end, None] != component[None, at:stop])
+            ok &= np.arange(at, end)[:, None] < np.arange(at, stop)[None]
+            if not inner:
+                ok &= chunk[at:end, None] != chunk[None, at:stop]
+            i, j = np.nonzero(ok)
+            one, two = rep[at:end][i], rep[at:stop][j]
+            out[0].append(np.minimum(one, two)), out[1].append(np.maximum(one, two))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["a", "b"])
 
-def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        last, held = None, []
         for batch in batches:
-            for text in common.bytes_of(batch.column(0)):
-                np.add.at(total, (shingles(text, width) % np.uint64(SKETCH)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()])], ["counts"])
+            names = [batch.column(c).to_numpy() for c in ("key", "x", "y")]
+            cuts = np.flatnonzero(np.any([np.diff(c) != 0 for c in names], axis=0)) + 1
+            for low, high in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if high == low:
+                    continue
+                block = tuple(c[low] for c in names)
+                if block != last and held:
+                    yield pairs(pa.Table.from_batches(held))
+                    held = []
+                last = block
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield pairs(pa.Table.from_batches(held))
 
     return run
 
 
-def _prefixes(width: int, percent: int, frequency: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns: list[list] = [[], [], [], [], []]
-            for rep, component, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.bytes_of(batch.column(2))):
-                found = shingles(text, width)
-                n = len(found)
-                first = found[np.lexsort((found, frequency[found % np.uint64(SKETCH)]))][: n + (-percent * n // 100) + 1]
-                for column, values in zip(columns, (first.view(np.int64), [rep] * len(first), [component] * len(first), [n] * len(first), range(len(first)))):
-                    column.extend(values)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "rep", "component", "n", "place"])
-
-    return run
-
-
-def _across(apart: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """Links between different components of the given classes (rep, component).
-
-    Two similar sets share one of the shingles that come first in any fixed order, and none of
-    those before it; with rare shingles first, sets that have only frequent ones in common never
-    meet. Under each shingle only the classes outside its largest component are compared with the rest.
-    """
-    wanted = apart.withColumnRenamed("rep", "_id")
-    ours = common.saved(texts.where(common.may_be_in(wanted.select("_id"), F.col("_id"))).join(wanted, "_id"), "apart-texts")
-    size = ours.count()
-    if not size:
-        return None
-    frequency = np.zeros(SKETCH, np.int64)
-    for row in common.hash_fraction(ours, F.col("_id"), SKETCH_SAMPLE, size).select("_text").repartition(SKETCH_TASKS).mapInArrow(_sketch(width), "counts binary").toLocalIterator():
-        frequency += np.frombuffer(row["counts"], np.uint16)
-    rows = common.saved(ours.select("_id", "component", "_text").mapInArrow(_prefixes(width, percent, frequency.astype(np.int32)), "key long, rep long, component long, n long, place long"), "prefixes")
-    every, rows = rows, common.saved(_meeting(rows, "key"), "prefixes-apart")
-    common.drop(every)
-    largest = rows.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component")).alias("_m")).select("key", F.col("_m.component").alias("largest"))
-    others = rows.join(largest, "key").where("component <> largest").drop("largest").select("key", *[F.col(c).alias(f"{c}_a") for c in ("rep", "component", "n", "place")])
-    need = f"ceil({percent} * (n_a + n) / {100 + percent}D - 1e-9)"
-    pairs = others.join(rows, "key").where(f"component_a <> component and n_a - place_a >= {need} and n - place >= {need}")
-    pairs = common.saved(pairs.select(F.least("rep_a", "rep").alias("a"), F.greatest("rep_a", "rep").alias("b")).distinct(), "pairs")
-    found = None if pairs.isEmpty() else confirmed(pairs, texts, width, percent)
-    common.drop(ours, rows, pairs)
-    return found
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id (the smallest id reachable over links of at least percent % Jaccard similarity) and kept (whether that is its own id)."""
-    size_ok = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    given = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    signed = common.saved(given.mapInArrow(_signatures(width, rows_per_band(percent / 100)), "doc_id long, n_shingles long, same binary, bands array<long>"), "signatures")
-    reps = common.saved(signed.where("n_shingles > 0").groupBy("same").agg(F.min("doc_id").alias("rep")), "classes")
-    of_reps = signed.join(reps.where("rep is not null"), [signed["same"] == reps["same"], signed["doc_id"] == reps["rep"]], "left_semi").dropDuplicates(["doc_id", "same"])
-    rows = of_reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    crowded = common.saved(rows.join(shared, "key"), "buckets")
+def _across(buckets: DataFrame, classes: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """(a, b): pairs of classes that share a bucket, have different components and may be links. A bucket of many such classes is cut into chunks, of which two make a block."""
+    rows = common.saved(_with_components(buckets.select("key", "rep", "n"), labels), "labelled-buckets")
+    several = rows.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_size")).where("_low < _high")
+    apart = common.saved(rows.join(common.redealt(several.select("key", F.ceil(F.col("_size") / BLOCK).cast("int").alias("chunks")), "key"), "key"), "apart")
+    common.drop(rows)
+    dealt = apart.join(classes.select("rep", "sketch"), "rep").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    blocks = dealt.select("key", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "rep", "component", "n", "sketch")
+    found = blocks.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_compared(percent), "a long, b long")
+    pairs = common.saved(found.distinct(), "pairs")
+    common.drop(apart)
+    return pairs
+
+
+def with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents, written to the shared folder with a number of its own for each row, and the name of that column."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return common.saved(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def verdicts(given: DataFrame, width: int, percent: int) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, kept and first of the rows of a written table (row, doc_id, text)."""
+    signed = common.saved(given.select("row", "doc_id", "text").mapInArrow(_signatures(width, rows_per_band(percent / 100)), "row long, doc_id long, n_shingles long, same binary, bands array<long>, sketch binary"), "signatures")
+    ident = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    reps = common.saved(signed.where("n_shingles > 0").groupBy("same").agg(F.min("row").alias("rep"), F.min(ident).alias("least")), "classes")
+    classes = common.saved(signed.join(reps.select(F.col("rep").alias("row")), "row").select(F.col("row").alias("rep"), F.col("n_shingles").alias("n"), "bands", "sketch"), "class-sketches")
+    rows = classes.select("rep", "n", F.explode("bands").alias("key"))
+    sizes = common.saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket-sizes")
+    crowded = common.saved(rows.join(sizes, "key"), "buckets")
     central = crowded.groupBy("rep").agg(F.sum("size").alias("central"))
-    buckets = common.saved(crowded.join(central, "rep").select("key", "rep", "n", "central", F.col("rep").alias("component")), "central-buckets")
-    wanted = buckets.select(F.col("rep").alias("_id")).distinct()
-    texts = common.saved(given.where(common.may_be_in(wanted, F.col("_id"))).join(wanted, "_id", "left_semi"), "dedup-texts")
+    chunk = F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("size") / STAR)).cast("int")
+    buckets = common.saved(crowded.join(central, "rep").select("key", chunk.alias("chunk"), "rep", "n", "central"), "central-buckets")
+    common.drop(sizes, crowded)
     links = labels = None
-    central_one = buckets.groupBy("key").agg(F.max(F.struct("central", (-F.col("rep")).alias("minus"), "n")).alias("_p"))
-    pairs = buckets.join(central_one, "key").select((-F.col("_p.minus")).alias("a"), F.col("rep").alias("b"), F.col("_p.n").alias("na"), F.col("n").alias("nb"))
-    pairs = common.saved(pairs.where(f"a <> b and {size_ok}").select("a", "b").distinct(), "pairs")
+    stars = _central_pairs(buckets, percent)
+    sketches = [classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
+    near = stars.join(sketches[1], "b").join(sketches[0], "a").select("a", "b", "na", "nb", "sketch_a", "sketch_b")
+    pairs = common.saved(near.mapInArrow(_sketched(percent), "a long, b long"), "pairs")
     if not pairs.isEmpty():
-        links = confirmed(pairs, texts, width, percent)
+        links = confirmed(pairs, given, width, percent)
         labels = components(links)
-    apart = _meeting(buckets if labels is None else _with_components(buckets.drop("component"), labels), "key")
-    more = _across(common.saved(apart.select("rep", "component").distinct(), "apart"), texts, width, percent)
-    if more is not None:
+    common.drop(stars, pairs)
+    pairs = _across(buckets, classes, labels, percent)
+    if not pairs.isEmpty():
+        more = confirmed(pairs, given, width, percent)
         links = more if links is None else links.union(more)
         labels = components(links)
-    common.drop(crowded, buckets, texts, pairs)
-    member = signed.drop("bands").join(reps, "same", "left")
-    if labels is not None:
-        labels = common.saved(labels, "components")
-        member = member.join(labels, member["rep"] == labels["node"], "left").withColumn("_own", F.coalesce("component", "rep"))
-    else:
-        member = member.withColumn("_own", F.col("rep"))
-    component = F.when(F.col("n_shingles") > 0, F.col("_own")).otherwise(F.col("doc_id"))
-    return member.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    common.drop(pairs, buckets, classes)
+    own = common.saved(_with_components(reps, labels), "class-components")
+    least = common.redealt(own.groupBy("component").agg(F.min("least").alias("_least")), "component")
+    of_class = common.saved(own.join(least, "component").select("same", F.col("_least.doc_id").alias("_id"), F.col("_least.row").alias("_first")), "class-verdicts")
+    common.drop(own, reps)
+    member = signed.drop("bands", "sketch").join(of_class, "same", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("_id")).otherwise(F.col("doc_id"))
+    first = F.coalesce(F.col("row") == F.col("_first"), F.lit(True))
+    return member.select("row", "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, first).alias("kept"), first.alias("first"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id (the smallest id reachable over links of at least percent % Jaccard similarity), kept (whether that is its own id) and first (one row of each component)."""
+    given, row = with_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    return verdicts(given.withColumnRenamed(row, "row"), width, percent).drop("row")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, with all their columns, without the rows that aren't the first of their component."""
+    given, row = with_rows(docs)
+    found = verdicts(given.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), width, percent)
+    gone = common.saved(found.where("not first").select(F.col("row").alias(row)), "gone")
+    doubtful = common.may_be_in(gone, F.col(row))
+    return given.where(~doubtful).unionByName(given.where(doubtful).join(gone, row, "left_anti")).select(*docs.columns)
