@@ -199,16 +199,55 @@ def test_toxicity_held_out(spark):
     assert all(r.predicted == (r.doc_id % 3 == 0) for r in held) and all(0 <= r.score <= 1 for r in out)
 
 
+def tags(text, stems=None):
+    found = np.expm1(toxicity_grammar.Grammar(stems or {}).features(text)).round(6)
+    return {t: n for t, n in zip(toxicity_grammar.TAGS, found) if n}
+
+
 def test_grammar_tags():
-    grammar = toxicity_grammar.Grammar({"idiot": 1.0})
-    tags = lambda text: dict(zip(toxicity_grammar.TAGS, np.expm1(grammar.features(text)).round(6)))
-    assert tags("What an IDIOT.")["plain"] == 1
-    assert tags("You idiot")["targeted"] == 1
-    assert tags("You are not an idiot")["negated"] == 1
-    assert tags("He said: x. She said idiot")["reported"] == 1
-    assert tags("I will kill you")["threat"] == 2  # two phrases
-    assert tags("You. The idiots sing")["plain"] == 1
-    assert sum(tags("semiidiot")[t] for t in toxicity_grammar.TAGS) == 0
+    assert tags("What an IDIOT.") == {"plain": 1}
+    assert tags("You idiot") == {"targeted": 1}
+    assert tags("You are not, in any sense of the word, an idiot") == {"negated": 1}
+    assert tags("You are not clever but an idiot") == {"targeted": 1}
+    assert tags("He said: x. She said idiot") == {"reported": 1}
+    assert tags("I will kill you") == {"threat": 1}
+    assert tags("I will not kill you") == {"negated threat": 1}
+    assert tags("He said I will kill you") == {"reported threat": 1}
+    assert tags("te voy a matar") == {"threat": 1}
+    assert tags("You. The idiots sing") == {"plain": 1}
+    assert tags("semiidiot trashcan stupidity loserpool killjoy") == {}
+    assert tags("zorgalen zorg zorgaaaaaaaaaaaaaa", {"zorga": 2.0}) == {"plain": 2}
+    assert tags("你 idiot。you sing") == {"plain": 1}
+
+
+def test_negation_and_report_lower_the_score():
+    grammar = toxicity_grammar.Grammar({})
+    score = lambda text: grammar.score(grammar.features(text))
+    for plain in ("I will kill you", "you idiot"):
+        assert score(plain) > score("he said " + plain) and score(plain) > score("not " + plain)
+
+
+@given(st.lists(st.sampled_from(toxicity_grammar.KINDS), max_size=9))
+def test_composition_equals_the_cascade(kinds):
+    """One after the other, with weights multiplied along each symbol, against the composed transducer."""
+    rows = [(x, 1.0) for x in kinds]
+    for one in (toxicity_grammar.THREAT, toxicity_grammar.NEGATION, toxicity_grammar.REPORT, toxicity_grammar.TARGET, toxicity_grammar.INSULT):
+        state, out = 0, []
+        for x, weight in rows:
+            state, y, own = one.arc(state, x)
+            if y:
+                out.append((y, weight * own))
+        rows = out
+    assert toxicity_grammar.CLAUSE.read(kinds) == rows
+
+
+@pytest.mark.parametrize(("sf", "recall"), [("sf0.01", 0.5), ("sf0.1", 0.75)])
+def test_toxicity_query(spark, sf, recall):
+    """Held-out rows: most of what is labelled toxic is found, and hardly anything else."""
+    out = entry.queries()["op4_toxicity_grammar"](spark, f"/root/testdata/{sf}").where("held_out")
+    rows = out.join(spark.read.parquet(f"/root/testdata/{sf}/labels.parquet"), "doc_id").where("toxic is not null").collect()
+    right = sum(r.predicted and r.toxic for r in rows)
+    assert right >= recall * sum(r.toxic for r in rows) and right >= 0.95 * sum(r.predicted for r in rows)
 
 
 # --- near-duplicates
@@ -376,8 +415,29 @@ def test_quality_labels(spark):
     assert sum(r.kept == (r.quality == 1) for r in rows) >= 0.95 * len(rows)
 
 
+def test_path_lengths():
+    """Each row's leaf found by walking a tree's arrays, against all rows at once."""
+    rng = np.random.default_rng(4)
+    rows = rng.random((300, 6))
+    forest = quality_forest.IsolationForest(rows, trees=20, subsample=32)
+    for row, score in zip(rows[:40], forest.score(rows)):
+        total = 0.0
+        for feature, cut, left, right, path in forest.trees:
+            at = 0
+            while feature[at] >= 0:
+                at = left[at] if row[feature[at]] <= cut[at] else right[at]
+            total += path[at]
+        assert score == pytest.approx(2 ** (-total / 20 / quality_forest._average_path(32)))
+
+
+def test_samples_are_bounded(spark):
+    """One id in most rows, and one row repeated, don't pass the bound of a sample."""
+    same = spark.range(20_000).select(F.lit(7).alias("doc_id"), "id").union(spark.range(20_000).select(F.lit(7), F.lit(1)))
+    assert common.hash_fraction(same, 1000, 40_000).count() < 700
+
+
 def test_forest_isolates_outliers():
-    rows = np.vstack([np.zeros((500, 7)), np.full((5, 7), 2.0)])
+    rows = np.vstack([np.zeros((500, 6)), np.full((5, 6), 2.0)])
     score = quality_forest.IsolationForest(rows).score(rows)
     assert score[-5:].min() > score[:500].max()
 

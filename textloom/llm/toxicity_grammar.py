@@ -1,13 +1,14 @@
 """Toxicity: a weighted finite-state grammar over the clauses of a text.
 
-Five transducers read a clause. The insult and threat transducers are automata over the whole
-text: they accept the stems of a lexicon (fixed seeds and stems learned from labelled rows) at a
-word's start, and phrases of threat. The target, negation and reported-speech transducers read
-the words of each clause in which one of them accepted. Their composition is a small automaton
-whose state holds who is spoken of, whether a negation is in scope, and whether speech is
-reported; each accepted stem goes out with its weight under the tag of the state it was met in.
-The sums of those weights by tag give the score through a logistic function whose coefficients
-are fitted to labelled rows, starting from fixed ones.
+A lexical transducer reads characters and finds the words that carry weight: insults, by seeds with
+the usual endings and by stems learned from labelled rows, and verbs of violence. Each clause that
+holds such a word goes, as a sequence of word kinds, through five transducers, which are tables of
+states and arcs with outputs and weights: threat joins a verb of violence and the one it is aimed at;
+negation marks what it has in its scope, to the clause's end or a contrast; reported speech marks what
+is quoted; target marks insults of someone addressed or spoken of; insult writes the tag of each mark.
+compose() makes one transducer of them: along a path weights multiply, and what several payloads of a
+clause give under a tag adds up. The sums by tag give the score through a logistic function whose
+coefficients are fitted to labelled rows, starting from fixed ones.
 
 Nulls, ties and repeats: a null or empty text has no clause and gets the score of a text in which
 nothing matches; without labelled rows the fixed seeds and coefficients are used; a null id
@@ -32,106 +33,172 @@ from . import common
 
 #: Labelled rows of either label that are learned from, at most about.
 POSITIVES, NEGATIVES = 6000, 12000
-#: Lengths of stems in characters; learned stems at most; documents that a stem must be found in.
-STEM_LENGTHS, STEMS, SUPPORT = (4, 5, 6, 7, 8, 9, 10), 400, 5
+#: Lengths of stems in characters, what may follow a learned stem in its word at most; learned stems at most; documents that a stem must be found in.
+STEM_LENGTHS, ENDING, STEMS, SUPPORT = (4, 5, 6, 7, 8, 9, 10), 8, 400, 5
 #: A stem must be this many times likelier in toxic documents; candidates sent to the driver at most.
 LIFT, CANDIDATES = 12.0, 40000
-#: Words after a negation that are in its scope.
-SCOPE = 3
 SAMPLE_PARTITIONS = 32
 
-#: Seeds of the lexicon, phrases and function words of the grammar.
+#: Seeds of the lexicon, what may follow them, and the words that the grammar tells apart.
 INSULTS = "idiot moron scum loser trash stupid worthless pathetic disgusting clown imbecile dumbass bastard idiota imbecil estúpido estúpida idiote crétin connard abruti dummkopf arschloch vollidiot trottel".split()
-THREATS = ("kill you", "hurt you", "beat you", "destroy you", "hunt you down", "going to kill", "gonna kill", "will kill", "bring dich um", "te voy a matar", "vais te tuer")
-TARGETS = frozenset("you your you're u he she they them these those dich du ihr sie tu toi vous tú usted ustedes".split())
-NEGATIONS = frozenset("not never no isn't aren't wasn't don't doesn't nicht kein keine nie pas jamais nunca".split())
+ENDINGS = frozenset(["", "s", "es", "'s", "e", "n", "en", "er", "ly", "ic", "ish"])
+VIOLENCE = "kill hurt beat destroy murder strangle umbringen schlagen töten matar golpear tuer frapper".split()
+VIOLENT_ENDINGS = frozenset(["", "s", "ing", "ed"])
+TARGETS = frozenset("you your you're u he she they him them these those dich euch du ihr sie tu toi te vous tú usted ustedes".split())
+OBJECTS = frozenset("dich euch te vous".split())
+NEGATIONS = frozenset("not never no isn't aren't wasn't won't wouldn't don't doesn't didn't can't cannot nicht kein keine nie pas jamais nunca".split())
 REPORTS = frozenset("said says say wrote writes claimed called quoted sagte sagt schrieb dit écrit dijo dice".split())
+CONTRASTS = frozenset("but aber sondern mais pero sino".split())
 
-TAGS = ("plain", "targeted", "negated", "reported", "threat")
+TAGS = ("plain", "targeted", "negated", "reported", "threat", "negated threat", "reported threat")
 #: Coefficients before fitting; the first is the constant.
-START = np.array([-3.5, 4.0, 5.0, 3.0, 3.0, 6.0])
-CLAUSE_END = re.compile(r"[.!?;:\n]+")
+START = np.array([-3.5, 4.0, 5.0, 3.0, 3.0, 6.0, 1.0, 2.0])
+CLAUSE_END = re.compile(r"[.!?;:\n。！？；：…।؟۔]+")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 
+#: Kinds of words that the transducers read: other, target, object before its verb, negation, report, contrast, insult, violence.
+KINDS = "w t o n r c i v".split()
+
+
+class Transducer:
+    """States from 0, arcs[state][input] = (next state, output, weight). Input that a state has no arc for is copied, and the state stays. Output "" is none."""
+
+    def __init__(self, arcs: list[dict[str, tuple[int, str, float]]]):
+        self.arcs = arcs
+
+    def arc(self, state: int, symbol: str) -> tuple[int, str, float]:
+        return self.arcs[state].get(symbol, (state, symbol, 1.0)) if symbol else (state, "", 1.0)
+
+    def read(self, symbols: list[str]) -> list[tuple[str, float]]:
+        """Outputs with the weights of their arcs."""
+        state, out = 0, []
+        for x in symbols:
+            state, y, weight = self.arc(state, x)
+            if y:
+                out.append((y, weight))
+        return out
+
+
+def compose(first: Transducer, second: Transducer, alphabet: list[str]) -> Transducer:
+    """The transducer that gives what the second makes of the first one's output. States are the pairs that can be reached; weights multiply."""
+    number, todo, arcs = {(0, 0): 0}, [(0, 0)], []
+    while todo:
+        a, b = todo.pop(0)
+        own = {}
+        for x in alphabet:
+            next_a, y, weight = first.arc(a, x)
+            next_b, z, more = second.arc(b, y)
+            if (next_a, next_b) not in number:
+                number[next_a, next_b] = len(number)
+                todo.append((next_a, next_b))
+            own[x] = (number[next_a, next_b], z, weight * more)
+        arcs.append(own)
+    return Transducer(arcs)
+
+
+#: Threat: a verb of violence and a target within two words after it, or an object and the verb within three; H stands for both.
+_OPEN = {"v": (1, "w", 1.0), "o": (3, "t", 1.0)}
+THREAT = Transducer(
+    [
+        _OPEN,
+        _OPEN | {x: (0, "H", 1.0) for x in "to"} | {x: (2, x, 1.0) for x in "wnrci"},
+        _OPEN | {x: (0, "H", 1.0) for x in "to"} | {x: (0, x, 1.0) for x in "wnrci"},
+        *[_OPEN | {"v": (0, "H", 1.0), "o": (3, "t", 1.0)} | {x: (after, x, 1.0) for x in "wtnrci"} for after in (4, 5, 0)],
+    ]
+)
+#: Negation: what follows it is marked -, up to a contrast.
+NEGATION = Transducer([{"n": (1, "w", 1.0), "c": (0, "w", 1.0)}, {"n": (1, "w", 1.0), "c": (0, "w", 1.0), "i": (1, "i-", 1.0), "H": (1, "H-", 1.0)}])
+#: Reported speech: what follows it is marked with a quote.
+REPORT = Transducer([{"r": (1, "w", 1.0)}, {"r": (1, "w", 1.0)} | {x: (1, x + '"', 1.0) for x in ("i", "i-", "H", "H-")}])
+#: Target: an insult after someone was named is marked !.
+TARGET = Transducer([{x: (1, x, 1.0) for x in ("t", "H", "H-", 'H"', 'H-"')}, {"i": (1, "i!", 1.0)}])
+#: Insult: the tags; other words give nothing. What is both negated and reported weighs half.
+INSULT = Transducer([{"w": (0, "", 1.0), "t": (0, "", 1.0), "i": (0, "plain", 1.0), "i!": (0, "targeted", 1.0), "i-": (0, "negated", 1.0), 'i"': (0, "reported", 1.0), 'i-"': (0, "reported", 0.5), "H": (0, "threat", 1.0), "H-": (0, "negated threat", 1.0), 'H"': (0, "reported threat", 1.0), 'H-"': (0, "reported threat", 0.5)}])
+
+CLAUSE = THREAT
+for _next in (NEGATION, REPORT, TARGET, INSULT):
+    CLAUSE = compose(CLAUSE, _next, KINDS)
+
 
 class Grammar:
-    """The composed transducers with their weights: stems to weights, threats, and coefficients of the tags."""
+    """The lexicon with its weights, the composed transducer of clauses, and the coefficients of its tags."""
 
-    def __init__(self, stems: dict[str, float], threats: tuple[str, ...] = THREATS, coefficients: np.ndarray = START):
-        self.stems, self.threats, self.coefficients = dict(stems), tuple(threats), np.array(coefficients, float)
+    def __init__(self, stems: dict[str, float], coefficients: np.ndarray = START):
+        self.stems, self.coefficients = dict(stems), np.array(coefficients, float)
         self._automaton = None
 
     def __getstate__(self) -> tuple:
-        return self.stems, self.threats, self.coefficients
+        return self.stems, self.coefficients
 
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
 
-    def _matches(self, text: str) -> list[tuple[int, float, bool]]:
-        """Where a stem or a threat begins a word: place, weight, whether it is a threat; the longest at each place."""
+    def _payloads(self, text: str) -> dict[int, tuple[str, float]]:
+        """Words that are insults or verbs of violence, by their place: kind and weight, of the longest entry that the word begins with and whose endings allow the rest."""
         if self._automaton is None:
             self._automaton = ahocorasick.Automaton()
-            for phrases, threat in ((self.stems, False), (dict.fromkeys(self.threats, 1.0), True)):
-                for phrase, weight in phrases.items():
-                    self._automaton.add_word(phrase, (len(phrase), weight, threat))
+            lexicon = {v: ("v", 1.0, VIOLENT_ENDINGS) for v in VIOLENCE} | {s: ("i", w, None) for s, w in self.stems.items()} | {s: ("i", self.stems.get(s, 1.0), ENDINGS) for s in INSULTS}
+            for entry, (kind, weight, endings) in lexicon.items():
+                self._automaton.add_word(entry, (len(entry), kind, weight, endings))
             self._automaton.make_automaton()
-        found: dict[int, tuple[int, float, bool]] = {}
-        for end, (length, weight, threat) in self._automaton.iter(text) if len(self._automaton) else ():
+        found: dict[int, tuple[int, str, float]] = {}
+        for end, (length, kind, weight, endings) in self._automaton.iter(text):
             start = end - length + 1
-            if (not start or not text[start - 1].isalpha()) and found.get(start, (0,))[0] < length:
-                found[start] = (length, weight, threat)
-        return [(start, weight, threat) for start, (_, weight, threat) in sorted(found.items())]
+            if (start and text[start - 1].isalnum()) or found.get(start, (0,))[0] >= length:
+                continue
+            rest = WORD.match(text, start).group()[length:].replace("’", "'")
+            if rest in endings if endings is not None else len(rest) <= ENDING:
+                found[start] = (length, kind, weight)
+        return {start: (kind, weight) for start, (_, kind, weight) in sorted(found.items())}
 
     def features(self, text: str) -> np.ndarray:
-        """Sums of weights by tag over all clauses with a match, dampened by a logarithm."""
-        sums = np.zeros(len(TAGS))
+        """Sums of weights by tag over all clauses with a payload, dampened by a logarithm."""
+        sums = dict.fromkeys(TAGS, 0.0)
         text = text.lower()
-        matches = self._matches(text)
-        at = 0
-        while at < len(matches):
-            first = matches[at][0]
-            start, end = _clause_bounds(text, first)
-            own = []
-            while at < len(matches) and matches[at][0] < end:
-                own.append(matches[at])
-                at += 1
-            self._read_clause(text, start, end, own, sums)
-        return np.log1p(sums)
-
-    @staticmethod
-    def _read_clause(text: str, start: int, end: int, matches: list[tuple[int, float, bool]], sums: np.ndarray) -> None:
-        """Run the composed automaton over one clause."""
-        accepted = {place: (weight, threat) for place, weight, threat in matches}
-        targeted = reported = False
-        scope = 0
-        for word in WORD.finditer(text, start, end):
-            hit = next((accepted.pop(p) for p in range(word.start(), word.end()) if p in accepted), None) if accepted else None
-            if hit:
-                tag = "threat" if hit[1] else "reported" if reported else "negated" if scope else "targeted" if targeted else "plain"
-                sums[TAGS.index(tag)] += hit[0]
-            name = word.group().replace("’", "'")
-            targeted |= name in TARGETS
-            reported |= name in REPORTS
-            scope = SCOPE if name in NEGATIONS else max(0, scope - 1)
-        for weight, threat in accepted.values():  # what begins outside a word
-            sums[TAGS.index("threat" if threat else "plain")] += weight
+        payloads = self._payloads(text)
+        end = -1
+        for at in payloads:
+            if at >= end:
+                start, end = _clause_bounds(text, at)
+                for tag, weight in read_clause(text, start, end, payloads):
+                    sums[tag] += weight
+        return np.log1p(np.array([sums[t] for t in TAGS]))
 
     def score(self, features: np.ndarray) -> np.ndarray:
         """From 0 to 1."""
         return 1 / (1 + np.exp(-np.clip(self.coefficients[0] + features @ self.coefficients[1:], -30, 30)))
 
 
+def kind_of(word: str) -> str:
+    """The kind of a word that is no payload."""
+    word = word.replace("’", "'")
+    for kind, words in (("o", OBJECTS), ("t", TARGETS), ("n", NEGATIONS), ("r", REPORTS), ("c", CONTRASTS)):
+        if word in words:
+            return kind
+    return "w"
+
+
+def read_clause(text: str, start: int, end: int, payloads: dict[int, tuple[str, float]]) -> Iterator[tuple[str, float]]:
+    """Tags and weights that the composed transducer gives for a clause. A payload's own weight goes along with its output; a threat's is 1."""
+    state = 0
+    for word in WORD.finditer(text, start, end):
+        kind, own = payloads.get(word.start()) or (kind_of(word.group()), 1.0)
+        state, tag, weight = CLAUSE.arc(state, kind)
+        if tag:
+            yield tag, weight * own
+
+
 def _clause_bounds(text: str, at: int) -> tuple[int, int]:
     """The clause around a place: from after the last sign that ends one to the next such sign."""
-    start = max(text.rfind(sign, 0, at) for sign in ".!?;:\n") + 1
+    start = max(text.rfind(sign, 0, at) for sign in ".!?;:\n。！？；：…।؟۔") + 1
     found = CLAUSE_END.search(text, at)
     return start, found.start() if found else len(text)
 
 
 def _stems(text: str) -> set[str]:
-    """The stems that words of a text begin with."""
+    """The stems that words of a text begin with and that leave an ending."""
     words = set(WORD.findall(text.lower()))
-    return {w[:n] for w in words for n in STEM_LENGTHS if len(w) >= n and w[0].isalpha()}
+    return {w[:n] for w in words for n in STEM_LENGTHS if n <= len(w) <= n + ENDING and w[0].isalpha()}
 
 
 def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,16 +274,18 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~common.held_out(F.col("doc_id"), 5))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     seen = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    parts = [common.hash_fraction(known.where(F.col("toxic") == label), F.col("doc_id"), most, seen.get(label, 0)) for label, most in ((1, POSITIVES), (0, NEGATIVES))]
+    parts = [common.hash_fraction(known.where(F.col("toxic") == label), most, seen.get(label, 0)) for label, most in ((1, POSITIVES), (0, NEGATIVES))]
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(parts[0].unionByName(parts[1]), "doc_id").where(F.col("text").isNotNull()).select("doc_id", "toxic", "text")
+    # at most about POSITIVES + NEGATIVES ids, so the texts of other rows needn't be shuffled
+    return texts.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").where(F.col("text").isNotNull()).select("doc_id", "toxic", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Grammar:
     """Learn stems, their weights and the coefficients from at most about POSITIVES + NEGATIVES labelled rows; of rows with the same text one is used."""
     rows = labelled(docs, labels, id_col, text_col, label_col)
     once = rows.groupBy(F.xxhash64("text").alias("_same")).agg(F.min(F.struct("doc_id", "toxic", "text")).alias("_row")).select("_row.toxic", "_row.text")
-    sample = common.saved(once.repartition(SAMPLE_PARTITIONS), "toxicity-sample")
+    every = common.saved(once, "toxicity-texts")
+    sample = common.saved(common.hash_fraction(every, 2 * (POSITIVES + NEGATIVES), every.count()).repartition(SAMPLE_PARTITIONS), "toxicity-sample")  # more texts than ids only where ids repeat
     seen = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     candidates = _candidates(sample, seen.get(1, 0), seen.get(0, 0))
     with_stems = sample.select("toxic", "text").mapInArrow(_documents_with({s for s, _, _ in candidates}), "toxic int, stems array<string>").where(F.size("stems") > 0)
@@ -231,6 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     measured = sample.select("toxic", "text").mapInArrow(measure, "toxic int, features array<double>").groupBy("toxic", "features").count().collect()
     x = np.array([r["features"] for r in measured for _ in range(r["count"])], float).reshape(-1, len(TAGS))
     grammar.coefficients = fit_coefficients(x, np.array([r["toxic"] for r in measured for _ in range(r["count"])], float))
+    common.drop(every, sample)
     return grammar
 
 
