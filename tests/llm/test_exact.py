@@ -153,33 +153,67 @@ def test_vocabulary_and_classes_grow(spark, monkeypatch):
 
 # --- edit-aware counts
 
-COUNTER = edit_counts.Counter(public_tokenizers.path("byte_bpe_50k.json"))
-EDITED = st.lists(st.sampled_from(["the", "in", " ", "  ", "\n", "\t", " \n", "'s", "'", "'l", "l", "é", "12", "½", "<|endoftext|>", "漢", "🙂", "\u2003", "\x1c", "\x85", "!!", "_"]), max_size=30).map("".join)
+BYTES_PATH = public_tokenizers.path("byte_bpe_50k.json")
+COUNTER = edit_counts.Counter(BYTES_PATH)
+UNTOUCHED = Tokenizer.from_file(BYTES_PATH)
+EDITED = st.lists(st.sampled_from(["the", "in", " ", "  ", "\n", "\t", " \n", "'s", "'", "'l", "l", "é", "12", "½", "<|endoftext|>", "<|endof", "text|>", "|>", "漢", "🙂", "\u2003", "\x1c", "\x85", "!!", "_"]), max_size=30).map("".join)
 
 
-@settings(max_examples=300, deadline=None)
-@given(EDITED, st.lists(st.tuples(st.integers(0, 60), st.integers(0, 8), EDITED), max_size=4))
-def test_edits_equal_recounting(text, edits):
-    tree = edit_counts.CountTree(edit_counts.PATTERN.findall(text), COUNTER)
+def library_count(text):
+    return len(UNTOUCHED.encode(text, add_special_tokens=False).ids)
+
+
+@settings(max_examples=400, deadline=None)
+@given(EDITED, st.integers(0, 40), st.lists(st.tuples(st.integers(0, 300), st.integers(0, 8), EDITED), max_size=4))
+def test_edits_equal_recounting(text, often, edits):
+    text = text * often if len(text) * often < 400 else text
+    tree = edit_counts.CountTree.of(text, COUNTER)
     for start, size, new in edits:
-        tree.edit(start, start + size, new)
+        tree.edit(start, start + size, new, COUNTER)
         start = min(start, len(text))
         text = text[:start] + new + text[start + size :]
-        assert (tree.text(), tree.n_chars, tree.n_tokens) == (text, len(text), len(COUNTER.tokenizer.encode(text, add_special_tokens=False).ids))
+        found, lengths, counts = tree.stored()
+        assert (found, tree.n_chars, tree.n_tokens) == (text, len(text), library_count(text)) == (found, sum(lengths), sum(counts))
+        assert all(0 < len(x.lengths) <= edit_counts.LEAF for x in edit_counts.leaves(tree.tree))
+
+
+def height_is_low(tree):
+    return tree.tree.height <= 1.45 * math.log2(len(list(edit_counts.leaves(tree.tree))) + 1) + 1
 
 
 def test_edits_touch_little():
-    tree = edit_counts.CountTree(edit_counts.PATTERN.findall("word " * 10_000), COUNTER)
-    assert all(tree.edit(*e) <= 12 for e in edit_counts.sample_edits(tree.text()))
+    tree = edit_counts.CountTree.of("word " * 10_000, COUNTER)
+    assert all(tree.edit(*e, COUNTER) <= 20 for e in ((25_000, 25_000, " [edited]"), (0, 20, ""), (40_000, 40_010, "\n\nend 123")))
+    tree = edit_counts.CountTree.of("a b c", COUNTER)
+    tree.edit(2, 2, "word " * 20_000, COUNTER)
+    assert tree.edit(50_001, 50_002, "x", COUNTER) < 20 and height_is_low(tree)
+    for k in range(500):
+        assert tree.edit(1000 * (k % 90), 1000 * (k % 90) + 500, "new words ", COUNTER) < 40
+    assert height_is_low(tree) and tree.n_tokens == library_count(tree.stored()[0])
 
 
 def test_edit_query(spark, data, docs):
     out = query(spark, data, "op3_edit_counts")
     for i, text in docs:
-        assert out[i].n_tokens == len(COUNTER.tokenizer.encode(text, add_special_tokens=False).ids)
-        for start, end, new in edit_counts.sample_edits(text):
-            text = text[:start] + new + text[max(start, end) :]
-        assert (out[i].edited_chars, out[i].edited_tokens) == (len(text), len(COUNTER.tokenizer.encode(text, add_special_tokens=False).ids))
+        assert out[i].n_tokens == library_count(text)
+        middle = len(text) // 2
+        text = text[:middle] + " [edited]" + text[middle:]
+        text = text[20:]
+        text = text[: max(0, len(text) - 10)] + "\n\nend 123"
+        assert (out[i].edited_chars, out[i].edited_tokens) == (len(text), library_count(text))
+
+
+def test_stored_trees_follow_a_table_of_edits(spark):
+    common.tune(spark)
+    texts = {1: "one two three " * 50, 2: "", 3: None, 4: "untouched"}
+    docs = spark.createDataFrame([*texts.items(), (1, texts[1])], "doc_id long, text string")
+    rows = [(1, 2, 0, 3, "ONE"), (1, 1, 14, 14, "<|endof"), (1, 3, 21, 21, "text|>"), (2, 1, 5, 9, "new"), (3, 1, 0, 0, "was null"), (None, 1, 0, 0, "x"), (9, 1, 0, 0, "x"), (1, 4, None, 0, "x"), (2, 2, 0, 1, None)]
+    edits = spark.createDataFrame(rows, "doc_id long, seq int, start long, end long, text string")
+    kept = common.saved(edit_counts.build_trees(docs, BYTES_PATH), "test-trees")
+    kept = common.saved(edit_counts.apply_edits(kept, edits, BYTES_PATH).select("doc_id", "text", "lengths", "counts"), "test-trees")
+    out = edit_counts.apply_edits(kept, edits.limit(0), BYTES_PATH).collect()
+    want = {1: "ONE two three " + "<|endoftext|>" + texts[1][14:], 2: "ew", 3: "was null", 4: "untouched"}
+    assert sorted((r.doc_id, r.text, r.n_tokens, r.n_reencoded) for r in out) == sorted((i, want[i], library_count(want[i]), 0) for i in (1, 1, 2, 3, 4))
 
 
 # --- toxicity

@@ -1,15 +1,19 @@
-"""Token counts that follow edits: a segment tree of pre-tokens for each document.
+"""Token counts that follow edits: a kept tree of pre-tokens for each document.
 
-A text's leaves are its pre-tokens, with their lengths and token counts; inner nodes hold sums. An
-edit finds its leaves by descending the sums of lengths, and cuts anew only from three leaves
-before it (a pre-token's end depends on at most that much of what follows) to the first border
-after it that stands as before. Only those pre-tokens are encoded, and only the sums above them
-change. Leaves that an edit adds share the slot of the first leaf it replaces.
+A text's pre-tokens lie in leaves of bounded size, with their lengths and token counts; inner nodes of
+a balanced tree hold sums. build_trees() makes a table of them, which can be written and read again;
+apply_edits() brings such a table up to date. An edit finds its leaves by descending the sums of
+lengths, and cuts anew only from a few pre-tokens before it (a pre-token's end depends on at most that
+much of what follows) to the first border after it that stands as before: from there on, everything
+is cut as it was. Only those pre-tokens are encoded; leaves that grow too large are split, and only the
+sums above them change.
 
-Counts are those of the tokenizers library; strings of special tokens count as ordinary text.
+Counts are those of the tokenizers library, special tokens included.
 
 Nulls, ties and repeats: a null text is empty and has no tokens before its edits; edits are clamped
-to the text; a null id stays null; repeated rows each get the same counts; an empty table gives no
+to the text, and one without a place, or with a null text, changes nothing, puts nothing in; edits
+of an id go to every row of that id, in order of their numbers, of equals by place and text; edits
+of null or unknown ids are ignored; repeated rows each get the same counts; an empty table gives no
 rows; other columns are ignored.
 """
 
@@ -21,15 +25,15 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Pre-tokens whose counts a Python worker remembers, besides those of one batch.
 MEMO = 600_000
-#: Leaves before an edit that are cut anew.
-BACK = 3
+#: Pre-tokens of a leaf at most; pre-tokens before an edit that are cut anew, beside those that a special token could reach.
+LEAF, BACK = 64, 3
 #: Fixed value: the byte-level pre-tokenizer's pattern, with white space as Unicode has it.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -38,16 +42,29 @@ Edit = tuple[int, int, str]
 
 
 class Counter:
-    """Token counts of pre-tokens by the library."""
+    """Pre-tokens of texts and token counts of pre-tokens, by the library. Special tokens are cut out first, as the library does."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.specials = sorted((x.content for x in self.tokenizer.get_added_tokens_decoder().values()), key=lambda x: (-len(x), x))
+        self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
+        self.reach = max(map(len, self.specials), default=1)
         self.known: dict[str, int] = {}
 
+    def cut(self, text: str) -> list[str]:
+        """The pre-tokens of a text, which together are the text."""
+        if not any(s in text for s in self.specials):
+            return PATTERN.findall(text)
+        out, at = [], 0
+        for m in self.special.finditer(text):
+            out += PATTERN.findall(text[at : m.start()])
+            out.append(m.group())
+            at = m.end()
+        return out + PATTERN.findall(text[at:])
+
     def learn(self, tokens: Iterable[str]) -> None:
         """Count those that aren't known yet, all in one call."""
         new = [t for t in set(tokens) if t not in self.known]
@@ -61,147 +78,271 @@ class Counter:
         return found
 
 
+class Leaf:
+    """Some pre-tokens in order, with their lengths and counts."""
+
+    __slots__ = ("text", "lengths", "counts", "chars", "tokens", "height")
+
+    def __init__(self, text: str, lengths: list[int], counts: list[int]):
+        self.text, self.lengths, self.counts = text, lengths, counts
+        self.chars, self.tokens, self.height = len(text), sum(counts), 0
+
+
+class Node:
+    """Two subtrees and the sums of their characters and tokens."""
+
+    __slots__ = ("left", "right", "chars", "tokens", "height")
+
+    def __init__(self, left: Tree, right: Tree):
+        self.left, self.right = left, right
+        self.chars, self.tokens = left.chars + right.chars, left.tokens + right.tokens
+        self.height = 1 + max(left.height, right.height)
+
+
+Tree = Leaf | Node
+
+
+def joined(a: Tree | None, b: Tree | None) -> Tree | None:
+    """Two trees one after the other, as a balanced one: sums change along one path only."""
+    if a is None or b is None:
+        return a or b
+    if a.height > b.height + 1:
+        return _balanced(a.left, joined(a.right, b))
+    if b.height > a.height + 1:
+        return _balanced(joined(a, b.left), b.right)
+    return Node(a, b)
+
+
+def _balanced(a: Tree, b: Tree) -> Node:
+    """A node of two trees whose heights differ by two at most, turned where needed."""
+    if a.height > b.height + 1:
+        if a.left.height >= a.right.height:
+            return Node(a.left, Node(a.right, b))
+        return Node(Node(a.left, a.right.left), Node(a.right.right, b))
+    if b.height > a.height + 1:
+        if b.right.height >= b.left.height:
+            return Node(Node(a, b.left), b.right)
+        return Node(Node(a, b.left.left), Node(b.left.right, b.right))
+    return Node(a, b)
+
+
+def of_leaves(leaves: list[Leaf]) -> Tree | None:
+    """A balanced tree of leaves in order."""
+    row: list[Tree] = list(leaves)
+    while len(row) > 1:
+        row = [Node(row[k], row[k + 1]) if k + 1 < len(row) else row[k] for k in range(0, len(row), 2)]
+    return row[0] if row else None
+
+
+def split(tree: Tree | None, place: int) -> tuple[Tree | None, Tree | None]:
+    """The leaves that end at a character or before it, and the others."""
+    if tree is None or place <= 0:
+        return None, tree
+    if tree.chars <= place:
+        return tree, None
+    if tree.height == 0:
+        return None, tree
+    if place < tree.left.chars:
+        a, b = split(tree.left, place)
+        return a, joined(b, tree.right)
+    a, b = split(tree.right, place - tree.left.chars)
+    return joined(tree.left, a), b
+
+
+def _pop(tree: Tree, last: bool) -> tuple[Leaf, Tree | None]:
+    """The last leaf, or the first, and the rest."""
+    if tree.height == 0:
+        return tree, None
+    if last:
+        leaf, rest = _pop(tree.right, True)
+        return leaf, joined(tree.left, rest)
+    leaf, rest = _pop(tree.left, False)
+    return leaf, joined(rest, tree.right)
+
+
+def leaves(tree: Tree | None) -> Iterator[Leaf]:
+    todo = [tree] if tree is not None else []
+    while todo:
+        node = todo.pop()
+        if node.height == 0:
+            yield node
+        else:
+            todo += [node.right, node.left]
+
+
+def cut_leaves(text: str, lengths: list[int], counts: list[int]) -> list[Leaf]:
+    """Leaves of at most LEAF pre-tokens, of about the same size."""
+    n = -(-len(lengths) // LEAF)
+    out, at = [], 0
+    for k in range(n):
+        a, b = k * len(lengths) // n, (k + 1) * len(lengths) // n
+        size = sum(lengths[a:b])
+        out.append(Leaf(text[at : at + size], lengths[a:b], counts[a:b]))
+        at += size
+    return out
+
+
 class CountTree:
-    """The segment tree of one text. slots: the pre-tokens of each leaf; node k has the sums of nodes 2k and 2k + 1, the root is 1."""
-
-    def __init__(self, tokens: list[str], counter: Counter):
-        self.counter, self.slots = counter, [[t] for t in tokens]
-        self.size = 1 << max(0, len(tokens) - 1).bit_length()
-        self.lengths, self.sums = np.zeros(2 * self.size, np.int64), np.zeros(2 * self.size, np.int64)
-        self.lengths[self.size : self.size + len(tokens)] = list(map(len, tokens))
-        self.sums[self.size : self.size + len(tokens)] = counter.counts(tokens)
-        low = self.size
-        while low > 1:
-            half = low // 2
-            for tree in (self.lengths, self.sums):
-                tree[half:low] = tree[low : 2 * low : 2] + tree[low + 1 : 2 * low : 2]
-            low = half
+    """The tree of one text."""
+
+    def __init__(self, text: str, lengths: list[int], counts: list[int]):
+        self.tree = of_leaves(cut_leaves(text, lengths, counts))
+
+    @classmethod
+    def of(cls, text: str, counter: Counter) -> CountTree:
+        tokens = counter.cut(text)
+        return cls(text, list(map(len, tokens)), counter.counts(tokens))
 
     @property
     def n_tokens(self) -> int:
-        return int(self.sums[1])
+        return self.tree.tokens if self.tree else 0
 
     @property
     def n_chars(self) -> int:
-        return int(self.lengths[1])
-
-    def text(self) -> str:
-        return "".join(t for slot in self.slots for t in slot)
-
-    def _slot(self, place: int) -> tuple[int, int]:
-        """The slot that holds a character, and where the slot begins."""
-        node, start = 1, 0
-        while node < self.size:
-            node *= 2
-            if place >= start + self.lengths[node]:
-                start += int(self.lengths[node])
-                node += 1
-        return node - self.size, start
-
-    def _put(self, slot: int, tokens: list[str]) -> None:
-        """Give a slot other pre-tokens and bring the sums above it up to date."""
-        self.slots[slot] = tokens
-        node = self.size + slot
-        length, total = sum(map(len, tokens)) - self.lengths[node], sum(self.counter.counts(tokens)) - self.sums[node]
-        while node:
-            self.lengths[node] += length
-            self.sums[node] += total
-            node //= 2
-
-    def edit(self, start: int, end: int, new: str) -> int:
+        return self.tree.chars if self.tree else 0
+
+    def stored(self) -> tuple[str, list[int], list[int]]:
+        """Text, lengths and counts of the pre-tokens."""
+        found = list(leaves(self.tree))
+        return "".join(x.text for x in found), [n for x in found for n in x.lengths], [n for x in found for n in x.counts]
+
+    def edit(self, start: int, end: int, new: str, counter: Counter) -> int:
         """Replace the characters from start to end by others; returns how many pre-tokens were encoded."""
         start = max(0, min(start, self.n_chars))
         end = max(start, min(end, self.n_chars))
-        if not self.slots:
-            tokens = PATTERN.findall(new)
-            self.slots = [[]]
-            self._put(0, tokens)
-            return len(tokens)
-        first, begin = self._slot(max(0, start - 1)) if self.n_chars else (0, 0)
-        for _ in range(BACK):
-            first -= 1
-            while first > 0 and not self.slots[first]:
-                first -= 1
-            if first < 0:
-                break
-            begin -= int(self.lengths[self.size + first])
-        first = max(first, 0)
-        # old pre-tokens from there on, as far as needed
-        last, at, old = first, begin, []
-        while last < len(self.slots) and (at < end or last == first):
-            for t in self.slots[last]:
-                at += len(t)
-                old.append(t)
-            last += 1
-        before = "".join(old)
-        region = before[: start - begin] + new + before[end - begin :]
-        shift = len(new) - (end - start)
+        before, rest = split(self.tree, start - 1)
+        at = before.chars if before else 0
+        text, lengths, counts = "", [], []
+        # pre-tokens before the edit: as many as its change may reach
+        reach, back = start - 1 - counter.reach, 0
+        while before is not None and (at > reach or back < BACK):
+            leaf, before = _pop(before, True)
+            at -= leaf.chars
+            text, lengths, counts = leaf.text + text, leaf.lengths + lengths, leaf.counts + counts
+            back += len(leaf.lengths) if at <= reach else 0
+        ahead = LEAF
         while True:
-            # cut the region and what follows it; stop at a border that stands as before
-            ahead, k = [], last
-            while k < len(self.slots) and len(ahead) < 8:
-                ahead += self.slots[k]
-                k += 1
-            text, borders, place = region + "".join(ahead), {at - begin + shift}, 0
-            tokens, done = [], k == len(self.slots)
-            for m in PATTERN.finditer(text):
-                if m.end() == len(text) and not done:
-                    break
-                tokens.append(m.group())
-                place = m.end()
-                if place == len(region) and place in borders:
-                    done = True
-                    break
-            if done:
+            # pre-tokens after it: up to its end and some more
+            taken = 0
+            while rest is not None and (at + len(text) < end or taken < ahead):
+                leaf, rest = _pop(rest, False)
+                taken += len(leaf.lengths) if at + len(text) >= end else 0
+                text, lengths, counts = text + leaf.text, lengths + leaf.lengths, counts + leaf.counts
+            borders = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]) + at
+            first = max(0, int(np.searchsorted(borders, min(reach, start), "right")) - 1 - BACK)
+            base = int(borders[first]) - at
+            region = text[base : start - at] + new + text[end - at :]
+            shift = len(new) - (end - start)
+            old = {int(b) - at - base + shift: k for k, b in enumerate(borders) if b >= end}
+            sure = len(region) if rest is None else len(region) - counter.reach - 4
+            tokens, place, stop = [], 0, None
+            if 0 in old:
+                stop = old[0]
+            else:
+                for t in counter.cut(region):
+                    tokens.append(t)
+                    place += len(t)
+                    if place in old and place <= sure:
+                        stop = old[place]
+                        break
+            if stop is not None:
                 break
-            # no border met: take in one slot more
-            for t in self.slots[last]:
-                at += len(t)
-            region += "".join(self.slots[last])
-            last += 1
-        stop = last if place == len(region) else len(self.slots)
-        self._put(first, tokens)
-        for slot in range(first + 1, stop):
-            if self.slots[slot]:
-                self._put(slot, [])
+            ahead *= 4
+        edited = text[: start - at] + new + text[end - at :]
+        lengths = lengths[:first] + list(map(len, tokens)) + lengths[stop:]
+        counts = counts[:first] + counter.counts(tokens) + counts[stop:]
+        if rest is not None and len(lengths) < LEAF // 4:  # so that small leaves don't pile up
+            leaf, rest = _pop(rest, False)
+            edited, lengths, counts = edited + leaf.text, lengths + leaf.lengths, counts + leaf.counts
+        self.tree = joined(joined(before, of_leaves(cut_leaves(edited, lengths, counts))), rest)
         return len(tokens)
 
 
-def sample_edits(text: str) -> list[Edit]:
-    """The edits that the registered query applies to every text: a mark in the middle, the first 20 characters away, another end."""
-    middle = len(text) // 2
-    return [(middle, middle, " [edited]"), (0, 20, ""), (max(0, len(text) + 9 - min(20, len(text) + 9) - 10), 1 << 60, "\n\nend 123")]
-
-
 #: One counter for each vocabulary in a Python worker, which runs many tasks.
 _COUNTERS: dict[str, Counter] = {}
 
 
-def _count(path: str, edits: Callable[[str], list[Edit]]):
+def _counter(path: str) -> Counter:
+    if path not in _COUNTERS:
+        _COUNTERS[path] = Counter(path)
+    if len(_COUNTERS[path].known) > MEMO:
+        _COUNTERS[path].known.clear()
+    return _COUNTERS[path]
+
+
+#: What a row of a tree table holds beside its id: the text, and the lengths and counts of its pre-tokens in order, from which leaves and sums are put together without cutting or encoding.
+TREES = "doc_id long, text string, lengths array<int>, counts array<int>"
+
+
+def _lists(rows: list[list[int]]) -> pa.Array:
+    return pa.array(rows, pa.list_(pa.int32()))
+
+
+def _build(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _COUNTERS:
-            _COUNTERS[path] = Counter(path)
-        counter = _COUNTERS[path]
         for batch in batches:
             with common.uncollected():
-                if len(counter.known) > MEMO:
-                    counter.known.clear()
-                texts = common.text_of(batch.column(1))
-                cut = [PATTERN.findall(x) for x in texts]
+                counter, texts = _counter(path), common.text_of(batch.column(1))
+                cut = [counter.cut(x) for x in texts]
                 counter.learn({t for tokens in cut for t in tokens if t not in counter.known})
-                rows = []
-                for text, tokens in zip(texts, cut):
-                    tree = CountTree(tokens, counter)
-                    first = tree.n_tokens
-                    again = sum(tree.edit(*e) for e in edits(text))
-                    rows.append((len(tokens), first, tree.n_chars, tree.n_tokens, again))
-            names = ["n_pretokens", "n_tokens", "edited_chars", "edited_tokens", "n_reencoded"]
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
+                lengths, counts = [list(map(len, tokens)) for tokens in cut], [counter.counts(tokens) for tokens in cut]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), _lists(lengths), _lists(counts)], ["doc_id", "text", "lengths", "counts"])
 
     return run
 
 
-def edit_counts(docs: DataFrame, path: str, edits: Callable[[str], list[Edit]] = sample_edits, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_pretokens and n_tokens of each whole text, edited_chars and edited_tokens after its edits (start, end, new characters, one after the other), and n_reencoded, the pre-tokens encoded for them."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_count(path, edits), "doc_id long, n_pretokens long, n_tokens long, edited_chars long, edited_tokens long, n_reencoded long")
+def build_trees(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A tree for each document (TREES), to be kept. path: the tokenizer."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_build(path), TREES)
+
+
+def _edited(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            with common.uncollected():
+                counter, rows = _counter(path), []
+                for text, lengths, counts, edits in zip(*[batch.column(k).to_pylist() for k in range(1, 5)]):
+                    tree = CountTree(text or "", lengths or [], counts or [])
+                    old = (len(lengths or []), tree.n_tokens)
+                    again = sum(tree.edit(e["start"], e["end"], e["text"], counter) for e in edits or ())
+                    rows.append((*tree.stored(), *old, tree.n_chars, tree.n_tokens, again))
+            texts, lengths, counts, *numbers = zip(*rows) if rows else [()] * 8
+            columns = [batch.column(0), pa.array(texts, pa.string()), _lists(lengths), _lists(counts), *[pa.array(c, pa.int64()) for c in numbers]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "lengths", "counts", *NUMBERS])
+
+    return run
+
+
+NUMBERS = ("n_pretokens", "n_tokens", "edited_chars", "edited_tokens", "n_reencoded")
+EDITS = "array<struct<start: bigint, end: bigint, text: string>>"
+
+
+def with_edits(trees: DataFrame, edits: Column, path: str) -> DataFrame:
+    """The trees after the edits of a column (EDITS) of theirs, with n_pretokens and n_tokens before them, edited_chars and edited_tokens after them, and n_reencoded, the pre-tokens encoded for them. A row is edited where it lies."""
+    given = F.filter(edits, lambda e: e["start"].isNotNull() & e["end"].isNotNull())
+    own = F.transform(given, lambda e: F.struct(e["start"].cast("long").alias("start"), e["end"].cast("long").alias("end"), F.coalesce(e["text"], F.lit("")).alias("text")))
+    return trees.select("doc_id", "text", "lengths", "counts", own.cast(EDITS).alias("edits")).mapInArrow(_edited(path), TREES + "".join(f", {n} long" for n in NUMBERS))
+
+
+def apply_edits(trees: DataFrame, edits: DataFrame, path: str) -> DataFrame:
+    """The same from a table of edits (doc_id, seq, start, end, text). Only trees that are edited meet the edits in a join; a document's edits follow one another, so they come as one list."""
+    order = F.struct("seq", "start", "end", "text")
+    lists = edits.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.sort_array(F.collect_list(order)).alias("edits"))
+    lists = common.saved(lists.withColumn("edits", F.transform("edits", lambda e: F.struct(e["start"].cast("long").alias("start"), e["end"].cast("long").alias("end"), e["text"].alias("text")))), "edits")
+    touched = common.may_be_in(lists.select("doc_id"), F.col("doc_id"))
+    met = trees.where(touched).join(lists, "doc_id", "left").unionByName(trees.where(~touched).withColumn("edits", F.lit(None).cast(EDITS)))
+    return with_edits(met, F.col("edits"), path)
+
+
+def sample_edits(text: Column) -> Column:
+    """The edits that the registered query applies to every text, one after the other: a mark in the middle, the first 20 characters away, another end."""
+    n = F.length(text).cast("long")
+    marked = n + 9
+    one = lambda start, end, new: F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), F.lit(new).alias("text"))
+    return F.array(one(F.floor(n / 2), F.floor(n / 2), " [edited]"), one(F.lit(0), F.lit(20), ""), one(F.greatest(F.lit(0), marked - F.least(F.lit(20), marked) - 10), F.lit(1 << 60), "\n\nend 123"))
+
+
+def edit_counts(docs: DataFrame, path: str, edits: Callable[[Column], Column] = sample_edits, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Build and keep the trees of all documents, apply to them the edits that a function of the text gives, and return doc_id and the numbers of with_edits."""
+    trees = common.saved(build_trees(docs, path, id_col, text_col), "count-trees")
+    return with_edits(trees, edits(F.coalesce(F.col("text"), F.lit(""))), path).select("doc_id", *NUMBERS)
