@@ -2,13 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the columns of documents, but for the last,
 which returns a slot in a batch for each document that stays. Rows with nulls are kept unless a
-stage's decision concerns them: a null text isn't toxic, has no language and so goes at stage 2.
+stage's decision concerns them: a null text isn't toxic, has no language and so goes at stage 2; without any row of a known language,
+stage 2 keeps every text with a letter.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from textloom.llm import common, language_mixture, length_buckets, minmax_dedup, toxicity_grammar
 
@@ -20,9 +21,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a main language."""
+    """Documents in one of the languages that the labelled rows name; if they name none, documents with a letter."""
     common.tune(spark)
-    return language_mixture.with_main_language(docs, language_mixture.fit(docs))
+    return language_mixture.with_language(docs, language_mixture.fit(docs))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A bucket, batch and slot for each document."""
     common.tune(spark)
-    return length_buckets.length_buckets(docs)
+    return length_buckets.length_buckets(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [

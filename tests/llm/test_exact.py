@@ -11,6 +11,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -62,6 +64,62 @@ def test_nearest_edges(spark):
     assert rotated_codes.nearest(df.limit(0), F.col("id") == 0).collect() == []
 
 
+def clustered_vectors(kind):
+    rng = np.random.default_rng(6)
+    found = rng.standard_normal((30_000, 64))
+    if kind == "clusters":
+        found += 3 * rng.standard_normal((300, 64))[rng.integers(0, 300, len(found))]
+    found[1:10_000:3] = found[5]  # one vector in many rows
+    return found.astype(np.float32)
+
+
+@pytest.mark.parametrize("kind", ["gauss", "clusters"])
+def test_codes_find_neighbours(spark, tmp_path, kind):
+    """Recall against brute force, and ties by id."""
+    vectors = clustered_vectors(kind)
+    table = pa.table({"vec_id": np.arange(len(vectors)), "embedding": pa.array(list(vectors)), "key": np.arange(len(vectors)), "v": np.arange(len(vectors))})
+    pq.write_table(table, tmp_path / "e.parquet", row_group_size=4000)
+    common.tune(spark)
+    found, exact = defaultdict(list), vectors.astype(float)
+    for r in rotated_codes.nearest(spark.read.parquet(str(tmp_path / "e.parquet")), F.col("id") % 100 == 0, 10).collect():
+        found[r.query_id].append((r["rank"], r.vec_id))
+    assert sorted(found) == list(range(0, len(vectors), 100))
+    hit = 0
+    for q, near in found.items():
+        dist = np.sqrt(((exact - exact[q]) ** 2).sum(1))
+        dist[q] = np.inf
+        near.sort()
+        best = np.lexsort((np.arange(len(dist)), dist))[:10].tolist()
+        hit += len(set(best) & {i for _, i in near})
+        if dist[best[-1]] == 0:
+            assert [i for _, i in near] == best
+    assert hit >= 0.97 * 10 * len(found)
+
+
+def test_codes_decide():
+    """The bounds of packed codes hold nearly always, and leave out most rows where neighbours lie in clusters."""
+    rng = np.random.default_rng(8)
+    rows = rng.standard_normal((2000, 64)) + 3 * rng.standard_normal((30, 64))[rng.integers(0, 30, 2000)]
+    center, turn = rows.mean(0), rotated_codes.rotation(64)
+    codes, length, own = rotated_codes.encode(rows, center, turn)
+    queries = rotated_codes.Queries(rows[:50], center, turn)
+    least, greatest = queries.bounds(codes, length, own, slice(0, 50))
+    exact = ((rows[:, None] - rows[None, :50]) ** 2).sum(2)
+    assert ((least <= exact + 1e-6) & (exact <= greatest + 1e-6)).mean() > 0.98
+    nearest = rotated_codes.Nearest(rows[:50], 11)
+    ids = np.empty(len(rows), object)
+    ids[:] = [[k] for k in range(len(rows))]
+    nearest.add(queries, 0, ids, rows, codes, length, own)
+    assert nearest.compared < 0.2 * 50 * len(rows)
+
+
+def test_no_queries_and_other_columns(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0], 7, 8) for i in range(1, 40)], "vec_id long, embedding array<double>, id int, list int")
+    common.tune(spark)
+    assert rotated_codes.nearest(df, F.col("id") == 0, 3).collect() == []
+    assert [r.vec_id for r in rotated_codes.nearest(df, F.col("id") == 7, 3).orderBy("rank").collect()] == [6, 8, 5]
+
+
 # --- class n-grams
 
 
@@ -83,6 +141,29 @@ def test_base_scores(spark, data, docs):
     assert model > base
 
 
+def test_scores_by_brute_force(spark, data, docs, monkeypatch):
+    """Each text's transitions and emissions, one after the other, from the learned classes and steps."""
+    kept, learned = [], class_ngrams.learned
+    monkeypatch.setattr(class_ngrams, "learned", lambda *a: kept.append(learned(*a)) or kept[0])
+    out, counts = query(spark, data, "op2_class_ngrams"), Counter()
+    for i, text in docs:
+        if zlib.crc32(b"%d" % i) % 10:
+            counts.update(WORD.findall(text.encode().lower()))
+    model, added, tokens, types = kept[0], class_ngrams.ADDED, defaultdict(int), defaultdict(int)
+    for w, n in counts.items():
+        tokens[model.class_of(w)] += n
+        types[model.class_of(w)] += 1
+    end = len(model.steps) - 1
+    assert np.allclose((10**model.steps).sum(1), 1) and all(model.class_of(w) != end for w in counts)
+    for i, text in docs[:60]:
+        last, want = end, 0.0
+        for w in WORD.findall(text.encode().lower()):
+            own = model.class_of(w)
+            want += model.steps[last, own] + math.log10((counts[w] + added) / (tokens[own] + added * (types[own] + 1)))
+            last = own
+        assert out[i].score == pytest.approx(want + model.steps[last, end], rel=1e-9)
+
+
 def test_model_is_a_distribution():
     rng = np.random.default_rng(1)
     pairs = rng.integers(0, 5, (class_ngrams.SYMBOLS, class_ngrams.SYMBOLS)).astype(float)
@@ -333,6 +414,53 @@ def test_chains_and_groups(spark):
     assert out == components({i: shingle_set(t, 3) for i, t in rows}, 85)
 
 
+def test_equal_differences_make_few_pairs(spark, monkeypatch):
+    """Texts that differ from one template in two words each, mostly under the threshold: pairs that reach the texts grow with the links."""
+    rng, seen = random.Random(3), []
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    rows = []
+    base = [word() for _ in range(100)]
+    for i in range(400):
+        text = list(base)
+        for k in rng.sample(range(100), 2):
+            text[k] = word()
+        rows.append((i, " ".join(text)))
+    confirmed = minmax_dedup.confirmed
+    monkeypatch.setattr(minmax_dedup, "confirmed", lambda pairs, *a: seen.append(pairs.count()) or confirmed(pairs, *a))
+    common.tune(spark)
+    out = {r.doc_id: r.component_id for r in minmax_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85).collect()}
+    assert out == components({i: shingle_set(t, 3) for i, t in rows}, 85) and sum(seen) < 4 * len(rows)
+
+
+def test_repeated_and_null_ids(spark):
+    """Rows of one id with unlike texts are judged by their own; of rows without an id one stays."""
+    one, two = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(7, one), (7, two), (3, two + " x"), (None, one), (None, "c d e"), (None, "c d e"), (None, None), (8, None)]
+    common.tune(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in minmax_dedup.near_duplicates(docs, width=3, percent=85).collect())
+    assert [x for x in out if x[0] == "7"] == [("7", 58, "3", False), ("7", 58, "7", True)]
+    assert sum(kept for i, n, _, kept in out if i == "None" and n) == 1
+    kept = sorted(str((r.doc_id, (r.text or "")[:3])) for r in minmax_dedup.one_of_each(docs, width=3, percent=85).collect())
+    assert kept == sorted(str(x) for x in [(7, "a0 "), (3, "b0 "), (None, "c d"), (None, ""), (8, "")])
+
+
+@given(st.lists(st.integers(0, 2**63), max_size=300), st.lists(st.integers(0, 2**63), max_size=300))
+def test_sketches_lose_no_link(a, b):
+    a, b = (np.unique(np.array(x, np.uint64)) for x in (a, b))
+    one, two = minmax_dedup.odd_sketch(a), minmax_dedup.odd_sketch(b)
+    size = min(len(one), len(two))
+    x, y = minmax_dedup.folded([one, two], size)
+    assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
+
+
+def test_near_duplicates_at_a_larger_size(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets = {r.doc_id: shingle_set(r.text, 3) for r in rows}
+    out = query(spark, "/root/testdata/sf0.01", "op5_minmax_dedup")
+    assert {i: r.component_id for i, r in out.items()} == components(sets, 85)
+
+
 def test_bands_rarely_miss():
     for similarity in (0.8, 0.85):
         r = minmax_dedup.rows_per_band(similarity)
@@ -357,6 +485,31 @@ def test_filters_reach_the_files(spark, data):
     assert "EqualTo(doc_id,17)" in found._jdf.queryExecution().toString() and found.count() == 1
 
 
+def rows_scanned(df):
+    """Rows that the file scan of a plan without shuffles gave."""
+    df.collect()
+    node = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return node.metrics().apply("numOutputRows").value()
+
+
+def test_readers_skip_and_share_stripes(spark, monkeypatch):
+    """Even ids only: a filter on one reads few rows of many, by the row indexes; one on an odd id, which the ranges don't exclude, hardly any, by the Bloom filters."""
+    monkeypatch.setattr(token_orc, "STRIPE", 1 << 16)
+    common.tune(spark)
+    path, n = common.scratch_path(spark, "test-stripes"), 60_000
+    docs = spark.range(n).select((F.col("id") * 2).alias("doc_id"), F.concat_ws(" ", F.sha2(F.col("id").cast("string"), 256), F.sha2((F.col("id") + n).cast("string"), 256)).alias("text"))
+    token_orc.write_tokens(docs, path, BYTES_PATH)
+    files = spark.read.schema(token_orc.SCHEMA).orc(path).select("doc_id", "n_tokens")
+    assert rows_scanned(files.where("doc_id = 50000")) <= 3000
+    assert sum(rows_scanned(files.where(f"doc_id = {k}")) for k in range(50_001, 50_021, 2)) <= 3000
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 18))
+    try:
+        parts = spark.read.schema(token_orc.SCHEMA).orc(path)
+        assert parts.rdd.getNumPartitions() > len(parts.inputFiles()) and parts.count() == n
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 PIECES = st.lists(st.sampled_from(["the", "in", " ", "  ", "\n", "\t", "\r\n", "'s", "'LL", "é", "é", "ß", "Σ", "İ", "ǅ", "12", "½", "<|endoftext|>", "<|startoftext|>", "<|", "漢", "🙂", " ", " ", "\x1c", "\x85", "!!", "_", "zxq", "한", "ﬁ"]), max_size=20)
 
 
@@ -409,8 +562,10 @@ def test_batches(spark, data, docs):
     for r in rows:
         assert r.n_tokens <= r.bucket_len
         batches[r.bucket_len, r.batch].append(r)
-    words = {i: len(WORD.findall(t.encode())) + 1 for i, t in docs}
-    assert {r.doc_id: r.n_tokens for r in rows} == words
+    assert {r.doc_id: r.n_tokens for r in rows} == {i: library_count(t) + 1 for i, t in docs}
+    lengths = sorted(library_count(t) + 1 for _, t in docs)
+    ends = length_buckets.best_boundaries(*np.unique(lengths, return_counts=True))
+    assert sum(r.bucket_len for r in rows) == sum(min(e for e in ends if e >= n) for n in lengths)
     for (size, batch), own in batches.items():
         assert len(own) * size <= length_buckets.BUDGET or len(own) == 1
         assert sorted(r.slot for r in own) == list(range(len(own)))
@@ -421,9 +576,28 @@ def test_batches(spark, data, docs):
         assert all(len(batches[size, b]) == max(1, length_buckets.BUDGET // size) for b in seen[:-1])
 
 
-def test_rounded_lengths(spark):
-    for r in spark.range(1, 20_000, 7).select("id", length_buckets.rounded(F.col("id")).alias("n")).collect():
-        assert r.id <= r.n <= r.id * (1 + 1 / 256) + 1 and (r.id > 1024 or r.n == r.id)
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 20_000), min_size=1, max_size=300), st.integers(1, 16))
+def test_long_lengths_are_exact(sizes, k):
+    """Against the quadratic program over all lengths."""
+    lengths, counts = np.unique(sizes, return_counts=True)
+    running = np.concatenate([[0], np.cumsum(counts)])
+    best = np.concatenate([[0], lengths * running[1:]])
+    for _ in range(k - 1):
+        best = np.array([0, *(min(best[i] + lengths[j - 1] * (running[j] - running[i]) for i in range(j)) for j in range(1, len(lengths) + 1))])
+    found = np.array(length_buckets.best_boundaries(lengths, counts, k))
+    assert len(found) <= k and (found[np.searchsorted(found, lengths)] * counts).sum() == best[-1]
+
+
+def test_padded_batches(spark):
+    rows = [(k, 1 + k % 7, list(range(1, 2 + k % 7))) for k in range(200)] + [(None, 2, [8, 9])] * 3
+    tokens = spark.createDataFrame(rows, "doc_id long, n_tokens long, ids array<int>")
+    common.tune(spark)
+    out = length_buckets.padded_batches(tokens, pad_id=0, buckets=3, budget=40).collect()
+    assert sorted(str((r.doc_id, r.ids[: r.n_tokens])) for r in out) == sorted(str((i, x)) for i, _, x in rows)
+    assert all(len(r.ids) == r.bucket_len and not any(r.ids[r.n_tokens :]) for r in out) and len({r.bucket_len for r in out}) == 3
+    sizes = Counter((r.bucket_len, r.batch) for r in out)
+    assert all(n * size <= 40 for (size, _), n in sizes.items()) and len({(r.bucket_len, r.batch, r.slot) for r in out}) == len(rows)
 
 
 # --- quality rules
@@ -489,6 +663,7 @@ def test_undefined_and_mixed(spark, hard):
     common.tune(spark)
     out = {r.doc_id: r for r in language_mixture.language_id(hard.where("doc_id is not null")).collect()}
     assert all(out[i].lang_pred == "und" and out[i].score == 0 for i in (4, 5, 6, 7))
+    assert not any(language_mixture.LETTER.search(x) for x in ("½", "²", "Ⅷ", "12_"))
     words = np.array([[1.0, 1e-4]] * 30 + [[1e-4, 1.0]] * 10, np.float32)
     share, chosen = language_mixture.mixtures(words, np.array([0]), np.array([40]), np.array([0.5, 0.5], np.float32))
     assert share[0, 0] == pytest.approx(0.75, abs=0.02) and chosen.all()

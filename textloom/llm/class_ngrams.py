@@ -499,13 +499,14 @@ def _score(shared):
                 own = np.full(len(words) + 2, len(model.steps) - 1)
                 own[1:-1][known] = model.own[at[known]]
                 rest = np.flatnonzero(~known)
-                rare = [words[k] for k in rest]
-                own[rest + 1] = [model.class_of(w) for w in rare]
+                rare = Counter(words[k] for k in rest)
+                classes = {w: model.class_of(w) for w in rare}
+                own[rest + 1] = [classes[words[k]] for k in rest]
                 logs = model.steps[own[:-1], own[1:]].sum() - model.denominators[own[1:-1]].sum()
-                for column, value in zip(columns, (row, len(words) + 1, int(known.sum()), float(model.logs[at[known]].sum()), float(logs), rare)):
+                for column, value in zip(columns, (row, len(words) + 1, int(known.sum()), float(model.logs[at[known]].sum()), float(logs), [{"word": w, "n": n} for w, n in rare.items()])):
                     column.append(value)
                 row += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(c, t) for c, t in zip(columns, kinds)]], ["doc_id", "held_out", "row", "n_tokens", "n_head", "head_logs", "class_logs", "rare"])
 
     return run
@@ -526,9 +527,11 @@ def class_bigram_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         model.denominators[r["class"]] = math.log10(r["tokens"] + ADDED * (r["types"] + 1))
     if not sizes:
         model.denominators[:] = math.log10(ADDED)
-    scored = common.saved(given.mapInArrow(_score(context.broadcast(model)), "doc_id long, held_out boolean, row long, n_tokens long, n_head long, head_logs double, class_logs double, rare array<binary>"), "scored")
-    rare = scored.select("row", F.explode("rare").alias("word")).select("row", F.col("word").cast("string").alias("word"))
-    looked_up = rare.join(counts, "word", "left").groupBy("row").agg(F.count("n").alias("n_rare"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADDED))).alias("rare_logs"))
+    scored = common.saved(given.mapInArrow(_score(context.broadcast(model)), "doc_id long, held_out boolean, row long, n_tokens long, n_head long, head_logs double, class_logs double, rare array<struct<word: binary, n: bigint>>"), "scored")
+    # one row for each text and word outside the vocabulary; both sides are dealt for this join alone, so a word in very many texts can be split
+    rare = scored.select("row", F.explode("rare").alias("_w")).select("row", F.col("_w.word").cast("string").alias("word"), F.col("_w.n").alias("times"))
+    known = F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(F.lit(0)))
+    looked_up = rare.join(counts, "word", "left").groupBy("row").agg(known.alias("n_rare"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADDED))).alias("rare_logs"))
     joined = scored.drop("rare").join(looked_up, "row", "left")
     logs = F.col("head_logs") + F.coalesce("rare_logs", F.lit(0.0))
     base = logs + F.lit(math.log10(ends + ADDED)) - F.col("n_tokens") * F.lit(math.log10(tokens + ADDED * (types + 1)))

@@ -14,11 +14,11 @@ Columns other than id, text and language are ignored, whatever their names.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +32,10 @@ BUCKETS, SMOOTHING, STEPS, SLICE = 1 << 16, 0.05, 8, 1 << 19
 PRIOR_WORDS = 0.5
 #: Below this share of its best likelihood, a word's likelihood under a language isn't trusted.
 LEAST = 1e-4
-#: A document whose main language has a smaller share than this has no main language.
-MAIN_SHARE = 0.4
+#: Languages at most: each has half a megabyte of tables on the driver and in every worker, so a column of other things is refused.
+LANGUAGES = 1000
 UNDEFINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 #: Lower case for A-Z, a space for every other ASCII byte that isn't a letter or an apostrophe.
 FOLD = np.array([32 if x < 128 and not chr(x).isalpha() and x != 39 else x + 32 if 65 <= x <= 90 else x for x in range(256)], np.uint8)
@@ -148,10 +148,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learn the tables from about per_language rows of each language; rows whose id's crc32 modulo 5 is 0, and rows without language or text, aren't learned from."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("doc_id")).where(F.col("lang").isNotNull() & ~common.held_out(F.col("doc_id"), 5))
     seen = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if len(seen) > LANGUAGES:
+        raise ValueError(f"{len(seen)} languages: more than {LANGUAGES}")
     if not seen:
         return Model([], np.zeros((2, BUCKETS, 0), np.float32), np.zeros(0, np.float32))
     share = F.create_map(*[F.lit(x) for lang, n in seen.items() for x in (lang, int(1_000_000 * min(1.0, per_language / n)) + 1)])
-    sample = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1_000_000)) < share[F.col("lang")])).select("lang", "text")
+    sample = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", "text", F.lit(31)), F.lit(1_000_000)) < share[F.col("lang")])).select("lang", "text")
     langs = sorted(seen)
     counts = np.zeros((len(langs), 2, BUCKETS), np.float64)
     for lang, found in sample.repartition(FIT_TASKS).mapInArrow(_count, "lang string, counts binary").toLocalIterator():
@@ -202,14 +204,18 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, n_langs int")
 
 
-def with_main_language(docs: DataFrame, model: Model, text_col: str = "text", least: float = MAIN_SHARE) -> DataFrame:
-    """The rows, with all their columns, whose main language is known and has at least the given share."""
+def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is predicted, however many others it is mixed with; with a model of no languages, those with a letter."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.Table.from_batches(_predicted(shared.value, [0] * batch.num_rows, batch.column(at).to_pylist()))
-            keep = [x != UNDEFINED and s >= least for x, s in zip(found["lang_pred"].to_pylist(), found["score"].to_pylist())]
+            texts = batch.column(at).to_pylist()
+            if shared.value.langs:
+                found = pa.Table.from_batches(_predicted(shared.value, [0] * batch.num_rows, texts))
+                keep = [x != UNDEFINED for x in found["lang_pred"].to_pylist()]
+            else:
+                keep = [bool(x and LETTER.search(x)) for x in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,81 +1,91 @@
 """Packing into optimal length buckets.
 
-A global histogram of token counts goes through a dynamic program that chooses the bucket lengths
-with the least padding. Within a bucket every document is padded to the bucket's length, and
-documents in order of their ids fill batches of a token budget.
+Lengths are token counts of the tokenizers library, the end token included. Their global histogram,
+with every length that occurs, goes through a dynamic program that chooses the bucket lengths with the
+least padding. Within a bucket every document is padded to the bucket's length, and documents in order
+of their ids fill batches of a token budget.
 
 Nulls, ties and repeats: a null or empty text is the end token alone; rows with a null id come
-first in their bucket; repeated rows each get a slot of their own; a document longer than the
-budget is a batch of its own, never cut; an empty table gives no rows; other columns are ignored.
+first in their bucket; rows that share an id and a length come in the order of the table; repeated
+rows each get a slot of their own; a document longer than the budget is a batch of its own, never
+cut; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, token_orc
 
 #: Buckets at most, and tokens of a batch, padding included.
 BUCKETS, BUDGET = 16, 65_536
-#: Lengths up to this are told apart; beyond it, they are rounded up by less than its share 1/256.
-EXACT = 1024
 
 
-def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes = [len(x.split()) + 1 for x in common.bytes_of(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
-
+def _lengths(tokenizer: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = token_orc.encoder(tokenizer)
+        for batch in batches:
+            with common.uncollected():
+                sizes = [len(x) // 4 + 1 for x in own.encode(common.text_of(batch.column(1)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and n_tokens: the words of the whole text and an end token."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_lengths, "doc_id long, n_tokens long")
+    return run
 
 
-def rounded(n: Column) -> Column:
-    """The length itself up to EXACT, else the next multiple of a 256th of the power of two below it."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double"))) - 8)
-    return F.when(n <= EXACT, n).otherwise((F.ceil(n / step) * step).cast("long"))
+def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and n_tokens: the ids of the whole text and an end token."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_lengths(tokenizer), "doc_id long, n_tokens long")
 
 
-def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
+def best_boundaries(lengths: Sequence[int], counts: Sequence[int], buckets: int = BUCKETS) -> list[int]:
     """Bucket lengths, ascending, that make the padded total least; at most `buckets` of them, as few as reach it.
 
     lengths: ascending and distinct. With C the running count, a bucket that ends at length j and
-    begins after i costs lengths[j] * (C[j] - C[i]); each round allows one bucket more.
+    begins after i costs lengths[j] * (C[j] - C[i]): for each i a line in lengths[j], so the least of
+    them is on a hull, along which the lengths move. Each round allows one bucket more and takes time
+    in proportion to the number of lengths. Whole numbers throughout.
     """
     d = len(lengths)
     if not d:
         return []
-    running = np.concatenate([[0], np.cumsum(counts)]).astype(float)
-    ends = lengths.astype(float)
-    best = np.concatenate([[0.0], ends * running[1:]])
-    history: list[np.ndarray] = []
+    ends, running = [int(x) for x in lengths], [0]
+    for n in counts:
+        running.append(running[-1] + int(n))
+    best = [0, *[e * c for e, c in zip(ends, running[1:])]]
+    history: list[list[int]] = []
     for _ in range(min(buckets, d) - 1):
-        after, origin = best.copy(), np.zeros(d + 1, int)
-        for low in range(0, d, 512):
-            rows = np.arange(low, min(low + 512, d))
-            cost = best[None, : rows[-1] + 1] + ends[rows, None] * (running[rows + 1, None] - running[None, : rows[-1] + 1])
-            cost[np.arange(rows[-1] + 1)[None] > rows[:, None]] = np.inf
-            origin[rows + 1] = cost.argmin(1)
-            after[rows + 1] = cost.min(1)
+        after, origin, hull = [0], [0], deque()
+        for j in range(1, d + 1):
+            i = j - 1  # a bucket may begin after it from here on
+            while len(hull) > 1:
+                a, b = hull[-2], hull[-1]
+                if (best[i] - best[a]) * (running[b] - running[a]) > (best[b] - best[a]) * (running[i] - running[a]):
+                    break
+                hull.pop()
+            hull.append(i)
+            x = ends[i]
+            while len(hull) > 1 and best[hull[1]] - x * running[hull[1]] <= best[hull[0]] - x * running[hull[0]]:
+                hull.popleft()
+            origin.append(hull[0])
+            after.append(best[hull[0]] + x * (running[j] - running[hull[0]]))
         if after[d] >= best[d]:
             break
         history.append(origin)
         best = after
     found, at = [], d
     for origin in reversed(history):
-        found.append(int(lengths[at - 1]))
-        at = int(origin[at])
+        found.append(ends[at - 1])
+        at = origin[at]
         if not at:
             break
     if at:
-        found.append(int(lengths[at - 1]))
+        found.append(ends[at - 1])
     return sorted(found)
 
 
@@ -95,25 +105,36 @@ def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def packed(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """doc_id, n_tokens, bucket_len, batch (numbered within the bucket, from 0) and slot (within the batch, from 0) of rows with doc_id and n_tokens."""
-    lengths = common.saved(lengths, "lengths")
-    histogram = lengths.groupBy(rounded(F.col("n_tokens")).alias("n")).count().orderBy("n").collect()
-    ends = best_boundaries(np.array([r["n"] for r in histogram], np.int64), np.array([r["count"] for r in histogram], np.int64), buckets)
+    """doc_id, n_tokens, bucket_len, batch (numbered within the bucket, from 0) and slot (within the batch, from 0) of rows with doc_id and n_tokens, and ids if they have any."""
+    ids = [c for c in lengths.columns if c == "ids"]
+    lengths = common.saved(lengths.select("doc_id", "n_tokens", *ids), "lengths")
+    # a row for each length that occurs: with T tokens in all, there are fewer than the root of 2 T
+    histogram = lengths.groupBy(F.col("n_tokens").alias("n")).count().orderBy("n").collect()
+    ends = best_boundaries([r["n"] for r in histogram], [r["count"] for r in histogram], buckets)
     bucket = F.expr(f"filter(array({', '.join(f'{x}L' for x in ends)}), x -> x >= n_tokens)[0]") if ends else F.lit(0).cast("long")
-    ordered = lengths.withColumn("bucket_len", bucket).repartitionByRange("bucket_len", "doc_id", "n_tokens").sortWithinPartitions("bucket_len", "doc_id", "n_tokens")
-    ranked = common.saved(ordered.withColumn("part", F.spark_partition_id()).mapInArrow(_ranks, "doc_id long, n_tokens long, bucket_len long, part int, local long"), "ranked")
+    order = ["bucket_len", "doc_id", "n_tokens", "_row"]  # numbered rows, so that one id's can be dealt to several tasks
+    ordered = lengths.withColumn("bucket_len", bucket).withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = "doc_id long, n_tokens long, " + "ids array<int>, " * len(ids) + "bucket_len long, part int, local long"
+    ranked = common.saved(ordered.drop("_row").withColumn("part", F.spark_partition_id()).mapInArrow(_ranks, schema), "ranked")
+    common.drop(lengths)
     first: dict[int, int] = {}
     offsets = []
     for bucket_len, part, n in ranked.groupBy("bucket_len", "part").count().orderBy("bucket_len", "part").toLocalIterator():  # one row for each task and bucket border
         offsets.append((bucket_len, part, first.get(bucket_len, 0)))
         first[bucket_len] = offsets[-1][2] + n
-    starts = lengths.sparkSession.createDataFrame(offsets, "bucket_len long, part int, start long")
+    starts = ranked.sparkSession.createDataFrame(offsets, "bucket_len long, part int, start long")
     rank = F.col("start") + F.col("local")
     fits = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_len"))).cast("long")
     out = ranked.join(F.broadcast(starts), ["bucket_len", "part"])
-    return out.select("doc_id", "n_tokens", "bucket_len", F.floor(rank / fits).cast("long").alias("batch"), F.pmod(rank, fits).cast("int").alias("slot"))
+    return out.select("doc_id", "n_tokens", *ids, "bucket_len", F.floor(rank / fits).cast("long").alias("batch"), F.pmod(rank, fits).cast("int").alias("slot"))
 
 
-def length_buckets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+def length_buckets(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """Pack every document of a table."""
-    return packed(token_counts(docs, id_col, text_col), buckets, budget)
+    return packed(token_counts(docs, tokenizer, id_col, text_col), buckets, budget)
+
+
+def padded_batches(tokens: DataFrame, pad_id: int = 0, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+    """packed() of rows of token ids (doc_id, n_tokens, ids), as token_orc.read_tokens() gives them, with each row's ids padded to its bucket's length: the rows of a batch are a matrix, and the first n_tokens of each are real."""
+    rows = packed(tokens.select("doc_id", "n_tokens", "ids"), buckets, budget)
+    return rows.withColumn("ids", F.concat("ids", F.array_repeat(F.lit(pad_id), (F.col("bucket_len") - F.col("n_tokens")).cast("int"))))

@@ -38,7 +38,7 @@ def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return length_buckets.length_buckets(common.table(spark, sf_dir, "documents"))
+    return length_buckets.length_buckets(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op8_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
