@@ -518,7 +518,11 @@ PIECES = st.lists(st.sampled_from(["the", "in", " ", "  ", "\n", "\t", "\r\n", "
 def test_encoder_equals_the_library(parts):
     texts = ["".join(p) for p in parts]
     encoder = token_orc.encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    assert [np.frombuffer(x, np.int32).tolist() for x in encoder.encode(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    column = pa.array([*texts, None])
+    ids, ends = encoder.encode(column.slice(0), np.array([7], np.int32).tobytes())
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [*(x + [7] for x in want), [7]]
+    assert encoder.sizes(column.slice(1)).tolist() == [*map(len, want[1:]), 0]
 
 
 TRIE = trie_bpe.load(public_tokenizers.path("word_bpe_49k.json"))

@@ -23,6 +23,7 @@ from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,25 +35,25 @@ MEMO = 350_000
 RUN = 1000
 #: Bytes of a stripe, rows of an index entry, false positives of the Bloom filters, and the codec.
 STRIPE, STRIDE, FALSE_POSITIVES, CODEC = 16 << 20, 1000, 0.01, "zstd"
-#: White space other than a lone space makes borders doubtful only next to a space.
-DOUBTFUL_ASCII = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ", "\x1c ", "\x1d ", "\x1e ", "\x1f ")
-WIDE_SPACES = [chr(x) for x in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-DOUBTFUL = re.compile(r"\s (?!\S)|  | $")
+#: Fixed value: white space as Unicode has it. A border before a space is in doubt after any of it, and at the text's end.
+SPACES = r"\t-\r\x1c- \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SCHEMA = "doc_id long, shard int, file_start long, n_tokens long, ids array<int>"
 
 
 class Encoder:
     """The library's tokenizer with the ids of recent pieces, in two generations: what the older one still serves moves to the newer."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        specials = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.doubtful = "|".join([f"[{SPACES}] ", r" \z", *specials])
         self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.bytes[i] = len(token)  # each character stands for a byte
+        self.memo = memo
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -62,12 +63,6 @@ class Encoder:
         flat = np.fromiter(chain.from_iterable(ids), np.int32, ends[-1]).tobytes()
         return [flat[4 * a : 4 * b] for a, b in zip(ends, ends[1:])]
 
-    def _whole(self, text: str) -> bool:
-        """Whether the text must go to the library whole."""
-        if text[-1] == " " or any(x in text for x in DOUBTFUL_ASCII) or any(s in text for s in self.specials):
-            return True
-        return not text.isascii() and any(x in text for x in WIDE_SPACES) and DOUBTFUL.search(text) is not None
-
     def _learn(self, pieces: set[str]) -> None:
         recent, older = self.recent, self.older
         for p in [p for p in pieces if p in older]:
@@ -91,40 +86,57 @@ class Encoder:
         flat, cuts = ids.tobytes(), [0, *(4 * (last + 1)).tolist()]
         return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers. Pieces are kept without the space before them; a text's first piece, which has none, isn't kept."""
-        if len(self.recent) > MEMO:
+    def _pieces(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Ids of the distinct pieces of some texts and of their beginnings, which of them each text's pieces are, one after the other, and where each text begins among these. What Arrow can do for all pieces at once isn't done piece by piece."""
+        if len(self.recent) > self.memo:
             self.recent, self.older = {}, self.recent
-        known, firsts, rows, gaps = self.recent, [], [], {}
-        for k, text in enumerate(texts):
-            first, *pieces = [text] if not text or self._whole(text) else text.split(" ")
-            found = list(map(known.get, pieces))
-            if None in found:
-                own, at = [], found.index(None)
-                try:
-                    while True:
-                        own.append((at, pieces[at]))
-                        at = found.index(None, at + 1)
-                except ValueError:
-                    gaps[k] = own
-            firsts.append(first)
-            rows.append(found)
-        self._learn({p for own in gaps.values() for _, p in own})
-        for k, own in gaps.items():
-            row = rows[k]
-            for at, p in own:
-                row[at] = known[p]
-        return [b"".join([first, *row]) for first, row in zip(self._batch(firsts), rows)]
-
-
-#: One encoder for each vocabulary in a Python worker, which runs many tasks.
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+        doubt = pc.match_substring_regex(texts, self.doubtful)
+        parts = pc.split_pattern(pc.if_else(doubt, "", texts), " ")
+        starts = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
+        words, begins = parts.flatten(), np.zeros(starts[-1], bool)
+        begins[starts[:-1]] = True
+        coded = words.filter(pa.array(~begins)).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        found = list(map(self.recent.get, distinct))
+        gaps = [k for k, x in enumerate(found) if x is None]
+        self._learn({distinct[k] for k in gaps})
+        for k in gaps:
+            found[k] = self.recent[distinct[k]]
+        which = np.empty(len(words), np.int64)
+        which[~begins] = coded.indices.to_numpy()
+        which[begins] = np.arange(len(found), len(found) + len(texts))
+        found += self._batch(pc.if_else(doubt, texts, words.take(pa.array(starts[:-1]))).to_pylist())
+        return found, which, starts
+
+    def sizes(self, texts: pa.Array) -> np.ndarray:
+        """Numbers of ids of each text; null as empty."""
+        if not len(texts):
+            return np.zeros(0, np.int64)
+        found, which, starts = self._pieces(pc.fill_null(texts, ""))
+        return np.add.reduceat(np.array([len(x) // 4 for x in found], np.int64)[which], starts[:-1])
+
+    def encode(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other and each followed by `end` (ids as little-endian 32-bit integers), and where each text's begin and the last ones end; null as empty."""
+        if not len(texts):
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        found, which, starts = self._pieces(pc.fill_null(texts, ""))
+        which = np.insert(which, starts[1:], len(found))  # the last of the rows to take
+        found.append(end)
+        lengths = np.array([len(x) // 4 for x in found], np.int64)
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        rows = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
+        sizes = np.add.reduceat(lengths[which], starts[:-1] + np.arange(len(texts)))
+        return rows.take(pa.array(which)).flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+
+
+#: One encoder for each vocabulary and size of memory in a Python worker, which runs many tasks.
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, memo: int = MEMO) -> Encoder:
+    if (path, memo) not in _ENCODERS:
+        _ENCODERS[path, memo] = Encoder(path, memo)
+    return _ENCODERS[path, memo]
 
 
 def _encode(path: str, end_id: int):
@@ -134,11 +146,9 @@ def _encode(path: str, end_id: int):
         own, total = encoder(path), 0
         for batch in batches:
             with common.uncollected():
-                rows = [x + end for x in own.encode(common.text_of(batch.column(1)))]
-            sizes = np.array([len(x) // 4 for x in rows], np.int64)
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(total + ends[:-1]), pa.array(sizes), ids], ["doc_id", "shard", "file_start", "n_tokens", "ids"])
+                flat, ends = own.encode(batch.column(1), end)
+            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(total + ends[:-1]), pa.array(np.diff(ends)), ids], ["doc_id", "shard", "file_start", "n_tokens", "ids"])
             total += int(ends[-1])
 
     return run
