@@ -36,10 +36,8 @@ VALUES, MISS = 100, 1e-5
 CHUNK, MEMO = 8192, 300_000
 #: Bits of an odd sketch: the power of two that a set's size reaches, between these.
 LEAST_BITS, MOST_BITS = 1024, 16_384
-#: Classes of a bucket that are compared with one central class, about; classes of a block, about, and those compared at once.
-STAR, BLOCK, TILE = 256, 4096, 256
-#: Pairs of ids that may be broadcast.
-BROADCAST_PAIRS = 50_000
+#: Classes of a bucket that are compared with one central class, about; classes of a block at least, about, and how many times the root of a bucket's size if that is more; classes compared at once.
+STAR, BLOCK, ROOTS, TILE = 256, 512, 8, 256
 
 _RNG = np.random.default_rng(20240229)
 MULTIPLIERS = _RNG.integers(1 << 62, dtype=np.uint64, size=VALUES // 2) * np.uint64(2) + np.uint64(1)
@@ -151,7 +149,7 @@ def _sketched(percent: int):
                 one, other = folded([x, y], size)
                 apart.append(int(np.bitwise_count(one ^ other).sum()))
             keep = may_link(batch.column(2).to_numpy(), batch.column(3).to_numpy(), np.array(apart, np.int64), percent)
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1, 6)], ["a", "b", "ca"])
 
     return run
 
@@ -177,8 +175,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     """Those of the pairs (a, b) of row numbers whose full sets are similar enough, as (u, v). texts: row, text."""
     wanted = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row")))
     ours = common.saved(texts.where(common.may_be_in(wanted, F.col("row"))).select("row", "text"), "dedup-texts")
-    few = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
-    joined = few.join(ours.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b").join(ours.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
+    joined = pairs.join(ours.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b").join(ours.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
     found = common.saved(joined.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), "u long, v long"), "dedup-links")
     common.drop(ours)
     return found
@@ -213,13 +210,13 @@ def _with_components(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _central_pairs(buckets: DataFrame, percent: int) -> DataFrame:
-    """(a, na, b, nb): each class with the most central one of its chunk, and that with the most central one of the bucket. buckets: key, chunk, rep, n, central."""
+    """(a, ca, na, b, nb): each class with the most central one of its chunk, and that with the most central one of the bucket; ca tells how central a is. buckets: key, chunk, rep, n, central."""
     best = F.max(F.struct("central", (-F.col("rep")).alias("minus"), "n")).alias("_p")
     centers = common.saved(buckets.groupBy("key", "chunk").agg(best).select("key", "chunk", F.col("_p.central").alias("central"), (-F.col("_p.minus")).alias("rep"), F.col("_p.n").alias("n")), "centers")
-    top = centers.groupBy("key").agg(best, F.count(F.lit(1)).alias("_c")).where("_c > 1").select("key", (-F.col("_p.minus")).alias("a"), F.col("_p.n").alias("na"))
-    stars = [buckets.select("key", "chunk", F.col("rep").alias("b"), F.col("n").alias("nb")).join(centers.select("key", "chunk", F.col("rep").alias("a"), F.col("n").alias("na")), ["key", "chunk"])]
+    top = centers.groupBy("key").agg(best, F.count(F.lit(1)).alias("_c")).where("_c > 1").select("key", (-F.col("_p.minus")).alias("a"), F.col("_p.central").alias("ca"), F.col("_p.n").alias("na"))
+    stars = [buckets.select("key", "chunk", F.col("rep").alias("b"), F.col("n").alias("nb")).join(centers.select("key", "chunk", F.col("rep").alias("a"), F.col("central").alias("ca"), F.col("n").alias("na")), ["key", "chunk"])]
     stars.append(centers.select("key", F.col("rep").alias("b"), F.col("n").alias("nb")).join(common.redealt(top, "key"), "key"))
-    found = [x.where(f"a <> b and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "na", "b", "nb") for x in stars]
+    found = [x.where(f"a <> b and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "ca", "na", "b", "nb") for x in stars]
     pairs = common.saved(found[0].union(found[1]).distinct(), "star-pairs")
     common.drop(centers)
     return pairs
@@ -277,7 +274,7 @@ def _across(buckets: DataFrame, classes: DataFrame, labels: DataFrame | None, pe
     """(a, b): pairs of classes that share a bucket, have different components and may be links. A bucket of many such classes is cut into chunks, of which two make a block."""
     rows = common.saved(_with_components(buckets.select("key", "rep", "n"), labels), "labelled-buckets")
     several = rows.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_size")).where("_low < _high")
-    apart = common.saved(rows.join(common.redealt(several.select("key", F.ceil(F.col("_size") / BLOCK).cast("int").alias("chunks")), "key"), "key"), "apart")
+    apart = common.saved(rows.join(common.redealt(several.select("key", F.ceil(F.col("_size") / F.greatest(F.lit(float(BLOCK)), ROOTS * F.sqrt("_size"))).cast("int").alias("chunks")), "key"), "key"), "apart")
     common.drop(rows)
     dealt = apart.join(classes.select("rep", "sketch"), "rep").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -301,19 +298,28 @@ def verdicts(given: DataFrame, width: int, percent: int) -> DataFrame:
     signed = common.saved(given.select("row", "doc_id", "text").mapInArrow(_signatures(width, rows_per_band(percent / 100)), "row long, doc_id long, n_shingles long, same binary, bands array<long>, sketch binary"), "signatures")
     ident = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     reps = common.saved(signed.where("n_shingles > 0").groupBy("same").agg(F.min("row").alias("rep"), F.min(ident).alias("least")), "classes")
-    classes = common.saved(signed.join(reps.select(F.col("rep").alias("row")), "row").select(F.col("row").alias("rep"), F.col("n_shingles").alias("n"), "bands", "sketch"), "class-sketches")
+    # signatures are wide, and most rows have no copy: only rows that may be copies are shuffled to be told from their class's first, only keys that may be shared to meet their sizes, and only sketches that may be asked for
+    copies = common.saved(signed.select("row", "same").join(reps.select("same", "rep"), "same").where("row <> rep").select("row"), "copies")
+    maybe = common.may_be_in(copies, F.col("row"))
+    shingled = signed.where("n_shingles > 0").select("row", "n_shingles", "bands", "sketch")
+    classes = shingled.where(~maybe).unionByName(shingled.where(maybe).join(copies, "row", "left_anti")).select(F.col("row").alias("rep"), F.col("n_shingles").alias("n"), "bands", "sketch")
+    classes = common.saved(classes, "class-sketches")
     rows = classes.select("rep", "n", F.explode("bands").alias("key"))
     sizes = common.saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket-sizes")
-    crowded = common.saved(rows.join(sizes, "key"), "buckets")
+    crowded = common.saved(rows.where(common.may_be_in(sizes.select("key"), F.col("key"))).join(sizes, "key"), "buckets")
     central = crowded.groupBy("rep").agg(F.sum("size").alias("central"))
     chunk = F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("size") / STAR)).cast("int")
     buckets = common.saved(crowded.join(central, "rep").select("key", chunk.alias("chunk"), "rep", "n", "central"), "central-buckets")
-    common.drop(sizes, crowded)
+    wanted = common.may_be_in(buckets.select("rep"), F.col("rep"))
+    every, classes = classes, common.saved(classes.select("rep", "sketch").where(wanted), "bucket-sketches")
+    common.drop(sizes, crowded, copies, every)
     links = labels = None
     stars = _central_pairs(buckets, percent)
     sketches = [classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
-    near = stars.join(sketches[1], "b").join(sketches[0], "a").select("a", "b", "na", "nb", "sketch_a", "sketch_b")
-    pairs = common.saved(near.mapInArrow(_sketched(percent), "a long, b long"), "pairs")
+    near = stars.join(sketches[1], "b").join(sketches[0], "a").select("a", "b", "na", "nb", "sketch_a", "sketch_b", "ca")
+    # of the stars that a class may be linked with, the most central one; what that leaves apart, the blocks compare
+    best = near.mapInArrow(_sketched(percent), "a long, b long, ca long").groupBy("b").agg(F.max(F.struct("ca", (-F.col("a")).alias("minus"))).alias("_p"))
+    pairs = common.saved(best.select((-F.col("_p.minus")).alias("a"), "b"), "pairs")
     if not pairs.isEmpty():
         links = confirmed(pairs, given, width, percent)
         labels = components(links)
