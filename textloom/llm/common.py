@@ -167,6 +167,18 @@ def uncollected() -> Iterator[None]:
             gc.enable()
 
 
+def grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Some batches after each other as one, for work that gains from more rows at once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if len(held) == size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def text_of(column: pa.Array) -> list[str]:
     """Python strings of a text column, null as empty."""
     return [x or "" for x in column.to_pylist()]

@@ -32,7 +32,7 @@ MEMO = 700_000
 def _lengths(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = token_orc.encoder(tokenizer, MEMO)
-        for batch in batches:
+        for batch in common.grouped(batches, token_orc.GROUP):
             with common.uncollected():
                 sizes = own.sizes(batch.column(1)) + 1
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes)], ["doc_id", "n_tokens"])

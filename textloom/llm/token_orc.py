@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Pieces of a generation that a Python worker remembers, besides those of one batch.
-MEMO = 350_000
-#: New pieces that are encoded as one text.
-RUN = 1000
+MEMO = 300_000
+#: Batches whose texts are encoded together.
+GROUP = 1
+#: New pieces that are encoded as one text, and texts encoded at once: what the library makes of them takes far more memory than their ids.
+RUN, RUNS = 500, 32
 #: Bytes of a stripe, rows of an index entry, false positives of the Bloom filters, and the codec.
 STRIPE, STRIDE, FALSE_POSITIVES, CODEC = 16 << 20, 1000, 0.01, "zstd"
 #: Fixed value: white space as Unicode has it. A border before a space is in doubt after any of it, and at the text's end.
@@ -63,26 +65,33 @@ class Encoder:
         flat = np.fromiter(chain.from_iterable(ids), np.int32, ends[-1]).tobytes()
         return [flat[4 * a : 4 * b] for a, b in zip(ends, ends[1:])]
 
-    def _learn(self, pieces: set[str]) -> None:
-        recent, older = self.recent, self.older
-        for p in [p for p in pieces if p in older]:
-            recent[p] = older[p]
-            pieces.discard(p)
-        alone = [p for p in pieces if p[-1].isspace()]
-        joined = [p for p in pieces if not p[-1].isspace()]
-        recent.update(zip(alone, self._batch([" " + p for p in alone])))
-        recent.update(zip(joined, self._joined([" " + p for p in joined])))
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces that the newer generation lacks, each with a space before it."""
+        found = list(map(self.older.get, pieces))
+        new = [p for p, x in zip(pieces, found) if x is None]
+        joined = [p for p in new if not p[-1:].isspace()]
+        ids = dict(zip(joined, self._joined(joined)))
+        if len(joined) < len(new):
+            alone = [p for p in new if p[-1:].isspace()]
+            ids.update(zip(alone, self._batch([" " + p for p in alone])))
+        if ids:
+            found = [ids[p] if x is None else x for p, x in zip(pieces, found)]
+        self.recent.update(zip(pieces, found))
+        return found
 
     def _joined(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that begin with a space and don't end with white space: they are encoded in runs, and the bytes that tokens stand for tell where each piece ends."""
+        """Ids of pieces that don't end with white space, each with a space before it: they are encoded in runs, and the bytes that tokens stand for tell where each piece ends."""
         if not pieces:
             return []
-        runs = self.tokenizer.encode_batch_fast(["".join(pieces[k : k + RUN]) for k in range(0, len(pieces), RUN)], add_special_tokens=False)
-        ids = np.concatenate([np.array(x.ids, np.int32) for x in runs])
-        ends, stops = np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) for p in pieces])
+        runs, rows = [" " + " ".join(pieces[k : k + RUN]) for k in range(0, len(pieces), RUN)], []
+        for k in range(0, len(runs), RUNS):
+            found = self.tokenizer.encode_batch_fast(runs[k : k + RUNS], add_special_tokens=False)
+            rows.append(np.fromiter(chain.from_iterable(x.ids for x in found), np.int32))
+        ids = np.concatenate(rows)
+        ends, stops = np.cumsum(self.bytes[ids]), np.cumsum(pc.binary_length(pa.array(pieces, pa.string())).to_numpy().astype(np.int64) + 1)
         last = np.minimum(np.searchsorted(ends, stops), len(ends) - 1)
         if not np.array_equal(ends[last], stops):  # a token that spans the border of two pieces: never so with a byte-level splitter
-            return self._batch(pieces)
+            return self._batch([" " + p for p in pieces])
         flat, cuts = ids.tobytes(), [0, *(4 * (last + 1)).tolist()]
         return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
 
@@ -99,9 +108,8 @@ class Encoder:
         distinct = coded.dictionary.to_pylist()
         found = list(map(self.recent.get, distinct))
         gaps = [k for k, x in enumerate(found) if x is None]
-        self._learn({distinct[k] for k in gaps})
-        for k in gaps:
-            found[k] = self.recent[distinct[k]]
+        for k, x in zip(gaps, self._learn([distinct[k] for k in gaps])):
+            found[k] = x
         which = np.empty(len(words), np.int64)
         which[~begins] = coded.indices.to_numpy()
         which[begins] = np.arange(len(found), len(found) + len(texts))
@@ -144,7 +152,7 @@ def _encode(path: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = encoder(path), 0
-        for batch in batches:
+        for batch in common.grouped(batches, GROUP):
             with common.uncollected():
                 flat, ends = own.encode(batch.column(1), end)
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
