@@ -255,6 +255,7 @@ def test_edits_equal_recounting(text, often, edits):
         text = text[:start] + new + text[start + size :]
         found, lengths, counts = tree.stored()
         assert (found, tree.n_chars, tree.n_tokens) == (text, len(text), library_count(text)) == (found, sum(lengths), sum(counts))
+        assert list(lengths) == list(map(len, COUNTER.cut(text)))
         assert all(0 < len(x.lengths) <= edit_counts.LEAF for x in edit_counts.leaves(tree.tree))
 
 

@@ -20,10 +20,12 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,17 +67,18 @@ class Counter:
             at = m.end()
         return out + PATTERN.findall(text[at:])
 
-    def learn(self, tokens: Iterable[str]) -> None:
-        """Count those that aren't known yet, all in one call."""
-        new = [t for t in set(tokens) if t not in self.known]
-        self.known.update(zip(new, [len(x) for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]))
-
-    def counts(self, tokens: list[str]) -> list[int]:
+    def counts(self, tokens: list[str]) -> np.ndarray:
+        """Numbers of ids of pre-tokens; those not yet known are counted in one call."""
         found = list(map(self.known.get, tokens))
         if None in found:
-            self.learn(tokens)
+            new = list({t for t, n in zip(tokens, found) if n is None})
+            self.known.update(zip(new, [len(x) for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]))
             found = list(map(self.known.get, tokens))
-        return found
+        return np.array(found, np.int32)
+
+
+def sizes(tokens: list[str]) -> np.ndarray:
+    return np.fromiter(map(len, tokens), np.int32, len(tokens))
 
 
 class Leaf:
@@ -83,9 +86,9 @@ class Leaf:
 
     __slots__ = ("text", "lengths", "counts", "chars", "tokens", "height")
 
-    def __init__(self, text: str, lengths: list[int], counts: list[int]):
+    def __init__(self, text: str, lengths: np.ndarray, counts: np.ndarray, tokens: int):
         self.text, self.lengths, self.counts = text, lengths, counts
-        self.chars, self.tokens, self.height = len(text), sum(counts), 0
+        self.chars, self.tokens, self.height = len(text), tokens, 0
 
 
 class Node:
@@ -170,28 +173,27 @@ def leaves(tree: Tree | None) -> Iterator[Leaf]:
             todo += [node.right, node.left]
 
 
-def cut_leaves(text: str, lengths: list[int], counts: list[int]) -> list[Leaf]:
+def cut_leaves(text: str, lengths: np.ndarray, counts: np.ndarray) -> list[Leaf]:
     """Leaves of at most LEAF pre-tokens, of about the same size."""
     n = -(-len(lengths) // LEAF)
-    out, at = [], 0
-    for k in range(n):
-        a, b = k * len(lengths) // n, (k + 1) * len(lengths) // n
-        size = sum(lengths[a:b])
-        out.append(Leaf(text[at : at + size], lengths[a:b], counts[a:b]))
-        at += size
-    return out
+    if n < 2:
+        return [Leaf(text, lengths, counts, int(counts.sum()))] if n else []
+    cuts = np.arange(n + 1) * len(lengths) // n
+    chars = np.concatenate([[0], np.cumsum(np.add.reduceat(lengths, cuts[:-1], dtype=np.int64))]).tolist()
+    tokens, cuts = np.add.reduceat(counts, cuts[:-1], dtype=np.int64).tolist(), cuts.tolist()
+    return [Leaf(text[chars[k] : chars[k + 1]], lengths[cuts[k] : cuts[k + 1]], counts[cuts[k] : cuts[k + 1]], tokens[k]) for k in range(n)]
 
 
 class CountTree:
     """The tree of one text."""
 
-    def __init__(self, text: str, lengths: list[int], counts: list[int]):
+    def __init__(self, text: str, lengths: np.ndarray, counts: np.ndarray):
         self.tree = of_leaves(cut_leaves(text, lengths, counts))
 
     @classmethod
     def of(cls, text: str, counter: Counter) -> CountTree:
         tokens = counter.cut(text)
-        return cls(text, list(map(len, tokens)), counter.counts(tokens))
+        return cls(text, sizes(tokens), counter.counts(tokens))
 
     @property
     def n_tokens(self) -> int:
@@ -201,10 +203,11 @@ class CountTree:
     def n_chars(self) -> int:
         return self.tree.chars if self.tree else 0
 
-    def stored(self) -> tuple[str, list[int], list[int]]:
+    def stored(self) -> tuple[str, np.ndarray, np.ndarray]:
         """Text, lengths and counts of the pre-tokens."""
         found = list(leaves(self.tree))
-        return "".join(x.text for x in found), [n for x in found for n in x.lengths], [n for x in found for n in x.counts]
+        none = [np.zeros(0, np.int32)]
+        return "".join(x.text for x in found), np.concatenate([x.lengths for x in found] or none), np.concatenate([x.counts for x in found] or none)
 
     def edit(self, start: int, end: int, new: str, counter: Counter) -> int:
         """Replace the characters from start to end by others; returns how many pre-tokens were encoded."""
@@ -212,28 +215,32 @@ class CountTree:
         end = max(start, min(end, self.n_chars))
         before, rest = split(self.tree, start - 1)
         at = before.chars if before else 0
-        text, lengths, counts = "", [], []
+        held: list[Leaf] = []
         # pre-tokens before the edit: as many as its change may reach
         reach, back = start - 1 - counter.reach, 0
         while before is not None and (at > reach or back < BACK):
             leaf, before = _pop(before, True)
             at -= leaf.chars
-            text, lengths, counts = leaf.text + text, leaf.lengths + lengths, leaf.counts + counts
+            held.insert(0, leaf)
             back += len(leaf.lengths) if at <= reach else 0
-        ahead = LEAF
+        stand, ahead = at + sum(x.chars for x in held), LEAF
         while True:
             # pre-tokens after it: up to its end and some more
             taken = 0
-            while rest is not None and (at + len(text) < end or taken < ahead):
+            while rest is not None and (stand < end or taken < ahead):
                 leaf, rest = _pop(rest, False)
-                taken += len(leaf.lengths) if at + len(text) >= end else 0
-                text, lengths, counts = text + leaf.text, lengths + leaf.lengths, counts + leaf.counts
+                taken += len(leaf.lengths) if stand >= end else 0
+                stand += leaf.chars
+                held.append(leaf)
+            text = "".join([x.text for x in held])
+            lengths, counts = (np.concatenate([np.zeros(0, np.int32), *c]) for c in ([x.lengths for x in held], [x.counts for x in held]))
             borders = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]) + at
             first = max(0, int(np.searchsorted(borders, min(reach, start), "right")) - 1 - BACK)
             base = int(borders[first]) - at
             region = text[base : start - at] + new + text[end - at :]
             shift = len(new) - (end - start)
-            old = {int(b) - at - base + shift: k for k, b in enumerate(borders) if b >= end}
+            behind = int(np.searchsorted(borders, end))
+            old = {b: k for k, b in enumerate((borders[behind:] - at - base + shift).tolist(), behind)}
             sure = len(region) if rest is None else len(region) - counter.reach - 4
             tokens, place, stop = [], 0, None
             if 0 in old:
@@ -249,11 +256,11 @@ class CountTree:
                 break
             ahead *= 4
         edited = text[: start - at] + new + text[end - at :]
-        lengths = lengths[:first] + list(map(len, tokens)) + lengths[stop:]
-        counts = counts[:first] + counter.counts(tokens) + counts[stop:]
+        lengths = np.concatenate([lengths[:first], sizes(tokens), lengths[stop:]])
+        counts = np.concatenate([counts[:first], counter.counts(tokens), counts[stop:]])
         if rest is not None and len(lengths) < LEAF // 4:  # so that small leaves don't pile up
             leaf, rest = _pop(rest, False)
-            edited, lengths, counts = edited + leaf.text, lengths + leaf.lengths, counts + leaf.counts
+            edited, lengths, counts = edited + leaf.text, np.append(lengths, leaf.lengths), np.append(counts, leaf.counts)
         self.tree = joined(joined(before, of_leaves(cut_leaves(edited, lengths, counts))), rest)
         return len(tokens)
 
@@ -274,8 +281,8 @@ def _counter(path: str) -> Counter:
 TREES = "doc_id long, text string, lengths array<int>, counts array<int>"
 
 
-def _lists(rows: list[list[int]]) -> pa.Array:
-    return pa.array(rows, pa.list_(pa.int32()))
+def _lists(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values, pa.int32()))
 
 
 def _build(path: str):
@@ -284,9 +291,10 @@ def _build(path: str):
             with common.uncollected():
                 counter, texts = _counter(path), common.text_of(batch.column(1))
                 cut = [counter.cut(x) for x in texts]
-                counter.learn({t for tokens in cut for t in tokens if t not in counter.known})
-                lengths, counts = [list(map(len, tokens)) for tokens in cut], [counter.counts(tokens) for tokens in cut]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), _lists(lengths), _lists(counts)], ["doc_id", "text", "lengths", "counts"])
+                ends = np.concatenate([[0], np.cumsum(sizes(cut), dtype=np.int64)])
+                flat = list(chain.from_iterable(cut))
+                lengths, counts = sizes(flat), counter.counts(flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), _lists(ends, lengths), _lists(ends, counts)], ["doc_id", "text", "lengths", "counts"])
 
     return run
 
@@ -296,19 +304,33 @@ def build_trees(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_build(path), TREES)
 
 
-def _edited(path: str):
+def _rows(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column; null as empty."""
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))])
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    return [values[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+
+
+def _edited(path: str, kept: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             with common.uncollected():
-                counter, rows = _counter(path), []
-                for text, lengths, counts, edits in zip(*[batch.column(k).to_pylist() for k in range(1, 5)]):
-                    tree = CountTree(text or "", lengths or [], counts or [])
-                    old = (len(lengths or []), tree.n_tokens)
+                counter, numbers, trees = _counter(path), [], []
+                for text, lengths, counts, edits in zip(common.text_of(batch.column(1)), _rows(batch.column(2)), _rows(batch.column(3)), batch.column(4).to_pylist()):
+                    tree = CountTree(text, lengths, counts)
+                    old = (len(lengths), tree.n_tokens)
                     again = sum(tree.edit(e["start"], e["end"], e["text"], counter) for e in edits or ())
-                    rows.append((*tree.stored(), *old, tree.n_chars, tree.n_tokens, again))
-            texts, lengths, counts, *numbers = zip(*rows) if rows else [()] * 8
-            columns = [batch.column(0), pa.array(texts, pa.string()), _lists(lengths), _lists(counts), *[pa.array(c, pa.int64()) for c in numbers]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "lengths", "counts", *NUMBERS])
+                    numbers.append((*old, tree.n_chars, tree.n_tokens, again))
+                    if kept:
+                        trees.append(tree.stored())
+            columns, names = [batch.column(0)], ["doc_id"]
+            if kept:
+                ends = np.concatenate([[0], np.cumsum([len(x) for _, x, _ in trees], dtype=np.int64)])
+                none = np.zeros(0, np.int32)
+                columns += [pa.array([x for x, _, _ in trees], pa.string()), *[_lists(ends, np.concatenate([none, *(t[k] for t in trees)])) for k in (1, 2)]]
+                names += ["text", "lengths", "counts"]
+            columns += [pa.array(c, pa.int64()) for c in zip(*numbers)] if numbers else [pa.array([], pa.int64())] * len(NUMBERS)
+            yield pa.RecordBatch.from_arrays(columns, [*names, *NUMBERS])
 
     return run
 
@@ -317,11 +339,11 @@ NUMBERS = ("n_pretokens", "n_tokens", "edited_chars", "edited_tokens", "n_reenco
 EDITS = "array<struct<start: bigint, end: bigint, text: string>>"
 
 
-def with_edits(trees: DataFrame, edits: Column, path: str) -> DataFrame:
-    """The trees after the edits of a column (EDITS) of theirs, with n_pretokens and n_tokens before them, edited_chars and edited_tokens after them, and n_reencoded, the pre-tokens encoded for them. A row is edited where it lies."""
+def with_edits(trees: DataFrame, edits: Column, path: str, kept: bool = True) -> DataFrame:
+    """The trees after the edits of a column (EDITS) of theirs, or, where they aren't kept, doc_id alone, with n_pretokens and n_tokens before them, edited_chars and edited_tokens after them, and n_reencoded, the pre-tokens encoded for them. A row is edited where it lies."""
     given = F.filter(edits, lambda e: e["start"].isNotNull() & e["end"].isNotNull())
     own = F.transform(given, lambda e: F.struct(e["start"].cast("long").alias("start"), e["end"].cast("long").alias("end"), F.coalesce(e["text"], F.lit("")).alias("text")))
-    return trees.select("doc_id", "text", "lengths", "counts", own.cast(EDITS).alias("edits")).mapInArrow(_edited(path), TREES + "".join(f", {n} long" for n in NUMBERS))
+    return trees.select("doc_id", "text", "lengths", "counts", own.cast(EDITS).alias("edits")).mapInArrow(_edited(path, kept), (TREES if kept else "doc_id long") + "".join(f", {n} long" for n in NUMBERS))
 
 
 def apply_edits(trees: DataFrame, edits: DataFrame, path: str) -> DataFrame:
@@ -345,4 +367,4 @@ def sample_edits(text: Column) -> Column:
 def edit_counts(docs: DataFrame, path: str, edits: Callable[[Column], Column] = sample_edits, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Build and keep the trees of all documents, apply to them the edits that a function of the text gives, and return doc_id and the numbers of with_edits."""
     trees = common.saved(build_trees(docs, path, id_col, text_col), "count-trees")
-    return with_edits(trees, edits(F.coalesce(F.col("text"), F.lit(""))), path).select("doc_id", *NUMBERS)
+    return with_edits(trees, edits(F.coalesce(F.col("text"), F.lit(""))), path, kept=False)
