@@ -98,3 +98,36 @@ def test_mixture_goes_round(spark):
     rows = shards.mixed(docs, spark.createDataFrame([("a", 3.0), ("b", 1.0)], "source string, weight double"), 40).orderBy("slot").collect()
     assert len(rows) == 40
     assert [r.doc_id for r in rows if r.source == "a"][:4] == [1, 2, 1, 2]
+
+
+def test_document_ids_against_a_loop(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [[rng.choice((1, 1, 5, 6, 0)) for _ in range(rng.randrange(40))] for _ in range(60)] + [[], None]
+    out = spark.createDataFrame(list(enumerate(rows)), "i int, x array<int>").select("i", "x", samples.document_ids(F.col("x"), 1).alias("d")).collect()
+    for r in out:
+        want, n = [], -1
+        for t in r.x or []:
+            n += t == 1
+            want.append(max(n, 0))
+        assert r.d == (None if r.x is None else want)
+
+
+def test_ranks_and_ties(spark):
+    from textloom.operators import ranks
+
+    rows = [("a" if k % 3 else None, k % 5, k) for k in range(200)]
+    df = spark.createDataFrame(rows, "g string, x int, _row int").repartition(5)
+    out = ranks.numbered(df, "g", [F.col("x")], "place").collect()
+    for g in ("a", None):
+        own = sorted((r.place, r.x) for r in out if r.g == g)
+        assert [p for p, _ in own] == list(range(len(own))) and [x for _, x in own] == sorted(x for _, x in own)
+    plan = metrics.prefix_split(df, 0.5, "x")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_missing_shards_of_a_manifest(spark):
+    rows = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, shard int")
+    manifest = spark.createDataFrame([(0, "val"), (1, "train")], "shard int, split string")
+    assert sorted(r.doc_id for r in shards.of_training(rows, manifest).collect()) == [2, 3]

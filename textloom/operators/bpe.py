@@ -7,7 +7,9 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from textloom.shipping import ship
 
 #: Chunks whose ids a task remembers at most.
 MEMO = 200_000
+#: Entries of the queue for each pair that lives, beyond which it is built anew.
+REBUILD = 4
 
 
 @dataclass
@@ -48,13 +52,28 @@ class Vocabulary:
             if missing:
                 raise ValueError(f"the vocabulary has no {missing[0]!r}")
             ids = [self.index[c] for c in chunk]
-        never = len(self.tokens)
-        while len(ids) > 1:
-            made, at = min((self.ranks.get(pair, never), k) for k, pair in enumerate(zip(ids, ids[1:])))
-            if made == never:
-                break
-            ids[at : at + 2] = [made]
-        return ids
+        return self._merged(ids)
+
+    def _merged(self, ids: list[int]) -> list[int]:
+        """The ids after all merges: a queue of the neighbours that can be merged, over a linked list of places."""
+        ranks, n = self.ranks, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(made, k) for k, pair in enumerate(zip(ids, ids[1:])) if (made := ranks.get(pair)) is not None]
+        heapq.heapify(queue)
+        while queue:
+            made, k = heapq.heappop(queue)
+            right = after[k]
+            if ids[k] < 0 or right >= n or ranks.get((ids[k], ids[right])) != made:
+                continue  # one of the two has been merged since
+            ids[k], ids[right] = made, -1
+            after[k] = right = after[right]
+            if right < n:
+                before[right] = k
+                if (next_made := ranks.get((made, ids[right]))) is not None:
+                    heapq.heappush(queue, (next_made, k))
+            if (left := before[k]) >= 0 and (next_made := ranks.get((ids[left], made))) is not None:
+                heapq.heappush(queue, (next_made, left))
+        return [i for i in ids if i >= 0]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The tokens' text; bytes that aren't UTF-8 are replaced."""
@@ -92,6 +111,9 @@ class _Merger:
             if self.count.get(pair, 0) == -n and n:
                 return pair
             heapq.heappop(self.queue)
+            if len(self.queue) > REBUILD * len(self.count):  # mostly entries that are out of date
+                self.queue = [(-m, p) for p, m in self.count.items()]
+                heapq.heapify(self.queue)
         return None
 
     def merge(self, pair: tuple[int, int], made: int) -> None:
@@ -164,22 +186,28 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, memo = shared.value, {}
         for batch in batches:
-            ids = []
-            for chunks in batch.column(at).to_pylist():
-                if chunks is None:
-                    ids.append(None)
-                    continue
-                if len(memo) > MEMO:
-                    memo.clear()
-                row = list(first)
-                for chunk in chunks:
-                    found = memo.get(chunk)
-                    if found is None:
-                        found = memo[chunk] = own.encode_chunk(chunk)
-                    row += found
-                ids.append(row)
+            chunks = batch.column(at)
+            sizes = pc.fill_null(pc.list_value_length(chunks), 0).to_numpy(zero_copy_only=False)
+            coded = chunks.flatten().dictionary_encode()
+            if len(memo) > MEMO:
+                memo.clear()
+            rows = []
+            for chunk in coded.dictionary.to_pylist():  # each distinct chunk once
+                found = memo.get(chunk)
+                if found is None:
+                    found = memo[chunk] = own.encode_chunk(chunk)
+                rows.append(found)
+            which = coded.indices.to_numpy().astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            if first:
+                which, ends = np.insert(which, ends[:-1], len(rows)), ends + np.arange(len(ends))
+                rows.append(first)
+            starts = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)])
+            every = pa.LargeListArray.from_arrays(pa.array(starts), pa.array([i for r in rows for i in r], pa.int32()))
+            flat = every.take(pa.array(which)).flatten()
+            places = np.concatenate([[0], np.cumsum(np.diff(starts)[which])])[ends]
             columns = list(batch.columns)
-            columns[at] = pa.array(ids, pa.list_(pa.int32()))
+            columns[at] = pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), flat, mask=chunks.is_null())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     fields = [f"`{f.name}` {'array<int>' if k == at else f.dataType.simpleString()}" for k, f in enumerate(schema)]
@@ -193,8 +221,14 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: str
     at = df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = pa.array([t.encode() if isinstance(t, str) else t for t in shared.value.tokens], pa.large_binary())
         for batch in batches:
-            texts = [None if ids is None else shared.value.decode(ids) for ids in batch.column(at).to_pylist()]
+            ids = batch.column(at)
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
+            found = tokens.take(ids.flatten())  # their bytes lie one after the other, so a row's text is a slice
+            places, data = np.frombuffer(found.buffers()[1], np.int64)[: len(found) + 1], (found.buffers()[2] or b"")
+            data = memoryview(data)
+            texts = [None if null else str(data[places[a] : places[b]], "utf-8", "replace") for null, a, b in zip(ids.is_null().to_pylist(), ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
 
     return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` string")

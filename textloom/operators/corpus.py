@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -78,16 +80,9 @@ def missing_tokens(vocabulary: DataFrame, tokens: list[str]) -> list[str]:
 
 
 def file_subset(df: DataFrame, names: list[str] | None = None, indices: list[int] | None = None, first: int | None = None) -> DataFrame:
-    """Rows of some of the input files: of the names, those at the given places (places out of range are ignored; if none is left, all files stay) or the first few."""
-    names = sorted(names if names is not None else [r[0] for r in df.select(F.col("_metadata.file_name")).distinct().collect()])
+    """Rows of some of the input files: of the names, those at the given places (places out of range are ignored; if none is left, all files stay) or the first few; with both, the first few of the chosen. Names come from the plan's list of files, not from the rows."""
+    names = sorted(names if names is not None else [unquote(x.rsplit("/", 1)[-1]) for x in df.inputFiles()])
     if indices is not None:
-        chosen = [names[i] for i in indices if 0 <= i < len(names)] or names
-    else:
-        chosen = names[:first] if first else names
+        names = [names[i] for i in indices if 0 <= i < len(names)] or names
+    chosen = names[:first] if first else names
     return df.where(F.col("_metadata.file_name").isin(*chosen))
-
-
-def hash_order(key: Column, seed: Column | int) -> Column:
-    """What to sort by for a seeded shuffle that is the same on any cluster."""
-    seed = F.lit(seed) if isinstance(seed, int) else seed
-    return T.md5_number(key, seed)

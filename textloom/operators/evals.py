@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators import ranks
+
 
 def normalized(df: DataFrame, question: str, answers: str, label: str) -> DataFrame:
     """(question, answers, label): rows without a label go; nulls within stay nulls."""
@@ -41,6 +43,12 @@ def candidates(df: DataFrame, encode, bos_id: int, pad_id: int, block: int) -> D
     return rows.select("example_id", "label", "candidate", padded.alias("ids"), mask.alias("is_answer"))
 
 
+def scored(rows: DataFrame, scorer, encode, bos_id: int, pad_id: int, block: int) -> DataFrame:
+    """(acc, acc_norm, num_total) of examples (example_id, question, answers, label) under a model. scorer: a function from candidates (example_id, label, candidate, ids, is_answer) to losses (example_id, candidate, loss, is_answer), a row for each token; whatever runs the model goes there, such as mapInArrow over the padded ids."""
+    losses = scorer(candidates(rows, encode, bos_id, pad_id, block))
+    return accuracy(candidate_scores(losses), rows)
+
+
 def candidate_scores(losses: DataFrame) -> DataFrame:
     """(example_id, candidate, sum_loss, mean_loss) over the answer's tokens; without any the mean is 0."""
     own = F.when(F.col("is_answer"), F.col("loss").cast("double"))
@@ -60,5 +68,5 @@ def first_examples(df: DataFrame, n: int, order: str = "example_id") -> DataFram
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """With example_id: the row's place in the order, from 0. For evaluation sets, which are small."""
-    return df.withColumn("example_id", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+    """With example_id: the row's place in the order, from 0."""
+    return ranks.numbered(df, None, [F.col(c) for c in order], "example_id")

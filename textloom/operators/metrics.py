@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators import ranks
+
 
 def running_best(metrics: DataFrame, loss: str = "v_loss", run: str = "run") -> DataFrame:
     """Validation rows with the least loss so far in their run and whether they set it."""
@@ -47,10 +49,7 @@ def activation_stats(vectors: DataFrame, values: str = "embedding") -> DataFrame
 
 
 def prefix_split(df: DataFrame, share: float, *order: str) -> DataFrame:
-    """With `split`: train for the first part of the order, val for the rest. The order is global: ranks come from a sort by range, not from one task."""
-    total = df.count()
-    bound = int(share * total)
-    ordered = df.orderBy(*order)
-    cut = ordered.limit(bound).withColumn("split", F.lit("train"))
-    rest = ordered.offset(bound).withColumn("split", F.lit("val"))
-    return cut.unionByName(rest)
+    """With `split`: train for the first part of the global order, val for the rest. Places come from sorted ranges and their offsets, never from one task."""
+    placed = ranks.numbered(df, None, [F.col(c) for c in order], "_place")
+    bound = int(share * placed.count())
+    return placed.withColumn("split", F.when(F.col("_place") < bound, "train").otherwise("val")).drop("_place")

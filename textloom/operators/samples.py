@@ -40,10 +40,12 @@ def shifted(tokens: Column, block: int, pad: int) -> Column:
 
 
 def document_ids(x: Column, bos: int) -> Column:
-    """For each place the number of delimiters up to it, less one, and 0 at least; padding keeps the last number. One pass: a fold that appends."""
-    start = F.struct(F.lit(-1).alias("n"), F.array().cast("array<int>").alias("out"))
-    step = lambda a, t: F.struct((a["n"] + (t == bos).cast("int")).alias("n"), F.concat(a["out"], F.array(F.greatest(a["n"] + (t == bos).cast("int"), F.lit(0)))).alias("out"))
-    return F.aggregate(x, start, step, lambda a: a["out"])
+    """For each place the number of delimiters up to it, less one, and 0 at least; padding keeps the last number. Runs between delimiters are repeated, so it takes time in proportion to the places."""
+    places = F.filter(F.transform(x, lambda t, i: F.when(t == bos, i)), lambda i: i.isNotNull())
+    begins = F.concat(F.array(F.lit(0)), F.slice(places, 2, F.greatest(F.size(places) - 1, F.lit(0))))
+    ends = F.concat(F.slice(places, 2, F.greatest(F.size(places) - 1, F.lit(0))), F.array(F.size(x)))
+    runs = F.transform(F.arrays_zip(begins.alias("begin"), ends.alias("end")), lambda s, k: F.array_repeat(k, s["end"] - s["begin"]))
+    return F.when(x.isNotNull(), F.flatten(runs))
 
 
 def loss_mask(x: Column, y: Column, pad: int) -> Column:
@@ -68,9 +70,14 @@ def truncated(tokens: Column, block: int) -> Column:
     return F.slice(tokens, 1, block)
 
 
+def random_start(tokens: Column, block: int, draw: Column) -> Column:
+    """Where a run of `block` tokens begins, by a draw from [0, 1)."""
+    return F.floor(draw * F.greatest(F.size(tokens) - block, F.lit(1))).cast("int")
+
+
 def random_block(tokens: Column, block: int, draw: Column) -> Column:
     """A run of `block` tokens and its successor, at a place given by a draw from [0, 1)."""
-    place = F.floor(draw * F.greatest(F.size(tokens) - block, F.lit(1))).cast("int")
+    place = random_start(tokens, block, draw)
     return F.struct(F.slice(tokens, place + 1, block).alias("x"), F.slice(tokens, place + 2, block).alias("y"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators import ranks
 
 
 def scattered(docs: DataFrame, shards: int, seed: int = 42, key: str = "doc_id") -> DataFrame:
@@ -47,8 +48,19 @@ def epoch_order(shards: DataFrame, epochs: int, seed: int = 42, skip: int = 0, k
 
 
 def shuffled_documents(docs: DataFrame, seed: int = 42, shard: str = "shard", key: str = "doc_id") -> DataFrame:
-    """Documents sorted within their shards by a seeded hash, written with one shard to a task."""
-    return docs.repartition(shard).sortWithinPartitions(shard, T.md5_number(F.lit(seed) + F.col(shard), F.col(key)), key)
+    """Documents with their place, from 0, in their shard's own seeded order."""
+    return ranks.numbered(docs, shard, [T.md5_number(F.lit(seed) + F.col(shard), F.col(key)), F.col(key)], "place")
+
+
+def of_training(rows: DataFrame, manifest: DataFrame, key: str = "shard") -> DataFrame:
+    """Rows whose shard is among the manifest's (shard, split) training ones."""
+    return rows.join(manifest.where(F.col("split") == "train").select(key), key, "left_semi")
+
+
+def shard_counters(taken: DataFrame, per_shard: int) -> DataFrame:
+    """(source, shards_consumed, within): for documents (source, turn) that a reader took, how many whole shards of each source it is through, and how far it is in the next."""
+    rows = taken.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
+    return rows.select("source", F.floor(F.col("_n") / F.lit(per_shard)).cast("long").alias("shards_consumed"), F.pmod("_n", F.lit(per_shard)).cast("long").alias("within"))
 
 
 def normalized_weights(mixture: DataFrame) -> DataFrame:
@@ -62,17 +74,15 @@ def normalized_weights(mixture: DataFrame) -> DataFrame:
 def draws(mixture: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """(slot, source, turn): which source each of n slots takes a document from, and how many it took before. The few sources go to the slots as a broadcast range lookup."""
     slots = mixture.sparkSession.range(n).select(F.col("id").alias("slot"), T.unit_hash(F.lit(seed), F.col("id")).alias("u"))
-    shares = F.broadcast(normalized_weights(mixture))
     top = F.max("high").over(Window.partitionBy())
     shares = F.broadcast(normalized_weights(mixture).withColumn("high", F.when(F.col("high") == top, F.lit(1.0)).otherwise(F.col("high"))))
     drawn = slots.join(shares, (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
-    return drawn.select("slot", "source", (F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1).alias("turn"))
+    return ranks.numbered(drawn.select("slot", "source"), "source", [F.col("slot")], "turn")
 
 
 def mixed(docs: DataFrame, mixture: DataFrame, n: int, seed: int = 42, key: str = "doc_id") -> DataFrame:
     """n documents in the order of their slots' draws; each source is gone through in its own order, again and again."""
-    place = F.row_number().over(Window.partitionBy("source").orderBy(key)) - 1
-    placed = docs.withColumn("_place", place)
+    placed = ranks.numbered(docs, "source", [F.col(key)], "_place")
     sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("_size"))
     turns = draws(mixture, n, seed).join(F.broadcast(sizes), "source").withColumn("_place", F.pmod("turn", "_size"))
     return turns.join(placed, ["source", "_place"]).drop("_place", "_size")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom import scratch
 from textloom.functions import numeric as N
 from textloom.functions import text as T
 from textloom.operators import bpe, corpus, evals, metrics, samples, shards
@@ -113,7 +114,18 @@ def vocab_extend(spark, d):
 # --- byte pairs
 
 
+_VOCABULARIES: dict[tuple[str, str, int], bpe.Vocabulary] = {}
+
+
 def small_vocabulary(spark: SparkSession, d: str, size: int = 356) -> bpe.Vocabulary:
+    """Trained once for an application, a folder and a size."""
+    key = (spark.sparkContext.applicationId, d, size)
+    if key not in _VOCABULARIES:
+        _VOCABULARIES[key] = _trained(spark, d, size)
+    return _VOCABULARIES[key]
+
+
+def _trained(spark: SparkSession, d: str, size: int) -> bpe.Vocabulary:
     return bpe.train(corpus.chunk_counts(read(spark, d, "documents")), size + 2, ["<BOS>", "<PAD>"])
 
 
@@ -349,7 +361,11 @@ def mixture_share(spark, d):
     return shards.draws(mixture(spark, d), 5000).groupBy("source").agg(F.count(F.lit(1)).alias("drawn"))
 
 
-@query("mixture_documents")
+#: 5,000 draws; each source is gone through in order of ids, again and again.
+MIXED = f"u AS (SELECT i, {HEX.format(md5='h')} / 4294967296.0 AS u FROM (SELECT i, md5('42:' || i) AS h FROM range(0, 5000) r(i))), n AS (SELECT u.i AS slot, s.source, row_number() OVER (PARTITION BY s.source ORDER BY u.i) - 1 AS turn FROM u JOIN {SHARES} s ON u.u * s.total >= s.below AND u.u * s.total < s.below + s.w), o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS size FROM documents)"
+
+
+@query("mixture_documents", f"WITH {MIXED} SELECT slot, source, doc_id, n_chars FROM n JOIN o USING (source) WHERE k = turn % size")
 def mixture_documents(spark, d):
     return shards.mixed(read(spark, d, "documents").select("source", "doc_id", "n_chars"), mixture(spark, d), 5000).select("slot", "source", "doc_id", "n_chars")
 
@@ -414,11 +430,17 @@ def activation_stats(spark, d):
     return metrics.activation_stats(read(spark, d, "embeddings")).select(F.col("place"), r6(F.col("dead_fraction")).alias("dead_fraction"), "ever_active", r6(F.col("mean_abs")).alias("mean_abs"))
 
 
-@query("attention_pairs", "SELECT q.conv_id, q.pos::INT AS q_pos, k.pos::INT AS k_pos FROM (SELECT conv_id, turn, p AS pos FROM conversations, range(0, 32) r(p) WHERE p % 8 = turn) q JOIN (SELECT conv_id, turn, p AS pos FROM conversations, range(0, 32) r(p) WHERE p % 8 = turn) k ON q.conv_id = k.conv_id AND q.turn = k.turn AND q.pos >= k.pos")
+#: Words of a conversation in order, with their turns: each attends to itself and the words before it in its turn. What a turn attends to in all is counted, not written.
+POSITIONS = "(SELECT conv_id, turn, len(string_split(text, ' ')) AS n, coalesce(sum(len(string_split(text, ' '))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM conversations)"
+
+
+@query("attention_pairs", f"SELECT conv_id, turn, p AS q_pos, before AS first_key, (p - before + 1)::BIGINT AS n_keys FROM (SELECT conv_id, turn, before, unnest(range(before, before + n)) AS p FROM {POSITIONS})")
 def attention_pairs(spark, d):
-    rows = read(spark, d, "conversations").select("conv_id", "turn", F.explode(F.filter(F.sequence(F.lit(0), F.lit(31)), lambda p: p % 8 == F.col("turn"))).alias("pos"))
-    keys = rows.withColumnRenamed("pos", "k_pos")
-    return rows.withColumnRenamed("pos", "q_pos").join(keys, ["conv_id", "turn"]).where("q_pos >= k_pos").select("conv_id", "q_pos", "k_pos")
+    n = F.size(F.split("text", " "))
+    before = F.coalesce(F.sum(n).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = read(spark, d, "conversations").select("conv_id", "turn", n.alias("n"), before.cast("long").alias("first_key"))
+    rows = rows.select("conv_id", "turn", "first_key", F.explode(F.sequence("first_key", F.col("first_key") + F.col("n") - 1)).alias("q_pos"))
+    return rows.select("conv_id", "turn", "q_pos", "first_key", (F.col("q_pos") - F.col("first_key") + 1).alias("n_keys"))
 
 
 @query("lr_schedule", "SELECT s::BIGINT AS step, round(CASE WHEN s < 100 THEN 3e-4 * (0.01 + 0.99 * s / 100) WHEN s < 500 THEN 3e-4 ELSE 3e-5 + 0.5 * (3e-4 - 3e-5) * (1 + cos(pi() * (s - 500) / 500.0)) END, 9) AS cosine, round(CASE WHEN s < 100 THEN 3e-4 * (0.01 + 0.99 * s / 100) WHEN s < 500 THEN 3e-4 ELSE 3e-4 + (3e-5 - 3e-4) * (s - 500) / 500.0 END, 9) AS linear FROM range(0, 1000) r(s)")
@@ -476,16 +498,73 @@ def prefix_split(spark, d):
     return metrics.prefix_split(read(spark, d, "documents").select("doc_id"), 0.9, "doc_id").select("doc_id", "split")
 
 
+@query("shard_counters", f"WITH {MIXED} SELECT source, count(*) // 100 AS shards_consumed, count(*) % 100 AS within FROM n GROUP BY source")
+def shard_counters(spark, d):
+    return shards.shard_counters(shards.draws(mixture(spark, d), 5000), 100)
+
+
+@query("shard_documents", f"SELECT shard, doc_id, row_number() OVER (PARTITION BY shard ORDER BY {HEX.format(md5='h')}, doc_id) - 1 AS place FROM (SELECT shard, doc_id, md5((42 + shard) || ':' || doc_id) AS h FROM {SCATTER})")
+def shard_documents(spark, d):
+    return shards.shuffled_documents(shards.scattered(read(spark, d, "documents").select("doc_id"), 8)).select("shard", "doc_id", "place")
+
+
+@query("training_shards", f"SELECT doc_id, shard FROM {SCATTER} WHERE shard < 6")
+def training_shards(spark, d):
+    docs = shards.scattered(read(spark, d, "documents").select("doc_id", "n_chars"), 8)
+    return shards.of_training(docs, shards.with_split(shards.shard_counts(docs, F.col("n_chars")), 8, 2)).select("doc_id", "shard")
+
+
+@query("file_subset", "SELECT doc_id, n_chars FROM documents")
+def file_subset(spark, d):
+    # one file: the first of those at place 0, as places out of range are ignored
+    return corpus.file_subset(read(spark, d, "documents"), indices=[0, 7], first=1).select("doc_id", "n_chars")
+
+
+@query("missing_tokens", "SELECT token FROM (VALUES ('en'), ('<BOS>'), ('<PAD>')) t(token) WHERE token NOT IN (SELECT lang FROM documents WHERE lang IS NOT NULL)")
+def missing_tokens(spark, d):
+    found = corpus.missing_tokens(read(spark, d, "documents").select(F.col("lang").alias("token")).distinct(), ["en", "<BOS>", "<PAD>"])
+    return spark.createDataFrame([(t,) for t in found], "token string")
+
+
+@query("random_blocks", f"WITH t AS (SELECT doc_id, {POINTS} AS t, {HEX.format(md5='h')} / 4294967296.0 AS u FROM (SELECT doc_id, text, md5('7:' || doc_id) AS h FROM documents)), p AS (SELECT doc_id, t, floor(u * greatest(len(t) - {BLOCK}, 1))::BIGINT AS p FROM t WHERE len(t) > {BLOCK}) SELECT doc_id, p::INT AS start, list_sum(t[p + 1:p + {BLOCK}])::BIGINT AS x_sum, list_sum(t[p + 2:p + {BLOCK} + 1])::BIGINT AS y_sum FROM p")
+def random_blocks(spark, d):
+    rows = token_rows(spark, d).where(F.size("tokens") > BLOCK).withColumn("u", T.unit_hash(F.lit(7), F.col("doc_id")))
+    rows = rows.select("doc_id", samples.random_start(F.col("tokens"), BLOCK, F.col("u")).alias("start"), samples.random_block(F.col("tokens"), BLOCK, F.col("u")).alias("b"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("doc_id", "start", total("b.x").alias("x_sum"), total("b.y").alias("y_sum"))
+
+
+EXAMPLES = "(SELECT example_id, item_id, text FROM (SELECT row_number() OVER (ORDER BY item_id) - 1 AS example_id, item_id, text FROM benchmark) WHERE example_id < 300)"
+
+
+def examples(spark: SparkSession, d: str) -> DataFrame:
+    rows = evals.first_examples(evals.numbered(read(spark, d, "benchmark"), "item_id"), 300)
+    return rows.select("example_id", "item_id", F.col("text").alias("question"), F.array(F.lit("yes"), F.lit("no"), F.lit("it depends")).alias("answers"), F.pmod("example_id", F.lit(3)).cast("int").alias("label"))
+
+
+@query("first_examples", f"SELECT example_id, item_id, md5(text) AS question_md5 FROM {EXAMPLES}")
+def first_examples(spark, d):
+    return examples(spark, d).select("example_id", "item_id", F.md5(F.col("question").cast("binary")).alias("question_md5"))
+
+
+@query("eval_scored", f"WITH c AS (SELECT example_id, k AS candidate, list_concat([1], list_transform(string_split(text, ''), lambda c: unicode(c)), a)[-128:] AS ids, len(a) AS n FROM (SELECT example_id, text, k, list_transform(string_split(' ' || ['yes', 'no', 'it depends'][k + 1], ''), lambda c: unicode(c)) AS a FROM {EXAMPLES}, range(0, 3) r(k))), l AS (SELECT example_id, candidate, n, list_sum(list_transform(range(len(ids) - n, len(ids)), lambda p: (ids[p::INT + 1] * 31 + ids[p::INT] * 17) % 97)) AS s FROM c), b AS (SELECT example_id, first(candidate ORDER BY s, candidate) AS bs, first(candidate ORDER BY round(s / n::DOUBLE, 9), candidate) AS bm FROM l GROUP BY example_id) SELECT round(avg((bs = example_id % 3)::INT), 6) AS acc, round(avg((bm = example_id % 3)::INT), 6) AS acc_norm, count(*) AS num_total FROM b")
+def eval_scored(spark, d):
+    """A stand-in for a model: the loss of an id follows from it and the one before."""
+
+    def scorer(rows):
+        own = F.transform("ids", lambda x, p: F.struct(((x * 31 + F.element_at("ids", F.greatest(p, F.lit(1))) * 17) % 97).cast("double").alias("loss"), F.element_at("is_answer", p + 1).alias("is_answer")))
+        return rows.select("example_id", "candidate", F.explode(own).alias("t")).select("example_id", "candidate", "t.loss", "t.is_answer")
+
+    return evals.scored(examples(spark, d), scorer, T.code_points, 1, 0, 128).select(r6(F.col("acc")).alias("acc"), r6(F.col("acc_norm")).alias("acc_norm"), "num_total")
+
+
 # --- streams
 
 
-@query("stream_pack_smoke")
+@query("stream_pack_smoke", f"{PIECES_PACKED} SELECT source AS stream, doc_id, chunk, n, pack, place FROM p")
 def stream_pack_smoke(spark, d):
     """Documents as arriving files, packed with state, until all have been read."""
-    import tempfile
-    import uuid
-
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = scratch.scratch_path(spark, "stream")
     schema = read(spark, d, "documents").schema
     arriving = piece_input(pack_stream.document_stream(spark, f"{d}/documents.parquet", schema))
     return pack_stream.run_to_end(pack_stream.pack_stream(arriving, PACK), f"{base}/out", f"{base}/checkpoint")

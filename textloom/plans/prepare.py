@@ -55,7 +55,7 @@ def prepare(spark: SparkSession, args: argparse.Namespace, texts=corpus_texts) -
         counts = corpus.chunk_counts(texts(spark, args, args.vocab_train_shards), T.BYTES, tuple(args.special_tokens))
         files.save_vocabulary(spark, bpe.train(counts, args.vocab_size, args.special_tokens), vocab_path)
     vocabulary = files.load_vocabulary(spark, vocab_path)
-    missing = [s for s in [args.bos_token] if vocabulary.typed(s) not in vocabulary.index]
+    missing = [s for s in [args.bos_token, *args.special_tokens] if vocabulary.typed(s) not in vocabulary.index]
     if missing:
         raise ValueError(f"the vocabulary lacks {missing[0]}")
     bos = vocabulary.id_of(args.bos_token)

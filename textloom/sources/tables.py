@@ -65,13 +65,16 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_token_shards(rows: DataFrame, folder: str, order: str = "doc_id") -> DataFrame:
-    """Write rows (shard, order, tokens) as one .bin file for each shard, in order, under a temporary name first; returns (name, n_tokens). Ids must be below 65,536. folder: an address that pyarrow's file systems open on every executor."""
+    """Write rows (shard, order, tokens) as one .bin file for each shard, in order, under a temporary name first; returns (name, n_tokens). Ids must be below 65,536. folder: an address that pyarrow's file systems open on every executor; a bare path is one only for a local session, whose executors are the driver."""
     ship(rows.sparkSession)
+    if ":/" not in folder and rows.sparkSession.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("on a cluster, name the folder's file system: executors share no local folder")
+    target = folder if ":/" in folder else "file://" + folder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        system, base = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        system, base = fs.FileSystem.from_uri(target)
         system.create_dir(base, recursive=True)
         names, sizes, out, last = [], [], None, None
 
