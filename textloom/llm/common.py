@@ -1,13 +1,9 @@
-"""What the operators of this subpackage share: scratch tables, Arrow batches, words."""
+"""What the operators of this subpackage share: Arrow batches, id filters, samples, words."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import gc
-import shutil
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -17,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.scratch import drop, saved, scratch, scratch_path, shared_dir  # noqa: F401
 from textloom.shipping import ship
 
 #: Bytes and rows of one Arrow batch that goes to a Python worker.
@@ -32,65 +29,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-#: Folders of local sessions that name none, by application; they go when the driver ends.
-_LOCAL_DIRS: dict[str, str] = {}
-#: Scratch paths of the innermost scratch() that is open, if any.
-_OWNED: list[list[str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session. A local session, whose executors are the driver, may do without; a cluster may not. No setting is changed."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    context = spark.sparkContext
-    if context.master.split("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if context.applicationId not in _LOCAL_DIRS:
-        _LOCAL_DIRS[context.applicationId] = folder = tempfile.mkdtemp(prefix="textloom-")
-        atexit.register(shutil.rmtree, folder, True)
-    return "file://" + _LOCAL_DIRS[context.applicationId]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder, owned by the innermost scratch() that is open."""
-    path = f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
-    if _OWNED:
-        _OWNED[-1].append(path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Owns the scratch tables made within: they are removed at its end, so results must have been read or written by then. Outside of it, the caller removes what results still read."""
-    _OWNED.append([])
-    try:
-        yield _OWNED[-1]
-    finally:
-        for path in _OWNED.pop():
-            _remove(spark, path)
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def drop(*frames: DataFrame) -> None:
-    """Remove scratch tables made by saved() that no later plan reads."""
-    for df in frames:
-        _remove(df.sparkSession, df._scratch)
-
-
 def redealt(df: DataFrame, key: str) -> DataFrame:
     """The frame with its whole-number key computed anew. An aggregate by a key is already dealt by it, and a join would take it as it lies, so that a hot key's rows on the other side couldn't be split; dealt again, adaptive execution can split them."""
     return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
