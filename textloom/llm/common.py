@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -93,6 +93,18 @@ def hash_fraction(df: DataFrame, rows: int, total: int) -> DataFrame:
     return (df if total <= rows else df.where(share)).distinct()
 
 
+#: What empties the memories that operators keep in a Python worker, by operator.
+_MEMORIES: dict[str, Callable[[], object]] = {}
+
+
+def remembering(name: str, forget: Callable[[], object]) -> None:
+    """Called by a task that goes on to use a memory of its worker, which runs many tasks: the memories of other operators go, so that a worker holds one at a time."""
+    for other, empty in _MEMORIES.items():
+        if other != name:
+            empty()
+    _MEMORIES[name] = forget
+
+
 @contextlib.contextmanager
 def uncollected() -> Iterator[None]:
     """Without passes of the cycle collector, for code that makes many objects and no cycles."""

@@ -270,6 +270,7 @@ _COUNTERS: dict[str, Counter] = {}
 
 
 def _counter(path: str) -> Counter:
+    common.remembering("counts", _COUNTERS.clear)
     if path not in _COUNTERS:
         _COUNTERS[path] = Counter(path)
     if len(_COUNTERS[path].known) > MEMO:

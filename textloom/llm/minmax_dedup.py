@@ -64,6 +64,7 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
+    common.remembering("words", _LOCAL.__dict__.clear)
     memo = _LOCAL.__dict__.setdefault("memo", {})
     if len(memo) > MEMO:
         memo.clear()

@@ -142,6 +142,7 @@ _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
 def encoder(path: str, memo: int = MEMO) -> Encoder:
+    common.remembering("tokens", _ENCODERS.clear)
     if (path, memo) not in _ENCODERS:
         _ENCODERS[path, memo] = Encoder(path, memo)
     return _ENCODERS[path, memo]
