@@ -66,10 +66,6 @@ def fixed_blocks(tokens: Column, block: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), one))
 
 
-def truncated(tokens: Column, block: int) -> Column:
-    return F.slice(tokens, 1, block)
-
-
 def random_start(tokens: Column, block: int, draw: Column) -> Column:
     """Where a run of `block` tokens begins, by a draw from [0, 1)."""
     return F.floor(draw * F.greatest(F.size(tokens) - block, F.lit(1))).cast("int")

@@ -249,15 +249,6 @@ def delimiter_counts(spark, d):
     return token_rows(spark, d).select("doc_id", shards.delimiter_count(F.col("tokens"), STOP).alias("n_docs"), F.size(samples.without_prefix(F.col("tokens"), STOP)).alias("n_after_prefix"))
 
 
-@query("shift_mask", f"WITH p AS (SELECT doc_id, {POINTS}[1:{BLOCK}] AS t FROM documents WHERE text <> '') SELECT doc_id, len(t)::INT AS n_real, ({BLOCK} - len(t))::INT AS n_pad, list_sum(t)::BIGINT AS x_sum, (list_sum(t) - t[1])::BIGINT AS y_sum, (len(t) - 1)::INT AS n_loss, greatest(len(list_filter(t, lambda c: c = {STOP})) - 1, 0)::INT AS last_doc FROM p")
-def shift_mask(spark, d):
-    packs = token_rows(spark, d).where(F.size("tokens") > 0).select("doc_id", samples.truncated(F.col("tokens"), BLOCK).alias("tokens"))
-    rows = samples.samples(packs, BLOCK, STOP, PAD)
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    real = F.size(F.filter("x", lambda t: t != PAD))
-    return rows.select("doc_id", real.alias("n_real"), (F.size("x") - real).alias("n_pad"), total("x").alias("x_sum"), total("y").alias("y_sum"), F.size(F.filter("loss_mask", lambda m: m)).alias("n_loss"), F.element_at("doc_ids", -1).alias("last_doc"))
-
-
 @query("shift_mask_chunks", f"WITH p AS (SELECT doc_id, {POINTS} AS p FROM documents WHERE text <> ''), c AS (SELECT doc_id, p, unnest(range(0, len(p), {BLOCK})) AS c FROM p), t AS (SELECT doc_id, (c // {BLOCK})::INT AS chunk, p[c + 1:c + {BLOCK}] AS t FROM c) SELECT doc_id, chunk, len(t)::INT AS n_real, ({BLOCK} - len(t))::INT AS n_pad, list_sum(t)::BIGINT AS x_sum, (list_sum(t) - t[1])::BIGINT AS y_sum, (len(t) - 1)::INT AS n_loss, greatest(len(list_filter(t, lambda c: c = {STOP})) - 1, 0)::INT AS last_doc FROM t")
 def shift_mask_chunks(spark, d):
     # cut as text: slices of one long array would go over it once for each chunk
@@ -278,24 +269,6 @@ def fixed_blocks(spark, d):
 
 PACK = 8192
 ORDERED = "(SELECT source, doc_id, {n} AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)"
-PACKED = f"WITH RECURSIVE o AS MATERIALIZED {ORDERED.format(n=f'least(n_chars, {PACK})')}, p AS (SELECT source, doc_id, n, k, 0::BIGINT AS pack, 0::BIGINT AS place FROM o WHERE k = 1 UNION ALL SELECT o.source, o.doc_id, o.n, o.k, CASE WHEN p.place + p.n + o.n > {PACK} AND p.place + p.n > 0 THEN p.pack + 1 ELSE p.pack END, CASE WHEN p.place + p.n + o.n > {PACK} AND p.place + p.n > 0 THEN 0 ELSE p.place + p.n END FROM p JOIN o ON o.source = p.source AND o.k = p.k + 1)"
-
-
-def pack_input(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select(F.col("source").alias("stream"), "doc_id", F.least("n_chars", F.lit(PACK)).alias("n"))
-
-
-@query("pack_nextfit", f"{PACKED} SELECT source AS stream, doc_id, n, pack, place FROM p")
-def pack_nextfit(spark, d):
-    return samples.pack_next_fit(pack_input(spark, d), PACK)
-
-
-@query("pack_stats", f"{PACKED} SELECT stream, pack, n_docs, n_tokens, n_loss FROM (SELECT source AS stream, pack, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens, sum(n)::BIGINT - 1 AS n_loss, max(pack) OVER (PARTITION BY source) AS last FROM p GROUP BY source, pack) WHERE pack < last")
-def pack_stats(spark, d):
-    packed = samples.full_packs(samples.pack_next_fit(pack_input(spark, d), PACK))
-    return packed.groupBy("stream", "pack").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"), (F.sum("n") - 1).alias("n_loss"))
-
-
 #: Whole documents, in pieces of at most PACK.
 PIECES = f"(SELECT source, doc_id, c // {PACK} AS chunk, greatest(least({PACK}, n_chars - c), 0) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id, c) AS k FROM (SELECT source, doc_id, coalesce(n_chars, 0) AS n_chars, unnest(range(0, greatest(coalesce(n_chars, 0), 1), {PACK})) AS c FROM documents))"
 PIECES_PACKED = f"WITH RECURSIVE o AS MATERIALIZED {PIECES}, p AS (SELECT source, doc_id, chunk, n, k, 0::BIGINT AS pack, 0::BIGINT AS place FROM o WHERE k = 1 UNION ALL SELECT o.source, o.doc_id, o.chunk, o.n, o.k, CASE WHEN p.place + p.n + o.n > {PACK} AND p.place + p.n > 0 THEN p.pack + 1 ELSE p.pack END, CASE WHEN p.place + p.n + o.n > {PACK} AND p.place + p.n > 0 THEN 0 ELSE p.place + p.n END FROM p JOIN o ON o.source = p.source AND o.k = p.k + 1)"
