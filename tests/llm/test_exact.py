@@ -526,6 +526,16 @@ def test_encoder_equals_the_library(parts):
     assert encoder.sizes(column.slice(1)).tolist() == [*map(len, want[1:]), 0]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.text("abzÉж\u0561漢2½", max_size=4), st.text(".,;:!?'\"#_$\u2026", max_size=5)), max_size=12))
+def test_stops_after_words_equal_the_library(words):
+    texts = ["x " + " ".join(w + s for w, s in words), "x don't, it's. we're! 'tis 's"]
+    encoder = token_orc.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, ends = encoder.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want
+
+
 TRIE = trie_bpe.load(public_tokenizers.path("word_bpe_49k.json"))
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 

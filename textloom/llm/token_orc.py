@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate, chain
@@ -35,6 +36,8 @@ MEMO = 300_000
 GROUP = 1
 #: New pieces that are encoded as one text, and texts encoded at once: what the library makes of them takes far more memory than their ids.
 RUN, RUNS = 500, 32
+#: Stops that may follow a word (ASCII punctuation but the apostrophe, which may begin a contraction), how many of them at most are cut off it, and the last letter of a word that they are cut from: what is a letter up to there is the same in all versions of Unicode.
+STOPS, TAIL, LETTERS = string.punctuation.replace("'", ""), 3, "\u052f"
 #: Bytes of a stripe, rows of an index entry, false positives of the Bloom filters, and the codec.
 STRIPE, STRIDE, FALSE_POSITIVES, CODEC = 16 << 20, 1000, 0.01, "zstd"
 #: Fixed value: white space as Unicode has it. A border before a space is in doubt after any of it, and at the text's end.
@@ -55,6 +58,7 @@ class Encoder:
         self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.bytes[i] = len(token)  # each character stands for a byte
+        self.tails: dict[str, bytes] = {}
         self.memo = memo
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -66,14 +70,32 @@ class Encoder:
         return [flat[4 * a : 4 * b] for a, b in zip(ends, ends[1:])]
 
     def _learn(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces that the newer generation lacks, each with a space before it."""
+        """Ids of distinct pieces that the newer generation lacks, each with a space before it. A word with stops after it is learned as the word: the splitter always cuts between letters and stops."""
         found = list(map(self.older.get, pieces))
-        new = [p for p, x in zip(pieces, found) if x is None]
+        ids, cut, new = {}, [], {}
+        for p, x in zip(pieces, found):
+            if x is None:
+                word = p.rstrip(STOPS)
+                if 0 < len(p) - len(word) <= TAIL and word.isalpha() and max(word) <= LETTERS:
+                    cut.append((p, word))
+                    known = self.recent.get(word) or self.older.get(word)
+                    if known is None:
+                        new[word] = None
+                    else:
+                        ids[word] = known
+                else:
+                    new[p] = None
         joined = [p for p in new if not p[-1:].isspace()]
-        ids = dict(zip(joined, self._joined(joined)))
+        ids.update(zip(joined, self._joined(joined)))
         if len(joined) < len(new):
             alone = [p for p in new if p[-1:].isspace()]
             ids.update(zip(alone, self._batch([" " + p for p in alone])))
+        self.recent.update((p, ids[p]) for p in new)
+        for p, word in cut:
+            tail = p[len(word) :]
+            if tail not in self.tails:
+                self.tails[tail] = self._batch([tail])[0]
+            ids[p] = ids[word] + self.tails[tail]
         if ids:
             found = [ids[p] if x is None else x for p, x in zip(pieces, found)]
         self.recent.update(zip(pieces, found))
