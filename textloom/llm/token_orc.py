@@ -70,7 +70,7 @@ class Encoder:
         return [flat[4 * a : 4 * b] for a, b in zip(ends, ends[1:])]
 
     def _learn(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces that the newer generation lacks, each with a space before it. A word with stops after it is learned as the word: the splitter always cuts between letters and stops."""
+        """Ids of distinct pieces that the newer generation lacks, each with a space before it. A word with stops after it is remembered as the word alone: the splitter always cuts between letters and stops."""
         found = list(map(self.older.get, pieces))
         ids, cut, new = {}, [], {}
         for p, x in zip(pieces, found):
@@ -82,7 +82,7 @@ class Encoder:
                     if known is None:
                         new[word] = None
                     else:
-                        ids[word] = known
+                        ids[word] = self.recent[word] = known
                 else:
                     new[p] = None
         joined = [p for p in new if not p[-1:].isspace()]
@@ -96,10 +96,8 @@ class Encoder:
             if tail not in self.tails:
                 self.tails[tail] = self._batch([tail])[0]
             ids[p] = ids[word] + self.tails[tail]
-        if ids:
-            found = [ids[p] if x is None else x for p, x in zip(pieces, found)]
-        self.recent.update(zip(pieces, found))
-        return found
+        self.recent.update((p, x) for p, x in zip(pieces, found) if x is not None)
+        return [ids[p] if x is None else x for p, x in zip(pieces, found)]
 
     def _joined(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces that don't end with white space, each with a space before it: they are encoded in runs, and the bytes that tokens stand for tell where each piece ends."""
