@@ -9,6 +9,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from textloom.llm import class_ngrams, common, edit_counts, language_mixture, length_buckets, minmax_dedup, quality_forest, rotated_codes, token_orc, toxicity_grammar, trie_bpe
+from textloom.llm import class_ngrams, common, edit_counts, language_mixture, length_buckets, minmax_dedup, quality_forest, queries, rotated_codes, token_orc, toxicity_grammar, trie_bpe
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -397,6 +398,15 @@ def test_near_duplicates(spark, data, docs):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in out.items()} == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql_twins(spark, data, name):
+    found = duckdb.execute(queries.ORACLE_SQL[name].replace("FROM documents", f"FROM read_parquet('{data}/documents.parquet')"))
+    columns = [x[0] for x in found.description]
+    rows = entry.queries()[name](spark, data)
+    assert sorted(rows.columns) == sorted(columns)
+    assert sorted(tuple(r) for r in rows.select(*columns).collect()) == sorted(found.fetchall())
+
+
 def test_chains_and_groups(spark):
     """A group of edited copies, links that only a chain makes, and texts that share one long passage."""
     rng, rows = random.Random(9), []
