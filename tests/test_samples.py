@@ -131,3 +131,17 @@ def test_missing_shards_of_a_manifest(spark):
     rows = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, shard int")
     manifest = spark.createDataFrame([(0, "val"), (1, "train")], "shard int, split string")
     assert sorted(r.doc_id for r in shards.of_training(rows, manifest).collect()) == [2, 3]
+
+
+def test_samples_with_padding_among_the_tokens(spark):
+    rows = [[5, 0, 6], [1, 0, 0, 1], [4, 4, 4, 4], [], [3], None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, tokens array<int>")
+    for r in samples.samples(df, 4, 1, 0).collect():
+        if rows[r.k] is None:
+            assert (r.x, r.y, r.doc_ids, r.loss_mask) == (None,) * 4
+            continue
+        x = rows[r.k] + [0] * (4 - len(rows[r.k]))
+        y = (rows[r.k][1:] + [0] * 4)[:4]
+        assert (r.x, r.y) == (x, y)
+        assert r.loss_mask == [a != 0 and b != 0 for a, b in zip(x, y)]
+        assert r.doc_ids == [max(sum(t == 1 for t in x[: i + 1]) - 1, 0) for i in range(4)]

@@ -41,7 +41,7 @@ def pretokens(text: Column, mode: str = BYTES, specials: tuple[str, ...] = ()) -
 
 def characters(text: Column) -> Column:
     """The characters of a text in order."""
-    return F.filter(F.split(text, ""), lambda c: c != "")
+    return F.array_remove(F.split(text, ""), "")
 
 
 def code_points(text: Column) -> Column:

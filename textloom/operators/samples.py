@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -12,11 +12,24 @@ from pyspark.sql import functions as F
 from textloom.shipping import ship
 
 
+def _places(tokens: Column, bos: int) -> Column:
+    """Where the delimiters are."""
+    return F.array_remove(F.transform(tokens, lambda t, i: F.when(t == bos, i).otherwise(F.lit(-1))), -1)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is computed once however often it is used."""
+    return F.transform(F.array(value), use).getItem(0)
+
+
 def spans(tokens: Column, bos: int) -> Column:
     """array<struct<start, end>>: from each delimiter to the next or to the end (exclusive); what stands before the first is no document."""
-    places = F.filter(F.transform(tokens, lambda t, i: F.when(t == bos, i)), lambda i: i.isNotNull())
-    ends = F.concat(F.slice(places, 2, F.size(places)), F.array(F.size(tokens)))
-    return F.when(F.size(places) > 0, F.arrays_zip(places.alias("start"), ends.alias("end")))
+
+    def between(places: Column) -> Column:
+        ends = F.concat(F.slice(places, 2, F.size(places)), F.array(F.size(tokens)))
+        return F.when(F.size(places) > 0, F.arrays_zip(places.alias("start"), ends.alias("end")))
+
+    return _once(_places(tokens, bos), between)
 
 
 def without_prefix(tokens: Column, bos: int) -> Column:
@@ -41,22 +54,33 @@ def shifted(tokens: Column, block: int, pad: int) -> Column:
 
 def document_ids(x: Column, bos: int) -> Column:
     """For each place the number of delimiters up to it, less one, and 0 at least; padding keeps the last number. Runs between delimiters are repeated, so it takes time in proportion to the places."""
-    places = F.filter(F.transform(x, lambda t, i: F.when(t == bos, i)), lambda i: i.isNotNull())
-    begins = F.concat(F.array(F.lit(0)), F.slice(places, 2, F.greatest(F.size(places) - 1, F.lit(0))))
-    ends = F.concat(F.slice(places, 2, F.greatest(F.size(places) - 1, F.lit(0))), F.array(F.size(x)))
-    runs = F.transform(F.arrays_zip(begins.alias("begin"), ends.alias("end")), lambda s, k: F.array_repeat(k, s["end"] - s["begin"]))
-    return F.when(x.isNotNull(), F.flatten(runs))
+
+    def numbered(places: Column) -> Column:
+        cuts = F.slice(places, 2, F.greatest(F.size(places) - 1, F.lit(0)))
+        runs = F.arrays_zip(F.concat(F.array(F.lit(0)), cuts).alias("begin"), F.concat(cuts, F.array(F.size(x))).alias("end"))
+        return F.flatten(F.transform(runs, lambda s, k: F.array_repeat(k, s["end"] - s["begin"])))
+
+    # without a delimiter, no token need be looked at by itself
+    return F.when(~F.array_contains(x, bos), F.array_repeat(F.lit(0), F.size(x))).when(x.isNotNull(), _once(_places(x, bos), numbered))
 
 
 def loss_mask(x: Column, y: Column, pad: int) -> Column:
     return F.zip_with(x, y, lambda a, b: (a != pad) & (b != pad))
 
 
+def sample_mask(tokens: Column, x: Column, y: Column, block: int, pad: int) -> Column:
+    """loss_mask of the padded and shifted tokens: all but the last, unless the padding occurs among them."""
+    real = F.greatest(F.size(tokens) - 1, F.lit(0))
+    plain = F.concat(F.array_repeat(F.lit(True), real), F.array_repeat(F.lit(False), F.greatest(F.lit(block), F.size(tokens)) - real))
+    return F.when(~F.array_contains(tokens, pad), plain).otherwise(loss_mask(x, y, pad))
+
+
 def samples(packs: DataFrame, block: int, bos: int, pad: int, tokens: str = "tokens") -> DataFrame:
     """x, y, doc_ids and loss_mask of each pack of at most `block` tokens, beside its other columns."""
     rest = [c for c in packs.columns if c != tokens]
-    rows = packs.select(*rest, padded(F.col(tokens), block, pad).alias("x"), shifted(F.col(tokens), block, pad).alias("y"))
-    return rows.select(*rest, "x", "y", document_ids(F.col("x"), bos).alias("doc_ids"), loss_mask(F.col("x"), F.col("y"), pad).alias("loss_mask"))
+    rows = packs.select(*rest, F.col(tokens).alias("_tokens"), padded(F.col(tokens), block, pad).alias("x"), shifted(F.col(tokens), block, pad).alias("y"))
+    mask = sample_mask(F.col("_tokens"), F.col("x"), F.col("y"), block, pad)
+    return rows.select(*rest, "x", "y", document_ids(F.col("x"), bos).alias("doc_ids"), mask.alias("loss_mask"))
 
 
 def fixed_blocks(tokens: Column, block: int) -> Column:

@@ -256,8 +256,8 @@ def shift_mask_chunks(spark, d):
     packs = read(spark, d, "documents").select("doc_id", F.posexplode(texts).alias("chunk", "text")).select("doc_id", "chunk", T.code_points(F.col("text")).alias("tokens"))
     rows = samples.samples(packs, BLOCK, STOP, PAD)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    real = F.size(F.filter("x", lambda t: t != PAD))
-    return rows.select("doc_id", "chunk", real.alias("n_real"), (F.size("x") - real).alias("n_pad"), total("x").alias("x_sum"), total("y").alias("y_sum"), F.size(F.filter("loss_mask", lambda m: m)).alias("n_loss"), F.element_at("doc_ids", -1).alias("last_doc"))
+    real = F.size(F.array_remove("x", PAD))
+    return rows.select("doc_id", "chunk", real.alias("n_real"), (F.size("x") - real).alias("n_pad"), total("x").alias("x_sum"), total("y").alias("y_sum"), F.size(F.array_remove("loss_mask", False)).alias("n_loss"), F.element_at("doc_ids", -1).alias("last_doc"))
 
 
 @query("fixed_blocks", f"WITH p AS (SELECT doc_id, {POINTS} AS t FROM documents), b AS (SELECT doc_id, t, unnest(range(0, (len(t) - 1) // {BLOCK})) AS b FROM p) SELECT doc_id, b::INT AS block, list_sum(t[b * {BLOCK} + 1:b * {BLOCK} + {BLOCK}])::BIGINT AS x_sum, list_sum(t[b * {BLOCK} + 2:b * {BLOCK} + {BLOCK} + 1])::BIGINT AS y_sum FROM b")
