@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.shipping import ship
+from textloom.operators import bins
 
 
 def _places(tokens: Column, bos: int) -> Column:
@@ -101,29 +99,6 @@ def random_block(tokens: Column, block: int, draw: Column) -> Column:
     return F.struct(F.slice(tokens, place + 1, block).alias("x"), F.slice(tokens, place + 2, block).alias("y"))
 
 
-def _streamed(df: DataFrame, stream: str, order: list[str], schema: str, step, streams: int) -> DataFrame:
-    """Run a fold with state over each stream's rows in order: a task holds one batch at a time, whatever the stream's size."""
-    ship(df.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = object(), None
-        for batch in batches:
-            rows = batch.to_pandas()
-            out = []
-            for key, *values in zip(rows["_stream"], *[rows[c] for c in rows.columns if c != "_stream"]):
-                if key != last:
-                    last, state = key, None
-                state, row = step(state, *values)
-                out.append((key, *values, *row))
-            names = [x.strip().split()[0] for x in schema.split(",")]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=names), preserve_index=False)
-
-    key = F.col(stream).cast("string") if streams == 1 else F.concat_ws("#", F.col(stream).cast("string"), F.pmod(F.xxhash64(order[0]), F.lit(streams)).cast("string"))
-    rest = [c for c in df.columns if c != stream]
-    rows = df.select(key.alias("_stream"), *rest).repartition("_stream").sortWithinPartitions("_stream", *order)
-    return rows.mapInArrow(run, schema)
-
-
 def pieces(lengths: DataFrame, block: int, n: str = "n") -> DataFrame:
     """Each document's pieces of at most `block` tokens, numbered by chunk, with their lengths as n, beside its other columns; an empty document, or one of no known length, is one empty piece."""
     rest = [c for c in lengths.columns if c != n]
@@ -132,21 +107,11 @@ def pieces(lengths: DataFrame, block: int, n: str = "n") -> DataFrame:
     return rows.select(*rest, F.col("chunk").cast("long").alias("chunk"), F.col("_piece.len").alias("n"))
 
 
-def pack_next_fit(lengths: DataFrame, block: int, stream: str = "stream", streams: int = 1) -> DataFrame:
-    """(stream, doc_id, n, pack, place): each document's pack within its stream and its place in it. Documents come in order of their ids; one that doesn't fit into what is left opens the next pack. n must be at most `block`: longer documents come as pieces(), whose chunk then follows doc_id in the order and the result.
-
-    The order of a stream is sequential; `streams` over 1 splits each into that many by a hash.
-    """
-
-    def step(state, *piece):
-        (pack, used), n = state or (0, 0), piece[-1]
-        if used + n > block and used:
-            pack, used = pack + 1, 0
-        return (pack, used + n), (pack, used)
-
-    chunk = ["chunk"] if "chunk" in lengths.columns else []
-    schema = f"stream string, doc_id long, {'chunk long, ' if chunk else ''}n long, pack long, place long"
-    return _streamed(lengths.select(stream, "doc_id", *chunk, F.col("n").cast("long").alias("n")), stream, ["doc_id", *chunk], schema, step, streams)
+def pack_next_fit(lengths: DataFrame, block: int, stream: str = "stream") -> DataFrame:
+    """(stream, doc_id, n, pack, place): each document's pack within its stream and its place in it. Documents come in order of their ids; one that doesn't fit into what is left opens the next pack. n must be at most `block`: longer documents come as pieces(), whose chunk then follows doc_id in the order and the result."""
+    order = ["doc_id", *(["chunk"] if "chunk" in lengths.columns else [])]
+    found = bins.filled(lengths.select(F.col(stream).alias("stream"), *order, "n"), block + 1, order, "pack", most=block)
+    return found.select("stream", *order, "n", "pack", "place")
 
 
 def full_packs(packed: DataFrame) -> DataFrame:
@@ -155,15 +120,7 @@ def full_packs(packed: DataFrame) -> DataFrame:
     return packed.join(last, "stream").where("pack < _last").drop("_last")
 
 
-def cut_shards(lengths: DataFrame, capacity: int, stream: str = "stream", streams: int = 1) -> DataFrame:
+def cut_shards(lengths: DataFrame, capacity: int, stream: str = "stream") -> DataFrame:
     """(stream, doc_id, n, shard, place): the shard in which each document begins and its place there. A shard that fills up is cut before its last document; a document longer than a shard runs on into the next ones."""
-
-    def step(state, doc_id, n):
-        shard, used = state or (0, 0)
-        if used + n < capacity:
-            return (shard, used + n), (shard, used)
-        if used:
-            shard += 1
-        return (shard + n // capacity, n % capacity), (shard, 0)
-
-    return _streamed(lengths.select(stream, "doc_id", F.col("n").cast("long").alias("n")), stream, ["doc_id"], "stream string, doc_id long, n long, shard long, place long", step, streams)
+    found = bins.filled(lengths.select(F.col(stream).alias("stream"), "doc_id", "n"), capacity, ["doc_id"], "shard")
+    return found.select("stream", "doc_id", "n", "shard", "place")
