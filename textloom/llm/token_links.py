@@ -27,8 +27,8 @@ from pyspark.sql import types as K
 
 from . import common, token_orc
 
-#: Words of a generation that a Python worker remembers; words encoded as one text; pairs that are broadcast at most.
-MEMO, RUN, HEAD = 250_000, 500, 200_000
+#: Words of a generation that a Python worker remembers; words encoded as one text; Arrow batches that share their words; pairs that are broadcast at most.
+MEMO, RUN, GROUP, HEAD = 200_000, 500, 3, 200_000
 #: A link's code is the first id times this, plus the second; ids must be below it.
 SECOND = 1 << 20
 #: Fixed value: what stands for a space in the pieces.
@@ -37,9 +37,10 @@ SPACE = "▁"
 LETTERS, MARK = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "\x00"
 
 _IDS = K.ArrayType(K.IntegerType(), False)
+_LONG_IDS = K.ArrayType(K.LongType(), False)
 _DOC = K.StructType([K.StructField("row", K.LongType(), False), K.StructField("doc_id", K.LongType()), K.StructField("n_a", K.LongType(), False), K.StructField("n_b", K.LongType(), False), K.StructField("words", _IDS, False)])
 #: Ids and end offsets of both sides over all words of a batch, where the words end, and the texts.
-BATCH = K.StructType([*[K.StructField(n, _IDS, False) for n in ("a", "ends_a", "b", "ends_b", "ends")], K.StructField("docs", K.ArrayType(_DOC, False), False)])
+BATCH = K.StructType([*[K.StructField(n, t, False) for n, t in (("a", _LONG_IDS), ("ends_a", _IDS), ("b", _LONG_IDS), ("ends_b", _IDS), ("ends", _IDS))], K.StructField("docs", K.ArrayType(_DOC, False), False)])
 
 
 class _Side:
@@ -174,7 +175,7 @@ class Tokenizers:
         starts = np.concatenate([[0], np.cumsum(np.bincount(text_of, minlength=len(texts)))]).astype(np.int32)
         places = pa.ListArray.from_arrays(pa.array(starts), pa.array(which.astype(np.int32)))
         docs = pa.StructArray.from_arrays([rows, doc_ids, *map(pa.array, totals), places], _DOC.fieldNames())
-        out = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (*[pa.array(c.astype(np.int32)) for c in columns], docs)]
+        out = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (*[pa.array(c.astype(np.int64 if k in (0, 2) else np.int32)) for k, c in enumerate(columns)], docs)]
         return pa.RecordBatch.from_arrays(out, BATCH.fieldNames())
 
 
@@ -194,7 +195,7 @@ def _tokenise(bytes_path: str, pieces_path: str):
         if (bytes_path, pieces_path) not in _HELD:
             _HELD[bytes_path, pieces_path] = Tokenizers(bytes_path, pieces_path)
         own = _HELD[bytes_path, pieces_path]
-        for batch in batches:
+        for batch in common.grouped(batches, GROUP):
             if batch.num_rows:
                 with common.uncollected():
                     out = own.batch(*batch.columns)
@@ -207,47 +208,63 @@ def _tokenise(bytes_path: str, pieces_path: str):
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), where the value is computed once however often it is used."""
+    """use(value), where the value is computed once. A column that a lambda looks into must be bound so, or Spark may compute it anew for every element."""
     return F.transform(F.array(value), use)[0]
 
 
 def _code(a: Column, b: Column) -> Column:
-    return a.cast("long") * SECOND + b
+    return a * SECOND + b
 
 
-def _cuts(both: Column) -> Column:
+def _cuts(n: str) -> Column:
     """How many of some ends lie up to each of those that are shared, where both lists are sorted into one, in which a shared end comes twice."""
-    twice = F.filter(F.transform(both, lambda x, p: F.when((p > 0) & (both[F.greatest(p - 1, F.lit(0))] == x), p).otherwise(F.lit(0))), lambda p: p > 0)
-    return F.transform(twice, lambda p, k: p - k)
+    both = F.col(f"both{n}")
+    twice = _once(F.concat(F.array(F.lit(-1)), both), lambda before: F.transform(both, lambda x, p: F.when(before[p] == x, p).otherwise(F.lit(0))))
+    return F.transform(F.array_remove(twice, 0), lambda p, k: p - k)
 
 
-def _low(cuts: Column, k: Column) -> Column:
-    return F.when(k > 0, cuts[F.greatest(k - 1, F.lit(0))]).otherwise(F.lit(0))
+def _at(values: Column, places: Column) -> Column:
+    return F.transform(places, lambda p: values[p])
 
 
-def _group(a: Column, b: Column) -> Column:
-    """What a group's digest holds, and its links."""
+def _several(k: Column, a: Column, b: Column, lows_a: Column, lows_b: Column) -> Column:
+    """What a group of several tokens adds to its digest, and its links."""
+    a, b = (_at(ids, F.sequence(lows[k], lows[k + 1] - 1)) for ids, lows in ((a, lows_a), (b, lows_b)))
     text = F.concat(F.array_join(a.cast("array<string>"), ","), F.lit("|"), F.array_join(b.cast("array<string>"), ","))
     return F.struct(text.alias("text"), F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: _code(x, y)))).alias("codes"))
 
 
 def _groups() -> Column:
-    """The groups of a batch: mostly one token of either, else some."""
-    def of(high_a: Column, k: Column) -> Column:
-        high_b, low_a, low_b = F.col("cuts_b")[k], _low(F.col("cuts_a"), k), _low(F.col("cuts_b"), k)
-        a, b = F.col("a")[low_a], F.col("b")[low_b]
-        single = F.struct(F.concat(a.cast("string"), F.lit("|"), b.cast("string")).alias("text"), F.array(_code(a, b)).alias("codes"))
-        some = lambda ids, low, high: F.transform(F.sequence(low, high - 1), lambda p: F.col(ids)[p])
-        return F.when((high_a - low_a == 1) & (high_b - low_b == 1), single).otherwise(_group(some("a", low_a, high_a), some("b", low_b, high_b)))
+    """struct(text, codes) of each group: mostly one token of either."""
+    a, b = F.col("a"), F.col("b")
 
-    return F.transform("cuts_a", of)
+    def of(lows_a: Column, lows_b: Column) -> Column:
+        sides = []
+        for ids, lows, highs in ((a, lows_a, F.col("cuts_a")), (b, lows_b, F.col("cuts_b"))):
+            begins = F.slice(lows, F.lit(1), F.size(highs))
+            sides += [_at(ids, begins), F.zip_with(highs, begins, lambda high, low: high - low)]
+        zipped = F.arrays_zip(*[c.alias(n) for c, n in zip(sides, ("a", "n_a", "b", "n_b"))])
 
+        def one(g: Column, k: Column) -> Column:
+            single = F.struct(F.concat(g["a"].cast("string"), F.lit("|"), g["b"].cast("string")).alias("text"), F.array(_code(g["a"], g["b"])).alias("codes"))
+            return F.when(g["n_a"] + g["n_b"] == 2, single).otherwise(_several(k, a, b, lows_a, lows_b))
 
-def _word(high: Column, k: Column) -> Column:
-    """struct(n, text, codes): how many groups a word has, their texts and their links."""
-    own = F.sequence(_low(F.col("cuts"), k), high - 1)
-    groups = F.col("groups")
-    return F.struct(F.size(own).cast("long").alias("n"), F.array_join(F.transform(own, lambda g: groups[g]["text"]), ";").alias("text"), F.flatten(F.transform(own, lambda g: groups[g]["codes"])).alias("codes"))
+        return F.transform(zipped, one)
+
+    lows = lambda n: F.concat(F.array(F.lit(0)), F.col(f"cuts{n}"))
+    return _once(lows("_a"), lambda lows_a: _once(lows("_b"), lambda lows_b: of(lows_a, lows_b)))
+
+
+def _words() -> Column:
+    """struct(n, text, codes): how many groups each word has, their texts and their links."""
+    def of(groups: Column, lows: Column) -> Column:
+        def one(high: Column, k: Column) -> Column:
+            own = F.sequence(lows[k], high - 1)
+            return F.struct(F.size(own).cast("long").alias("n"), F.array_join(F.transform(own, lambda g: groups[g]["text"]), ";").alias("text"), F.flatten(F.transform(own, lambda g: groups[g]["codes"])).alias("codes"))
+
+        return F.transform("cuts", one)
+
+    return _once(F.col("groups"), lambda groups: _once(F.concat(F.array(F.lit(0)), F.col("cuts")), lambda lows: of(groups, lows)))
 
 
 def _document(doc: Column, words: Column) -> Column:
@@ -262,21 +279,13 @@ def _document(doc: Column, words: Column) -> Column:
 
 
 def documents_of(batches: DataFrame) -> DataFrame:
-    """row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and the distinct links of each document with how often each occurs."""
-    # arrays that lambdas look into are columns of their own, so that they are computed once
+    """row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and the links, sorted, of each document."""
     shared = batches.withColumn("shared", F.array_intersect("ends_a", "ends_b"))
     merged = shared.select("a", "b", "docs", *[F.sort_array(F.concat(x, y)).alias(n) for n, x, y in (("both_a", "ends_a", "shared"), ("both_b", "ends_b", "shared"), ("both", "shared", "ends"))])
-    cut = merged.select("a", "b", "docs", *[_cuts(F.col(f"both{n}")).alias(f"cuts{n}") for n in ("_a", "_b", "")])
-    words = cut.select("docs", "cuts", _groups().alias("groups")).select("docs", F.transform("cuts", _word).alias("words"))
-    docs = words.select(F.explode(F.transform("docs", lambda d: _document(d, F.col("words")))).alias("d")).select("d.*")
-    # names of their own: within a lambda, a name that the same select() gives anew would be taken for the new column
-    ordered = docs.withColumn("every", F.sort_array("codes")).drop("codes")
-    first = F.filter(F.sequence(F.lit(0), F.size("every") - 1), lambda k: F.when(k > 0, F.col("every")[k] != F.col("every")[F.greatest(k - 1, F.lit(0))]).otherwise(F.lit(True)))
-    first = F.when(F.size("every") > 0, first).otherwise(F.slice(F.array(F.lit(0)), 1, 0))
-    cut = ordered.withColumn("first", first)
-    size = F.size("first")
-    times = F.transform("first", lambda k, i: F.when(i + 1 < size, F.col("first")[F.least(i + 1, size - 1)]).otherwise(F.size("every")) - k)
-    return cut.select("row", "doc_id", "n_a", "n_b", "n_groups", F.size("every").cast("long").alias("n_links"), "groups_sha256", F.transform("first", lambda k: F.col("every")[k]).alias("codes"), times.alias("times"))
+    cut = merged.select("a", "b", "docs", *[_cuts(n).alias(f"cuts{n}") for n in ("_a", "_b", "")])
+    words = cut.select("docs", "cuts", _groups().alias("groups")).select("docs", _words().alias("words"))
+    docs = words.select(F.explode(_once(F.col("words"), lambda words: F.transform("docs", lambda d: _document(d, words)))).alias("d")).select("d.*")
+    return docs.select("row", "doc_id", "n_a", "n_b", "n_groups", F.size("codes").cast("long").alias("n_links"), "groups_sha256", F.sort_array("codes").alias("links"))
 
 
 def frequent(pairs: DataFrame, most: int) -> DataFrame:
@@ -294,12 +303,13 @@ def token_links(docs: DataFrame, bytes_path: str, pieces_path: str, id_col: str
     common.tune(docs.sparkSession)
     given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     aligned = common.saved(documents_of(given.mapInArrow(_tokenise(bytes_path, pieces_path), BATCH)), "aligned")
-    counted = common.saved(aligned.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")), "pairs")
-    best = counted.groupBy(F.shiftright("code", SECOND.bit_length() - 1).alias("a")).agg(F.max("n").alias("most"))
-    pairs = common.saved(counted.withColumn("a", F.shiftright("code", SECOND.bit_length() - 1)).join(best, "a").select("code", "n", (F.col("n") == F.col("most")).alias("best")), "best")
+    counted = common.saved(aligned.select(F.explode(F.array_distinct("links")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    a = F.shiftright("code", SECOND.bit_length() - 1).alias("a")
+    best = counted.groupBy(a).agg(F.max("n").alias("most"))
+    pairs = common.saved(counted.select("code", "n", a).join(best, "a").select("code", "n", (F.col("n") == F.col("most")).cast("long").alias("best")), "best")
     few = frequent(pairs, head)
-    links = aligned.select("row", F.explode(F.arrays_zip("codes", "times")).alias("l")).select("row", F.col("l.codes").alias("code"), F.col("l.times").cast("long").alias("times"))
-    sums = [F.sum(F.when(F.col("best"), F.col("times")).otherwise(F.lit(0))).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum")]
+    links = aligned.select("row", F.explode("links").alias("code"))
+    sums = [F.sum("best").alias("n_best"), F.sum("n").alias("count_sum")]
     found = links.join(F.broadcast(few), "code").groupBy("row").agg(*sums)
     rest = pairs.join(F.broadcast(few.select("code")), "code", "left_anti")
     if not rest.isEmpty():
@@ -307,5 +317,5 @@ def token_links(docs: DataFrame, bytes_path: str, pieces_path: str, id_col: str
         others = links.join(F.broadcast(few.select("code")), "code", "left_anti").join(rest, "code").groupBy("row").agg(*sums)
         found = found.unionByName(others).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    joined = aligned.drop("codes", "times").join(found, "row", "left")
+    joined = aligned.drop("links").join(found, "row", "left")
     return joined.select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
