@@ -28,7 +28,7 @@ from pyspark.sql import types as K
 from . import common, token_orc
 
 #: Words of a generation that a Python worker remembers; words encoded as one text; Arrow batches that share their words; pairs that are broadcast at most.
-MEMO, RUN, GROUP, HEAD = 200_000, 500, 3, 200_000
+MEMO, RUN, GROUP, HEAD = 100_000, 500, 1, 200_000
 #: A link's code is the first id times this, plus the second; ids must be below it.
 SECOND = 1 << 20
 #: Fixed value: what stands for a space in the pieces.
@@ -99,8 +99,8 @@ class Tokenizers:
         """Ids of texts with a space before each, which the pieces' library adds by itself."""
         return list(zip(self.encoder._batch([" " + t for t in texts]), _flat(self.pieces.encode(texts, num_threads=1)))) if texts else []
 
-    def ids(self, words: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids of distinct words: those with a space before them, and those that begin with a stop and follow a letter."""
+    def ids(self, words: list[str], times: np.ndarray) -> list[tuple[bytes, bytes]]:
+        """Ids of distinct words: those with a space before them, and those that begin with a stop and follow a letter. Words that occur once aren't remembered."""
         if len(self.recent) > MEMO:
             self.recent, self.older = {}, self.recent
         found = list(map(self.recent.get, words))
@@ -123,7 +123,7 @@ class Tokenizers:
             second = [x[1:] for x in self.pieces.encode(["a" + words[k] for k in after], num_threads=1)]
             for k, *x in zip(after, self.encoder._batch([words[k] for k in after]), _flat(second)):
                 found[k] = tuple(x)
-        self.recent.update((words[k], found[k]) for k in gaps)
+        self.recent.update((words[k], found[k]) for k in gaps if times[k] > 1)
         return found
 
     def _joined(self, words: list[str]) -> list[bytes]:
@@ -152,7 +152,7 @@ class Tokenizers:
         coded = parts.flatten().dictionary_encode()
         alone = texts.filter(doubt)
         words = pa.concat_arrays([coded.dictionary, pc.binary_join_element_wise(" ", alone, "")]).cast(pa.binary())
-        ids = self.ids(coded.dictionary.to_pylist()) + self.whole(alone.to_pylist())
+        ids = self.ids(coded.dictionary.to_pylist(), np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))) + self.whole(alone.to_pylist())
         firsts, seconds = ([x[k] for x in ids] for k in (0, 1))
         fine = self.first.spell(firsts, words) & self.second.spell(seconds, words)
         cut, doubt = (x.to_numpy(zero_copy_only=False) for x in (cut, doubt))
