@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -13,13 +12,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom import scratch
 from textloom.functions import text as T
+from textloom.operators import merges
 from textloom.shipping import ship
 
 #: Chunks whose ids a task remembers at most.
 MEMO = 200_000
-#: Entries of the queue for each pair that lives, beyond which it is built anew.
-REBUILD = 4
 
 
 @dataclass
@@ -86,89 +85,35 @@ class Vocabulary:
         return Vocabulary(self.mode, [*self.tokens, *map(self.typed, new)], dict(self.merges), [*self.specials, *new])
 
 
-class _Merger:
-    """Chunks as runs of ids, with counts of their neighbours that follow each merge."""
-
-    def __init__(self, chunks: Iterable[tuple[list[int], int]]):
-        self.runs, self.weights = [], []
-        self.count: Counter = Counter()
-        self.where: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for run, weight in chunks:
-            if len(run) > 1:
-                k = len(self.runs)
-                self.runs.append(run)
-                self.weights.append(weight)
-                for pair in zip(run, run[1:]):
-                    self.count[pair] += weight
-                    self.where[pair].add(k)
-        self.queue = [(-n, pair) for pair, n in self.count.items()]
-        heapq.heapify(self.queue)
-
-    def best(self) -> tuple[int, int] | None:
-        """The most frequent pair, the smallest of equals; entries whose count has changed since are passed over."""
-        while self.queue:
-            n, pair = self.queue[0]
-            if self.count.get(pair, 0) == -n and n:
-                return pair
-            heapq.heappop(self.queue)
-            if len(self.queue) > REBUILD * len(self.count):  # mostly entries that are out of date
-                self.queue = [(-m, p) for p, m in self.count.items()]
-                heapq.heapify(self.queue)
-        return None
-
-    def merge(self, pair: tuple[int, int], made: int) -> None:
-        changed = set()
-        for k in self.where.pop(pair, ()):
-            run, weight, out, at = self.runs[k], self.weights[k], [], 0
-            while at < len(run):
-                joined = at + 1 < len(run) and (run[at], run[at + 1]) == pair
-                out.append(made if joined else run[at])
-                at += 2 if joined else 1
-            if len(out) == len(run):
-                continue
-            for p in zip(run, run[1:]):
-                self.count[p] -= weight
-                changed.add(p)
-            for p in zip(out, out[1:]):
-                self.count[p] += weight
-                self.where[p].add(k)
-                changed.add(p)
-            self.runs[k] = out
-        for p in changed:
-            if self.count[p] > 0:
-                heapq.heappush(self.queue, (-self.count[p], p))
-            else:
-                del self.count[p]
-                self.where.pop(p, None)
-
-
 def train(counts: DataFrame, vocab_size: int, specials: list[str], mode: str = T.BYTES) -> Vocabulary:
     """Greedy merges over counted chunks (chunk, cnt) until the vocabulary, special tokens included, has its size or no pair is left.
 
-    Counting is distributed; the merges are sequential by nature and run on the driver over the
-    distinct chunks, which come one partition at a time. Give a sample of the corpus, as usual in
-    tokenizer training, when its distinct chunks exceed the driver's memory.
+    The chunks stay in tables (see merges): the driver gets the alphabet, which is bounded by Unicode, and the merges.
     """
-    rows = [(r["chunk"], r["cnt"]) for r in counts.where(~F.col("chunk").isin(*specials) if specials else F.lit(True)).toLocalIterator()]
+    rows = counts.where(~F.col("chunk").isin(*specials) if specials else F.lit(True)).where(F.col("chunk").isNotNull() & (F.col("cnt") > 0)).select("chunk", F.col("cnt").cast("long").alias("weight"))
     if mode == T.BYTES:
         tokens: list = [bytes([b]) for b in range(256)]
-        runs = ((list(chunk.encode()), n) for chunk, n in rows)
+        wide = None
     else:
-        tokens = sorted({c for chunk, _ in rows for c in chunk})
-        index = {c: i for i, c in enumerate(tokens)}
-        runs = (([index[c] for c in chunk], n) for chunk, n in rows)
+        tokens = sorted(r["ch"] for r in rows.select(F.explode(T.characters(F.col("chunk"))).alias("ch")).distinct().collect())
+        wide = {ord(c): i for i, c in enumerate(tokens)}
     if vocab_size < len(tokens) + len(specials):
         raise ValueError(f"a vocabulary of {vocab_size} can't hold {len(tokens)} base and {len(specials)} special tokens")
-    merger, merges = _Merger(runs), {}
-    while len(tokens) + len(specials) < vocab_size:
-        pair = merger.best()
-        if pair is None:
-            break
-        made = len(tokens)
-        merges[made] = pair
-        tokens.append(tokens[pair[0]] + tokens[pair[1]])
-        merger.merge(pair, made)
-    return Vocabulary(mode, tokens, merges).with_specials(specials)
+    ship(counts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunks = batch.column(0).to_pylist()
+            found = [np.frombuffer(c.encode(), np.uint8).astype(np.int32).tobytes() if wide is None else np.array([wide[ord(x)] for x in c], np.int32).tobytes() for c in chunks]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], ["run", "weight"])
+
+    # a chunk of one id has no pair
+    runs = scratch.saved(rows.mapInArrow(run, "run binary, weight long").where(F.length("run") > 4), "runs")
+    found = merges.learned(runs, len(tokens), vocab_size - len(tokens) - len(specials))
+    scratch.drop(runs)
+    for left, right in found.values():
+        tokens.append(tokens[left] + tokens[right])
+    return Vocabulary(mode, tokens, found).with_specials(specials)
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out: str = "ids", bos: str | None = None) -> DataFrame:

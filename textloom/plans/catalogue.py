@@ -114,28 +114,36 @@ def vocab_extend(spark, d):
 # --- byte pairs
 
 
-_VOCABULARIES: dict[tuple[str, str, int], bpe.Vocabulary] = {}
+#: Vocabularies by size and by what they were trained on, whatever the path: the number of counted chunks and the sum of their hashes.
+_VOCABULARIES: dict[tuple, bpe.Vocabulary] = {}
 
 
 def small_vocabulary(spark: SparkSession, d: str, size: int = 356) -> bpe.Vocabulary:
-    """Trained once for an application, a folder and a size."""
-    key = (spark.sparkContext.applicationId, d, size)
+    """Trained on the table's chunks, or found among those trained before on the same chunks and counts."""
+    counts = scratch.saved(corpus.chunk_counts(read(spark, d, "documents")), "chunk-counts")
+    key = (size, *counts.agg(F.count(F.lit(1)), F.sum(F.xxhash64("chunk", "cnt").cast("decimal(38,0)"))).first())
     if key not in _VOCABULARIES:
-        _VOCABULARIES[key] = _trained(spark, d, size)
+        _VOCABULARIES[key] = bpe.train(counts, size + 2, ["<BOS>", "<PAD>"])
+    scratch.drop(counts)
     return _VOCABULARIES[key]
 
 
-def _trained(spark: SparkSession, d: str, size: int) -> bpe.Vocabulary:
-    return bpe.train(corpus.chunk_counts(read(spark, d, "documents")), size + 2, ["<BOS>", "<PAD>"])
+#: A hundred merges over distinct chunks as strings of one sign for each id, each merge written as a replacement; x has a row for each chunk and step, with the pair that step merged.
+SIGN = 256
+BYTE = "chr((('0x' || substr(h, (2 * i - 1)::INT, 2))::INT + {s})::INT)".format(s=SIGN)
+RUNS_OF_CHUNKS = f"(SELECT chunk, cnt, array_to_string(list_transform(range(1, length(h) // 2 + 1), lambda i: {BYTE}), '') AS run FROM (SELECT chunk, cnt, lower(hex(encode(chunk))) AS h FROM {COUNTS}))"
+MERGING = f"""WITH RECURSIVE c AS MATERIALIZED {RUNS_OF_CHUNKS}, x AS (SELECT 0 AS step, chunk, cnt, run, '' AS pair FROM c
+UNION ALL SELECT step + 1, chunk, cnt, replace(run, b.best, chr((step + 256 + {SIGN})::INT)), b.best FROM x, (SELECT p AS best FROM (SELECT cnt, unnest(list_transform(range(1, length(run)), lambda i: substr(run, i::INT, 2))) AS p FROM x) GROUP BY p ORDER BY sum(cnt) DESC, p LIMIT 1) b WHERE step < 100)"""
+MERGES = f"m AS MATERIALIZED (SELECT DISTINCT step + 255 AS id, unicode(substr(pair, 1, 1)) - {SIGN} AS l, unicode(substr(pair, 2, 1)) - {SIGN} AS r FROM x WHERE step > 0)"
 
 
-@query("bpe_merges_100")
+@query("bpe_merges_100", f"{MERGING}, {MERGES}, e AS (SELECT id, l, r, id::BIGINT AS part, '' AS path FROM m UNION ALL SELECT e.id, e.l, e.r, CASE WHEN k = 0 THEN m.l ELSE m.r END::BIGINT, path || k FROM e JOIN m ON m.id = e.part, range(0, 2) s(k)) SELECT id::INT AS id, l::INT AS merge_left, r::INT AS merge_right, string_agg(printf('%02x', part), '' ORDER BY path) AS token_hex FROM e WHERE part < 256 GROUP BY ALL")
 def bpe_merges_100(spark, d):
     found = small_vocabulary(spark, d)
     return spark.createDataFrame([(made, a, b, found.tokens[made].hex()) for made, (a, b) in found.merges.items()], "id int, merge_left int, merge_right int, token_hex string")
 
 
-@query("encode_docs")
+@query("encode_docs", f"{MERGING}, e AS (SELECT chunk, list_transform(string_split(run, ''), lambda c: unicode(c) - {SIGN}) AS ids FROM x WHERE step = 100), w AS (SELECT doc_id, list_concat([356], flatten(list(ids ORDER BY k))) AS ids FROM (SELECT doc_id, unnest(chunks) AS chunk, unnest(range(0, len(chunks))) AS k FROM (SELECT doc_id, regexp_extract_all(text, '{RE2}') AS chunks FROM documents)) JOIN e USING (chunk) GROUP BY doc_id) SELECT doc_id, len(ids)::INT AS n_tokens, array_to_string(ids, ' ') AS ids FROM w")
 def encode_docs(spark, d):
     rows = bpe.encode(read(spark, d, "documents").select("doc_id", "text"), small_vocabulary(spark, d), bos="<BOS>")
     return rows.select("doc_id", F.size("ids").alias("n_tokens"), F.array_join("ids", " ").alias("ids"))
