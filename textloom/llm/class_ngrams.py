@@ -33,7 +33,7 @@ HEAD, WORDS, ENDINGS, CLASSES, SWEEPS = 150_000, 500, 128, 48, 8
 #: The vocabulary has this many words per square root of the tokens; the classes are the square root of its size by this.
 GROWTH, PER_CLASS = 20, 8
 #: Tokens whose pairs a task counts at once, tokens to a part of the neighbours, entries to a block, words exchanged at once, and the relative gain below which sweeps end.
-RUN, PART, BLOCK, TOGETHER, LEAST_GAIN = 2_000_000, 2_000_000, 50_000, 64, 1e-5
+RUN, PART, BLOCK, TOGETHER, LEAST_GAIN = 2_000_000, 2_000_000, 200_000, 64, 1e-5
 #: Words that a task counts before it hands them on; added counts; weight of the class shares in transitions.
 FLUSH, ADDED, BACK_OFF = 250_000, 0.1, 50.0
 #: Within the core: the end token is the last symbol and the last class.
@@ -336,10 +336,12 @@ def _per_class(row: list[bytes], own: np.ndarray, classes: int) -> Iterator[tupl
 
 
 def _sweep(shared):
+    """Exchange the words of each block, from the same classes and table for all blocks: which block a task holds, and after which others, plays no part."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table = (x.copy() for x in shared.value)
         for batch in batches:
             for _, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                own, table = (x.copy() for x in shared.value)
                 words, classes = [], []
                 for word, out, into, both in _per_class(row, own, len(table)):
                     best = _moved(table, own[word], out, into, both)

@@ -27,8 +27,8 @@ from pyspark.sql import types as K
 
 from . import common, token_orc
 
-#: Words of a generation that a Python worker remembers; words encoded as one text; Arrow batches that share their words; pairs that are broadcast at most.
-MEMO, RUN, GROUP, HEAD = 100_000, 500, 1, 200_000
+#: Words of a generation that a Python worker remembers; words encoded as one text; bytes of texts that share their words, since more would be much for the JVM's collector; pairs that are broadcast at most.
+MEMO, RUN, TOGETHER, HEAD = 100_000, 500, 1 << 20, 200_000
 #: A link's code is the first id times this, plus the second; ids must be below it.
 SECOND = 1 << 20
 #: Fixed value: what stands for a space in the pieces.
@@ -195,10 +195,11 @@ def _tokenise(bytes_path: str, pieces_path: str):
         if (bytes_path, pieces_path) not in _HELD:
             _HELD[bytes_path, pieces_path] = Tokenizers(bytes_path, pieces_path)
         own = _HELD[bytes_path, pieces_path]
-        for batch in common.grouped(batches, GROUP):
-            if batch.num_rows:
+        for batch in batches:
+            size = max(1, batch.num_rows * TOGETHER // max(batch.nbytes, 1))
+            for at in range(0, batch.num_rows, size):
                 with common.uncollected():
-                    out = own.batch(*batch.columns)
+                    out = own.batch(*batch.slice(at, size).columns)
                 yield out
 
     return run
