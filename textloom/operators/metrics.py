@@ -2,26 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators import ranks
 
 
 def running_best(metrics: DataFrame, loss: str = "v_loss", run: str = "run") -> DataFrame:
-    """Validation rows with the least loss so far in their run and whether they set it."""
-    w = Window.partitionBy(run).orderBy("step")
-    rows = metrics.where(F.col(loss).isNotNull())
-    best = F.min(loss).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    before = F.min(loss).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("best_val_loss", best).withColumn("is_best", F.col(loss) < F.coalesce(before, F.lit(float("inf"))))
+    """Validation rows with the least loss so far in their run and whether they set it. A run is scanned by ranges."""
+    rows = ranks.with_before(metrics.where(F.col(loss).isNotNull()), run, [F.col("step")], loss, "_before")
+    return rows.withColumn("best_val_loss", F.least(loss, "_before")).withColumn("is_best", F.col(loss) < F.coalesce("_before", F.lit(float("inf")))).drop("_before")
 
 
 def throughput(metrics: DataFrame, tokens_per_step: int, run: str = "run", ts: str = "seconds") -> DataFrame:
-    """Tokens a second since the row before; null for the first of a run and where no time passed."""
-    w = Window.partitionBy(run).orderBy("step")
-    steps, seconds = F.col("step") - F.lag("step").over(w), F.col(ts) - F.lag(ts).over(w)
-    return metrics.withColumn("tok_s", F.when(seconds > 0, steps * F.lit(tokens_per_step) / seconds))
+    """Tokens a second since the row before; null for the first of a run and where no time passed. A run is scanned by ranges."""
+    rows = ranks.with_last(metrics, run, [F.col("step")], ["step", ts], "_last")
+    steps, seconds = F.col("step") - F.col("_last.step"), F.col(ts) - F.col(f"_last.{ts}")
+    return rows.withColumn("tok_s", F.when(seconds > 0, steps * F.lit(tokens_per_step) / seconds)).drop("_last")
 
 
 def accumulated(batches: DataFrame, group: int, loss: str = "loss") -> DataFrame:

@@ -1,50 +1,56 @@
-"""Ranks without one task for a whole group: sorted ranges, counts for each, offsets."""
+"""Places and scans within groups without one task for a whole group: sorted ranges, a row for each group and range, what the ranges before hold."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom import scratch
-from textloom.shipping import ship
-
 
-def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the rows of each group within the task, from 0; rows come sorted by group, which is the first column."""
-    last, seen = object(), 0
-    for batch in batches:
-        group = batch.column(0).to_pylist()
-        out = np.empty(len(group), np.int64)
-        for k, x in enumerate(group):
-            seen, last = (seen + 1 if x == last else 0), x
-            out[k] = seen
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "_local"])
 
+def _before():
+    """The ranges of a group before one."""
+    return Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
 
-def numbered(df: DataFrame, by: str | None, order: list[Column], out: str) -> DataFrame:
-    """The frame with each row's place, from 0, in the order within its group (or in all); ties are broken by the rows' numbers in the table.
 
-    Rows are dealt by ranges of group and order, numbered within their task, and moved by what the
-    ranges before hold of the same group: one small row for each group and range is collected.
-    """
-    spark = df.sparkSession
-    ship(spark)
+def ranged(df: DataFrame, by: str | None, order: list[Column]) -> DataFrame:
+    """(_group, _value, _part, _at): the rows, each as one value, so that their names can't clash with ours, dealt by ranges of group and order and sorted; which range each is in; and numbers that rise within a range without gaps. Ties are broken by the rows' numbers in the table."""
     keys = [F.col("_group"), *[F.col(f"_by{k}") for k in range(len(order))], F.col("_row")]
-    # the row goes along as one value, so its names can't clash with ours
     rows = df.select((F.col(by) if by else F.lit(0)).alias("_group"), F.struct("*").alias("_value"), *[c.alias(f"_by{k}") for k, c in enumerate(order)], F.monotonically_increasing_id().alias("_row"))
-    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("_group", "_value", F.spark_partition_id().alias("_part"))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranged.schema)
-    placed = scratch.saved(ranged.mapInArrow(_local, fields + ", _local long"), "ranks")
-    counts = placed.groupBy("_group", "_part").count().orderBy("_group", "_part").collect()
-    starts, total = [], {}
-    for group, part, n in counts:
-        starts.append((group, part, total.get(group, 0)))
-        total[group] = total.get(group, 0) + n
-    kind = dict(placed.dtypes)["_group"]
-    offsets = spark.createDataFrame(starts, f"_group {kind}, _part int, _start long")
-    same = placed["_group"].eqNullSafe(offsets["_group"]) & (placed["_part"] == offsets["_part"])
-    return placed.join(F.broadcast(offsets), same).select("_value.*", (F.col("_start") + F.col("_local")).alias(out))
+    sorted_ = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return scratch.saved(sorted_.select("_group", "_value", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), "ranges")
+
+
+def joined(placed: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows with what is known of their group in their range. One row for each group and range stands on the other side, so no key is hot: a large group lies in many ranges."""
+    parts = parts.withColumnsRenamed({"_group": "_own_group", "_part": "_own_part"})
+    same = placed["_group"].eqNullSafe(parts["_own_group"]) & (placed["_part"] == parts["_own_part"])
+    return placed.join(parts, same).drop("_own_group", "_own_part")
+
+
+def numbered(df: DataFrame, by: str | None, order: list[Column], out: str) -> DataFrame:
+    """The frame with each row's place, from 0, in the order within its group (or in all): its place in its range, and how many rows of the group the ranges before hold."""
+    placed = ranged(df, by, order)
+    parts = placed.groupBy("_group", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    starts = parts.select("_group", "_part", (F.coalesce(F.sum("_n").over(_before()), F.lit(0)) - F.col("_first")).alias("_start"))
+    return joined(placed, starts).select("_value.*", (F.col("_start") + F.col("_at")).alias(out))
+
+
+def with_before(df: DataFrame, by: str, order: list[Column], least: str, out: str) -> DataFrame:
+    """The frame with the least value of a column among the rows before, in the order within the group; null for the first."""
+    placed = ranged(df, by, order)
+    value = F.col(f"_value.{least}")
+    parts = placed.groupBy("_group", "_part").agg(F.min(value).alias("_low"))
+    parts = parts.select("_group", "_part", F.min("_low").over(_before()).alias("_low"))
+    within = Window.partitionBy("_group", "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    return joined(placed, parts).select("_value.*", F.least(F.col("_low"), F.min(value).over(within)).alias(out))
+
+
+def with_last(df: DataFrame, by: str, order: list[Column], columns: list[str], out: str) -> DataFrame:
+    """The frame with some columns of the row before, in the order within the group, as a struct; null for the first."""
+    placed = ranged(df, by, order)
+    own = F.struct(*[F.col(f"_value.{c}").alias(c) for c in columns])
+    parts = placed.groupBy("_group", "_part").agg(F.max_by(own, "_at").alias("_last"))
+    parts = parts.select("_group", "_part", F.lag("_last").over(Window.partitionBy("_group").orderBy("_part")).alias("_last"))
+    within = Window.partitionBy("_group", "_part").orderBy("_at")
+    return joined(placed, parts).select("_value.*", F.coalesce(F.lag(own).over(within), F.col("_last")).alias(out))
