@@ -97,7 +97,10 @@ def test_mixture_goes_round(spark):
     docs = spark.createDataFrame([("a", 1), ("a", 2), ("b", 7)], "source string, doc_id long")
     rows = shards.mixed(docs, spark.createDataFrame([("a", 3.0), ("b", 1.0)], "source string, weight double"), 40).orderBy("slot").collect()
     assert len(rows) == 40
-    assert [r.doc_id for r in rows if r.source == "a"][:4] == [1, 2, 1, 2]
+    own = [r.doc_id for r in rows if r.source == "a"]
+    passes = [tuple(own[k : k + 2]) for k in range(0, len(own) - 1, 2)]
+    assert all(sorted(p) == [1, 2] for p in passes) and len(set(passes)) == 2  # whole passes, not all in one order
+    assert [getattr(r, "pass") for r in rows if r.source == "a"] == [k // 2 for k in range(len(own))]
 
 
 def test_document_ids_against_a_loop(spark):
@@ -145,3 +148,18 @@ def test_samples_with_padding_among_the_tokens(spark):
         assert (r.x, r.y) == (x, y)
         assert r.loss_mask == [a != 0 and b != 0 for a, b in zip(x, y)]
         assert r.doc_ids == [max(sum(t == 1 for t in x[: i + 1]) - 1, 0) for i in range(4)]
+
+
+def test_text_samples_equal_samples_of_chunks(spark):
+    from textloom.functions import text as T
+
+    texts = ["ab.c." * 30, "\U0001f600é.x" * 5, ".", "", None, "a\0b.\0" * 9, "..." * 11]
+    df = spark.createDataFrame([(k, t, 5) for k, t in enumerate(texts)], "doc_id long, text string, chunk int").coalesce(1)
+    packs = df.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,8}"), F.lit(0))).alias("chunk", "text")).select("doc_id", "chunk", T.code_points(F.col("text")).alias("tokens"))
+    columns = ("doc_id", "chunk", "x", "y", "doc_ids", "loss_mask")
+    want = sorted(map(tuple, samples.samples(packs, 8, 46, 0).select(*columns).collect()))
+    found = samples.text_samples(df, 8, 46, 0)
+    assert sorted(map(tuple, found.select(*columns).collect())) == want
+    short = samples.text_samples(df, 8, 46, 0, summary=True)
+    assert sorted((r.doc_id, r.chunk, r.n_real, r.x_sum, r.n_loss, r.last_doc) for r in short.collect()) == [(i, c, sum(t != 0 for t in x), sum(x), sum(m), d[-1]) for i, c, x, _, d, m in want]
+    assert samples.text_samples(df.limit(0), 8, 46, 0).collect() == []

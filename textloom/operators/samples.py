@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators import bins
+from textloom.shipping import ship
+
+#: Code points that a task lays out at once; one text may have more.
+POINTS = 1 << 20
 
 
 def _places(tokens: Column, bos: int) -> Column:
@@ -81,6 +88,54 @@ def samples(packs: DataFrame, block: int, bos: int, pad: int, tokens: str = "tok
     return rows.select(*rest, "x", "y", document_ids(F.col("x"), bos).alias("doc_ids"), mask.alias("loss_mask"))
 
 
+SAMPLE = "x array<int>, y array<int>, doc_ids array<int>, loss_mask array<boolean>"
+SUMMARY = "n_real int, n_pad int, x_sum long, y_sum long, n_loss int, last_doc int"
+
+
+def _tables(tokens: np.ndarray, sizes: np.ndarray, block: int, bos: int, pad: int) -> tuple[np.ndarray, ...]:
+    """Of documents laid out one after the other: each sample's document and chunk, then x, y, document numbers and loss mask, with a row for each sample."""
+    chunks = -(-sizes // block)
+    base = np.cumsum(chunks) - chunks
+    x = np.full(int(chunks.sum()) * block, pad, np.int32)
+    x[np.arange(len(tokens)) + np.repeat(base * block - (np.cumsum(sizes) - sizes), sizes)] = tokens
+    x = x.reshape(-1, block)
+    y = np.full_like(x, pad)
+    y[:, :-1] = x[:, 1:]
+    own = np.repeat(np.arange(len(sizes)), chunks)
+    docs = np.maximum(np.cumsum(x == bos, axis=1, dtype=np.int32) - 1, 0)
+    return own, (np.arange(len(own)) - base[own]).astype(np.int32), x, y, docs, (x != pad) & (y != pad)
+
+
+def text_samples(docs: DataFrame, block: int, bos: int, pad: int, id_col: str = "doc_id", text_col: str = "text", summary: bool = False) -> DataFrame:
+    """(id, chunk) and the sample of each chunk of `block` code points of a text, as samples() makes it of such chunks: one pass over flat arrays. With summary, of each sample only how many places are real, padding and in the loss, the sums of x and y, and the last place's document. Null and empty texts have none."""
+    ship(docs.sparkSession)
+    rows = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).where("_text <> ''")
+    kind = rows.schema[id_col].dataType.simpleString()
+    names = [x.split()[0] for x in (SUMMARY if summary else SAMPLE).split(", ")]
+
+    def listed(table: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, table.size + 1, block, dtype=np.int32)), pa.array(table.reshape(-1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            upto, at = np.cumsum(lengths), 0
+            while at < batch.num_rows:  # whole texts, some at once
+                end = max(at + 1, int(np.searchsorted(upto, POINTS + (upto[at - 1] if at else 0), "right")))
+                some = batch.slice(at, end - at)
+                tokens = np.frombuffer("".join(some.column(1).to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int32)
+                own, chunk, x, y, places, mask = _tables(tokens, lengths[at:end], block, bos, pad)
+                if summary:
+                    real = (x != pad).sum(1, dtype=np.int32)
+                    columns = [pa.array(c) for c in (real, block - real, x.sum(1, dtype=np.int64), y.sum(1, dtype=np.int64), mask.sum(1, dtype=np.int32), places[:, -1])]
+                else:
+                    columns = [listed(t) for t in (x, y, places, mask)]
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(own)), pa.array(chunk), *columns], [id_col, "chunk", *names])
+                at = end
+
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, chunk int, {SUMMARY if summary else SAMPLE}")
+
+
 def fixed_blocks(tokens: Column, block: int) -> Column:
     """array<struct<block, x, y>>: blocks that don't overlap, (n - 1) div block of them, with their successors."""
     n = F.floor((F.size(tokens) - 1) / F.lit(block)).cast("int")

@@ -81,11 +81,16 @@ def draws(mixture: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 
 def mixed(docs: DataFrame, mixture: DataFrame, n: int, seed: int = 42, key: str = "doc_id") -> DataFrame:
-    """n documents in the order of their slots' draws; each source is gone through in its own order, again and again."""
-    placed = ranks.numbered(docs, "source", [F.col(key)], "_place")
+    """n documents in the order of their slots' draws, with the pass over their source: each source is gone through again and again, every time in a seeded order of its own."""
+    turns = draws(mixture, n, seed)
     sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("_size"))
-    turns = draws(mixture, n, seed).join(F.broadcast(sizes), "source").withColumn("_place", F.pmod("turn", "_size"))
-    return turns.join(placed, ["source", "_place"]).drop("_place", "_size")
+    taken = turns.groupBy("source").agg(F.count(F.lit(1)).alias("_taken")).join(sizes, "source")
+    passes = taken.select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_taken") - 1) / F.col("_size")))).alias("pass"))
+    # as many rows as slots, and at most one more pass over each source
+    again = docs.join(passes, "source").withColumn("_key", F.struct("source", "pass"))
+    placed = ranks.numbered(again, "_key", [T.md5_number(F.lit(seed) + F.col("pass"), F.col(key)), F.col(key)], "_place").drop("_key")
+    turns = turns.join(F.broadcast(sizes), "source").select("slot", "source", "turn", F.floor(F.col("turn") / F.col("_size")).alias("pass"), F.pmod("turn", "_size").alias("_place"))
+    return turns.join(placed, ["source", "pass", "_place"]).drop("_place")
 
 
 def resumed(manifest: DataFrame, consumed: DataFrame) -> DataFrame:

@@ -259,13 +259,7 @@ def delimiter_counts(spark, d):
 
 @query("shift_mask_chunks", f"WITH p AS (SELECT doc_id, {POINTS} AS p FROM documents WHERE text <> ''), c AS (SELECT doc_id, p, unnest(range(0, len(p), {BLOCK})) AS c FROM p), t AS (SELECT doc_id, (c // {BLOCK})::INT AS chunk, p[c + 1:c + {BLOCK}] AS t FROM c) SELECT doc_id, chunk, len(t)::INT AS n_real, ({BLOCK} - len(t))::INT AS n_pad, list_sum(t)::BIGINT AS x_sum, (list_sum(t) - t[1])::BIGINT AS y_sum, (len(t) - 1)::INT AS n_loss, greatest(len(list_filter(t, lambda c: c = {STOP})) - 1, 0)::INT AS last_doc FROM t")
 def shift_mask_chunks(spark, d):
-    # cut as text: slices of one long array would go over it once for each chunk
-    texts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
-    packs = read(spark, d, "documents").select("doc_id", F.posexplode(texts).alias("chunk", "text")).select("doc_id", "chunk", T.code_points(F.col("text")).alias("tokens"))
-    rows = samples.samples(packs, BLOCK, STOP, PAD)
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    real = F.size(F.array_remove("x", PAD))
-    return rows.select("doc_id", "chunk", real.alias("n_real"), (F.size("x") - real).alias("n_pad"), total("x").alias("x_sum"), total("y").alias("y_sum"), F.size(F.array_remove("loss_mask", False)).alias("n_loss"), F.element_at("doc_ids", -1).alias("last_doc"))
+    return samples.text_samples(read(spark, d, "documents"), BLOCK, STOP, PAD, summary=True)
 
 
 @query("fixed_blocks", f"WITH p AS (SELECT doc_id, {POINTS} AS t FROM documents), b AS (SELECT doc_id, t, unnest(range(0, (len(t) - 1) // {BLOCK})) AS b FROM p) SELECT doc_id, b::INT AS block, list_sum(t[b * {BLOCK} + 1:b * {BLOCK} + {BLOCK}])::BIGINT AS x_sum, list_sum(t[b * {BLOCK} + 2:b * {BLOCK} + {BLOCK} + 1])::BIGINT AS y_sum FROM b")
@@ -337,18 +331,27 @@ def mixture_weights(spark, d):
     return shards.normalized_weights(mixture(spark, d)).select("source", *[r6(F.col(c)).alias(c) for c in ("weight", "low", "high")])
 
 
-@query("mixture_share", f"WITH u AS (SELECT i, {HEX.format(md5='h')} / 4294967296.0 AS u FROM (SELECT i, md5('42:' || i) AS h FROM range(0, 5000) r(i))) SELECT source, count(*) AS drawn FROM u JOIN {SHARES} s ON u.u * s.total >= s.below AND u.u * s.total < s.below + s.w GROUP BY source")
+#: One draw for each document of the table.
+DRAWN = f"(SELECT i, {HEX.format(md5='h')} / 4294967296.0 AS u FROM (SELECT i, md5('42:' || i) AS h FROM (SELECT unnest(range(0, (SELECT count(*) FROM documents))) AS i)))"
+
+
+def draws(spark: SparkSession, d: str) -> int:
+    return read(spark, d, "documents").count()
+
+
+@query("mixture_share", f"SELECT source, count(*) AS drawn FROM {DRAWN} u JOIN {SHARES} s ON u.u * s.total >= s.below AND u.u * s.total < s.below + s.w GROUP BY source")
 def mixture_share(spark, d):
-    return shards.draws(mixture(spark, d), 5000).groupBy("source").agg(F.count(F.lit(1)).alias("drawn"))
+    return shards.draws(mixture(spark, d), draws(spark, d)).groupBy("source").agg(F.count(F.lit(1)).alias("drawn"))
 
 
-#: 5,000 draws; each source is gone through in order of ids, again and again.
-MIXED = f"u AS (SELECT i, {HEX.format(md5='h')} / 4294967296.0 AS u FROM (SELECT i, md5('42:' || i) AS h FROM range(0, 5000) r(i))), n AS (SELECT u.i AS slot, s.source, row_number() OVER (PARTITION BY s.source ORDER BY u.i) - 1 AS turn FROM u JOIN {SHARES} s ON u.u * s.total >= s.below AND u.u * s.total < s.below + s.w), o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS size FROM documents)"
+#: Each source is gone through again and again, every time in a seeded order of its own.
+MIXED = f"n AS (SELECT u.i AS slot, s.source, row_number() OVER (PARTITION BY s.source ORDER BY u.i) - 1 AS turn FROM {DRAWN} u JOIN {SHARES} s ON u.u * s.total >= s.below AND u.u * s.total < s.below + s.w)"
+PASSES = f"z AS (SELECT source, count(*) AS size FROM documents GROUP BY source), t AS (SELECT source, max(turn) AS last FROM n GROUP BY source), o AS (SELECT source, doc_id, n_chars, pass, row_number() OVER (PARTITION BY source, pass ORDER BY {HEX.format(md5='h')}, doc_id) - 1 AS k FROM (SELECT d.source, doc_id, n_chars, pass, md5((42 + pass) || ':' || doc_id) AS h FROM documents d JOIN (SELECT t.source, unnest(range(0, last // size + 1)) AS pass FROM t JOIN z USING (source)) USING (source)))"
 
 
-@query("mixture_documents", f"WITH {MIXED} SELECT slot, source, doc_id, n_chars FROM n JOIN o USING (source) WHERE k = turn % size")
+@query("mixture_documents", f"WITH {MIXED}, {PASSES} SELECT slot, n.source, pass, doc_id, n_chars FROM n JOIN z USING (source) JOIN o ON o.source = n.source AND o.pass = n.turn // z.size AND o.k = n.turn % z.size")
 def mixture_documents(spark, d):
-    return shards.mixed(read(spark, d, "documents").select("source", "doc_id", "n_chars"), mixture(spark, d), 5000).select("slot", "source", "doc_id", "n_chars")
+    return shards.mixed(read(spark, d, "documents").select("source", "doc_id", "n_chars"), mixture(spark, d), draws(spark, d)).select("slot", "source", "pass", "doc_id", "n_chars")
 
 
 @query("resume_offsets", "SELECT source, count(*) AS n, coalesce(max(CASE WHEN source IN ('src1', 'src3') THEN 5 END), 0)::INT AS consumed FROM documents GROUP BY source")
@@ -481,7 +484,7 @@ def prefix_split(spark, d):
 
 @query("shard_counters", f"WITH {MIXED} SELECT source, count(*) // 100 AS shards_consumed, count(*) % 100 AS within FROM n GROUP BY source")
 def shard_counters(spark, d):
-    return shards.shard_counters(shards.draws(mixture(spark, d), 5000), 100)
+    return shards.shard_counters(shards.draws(mixture(spark, d), draws(spark, d)), 100)
 
 
 @query("shard_documents", f"SELECT shard, doc_id, row_number() OVER (PARTITION BY shard ORDER BY {HEX.format(md5='h')}, doc_id) - 1 AS place FROM (SELECT shard, doc_id, md5((42 + shard) || ':' || doc_id) AS h FROM {SCATTER})")
