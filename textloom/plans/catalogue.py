@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom import scratch
 from textloom.functions import numeric as N
 from textloom.functions import text as T
-from textloom.operators import bpe, corpus, evals, metrics, samples, shards
+from textloom.operators import bpe, corpus, dictionary, evals, metrics, samples, shards
 from textloom.streaming import pack_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,6 +149,13 @@ def encode_docs(spark, d):
     return rows.select("doc_id", F.size("ids").alias("n_tokens"), F.array_join("ids", " ").alias("ids"))
 
 
+@query("encode_dictionary", f"{MERGING}, e AS (SELECT chunk, length(run) AS n FROM x WHERE step = 100) SELECT doc_id, coalesce(sum(n), 0)::BIGINT AS n_tokens FROM (SELECT doc_id, unnest(CASE WHEN len(chunks) = 0 THEN [NULL] ELSE chunks END) AS chunk FROM (SELECT doc_id, regexp_extract_all(text, '{RE2}') AS chunks FROM documents)) LEFT JOIN e USING (chunk) GROUP BY doc_id")
+def encode_dictionary(spark, d):
+    # each run of the query has a dictionary of its own, so that it does the same work every time
+    folder = scratch.scratch_path(spark, "dictionary")
+    return dictionary.token_counts(read(spark, d, "documents").select("doc_id", "text"), small_vocabulary(spark, d), folder)
+
+
 @query("decode_roundtrip", "SELECT doc_id, md5(replace(text, '_', '')) AS text_md5 FROM documents")
 def decode_roundtrip(spark, d):
     vocabulary = small_vocabulary(spark, d)
