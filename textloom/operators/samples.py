@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom import scratch
 from textloom.operators import bins
 from textloom.shipping import ship
 
@@ -169,6 +170,18 @@ def pack_next_fit(lengths: DataFrame, block: int, stream: str = "stream") -> Dat
     return found.select("stream", *order, "n", "pack", "place")
 
 
+def pack_texts(docs: DataFrame, block: int, stream: str = "stream", bos: str = "\x01") -> DataFrame:
+    """(stream, pack, text): the texts of next-fit packs of at most `block` code points. Each document begins with `bos`, one sign, and is cut into pieces if it is longer than a pack; a null text is empty. Lengths alone are packed; texts move once, to their pack, which is bounded."""
+    text = F.concat(F.lit(bos), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.select(F.col(stream).cast("string").alias("stream"), F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    cut = scratch.saved(rows.select("stream", "doc_id", "row", F.posexplode(cut).alias("chunk", "text")).withColumn("n", F.length("text")), "pieces")
+    placed = bins.filled(cut.select("stream", "doc_id", "row", "chunk", "n"), block + 1, ["doc_id", "row", "chunk"], "pack", most=block)
+    joined = cut.select("row", "chunk", "text").join(placed.select("stream", "row", "chunk", "pack", "place"), ["row", "chunk"])
+    pieces_ = F.array_sort(F.collect_list(F.struct("place", "text")))
+    return joined.groupBy("stream", "pack").agg(F.array_join(F.transform(pieces_, lambda p: p["text"]), "").alias("text"))
+
+
 def full_packs(packed: DataFrame) -> DataFrame:
     """Without each stream's last pack, which a finite reader never emits."""
     last = packed.groupBy("stream").agg(F.max("pack").alias("_last"))

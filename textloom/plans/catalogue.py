@@ -153,7 +153,7 @@ def encode_docs(spark, d):
 def encode_dictionary(spark, d):
     # each run of the query has a dictionary of its own, so that it does the same work every time
     folder = scratch.scratch_path(spark, "dictionary")
-    return dictionary.token_counts(read(spark, d, "documents").select("doc_id", "text"), small_vocabulary(spark, d), folder)
+    return dictionary.token_counts(read(spark, d, "documents").select("doc_id", "text"), small_vocabulary(spark, d), folder).select("doc_id", "n_tokens")
 
 
 @query("decode_roundtrip", "SELECT doc_id, md5(replace(text, '_', '')) AS text_md5 FROM documents")
@@ -298,6 +298,20 @@ def pack_chunk_stats(spark, d):
     return packed.groupBy("stream", "pack").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n").alias("n_tokens"), (F.sum("n") - 1).alias("n_loss"))
 
 
+#: Whole documents with a delimiter (1) before each, packed and cut as above.
+DELIMITED = "SELECT source, doc_id, chr(1) || coalesce(text, '') AS text FROM documents"
+DELIMITED_PIECES = f"(SELECT source, doc_id, c // {PACK} AS chunk, substr(text, c + 1, {PACK}) AS text, length(substr(text, c + 1, {PACK})) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id, c) AS k FROM (SELECT *, unnest(range(0, length(text), {PACK})) AS c FROM ({DELIMITED})))"
+DELIMITED_PACKED = PIECES_PACKED.replace(PIECES, DELIMITED_PIECES)
+
+
+@query("pack_samples", f"{DELIMITED_PACKED}, t AS (SELECT source, pack, list_transform(string_split(string_agg(text, '' ORDER BY k), ''), lambda c: unicode(c)) AS t FROM p JOIN o USING (source, k) GROUP BY source, pack) SELECT source AS stream, pack, len(t)::INT AS n_real, ({PACK} - len(t))::INT AS n_pad, list_sum(t)::BIGINT AS x_sum, (list_sum(t) - t[1])::BIGINT AS y_sum, (len(t) - 1)::INT AS n_loss, greatest(len(list_filter(t, lambda c: c = 1)) - 1, 0)::INT AS last_doc FROM t")
+def pack_samples(spark, d):
+    """Training samples of packs, which hold several documents or pieces of them."""
+    docs = read(spark, d, "documents").select(F.col("source").alias("stream"), "doc_id", "text")
+    packs = samples.pack_texts(docs, PACK).select(F.struct("stream", "pack").alias("key"), "text")
+    return samples.text_samples(packs, PACK, 1, PAD, id_col="key", summary=True).select("key.*", "n_real", "n_pad", "x_sum", "y_sum", "n_loss", "last_doc")
+
+
 CAPACITY = 20_000
 
 

@@ -7,7 +7,7 @@ import contextlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +64,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def saved_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """saved(make()), and of the scratch tables made for it nothing stays but this one."""
+    path = scratch_path(spark, name)
+    with scratch(spark):
+        df = make()
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
 def drop(*frames: DataFrame) -> None:
     """Remove scratch tables made by saved() that no later plan reads."""
     for df in frames:
