@@ -50,8 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each one's rows are written and read again."""
-    docs = common.table(spark, sf_dir, "documents")
+    """Apply the stages to documents; each one's rows are written and read again. A stage's scratch tables go when it has been written, and its rows when the next stage has; the last stage's stay for the result."""
+    docs, last = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = common.saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = common.saved_alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if last is not None:
+            common.drop(last)
+        last = docs
     return docs

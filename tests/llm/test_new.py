@@ -13,7 +13,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from textloom.llm import common, content_sort, token_links, va_codes
+import corpus_pipeline
+from textloom.llm import class_ngrams, common, content_sort, token_links, va_codes
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -179,3 +180,31 @@ def test_links_of_a_table(spark, data, hard, nothing):
         rows = [(r.doc_id, r.text) for r in df.collect()]
         assert sorted_rows(token_links.token_links(df, BYTES, PIECES), *LINKS) == brute_links(rows)
     assert token_links.token_links(nothing, BYTES, PIECES).collect() == []
+
+
+# --- what earlier operators gained
+
+
+def test_class_scores_do_not_depend_on_the_layout(spark, data):
+    """As many tasks as partitions, and blocks in another order: the same classes, so the same scores."""
+    docs = common.table(spark, data, "documents")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found = []
+    try:
+        for parts, size in ((1, "1g"), (7, "64k")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)  # blocks are read by one task, or by many
+            found.append({r.doc_id: r.score for r in class_ngrams.class_bigram_scores(docs.repartition(parts)).collect()})
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert found[0].keys() == found[1].keys()
+    assert all(abs(x - found[1][i]) < 1e-6 * abs(x) for i, x in found[0].items())
+
+
+def test_the_pipeline_leaves_its_result_alone(spark, data):
+    import os
+
+    base = common.shared_dir(spark).removeprefix("file://") + "/textloom"
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    found = corpus_pipeline.run(spark, data)
+    left = set(os.listdir(base)) - before
+    assert len(left) == 1 and found.count() > 0

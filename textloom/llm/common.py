@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.scratch import drop, saved, scratch, scratch_path, shared_dir  # noqa: F401
+from textloom.scratch import drop, saved, saved_alone, scratch, scratch_path, shared_dir  # noqa: F401
 from textloom.shipping import ship
 
 #: Bytes and rows of one Arrow batch that goes to a Python worker.
