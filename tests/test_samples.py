@@ -79,6 +79,24 @@ def test_softmax_guards(spark):
     assert abs(sum(p) - 1) < 1e-9 and p[0] == p[1] == p[3] and p[2] == max(p)
 
 
+def test_sampling_from_the_largest(spark):
+    import math
+
+    z = [0.5, 2.0, -1.0, 2.0, 1.0]
+    draws = [k / 200 for k in range(200)]
+    df = spark.createDataFrame([(u, z) for u in draws], "u double, z array<float>")
+    w = [1.0, 1.0, math.exp(-1.0)]  # of places 1, 3 and 4
+    for r in df.select("u", N.sampled(F.col("z"), 3, F.col("u")).alias("t")).collect():
+        goal, upto = r.u * sum(w), 0.0
+        for place, x in zip((1, 3, 4), w):
+            upto += x
+            if upto > goal:
+                break
+        assert r.t == place
+    empty = spark.createDataFrame([([],), (None,)], "z array<double>").select(N.sampled(F.col("z"), 3, F.lit(0.5)).alias("t"))
+    assert [r.t for r in empty.collect()] == [None, None]
+
+
 def test_schedules(spark):
     with pytest.raises(ValueError):
         N.learning_rate(F.lit(1), 10, 1, 1.0, 0.1, 1.0, "steps")

@@ -47,6 +47,23 @@ def top_k(values: Column, k: int) -> Column:
     return F.slice(F.sort_array(values, asc=False), 1, k)
 
 
+def sampled(logits: Column, k: int, draw: Column, temperature: float = 1.0) -> Column:
+    """The place, from 0, of a value drawn from the k largest: by their probabilities, renormalised, and a draw from [0, 1). Of equal values the first counts as larger; null for an empty array."""
+    ranked = F.slice(F.array_sort(F.transform(logits, lambda x, i: F.struct((-x.cast("double")).alias("low"), i.alias("place")))), 1, k)
+
+    def of(top: Column) -> Column:
+        weigh = lambda t: F.exp((top[0]["low"] - t["low"]) / F.lit(temperature))
+
+        def drawn(goal: Column) -> Column:
+            start = F.struct(F.lit(0.0).alias("upto"), F.lit(None).cast("int").alias("place"))
+            step = lambda s, t: let(s["upto"] + weigh(t), lambda upto: F.struct(upto.alias("upto"), F.coalesce(s["place"], F.when(upto > goal, t["place"])).alias("place")))
+            return F.aggregate(top, start, step, lambda s: F.coalesce(s["place"], F.element_at(top, -1)["place"]))
+
+        return let(draw * F.aggregate(top, F.lit(0.0), lambda s, t: s + weigh(t)), drawn)
+
+    return F.when(F.size(logits) > 0, let(ranked, of))
+
+
 def norm(values: Column) -> Column:
     """The Euclidean length."""
     return F.sqrt(total(F.transform(values, lambda x: x.cast("double") * x.cast("double"))))
@@ -70,6 +87,11 @@ def silu(x: Column) -> Column:
     return x / (F.lit(1.0) + F.exp(-x))
 
 
+def swiglu(x: Column, gate: Column) -> Column:
+    """The gated form of silu."""
+    return x * silu(gate)
+
+
 def rms_norm(values: Column, eps: float = 1e-6) -> Column:
     """The array divided by its root mean square."""
     return let(F.sqrt(F.pow(norm(values), F.lit(2.0)) / F.size(values) + F.lit(eps)), lambda scale: F.transform(values, lambda x: x.cast("double") / scale))

@@ -406,11 +406,16 @@ def global_norm(spark, d):
     return read(spark, d, "embeddings").groupBy("label").agg(r6(F.sqrt(F.sum(F.pow(N.norm(F.col("embedding")), F.lit(2.0))))).alias("norm"))
 
 
-@query("activations", "SELECT vec_id, round(30 * tanh(x / 30), 6) AS capped, round(power(greatest(x, 0), 2), 6) AS relu2, round(x / (1 + exp(-x)), 6) AS silu FROM (SELECT vec_id, embedding[1]::DOUBLE * 50 AS x FROM embeddings)")
+@query("activations", "SELECT vec_id, round(30 * tanh(x / 30), 6) AS capped, round(power(greatest(x, 0), 2), 6) AS relu2, round(x / (1 + exp(-x)), 6) AS silu, round(x * g / (1 + exp(-g)), 6) AS swiglu FROM (SELECT vec_id, embedding[1]::DOUBLE * 50 AS x, embedding[2]::DOUBLE * 50 AS g FROM embeddings)")
 def activations(spark, d):
-    x = F.element_at("embedding", 1).cast("double") * 50
-    rows = read(spark, d, "embeddings").select("vec_id", x.alias("x"))
-    return rows.select("vec_id", r6(N.soft_cap(F.col("x"), 30.0)).alias("capped"), r6(N.relu_squared(F.col("x"))).alias("relu2"), r6(N.silu(F.col("x"))).alias("silu"))
+    x, g = (F.element_at("embedding", k).cast("double") * 50 for k in (1, 2))
+    rows = read(spark, d, "embeddings").select("vec_id", x.alias("x"), g.alias("g"))
+    return rows.select("vec_id", r6(N.soft_cap(F.col("x"), 30.0)).alias("capped"), r6(N.relu_squared(F.col("x"))).alias("relu2"), r6(N.silu(F.col("x"))).alias("silu"), r6(N.swiglu(F.col("x"), F.col("g"))).alias("swiglu"))
+
+
+@query("sample_topk", f"WITH z AS (SELECT vec_id, {HEX.format(md5='h')} / 4294967296.0 AS u, list_sort(list_transform(range(1, len(embedding) + 1), lambda i: {{'v': -(embedding[i]::DOUBLE), 'i': i - 1}}))[1:8] AS t FROM (SELECT *, md5('11:' || vec_id) AS h FROM embeddings)), w AS (SELECT vec_id, u, t, list_transform(t, lambda x: exp((t[1].v - x.v) / 0.7)) AS w FROM z), c AS (SELECT vec_id, u, t, w, list_transform(range(1, len(w) + 1), lambda j: list_sum(w[1:j])) AS c FROM w) SELECT vec_id, t[len(list_filter(c, lambda x: x <= u * list_sum(w))) + 1].i::INT AS token FROM c")
+def sample_topk(spark, d):
+    return read(spark, d, "embeddings").select("vec_id", N.sampled(F.col("embedding"), 8, T.unit_hash(F.lit(11), F.col("vec_id")), 0.7).alias("token"))
 
 
 @query("probability_entropy", "WITH z AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: exp(x)) AS w FROM embeddings) SELECT vec_id, round(-list_sum(list_transform(w, lambda x: x / list_sum(w) * ln(x / list_sum(w) + 1e-9))), 6) AS entropy FROM z")
@@ -448,17 +453,21 @@ def attention_pairs(spark, d):
     return rows.select("conv_id", "turn", "q_pos", "first_key", (F.col("q_pos") - F.col("first_key") + 1).alias("n_keys"))
 
 
-@query("lr_schedule", "SELECT s::BIGINT AS step, round(CASE WHEN s < 100 THEN 3e-4 * (0.01 + 0.99 * s / 100) WHEN s < 500 THEN 3e-4 ELSE 3e-5 + 0.5 * (3e-4 - 3e-5) * (1 + cos(pi() * (s - 500) / 500.0)) END, 9) AS cosine, round(CASE WHEN s < 100 THEN 3e-4 * (0.01 + 0.99 * s / 100) WHEN s < 500 THEN 3e-4 ELSE 3e-4 + (3e-5 - 3e-4) * (s - 500) / 500.0 END, 9) AS linear FROM range(0, 1000) r(s)")
+@query("lr_schedule", "WITH t AS (SELECT count(*) AS n, count(*) // 10 AS w, floor(0.5 * count(*))::BIGINT AS d FROM events), s AS (SELECT event_id AS step, w, n - d AS f, least(1, (event_id - (n - d)) / d::DOUBLE) AS share FROM events, t) SELECT step, round(CASE WHEN step < w THEN 3e-4 * (1.0::DOUBLE / w + (1 - 1.0::DOUBLE / w) * step / w) WHEN step < f THEN 3e-4 ELSE 3e-5 + 0.5 * (3e-4 - 3e-5) * (1 + cos(pi() * share)) END, 13) AS cosine, round(CASE WHEN step < w THEN 3e-4 * (1.0::DOUBLE / w + (1 - 1.0::DOUBLE / w) * step / w) WHEN step < f THEN 3e-4 ELSE 3e-4 + (3e-5 - 3e-4) * share END, 13) AS linear FROM s")
 def lr_schedule(spark, d):
-    rows = spark.range(1000).withColumnRenamed("id", "step")
-    rate = lambda kind: F.round(N.learning_rate(F.col("step"), 1000, 100, 3e-4, 3e-5, 0.5, kind), 9).alias(kind)
+    """The rate at each logged step of a run: a tenth of the steps to warm up, half of them to fall."""
+    rows = read(spark, d, "events").select(F.col("event_id").alias("step"))
+    n = rows.count()
+    rate = lambda kind: F.round(N.learning_rate(F.col("step"), n, n // 10, 3e-4, 3e-5, 0.5, kind), 13).alias(kind)
     return rows.select("step", rate("cosine"), rate("linear"))
 
 
-@query("steps_budget", "SELECT b::BIGINT AS batch, (b * 8 * 1024)::BIGINT AS per_step, 524288000 // (b * 8 * 1024)::BIGINT AS steps FROM range(8, 65, 8) r(b)")
+@query("steps_budget", "SELECT o_orderkey, b * 8 * 1024 AS per_step, floor(o_totalprice * 1000)::BIGINT // (b * 8 * 1024) AS steps FROM (SELECT *, 8 * (1 + o_orderkey % 8) AS b FROM orders)")
 def steps_budget(spark, d):
+    """Orders as budgets of tokens, each with a batch size of its own."""
+    rows = read(spark, d, "orders").select("o_orderkey", (8 * (1 + F.col("o_orderkey") % 8)).alias("batch"), F.floor(F.col("o_totalprice") * 1000).cast("long").alias("tokens"))
     per_step = N.tokens_per_step(F.col("batch"), F.lit(8), F.lit(1024))
-    return spark.range(8, 65, 8).withColumnRenamed("id", "batch").select("batch", per_step.alias("per_step"), N.total_steps(F.lit(524_288_000), per_step).alias("steps"))
+    return rows.select("o_orderkey", per_step.alias("per_step"), N.total_steps(F.col("tokens"), per_step).alias("steps"))
 
 
 @query("short_counts", "SELECT o_orderkey, CASE WHEN n > 1000000000 THEN printf('%.1fb', n / 1e9) WHEN n > 1000000 THEN printf('%.1fm', n / 1e6) WHEN n > 1000 THEN printf('%.1fk', n / 1e3) ELSE printf('%.1f', n::DOUBLE) END AS short FROM (SELECT o_orderkey, o_orderkey * 65537 + 3 AS n FROM orders)")
