@@ -71,16 +71,13 @@ class _Batch:
         inner = (flat[:-1] != BORDER) & (flat[1:] != BORDER)
         return (flat[:-1].astype(np.int64) * n + flat[1:])[inner], weights[owner[:-1][inner]]
 
-    def holding(self, pairs: list[Pair]) -> tuple[np.ndarray, np.ndarray]:
-        """Of the runs that hold one of the pairs, the same layout and weights."""
-        flat = self.flat
-        found = np.zeros(len(flat), bool)
-        for a, b in pairs:
-            found[:-1] |= (flat[:-1] == a) & (flat[1:] == b)
-        ends = np.flatnonzero(flat == BORDER)
-        first = np.concatenate([[0], ends[:-1] + 1])
-        held = np.add.reduceat(found, first) > 0 if len(flat) else np.zeros(0, bool)
-        return flat[np.repeat(held, ends + 1 - first)], self.weights[held]
+
+def _around(flat: np.ndarray, owner: np.ndarray, starts: np.ndarray, weights: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and weights of the pairs that start at some places, each place once."""
+    starts = np.unique(starts)
+    starts = starts[(starts >= 0) & (starts < len(flat) - 1)]
+    starts = starts[(flat[starts] != BORDER) & (flat[starts + 1] != BORDER)]
+    return flat[starts].astype(np.int64) * n + flat[starts + 1], weights[owner[starts]]
 
 
 def _pass(done: list[tuple[Pair, int]], tried: list[tuple[Pair, int]], n: int):
@@ -94,20 +91,22 @@ def _pass(done: list[tuple[Pair, int]], tried: list[tuple[Pair, int]], n: int):
             own = _Batch(batch.column(0).to_pylist(), batch.column(1).to_numpy())
             for pair, made in done:
                 own.flat = merged(own.flat, pair, made)[0]
-            flat, weights = own.holding([p for p, _ in tried])
+            flat, weights = own.flat, own.weights
+            owner = (np.cumsum(flat == BORDER, dtype=np.int32) - (flat == BORDER)).astype(np.int32)
             for step, (pair, made) in enumerate(tried):
-                # a merge may touch runs that an earlier step has changed, so all held ones are gone through in order
                 after, at = merged(flat, pair, made)
-                if len(at):
-                    touched = np.zeros(len(weights), bool)
-                    touched[(np.cumsum(flat == BORDER) - (flat == BORDER))[at]] = True
-                    for side, sign in ((flat, -1), (after, 1)):
-                        which = np.cumsum(side == BORDER) - (side == BORDER)
-                        part = side[touched[which]]
-                        for a, b, total in zip(*(x.tolist() for x in _totals(*own.pairs(part, weights[touched], n), n))):
-                            key = (step, a, b)
-                            changes[key] = changes.get(key, 0) + sign * total
-                flat = after
+                if not len(at):
+                    continue
+                keep = np.ones(len(flat), bool)
+                keep[at + 1] = False
+                later, place = owner[keep], at - np.arange(len(at))  # each merge before has removed one place
+                # only pairs that touch a merged one change
+                before = _around(flat, owner, np.concatenate([at - 1, at, at + 1]), weights, n)
+                new = _around(after, later, np.concatenate([place - 1, place]), weights, n)
+                for a, b, total in zip(*(x.tolist() for x in _totals(np.concatenate([before[0], new[0]]), np.concatenate([-before[1], new[1]]), n))):
+                    key = (step, a, b)
+                    changes[key] = changes.get(key, 0) + total
+                flat, owner = after, later
             runs = own.runs()
             size = len(runs)
             yield pa.RecordBatch.from_arrays([pa.array(runs, pa.binary()), batch.column(1), *[pa.nulls(size, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int64())]], _NAMES)
