@@ -11,6 +11,7 @@ from textloom import scratch
 from textloom.functions import numeric as N
 from textloom.functions import text as T
 from textloom.operators import bpe, corpus, dictionary, evals, metrics, samples, shards
+from textloom.sources import tables
 from textloom.streaming import pack_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -335,6 +336,23 @@ def split_train_val(spark, d):
     return shards.with_split(shards.shard_counts(shards.scattered(read(spark, d, "documents"), 8), F.col("n_chars")), 8, 2)
 
 
+#: Stand-in ids for the words of a text, from 1, and a delimiter (0) before each document. Shards are as many as 2,000 documents each need, and three more.
+WORD_IDS = r"list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w: (unicode(w) * 251 + length(w)) % 65535 + 1)"
+SHARDED = f"(SELECT doc_id, ({HEX.format(md5='h')} % (4 + (SELECT count(*) FROM documents) // 2000))::INT AS shard, list_concat([0], {WORD_IDS}) AS ids FROM (SELECT doc_id, text, md5('42:' || doc_id) AS h FROM documents))"
+
+
+@query("token_shards", f"SELECT 'shard_' || lpad(shard::VARCHAR, 4, '0') || '.bin' AS name, coalesce(sum(len(ids)) OVER (PARTITION BY shard ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, len(ids)::INT AS n_tokens, list_sum(ids)::BIGINT AS id_sum FROM {SHARDED}")
+def token_shards(spark, d):
+    """Documents written to token shards and read back from ranges of their bytes."""
+    docs = read(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("words"))
+    ids = F.transform("words", lambda w: ((F.ascii(w) * 251 + F.length(w)) % 65535 + 1).cast("int"))
+    placed = shards.scattered(docs.select("doc_id", F.concat(F.array(F.lit(0)), ids).alias("tokens")), 4 + docs.count() // 2000)
+    folder = scratch.scratch_path(spark, "token-shards")
+    tables.write_token_shards(placed, folder)
+    rows = tables.read_shard_documents(spark, folder, 0)
+    return rows.select("name", "start", F.size("tokens").alias("n_tokens"), F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
+
+
 @query("epoch_order", f"SELECT epoch::INT AS epoch, place::INT AS place, name FROM (SELECT epoch, name, row_number() OVER (PARTITION BY epoch ORDER BY {HEX.format(md5='h')}, name) - 1 AS place FROM (SELECT e AS epoch, source AS name, md5((42 + e) || ':' || source) AS h FROM (SELECT DISTINCT source FROM documents), range(0, 3) r(e))) WHERE epoch > 0 OR place >= 4")
 def epoch_order(spark, d):
     return shards.epoch_order(read(spark, d, "documents").select(F.col("source").alias("name")).distinct(), 3, skip=4)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.shipping import ship
+from textloom.sources import shard_files
 
 #: Rows of training and validation metrics in one file, with the keys of either.
 METRICS = "step long, t_loss double, lr double, tokens long, grad_norm double, clip_ratio double, param_norm double, v_loss double"
@@ -64,43 +65,26 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInArrow(run, "name string, tokens array<int>")
 
 
-def write_token_shards(rows: DataFrame, folder: str, order: str = "doc_id") -> DataFrame:
-    """Write rows (shard, order, tokens) as one .bin file for each shard, in order, under a temporary name first; returns (name, n_tokens). Ids must be below 65,536. folder: an address that pyarrow's file systems open on every executor; a bare path is one only for a local session, whose executors are the driver."""
-    ship(rows.sparkSession)
-    if ":/" not in folder and rows.sparkSession.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("on a cluster, name the folder's file system: executors share no local folder")
-    target = folder if ":/" in folder else "file://" + folder
+def write_token_shards(rows: DataFrame, folder: str, order: str = "doc_id", overwrite: bool = True) -> DataFrame:
+    """Write rows (shard, order, tokens) as one .bin file for each shard, in order, all or none (shard_files); returns (name, n_tokens) by the manifest. Ids must be below 65,536. folder: an address that pyarrow's file systems open on every executor; a bare path is one only for a local session, whose executors are the driver."""
+    spark = _with_shards(rows.sparkSession, folder)
+    ordered = rows.select("shard", order, "tokens").repartition("shard").sortWithinPartitions("shard", order).select(F.col("shard").cast("int").alias("shard"), F.col("tokens").cast("array<int>").alias("tokens"))
+    ordered.write.format("token_shards").mode("overwrite" if overwrite else "append").option("path", folder).save()
+    return spark.createDataFrame([*shard_files.committed(folder).items()], "name string, n_tokens long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
 
-        system, base = fs.FileSystem.from_uri(target)
-        system.create_dir(base, recursive=True)
-        names, sizes, out, last = [], [], None, None
+def _with_shards(spark: SparkSession, folder: str) -> SparkSession:
+    """The session with the data source of token shards."""
+    ship(spark)
+    if ":/" not in folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("on a cluster, name the folder's file system: executors share no local folder")
+    spark.dataSource.register(shard_files.TokenShards)
+    return spark
 
-        def close():
-            if out is not None:
-                out.close()
-                system.move(f"{base}/{names[-1]}.tmp", f"{base}/{names[-1]}")
 
-        for batch in batches:
-            for shard, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if shard != last:
-                    close()
-                    last = shard
-                    names.append(f"shard_{shard:04d}.bin")
-                    sizes.append(0)
-                    out = system.open_output_stream(f"{base}/{names[-1]}.tmp")
-                values = np.asarray(ids, np.int64)
-                if len(values) and not 0 <= values.min() <= values.max() < 65536:
-                    raise ValueError("token ids must fit 16 bits")
-                out.write(values.astype("<u2").tobytes())
-                sizes[-1] += len(values)
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["name", "n_tokens"])
-
-    ordered = rows.select("shard", order, "tokens").repartition("shard").sortWithinPartitions("shard", order)
-    return ordered.select("shard", "tokens").mapInArrow(run, "name string, n_tokens long")
+def read_shard_documents(spark: SparkSession, folder: str, delimiter: int, range_bytes: int = shard_files.RANGE_BYTES) -> DataFrame:
+    """(name, start, tokens array<int>): the documents of a folder of token shards, each with its delimiter and the place of that in its file. Large files are read by several tasks."""
+    return _with_shards(spark, folder).read.format("token_shards").option("path", folder).option("delimiter", delimiter).option("range_bytes", range_bytes).load()
 
 
 def shard_metadata(counts: DataFrame, vocab_path: str, split_id: int, **more) -> dict:
