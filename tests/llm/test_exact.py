@@ -339,11 +339,59 @@ def test_grammar_tags():
 
 def test_negation_and_report_lower_the_score():
     grammar = toxicity_grammar.Grammar({})
+    assert tags("te voy a matar: nada") == {"threat": 1}
     score = lambda text: grammar.score(grammar.features(text))
     for plain in ("I will kill you", "you idiot"):
         assert score(plain) > score("he said " + plain) and score(plain) > score("not " + plain)
 
 
+def test_grammar_of_reports_and_quotes():
+    assert tags("He wrote: you idiot") == {"reported": 1}
+    assert tags("The rule: you idiot") == {"targeted": 1}
+    assert tags("You know what: idiot") == {"plain": 1}
+    assert tags("I can not: an idiot") == {"plain": 1}
+    assert tags('She said "you idiot"') == tags("She said: “you idiot”") == tags("Er sagte: „du idiot“") == {"reported": 1}
+    assert tags('She said "well. Now then! You idiot." and left') == {"reported": 1}
+    assert tags('She said "hello", you idiot') == {"targeted": 1}
+    assert tags('She said "hello." You idiot.') == {"targeted": 1}
+    assert tags('She said. "You idiot"') == {"targeted": 1}
+    assert tags('She said "hello\nYou idiot"') == {"targeted": 1}
+    assert tags('He wrote: "I will kill you"') == {"reported threat": 1}
+    assert tags("He said you are not an idiot") == {"reported negated": 1}
+    assert tags("He said: I will not kill you") == {"reported negated threat": 1}
+    assert tags("idiot, you") == tags("idiot you") == {"plain": 1, "targeted": 1}
+    assert tags("idiot saw you") == tags("idiot. You") == {"plain": 1}
+    assert tags("zorg, you", {"zorg": 0.5}) == {"plain": 0.5, "targeted": 0.5}
+    assert tags("You idiot, you") == {"targeted": 1}
+    grammar = toxicity_grammar.Grammar({})
+    score = lambda text: grammar.score(grammar.features(text))
+    assert score("you idiot") > score("he wrote: you idiot") and score('he said "x", you idiot') > score('he said "you idiot"')
+    assert score("idiot, you") > score("idiot")
+
+
+def in_place(text):
+    """Reported or not, by hand: the verb's clause up to its end, or the quotation that opens in it, whatever ends clauses there."""
+    out, said, inside = [], False, False
+    for x in text:
+        if x == "r":
+            said = True
+        elif x == "q":
+            said, inside = (False, False) if inside else (said, said)
+        elif x == "e":
+            said = said and inside
+        elif x == "i":
+            out.append(said)
+    return out
+
+
+@given(st.lists(st.sampled_from("wriqke"), max_size=12))
+def test_reports_against_brute_force(kinds):
+    signs = dict(w="tree", r="said", i="idiot", q='"', k=":", e=".")
+    found = tags(" ".join(signs[x] for x in kinds))
+    want = in_place(kinds)
+    assert found.get("reported", 0) == sum(want) and found.get("plain", 0) == len(want) - sum(want)
+
+
 @given(st.lists(st.sampled_from(toxicity_grammar.KINDS), max_size=9))
 def test_composition_equals_the_cascade(kinds):
     """One after the other, with weights multiplied along each symbol, against the composed transducer."""

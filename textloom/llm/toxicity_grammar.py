@@ -5,10 +5,11 @@ the usual endings and by stems learned from labelled rows, and verbs of violence
 holds such a word goes, as a sequence of word kinds, through five transducers, which are tables of
 states and arcs with outputs and weights: threat joins a verb of violence and the one it is aimed at;
 negation marks what it has in its scope, to the clause's end or a contrast; reported speech marks what
-is quoted; target marks insults of someone addressed or spoken of; insult writes the tag of each mark.
+follows its verb, past a colon, and what quotation marks after it enclose, to the closing one even over several sentences of a line;
+target marks insults of someone addressed or spoken of, and notes one who is named right after an insult; insult writes the tag of each mark.
 compose() makes one transducer of them: along a path weights multiply, and what several payloads of a
-clause give under a tag adds up. The sums by tag give the score through a logistic function whose
-coefficients are fitted to labelled rows, starting from fixed ones.
+clause give under a tag adds up. The sums by tag give the score through a logistic function: every
+arc that writes a tag has a coefficient of its own, fitted to labelled rows, starting from fixed ones.
 
 Nulls, ties and repeats: a null or empty text has no clause and gets the score of a text in which
 nothing matches; without labelled rows the fixed seeds and coefficients are used; a null id
@@ -50,14 +51,17 @@ NEGATIONS = frozenset("not never no isn't aren't wasn't won't wouldn't don't doe
 REPORTS = frozenset("said says say wrote writes claimed called quoted sagte sagt schrieb dit écrit dijo dice".split())
 CONTRASTS = frozenset("but aber sondern mais pero sino".split())
 
-TAGS = ("plain", "targeted", "negated", "reported", "threat", "negated threat", "reported threat")
+TAGS = ("plain", "targeted", "negated", "reported", "threat", "negated threat", "reported threat", "reported negated", "reported negated threat")
 #: Coefficients before fitting; the first is the constant.
-START = np.array([-3.5, 4.0, 5.0, 3.0, 3.0, 6.0, 1.0, 2.0])
-CLAUSE_END = re.compile(r"[.!?;:\n。！？；：…।؟۔]+")
+START = np.array([-3.5, 4.0, 5.0, 3.0, 3.0, 6.0, 1.0, 2.0, 1.5, 1.0])
+CLAUSE_END = re.compile(r"[.!?;\n。！？；…।؟۔]+")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
+#: Quotation marks, and what the transducers read: words, quotation marks, colons, other ends of clauses.
+QUOTE = re.compile(r'["“”„‟«»‹›「」]')
+SYMBOL = re.compile(rf"{WORD.pattern}|{QUOTE.pattern}|[.!?;:\n。！？；：…।؟۔]")
 
-#: Kinds of words that the transducers read: other, target, object before its verb, negation, report, contrast, insult, violence.
-KINDS = "w t o n r c i v".split()
+#: Kinds of what the transducers read: other word, target, object before its verb, negation, report, contrast, insult, violence, quotation mark, colon, another clause's end.
+KINDS = "w t o n r c i v q k e".split()
 
 
 class Transducer:
@@ -96,24 +100,34 @@ def compose(first: Transducer, second: Transducer, alphabet: list[str]) -> Trans
     return Transducer(arcs)
 
 
+#: A clause ends within what is read: where it began, but for a quotation, which lasts.
+_ENDS = {"k": (0, "k", 1.0), "e": (0, "e", 1.0)}
 #: Threat: a verb of violence and a target within two words after it, or an object and the verb within three; H stands for both.
 _OPEN = {"v": (1, "w", 1.0), "o": (3, "t", 1.0)}
 THREAT = Transducer(
     [
         _OPEN,
-        _OPEN | {x: (0, "H", 1.0) for x in "to"} | {x: (2, x, 1.0) for x in "wnrci"},
-        _OPEN | {x: (0, "H", 1.0) for x in "to"} | {x: (0, x, 1.0) for x in "wnrci"},
-        *[_OPEN | {"v": (0, "H", 1.0), "o": (3, "t", 1.0)} | {x: (after, x, 1.0) for x in "wtnrci"} for after in (4, 5, 0)],
+        _OPEN | _ENDS | {x: (0, "H", 1.0) for x in "to"} | {x: (2, x, 1.0) for x in "wnrci"},
+        _OPEN | _ENDS | {x: (0, "H", 1.0) for x in "to"} | {x: (0, x, 1.0) for x in "wnrci"},
+        *[_OPEN | _ENDS | {"v": (0, "H", 1.0), "o": (3, "t", 1.0)} | {x: (after, x, 1.0) for x in "wtnrci"} for after in (4, 5, 0)],
     ]
 )
 #: Negation: what follows it is marked -, up to a contrast.
-NEGATION = Transducer([{"n": (1, "w", 1.0), "c": (0, "w", 1.0)}, {"n": (1, "w", 1.0), "c": (0, "w", 1.0), "i": (1, "i-", 1.0), "H": (1, "H-", 1.0)}])
-#: Reported speech: what follows it is marked with a quote.
-REPORT = Transducer([{"r": (1, "w", 1.0)}, {"r": (1, "w", 1.0)} | {x: (1, x + '"', 1.0) for x in ("i", "i-", "H", "H-")}])
-#: Target: an insult after someone was named is marked !.
-TARGET = Transducer([{x: (1, x, 1.0) for x in ("t", "H", "H-", 'H"', 'H-"')}, {"i": (1, "i!", 1.0)}])
-#: Insult: the tags; other words give nothing. What is both negated and reported weighs half.
-INSULT = Transducer([{"w": (0, "", 1.0), "t": (0, "", 1.0), "i": (0, "plain", 1.0), "i!": (0, "targeted", 1.0), "i-": (0, "negated", 1.0), 'i"': (0, "reported", 1.0), 'i-"': (0, "reported", 0.5), "H": (0, "threat", 1.0), "H-": (0, "negated threat", 1.0), 'H"': (0, "reported threat", 1.0), 'H-"': (0, "reported threat", 0.5)}])
+NEGATION = Transducer([{"n": (1, "w", 1.0), "c": (0, "w", 1.0)}, _ENDS | {"n": (1, "w", 1.0), "c": (0, "w", 1.0), "i": (1, "i-", 1.0), "H": (1, "H-", 1.0)}])
+#: Reported speech: what follows a report, past a colon, is marked with a quote; quotation marks after it close the scope with the second of them, and no end of a clause does.
+_SAID = {x: x + '"' for x in ("i", "i-", "H", "H-")}
+REPORT = Transducer(
+    [
+        {"r": (1, "w", 1.0)},
+        {"r": (1, "w", 1.0), "q": (2, "q", 1.0), "e": (0, "e", 1.0)} | {x: (1, y, 1.0) for x, y in _SAID.items()},
+        {"r": (2, "w", 1.0), "q": (0, "q", 1.0)} | {x: (2, y, 1.0) for x, y in _SAID.items()},
+    ]
+)
+#: Target: an insult after someone was named is marked !; who is named right after an insult makes t!.
+_NAMED = {x: (1, x, 1.0) for x in ("t", "H", "H-", 'H"', 'H-"')}
+TARGET = Transducer([_NAMED | {"i": (2, "i", 1.0)}, _ENDS | {"i": (1, "i!", 1.0)}, _NAMED | _ENDS | {"t": (1, "t!", 1.0), "i": (2, "i", 1.0)} | {x: (0, x, 1.0) for x in ("w", "q", "i-", 'i"', 'i-"')}])
+#: Insult: the tags; other words and signs give nothing.
+INSULT = Transducer([{x: (0, "", 1.0) for x in "wtqke"} | {"i": (0, "plain", 1.0), "i!": (0, "targeted", 1.0), "t!": (0, "targeted", 1.0), "i-": (0, "negated", 1.0), 'i"': (0, "reported", 1.0), 'i-"': (0, "reported negated", 1.0), "H": (0, "threat", 1.0), "H-": (0, "negated threat", 1.0), 'H"': (0, "reported threat", 1.0), 'H-"': (0, "reported negated threat", 1.0)}])
 
 CLAUSE = THREAT
 for _next in (NEGATION, REPORT, TARGET, INSULT):
@@ -156,10 +170,13 @@ class Grammar:
         sums = dict.fromkeys(TAGS, 0.0)
         text = text.lower()
         payloads = self._payloads(text)
-        end = -1
+        end = line = -1
         for at in payloads:
+            if at >= line:
+                first, line = _line_bounds(text, at)
+                quoted = QUOTE.search(text, first, line) is not None
             if at >= end:
-                start, end = _clause_bounds(text, at)
+                start, end = (first, line) if quoted else _clause_bounds(text, at)
                 for tag, weight in read_clause(text, start, end, payloads):
                     sums[tag] += weight
         return np.log1p(np.array([sums[t] for t in TAGS]))
@@ -170,7 +187,9 @@ class Grammar:
 
 
 def kind_of(word: str) -> str:
-    """The kind of a word that is no payload."""
+    """The kind of a word that is no payload, or of a sign."""
+    if not word[0].isalnum():
+        return "k" if word in ":：" else "q" if QUOTE.match(word) else "e"
     word = word.replace("’", "'")
     for kind, words in (("o", OBJECTS), ("t", TARGETS), ("n", NEGATIONS), ("r", REPORTS), ("c", CONTRASTS)):
         if word in words:
@@ -179,22 +198,29 @@ def kind_of(word: str) -> str:
 
 
 def read_clause(text: str, start: int, end: int, payloads: dict[int, tuple[str, float]]) -> Iterator[tuple[str, float]]:
-    """Tags and weights that the composed transducer gives for a clause. A payload's own weight goes along with its output; a threat's is 1."""
-    state = 0
-    for word in WORD.finditer(text, start, end):
-        kind, own = payloads.get(word.start()) or (kind_of(word.group()), 1.0)
+    """Tags and weights that the composed transducer gives for a clause, or a line with quotation marks. An insult's own weight goes along with its output, and with that of a target right after it; a threat's is 1."""
+    state, insult = 0, 1.0
+    for found in SYMBOL.finditer(text, start, end):
+        kind, own = payloads.get(found.start()) or (kind_of(found.group()), insult)
+        if kind == "i":
+            insult = own
         state, tag, weight = CLAUSE.arc(state, kind)
         if tag:
-            yield tag, weight * own
+            yield tag, weight * (1.0 if tag.endswith("threat") else own)
 
 
 def _clause_bounds(text: str, at: int) -> tuple[int, int]:
-    """The clause around a place: from after the last sign that ends one to the next such sign."""
-    start = max(text.rfind(sign, 0, at) for sign in ".!?;:\n。！？；：…।؟۔") + 1
+    """The clause around a place, with all before it that colons join to it: from after the last sign but a colon that ends a clause to the next such sign."""
+    start = max(text.rfind(sign, 0, at) for sign in ".!?;\n。！？；…।؟۔") + 1
     found = CLAUSE_END.search(text, at)
     return start, found.start() if found else len(text)
 
 
+def _line_bounds(text: str, at: int) -> tuple[int, int]:
+    end = text.find("\n", at)
+    return text.rfind("\n", 0, at) + 1, len(text) if end < 0 else end
+
+
 def _stems(text: str) -> set[str]:
     """The stems that words of a text begin with and that leave an ending."""
     words = set(WORD.findall(text.lower()))
