@@ -696,6 +696,34 @@ def test_quality_labels(spark):
     assert sum(r.kept == (r.quality == 1) for r in rows) >= 0.95 * len(rows)
 
 
+def test_quality_verdicts(spark, data, docs):
+    """Each verdict from scratch: a forest over the labelled rows' ratios, each row's leaves found one by one, and every cut tried."""
+    stats = {r.doc_id: r for r in quality_forest.document_statistics(spark.read.parquet(f"{data}/documents.parquet")).collect()}
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{data}/labels.parquet").collect() if r.quality is not None}
+    ratios = {i: quality_forest.ratios({c: np.array([r[c]]) for c in quality_forest.COUNTS})[0] for i, r in stats.items()}
+    forest = quality_forest.IsolationForest(np.array([ratios[i] for i in sorted(label)]))
+
+    def anomaly(row):
+        total = 0.0
+        for feature, cut, left, right, path in forest.trees:
+            at = 0
+            while feature[at] >= 0:
+                at = left[at] if row[feature[at]] <= cut[at] else right[at]
+            total += path[at]
+        return 2 ** (-total / len(forest.trees) / forest.norm)
+
+    score = {i: anomaly(row) for i, row in ratios.items()}
+    failed = {i: r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words for i, r in stats.items()}
+    seen = sorted({score[i] for i in label if not failed[i]})
+    cuts = [(a + b) / 2 for a, b in zip(seen, seen[1:])] + seen[-1:]
+    loss = [sum((label[i] <= 0 and score[i] <= c) + 5 * (label[i] > 0 and score[i] > c) for i in label if not failed[i]) for c in cuts]
+    best = max(c for c, n in zip(cuts, loss) if n == min(loss))
+    out = query(spark, data, "op8_quality_forest")
+    for i in stats:
+        assert out[i].anomaly == pytest.approx(score[i], abs=1e-12)
+        assert out[i].kept == (not failed[i] and (score[i] <= best or abs(score[i] - best) < 1e-12))
+
+
 def test_path_lengths():
     """Each row's leaf found by walking a tree's arrays, against all rows at once."""
     rng = np.random.default_rng(4)
@@ -715,6 +743,18 @@ def test_samples_are_bounded(spark):
     """One id in most rows, and one row repeated, don't pass the bound of a sample."""
     same = spark.range(20_000).select(F.lit(7).alias("doc_id"), "id").union(spark.range(20_000).select(F.lit(7), F.lit(1)))
     assert common.hash_fraction(same, 1000, 40_000).count() < 700
+    assert common.hash_fraction(spark.range(4_000_000), 8, 4_000_000).count() < 30
+    assert spark.range(1_000_000).where(F.xxhash64("id") <= F.lit(common.hash_limit(1, 10**15))).count() == 0
+    assert common.hash_limit(0, 5) == -(1 << 63) and common.hash_limit(5, 5) == common.hash_limit(9, 5) == (1 << 63) - 1
+
+
+def test_a_repeated_row_is_learned_from_once(spark):
+    """However often a row comes, the tables are those of its coming once."""
+    rows = [(i, f"der hund {i} ist da", "de") for i in range(20)] + [(i, f"le chien {i} est là", "fr") for i in range(20, 40)]
+    schema = "doc_id long, text string, lang string"
+    once = language_mixture.fit(spark.createDataFrame(rows, schema))
+    many = language_mixture.fit(spark.createDataFrame(rows + rows[1:2] * 500, schema))
+    assert once.langs == many.langs and all(np.array_equal(a, b) for a, b in zip(once.__dict__.values(), many.__dict__.values()) if isinstance(a, np.ndarray) and a.ndim > 1)
 
 
 def test_forest_isolates_outliers():

@@ -87,10 +87,14 @@ def held_out(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == 0, F.lit(False))
 
 
+def hash_limit(rows: int, total: int) -> int:
+    """What a 64-bit hash is at most for about `rows` of `total` rows, of whatever number."""
+    return (1 << 63) - 1 if total <= rows else -(1 << 63) + ((1 << 64) - 1) * rows // total
+
+
 def hash_fraction(df: DataFrame, rows: int, total: int) -> DataFrame:
     """About `rows` of `total` rows, distinct ones, chosen by a hash of all their columns: the same whatever the partitioning, and a bound even if one id or one row is repeated without end."""
-    share = F.pmod(F.xxhash64(*df.columns, F.lit(97)), F.lit(1_000_000)) < int(1_000_000 * rows / max(total, 1)) + 1
-    return (df if total <= rows else df.where(share)).distinct()
+    return (df if total <= rows else df.where(F.xxhash64(*df.columns, F.lit(97)) <= F.lit(hash_limit(rows, total)))).distinct()
 
 
 #: What empties the memories that operators keep in a Python worker, by operator.

@@ -152,8 +152,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         raise ValueError(f"{len(seen)} languages: more than {LANGUAGES}")
     if not seen:
         return Model([], np.zeros((2, BUCKETS, 0), np.float32), np.zeros(0, np.float32))
-    share = F.create_map(*[F.lit(x) for lang, n in seen.items() for x in (lang, int(1_000_000 * min(1.0, per_language / n)) + 1)])
-    sample = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", "text", F.lit(31)), F.lit(1_000_000)) < share[F.col("lang")])).select("lang", "text")
+    limits = F.create_map(*[F.lit(x) for lang, n in seen.items() for x in (lang, common.hash_limit(per_language, n))])
+    # distinct rows, so that one repeated without end is learned from once
+    sample = rows.where(F.col("text").isNotNull() & (F.xxhash64("doc_id", "text", F.lit(31)) <= limits[F.col("lang")].cast("long"))).distinct().select("lang", "text")
     langs = sorted(seen)
     counts = np.zeros((len(langs), 2, BUCKETS), np.float64)
     for lang, found in sample.repartition(FIT_TASKS).mapInArrow(_count, "lang string, counts binary").toLocalIterator():
