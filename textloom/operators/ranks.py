@@ -54,3 +54,13 @@ def with_last(df: DataFrame, by: str, order: list[Column], columns: list[str], o
     parts = parts.select("_group", "_part", F.lag("_last").over(Window.partitionBy("_group").orderBy("_part")).alias("_last"))
     within = Window.partitionBy("_group", "_part").orderBy("_at")
     return joined(placed, parts).select("_value.*", F.coalesce(F.lag(own).over(within), F.col("_last")).alias(out))
+
+
+def with_sum(df: DataFrame, by: str, order: list[Column], column: str, out: str) -> DataFrame:
+    """The frame with the sum of a whole-number column over the rows before, in the order within the group; 0 for the first. Null counts as 0."""
+    placed = ranged(df, by, order)
+    value = F.coalesce(F.col(f"_value.{column}").cast("long"), F.lit(0).cast("long"))
+    parts = placed.groupBy("_group", "_part").agg(F.sum(value).alias("_sum"))
+    parts = parts.select("_group", "_part", F.coalesce(F.sum("_sum").over(_before()), F.lit(0)).alias("_sum"))
+    within = Window.partitionBy("_group", "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    return joined(placed, parts).select("_value.*", (F.col("_sum") + F.coalesce(F.sum(value).over(within), F.lit(0))).alias(out))

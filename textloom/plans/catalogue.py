@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom import scratch
 from textloom.functions import numeric as N
 from textloom.functions import text as T
-from textloom.operators import bpe, corpus, dictionary, evals, metrics, samples, shards
+from textloom.operators import bpe, corpus, dictionary, evals, masks, metrics, samples, shards
 from textloom.sources import tables
 from textloom.streaming import pack_stream
 
@@ -471,6 +471,13 @@ def attention_pairs(spark, d):
     return rows.select("conv_id", "turn", "q_pos", "first_key", (F.col("q_pos") - F.col("first_key") + 1).alias("n_keys"))
 
 
+@query("block_masks", f"SELECT conv_id, q_block, min(before) // 16 AS first_block, CASE WHEN min(before) = max(before) THEN least((min(before) + 15) // 16, q_block) ELSE q_block END AS first_full, sum(p - before + 1)::BIGINT AS n_pairs FROM (SELECT conv_id, before, p, p // 16 AS q_block FROM (SELECT conv_id, before, unnest(range(before, before + n)) AS p FROM {POSITIONS})) GROUP BY conv_id, q_block")
+def block_masks(spark, d):
+    """Which blocks of 16 words see which, in whole conversations whose turns are documents."""
+    rows = read(spark, d, "conversations").select("conv_id", "turn", F.size(F.split("text", " ")).alias("n"))
+    return masks.block_masks(rows, 16, "conv_id", [F.col("turn")])
+
+
 @query("lr_schedule", "WITH t AS (SELECT count(*) AS n, count(*) // 10 AS w, floor(0.5 * count(*))::BIGINT AS d FROM events), s AS (SELECT event_id AS step, w, n - d AS f, least(1, (event_id - (n - d)) / d::DOUBLE) AS share FROM events, t) SELECT step, round(CASE WHEN step < w THEN 3e-4 * (1.0::DOUBLE / w + (1 - 1.0::DOUBLE / w) * step / w) WHEN step < f THEN 3e-4 ELSE 3e-5 + 0.5 * (3e-4 - 3e-5) * (1 + cos(pi() * share)) END, 13) AS cosine, round(CASE WHEN step < w THEN 3e-4 * (1.0::DOUBLE / w + (1 - 1.0::DOUBLE / w) * step / w) WHEN step < f THEN 3e-4 ELSE 3e-4 + (3e-5 - 3e-4) * share END, 13) AS linear FROM s")
 def lr_schedule(spark, d):
     """The rate at each logged step of a run: a tenth of the steps to warm up, half of them to fall."""
