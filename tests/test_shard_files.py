@@ -2,6 +2,8 @@
 
 import io
 import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -120,3 +122,23 @@ def test_folders_without_a_manifest(tmp_path):
     (tmp_path / "empty").mkdir()
     reader = shard_files.ShardReader(str(tmp_path / "empty"), 0, 4)
     assert [list(reader.read(p)) for p in reader.partitions()] == [[]]
+
+
+#: A cluster of this machine whose shared folder is named by a bare path.
+BARE = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+from textloom.plans import catalogue
+conf = {"spark.master": "local-cluster[2,1,1024]", "spark.executor.memory": "700m", "spark.checkpoint.dir": sys.argv[2], "spark.local.dir": sys.argv[2] + "-local", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+print("rows", catalogue.QUERIES["token_shards"](spark, sys.argv[3]).count())
+spark.stop()
+"""
+
+
+def test_shared_folder_without_file_system(tmp_path, data):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("SPARK_", "PYSPARK_GATEWAY"))} | {"SPARK_WORKER_DIR": f"{tmp_path}/work"}
+    done = subprocess.run([sys.executable, "-c", BARE, root, f"{tmp_path}/shared", data], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 200" in done.stdout, done.stderr[-2000:]

@@ -16,6 +16,12 @@ def _place(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system; a bare one lies in the default file system, as for all of Spark's readers and writers."""
+    where, fs = _place(spark, path)
+    return fs.makeQualified(where).toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where, fs = _place(spark, path)
     return fs.exists(where)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.shipping import ship
 from textloom.sources import shard_files
+from textloom.sources.files import qualified
 
 #: Rows of training and validation metrics in one file, with the keys of either.
 METRICS = "step long, t_loss double, lr double, tokens long, grad_norm double, clip_ratio double, param_norm double, v_loss double"
@@ -66,25 +67,24 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_token_shards(rows: DataFrame, folder: str, order: str = "doc_id", overwrite: bool = True) -> DataFrame:
-    """Write rows (shard, order, tokens) as one .bin file for each shard, in order, all or none (shard_files); returns (name, n_tokens) by the manifest. Ids must be below 65,536. folder: an address that pyarrow's file systems open on every executor; a bare path is one only for a local session, whose executors are the driver."""
-    spark = _with_shards(rows.sparkSession, folder)
+    """Write rows (shard, order, tokens) as one .bin file for each shard, in order, all or none (shard_files); returns (name, n_tokens) by the manifest. Ids must be below 65,536. folder: an address that pyarrow's file systems open on every executor; a bare path lies in Spark's default file system."""
+    spark, folder = _with_shards(rows.sparkSession, folder)
     ordered = rows.select("shard", order, "tokens").repartition("shard").sortWithinPartitions("shard", order).select(F.col("shard").cast("int").alias("shard"), F.col("tokens").cast("array<int>").alias("tokens"))
     ordered.write.format("token_shards").mode("overwrite" if overwrite else "append").option("path", folder).save()
     return spark.createDataFrame([*shard_files.committed(folder).items()], "name string, n_tokens long")
 
 
-def _with_shards(spark: SparkSession, folder: str) -> SparkSession:
-    """The session with the data source of token shards."""
+def _with_shards(spark: SparkSession, folder: str) -> tuple[SparkSession, str]:
+    """The session with the data source of token shards, and the folder with its file system."""
     ship(spark)
-    if ":/" not in folder and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("on a cluster, name the folder's file system: executors share no local folder")
     spark.dataSource.register(shard_files.TokenShards)
-    return spark
+    return spark, qualified(spark, folder)
 
 
 def read_shard_documents(spark: SparkSession, folder: str, delimiter: int, range_bytes: int = shard_files.RANGE_BYTES) -> DataFrame:
     """(name, start, tokens array<int>): the documents of a folder of token shards, each with its delimiter and the place of that in its file. Large files are read by several tasks."""
-    return _with_shards(spark, folder).read.format("token_shards").option("path", folder).option("delimiter", delimiter).option("range_bytes", range_bytes).load()
+    spark, folder = _with_shards(spark, folder)
+    return spark.read.format("token_shards").option("path", folder).option("delimiter", delimiter).option("range_bytes", range_bytes).load()
 
 
 def shard_metadata(counts: DataFrame, vocab_path: str, split_id: int, **more) -> dict:
