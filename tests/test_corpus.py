@@ -1,5 +1,6 @@
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -101,3 +102,11 @@ def test_chunks_decode_to_the_text(text):
 def test_extension_keeps_known_tokens():
     v = bpe.Vocabulary(T.BYTES, [b"a", b"b"], {}).with_specials(["<X>", "a", "<X>"])
     assert v.tokens == [b"a", b"b", b"<X>"] and v.specials == ["<X>"]
+
+
+def test_batches_are_handled_in_slices():
+    lists = [[1] * 5, None, [], [2] * 30, [3] * 4, [4] * 6, [5]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(lists, pa.list_(pa.int32()))], ["k", "ids"])
+    found = [x.column(1).to_pylist() for x in bpe._slices(iter([batch]), 1, 10)]
+    assert [x for part in found for x in part] == lists
+    assert all(len(part) == 1 or sum(len(x or ()) for x in part) <= 10 for part in found)

@@ -14,10 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.scratch import drop, saved, saved_alone, scratch, scratch_path, shared_dir  # noqa: F401
+from textloom.session import BATCH_BYTES, BATCH_ROWS, bounded  # noqa: F401
 from textloom.shipping import ship
 
-#: Bytes and rows of one Arrow batch that goes to a Python worker.
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 #: Python's bytes.split() cuts at exactly these: the words are [^\x20\x09-\x0D]+.
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -25,8 +24,7 @@ SPACES = b" \t\n\x0b\x0c\r"
 def tune(spark: SparkSession) -> None:
     """Send the package to the executors and bound the Arrow batches by bytes, since texts may be very long."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded(spark)
 
 
 def redealt(df: DataFrame, key: str) -> DataFrame:

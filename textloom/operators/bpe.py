@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from textloom import scratch
 from textloom.functions import text as T
 from textloom.operators import merges
+from textloom.session import bounded
 from textloom.shipping import ship
 
-#: Chunks whose ids a task remembers at most.
-MEMO = 200_000
+#: Chunks whose ids a task remembers, at most about; chunks or ids that it handles at once. One text may have more.
+MEMO, TOGETHER = 100_000, 100_000
 
 
 @dataclass
@@ -116,12 +117,24 @@ def train(counts: DataFrame, vocab_size: int, specials: list[str], mode: str = T
     return Vocabulary(mode, tokens, found).with_specials(specials)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], at: int, most: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The rows in slices whose lists in a column have about `most` values together, at least one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        low = 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, "right")))
+            yield batch.slice(low, high - low)
+            low = high
+
+
 def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out: str = "ids", bos: str | None = None) -> DataFrame:
     """The frame with a column of ids; null for a null text. With bos, its id comes first.
 
-    Texts are cut into chunks in the JVM; each task encodes a distinct chunk once.
+    Texts are cut into chunks in the JVM; a task encodes a distinct chunk once, as long as it remembers it.
     """
     ship(df.sparkSession)
+    bounded(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
     first = [vocabulary.id_of(bos)] if bos else []
     rows = df.withColumn(out, T.pretokens(F.col(text_col), vocabulary.mode, tuple(vocabulary.specials)))
@@ -130,7 +143,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, memo = shared.value, {}
-        for batch in batches:
+        for batch in _slices(batches, at):
             chunks = batch.column(at)
             sizes = pc.fill_null(pc.list_value_length(chunks), 0).to_numpy(zero_copy_only=False)
             coded = chunks.flatten().dictionary_encode()
@@ -162,12 +175,13 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out: s
 def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """The frame with the text of a column of ids; null for null."""
     ship(df.sparkSession)
+    bounded(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
     at = df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = pa.array([t.encode() if isinstance(t, str) else t for t in shared.value.tokens], pa.large_binary())
-        for batch in batches:
+        for batch in _slices(batches, at):
             ids = batch.column(at)
             ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
             found = tokens.take(ids.flatten())  # their bytes lie one after the other, so a row's text is a slice

@@ -4,6 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+#: Bytes and rows of one Arrow batch that goes to a Python worker.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound the Arrow batches by bytes, since texts may be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
 
 def local_session(cpus: str = "*", shuffle_partitions: int = 8, **more: str) -> SparkSession:
     """A local session with adaptive execution, UTC and Arrow batches bounded by bytes."""
