@@ -30,3 +30,16 @@ def test_another_vocabulary_has_another_dictionary(spark, tmp_path):
     df = spark.createDataFrame([(1, "<X>ab")], "doc_id long, text string")
     assert [dictionary.token_counts(df, v, str(tmp_path)).first().n_tokens for v in (VOCABULARY, other)] == [4, 2]
     assert dictionary.token_counts(df.limit(0), other, str(tmp_path)).select(F.col("n_tokens")).collect() == []
+
+
+def test_texts_are_read_three_times(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(50).selectExpr("id as doc_id", "concat('ab ', id) as text").mapInArrow(counted, "doc_id long, text string")
+    assert len(dictionary.token_counts(df, VOCABULARY, str(tmp_path)).collect()) == 50
+    assert seen.value <= 150  # to count chunks, to look them up, and for the other columns

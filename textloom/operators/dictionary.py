@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom import scratch
 from textloom.functions import text as T
 from textloom.operators import bpe
+from textloom.session import bounded
 from textloom.shipping import ship
 
 #: Chunks that are broadcast at most, and their bytes.
@@ -45,6 +47,7 @@ def extend(chunks: DataFrame, vocabulary: bpe.Vocabulary, path: str) -> int:
     """Encode those of the distinct chunks (chunk) that the dictionary lacks, and add them. Returns how many there were."""
     spark = chunks.sparkSession
     ship(spark)
+    bounded(spark)
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,14 +81,16 @@ def token_counts(docs: DataFrame, vocabulary: bpe.Vocabulary, folder: str, text_
     path = path_of(folder, vocabulary)
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
     chunks = rows.select("_row", F.explode(T.pretokens(F.col(text_col), vocabulary.mode, tuple(vocabulary.specials))).alias("chunk"))
-    counts = chunks.groupBy("chunk").agg(F.count(F.lit(1)).alias("cnt"))
+    # texts are cut twice: to count their chunks, and to look these up
+    counts = scratch.saved(chunks.groupBy("chunk").agg(F.count(F.lit(1)).alias("cnt")), "chunk-counts")
     extend(counts.select("chunk"), vocabulary, path)
     entries = read(docs.sparkSession, path).select("chunk", F.size("ids").alias("_size"))
     head = entries.join(_frequent(counts), "chunk", "left_semi")
-    found = chunks.join(F.broadcast(head), "chunk", "left")
-    sums = found.where("_size is not null").groupBy("_row").agg(F.sum("_size").alias("_n"))
-    rare = found.where("_size is null").groupBy("_row", "chunk").agg(F.count(F.lit(1)).alias("_times"))
-    rest = rare.join(entries, "chunk").groupBy("_row").agg(F.sum(F.col("_times") * F.col("_size")).alias("_n"))
-    totals = sums.unionByName(rest).groupBy("_row").agg(F.sum("_n").alias("_n"))
+    rare = F.when(F.col("_size").isNull(), F.col("chunk")).alias("chunk")
+    looked = chunks.join(F.broadcast(head), "chunk", "left").select("_row", rare, F.coalesce("_size", F.lit(0)).alias("_size"))
+    found = scratch.saved(looked.groupBy("_row", "chunk").agg(F.count(F.lit(1)).alias("_times"), F.sum("_size").alias("_n")), "looked-up")
+    scratch.drop(counts)
+    rest = found.where("chunk is not null").join(entries, "chunk").select("_row", (F.col("_times") * F.col("_size")).alias("_n"))
+    totals = found.where("chunk is null").select("_row", "_n").unionByName(rest).groupBy("_row").agg(F.sum("_n").alias("_n"))
     total = F.when(F.col(text_col).isNotNull(), F.coalesce("_n", F.lit(0)))
     return rows.join(totals, "_row", "left").withColumn(out, total.cast("long")).drop("_row", "_n")
