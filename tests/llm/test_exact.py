@@ -763,6 +763,25 @@ def test_forest_isolates_outliers():
     assert score[-5:].min() > score[:500].max()
 
 
+def test_all_labelled_rows_are_learned_from(spark):
+    """More rows than the trees take otherwise: each in one tree, and the cut is the best of all, tried one by one."""
+    common.tune(spark)
+    counts = {c: (F.pmod(F.xxhash64("doc_id", F.lit(c)), F.lit(90)) + 10).alias(c) for c in quality_forest.COUNTS}
+    stats = spark.range(2000).select(F.col("id").alias("doc_id")).select("doc_id", *counts.values())
+    forest = quality_forest.forest_of(stats, trees=4, subsample=32)
+    assert len(forest.trees) == 4 and forest.norm == quality_forest._average_path(500)
+    rows = [(k % 70 / 70, k * k % 11 < 7 - k % 70 // 12) for k in range(700)]
+    scores = sorted({x for x, _ in rows})
+    cuts = [(a + b) / 2 for a, b in zip(scores, scores[1:])] + scores[-1:]
+    loss = [sum((not good and x <= c) + 5 * (good and x > c) for x, good in rows) for c in cuts]
+    found = quality_forest.calibrated(spark.createDataFrame(rows, "score double, good boolean"))
+    assert found == max(c for c, n in zip(cuts, loss) if n == min(loss))
+    labels = spark.range(2000).select(F.col("id").alias("doc_id"), F.pmod("id", F.lit(2)).cast("int").alias("quality"))
+    whole = quality_forest.fit(stats, labels).threshold
+    usual = quality_forest.judge(stats.withColumn("good", F.pmod("doc_id", F.lit(2)) > 0), quality_forest.Judge(quality_forest.forest_of(stats), 1.0)).where("not base_failed")
+    assert whole == quality_forest.calibrated(usual.select(F.col("anomaly").alias("score"), "good"))
+
+
 # --- languages
 
 
