@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -182,6 +183,18 @@ def test_links_of_a_table(spark, data, hard, nothing):
     assert token_links.token_links(nothing, BYTES, PIECES).collect() == []
 
 
+def test_words_of_a_block_come_once_in_bounded_rows():
+    """However many texts hold a word, a block has it once, and its words come in rows of bounded size before the texts."""
+    words = [f"{a}{b}{c}{d}" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzabcd" for d in "efghijklmnopqrstuvwx"]
+    texts = [" ".join(words[k::7]) for k in range(7)] * 3
+    own = token_links.Tokenizers(BYTES, PIECES)
+    n = pa.array(range(len(texts)), pa.int64())
+    of_words, of_texts = own.block(n, n, pa.array(texts))
+    assert of_words.num_rows > 1 and of_texts.num_rows == len(texts)
+    assert len(of_words.column("ends").flatten()) == len(set(words))
+    assert of_texts.column("n_a").to_pylist() == [len(TOKENIZER.encode(" " + t, add_special_tokens=False).ids) for t in texts]
+
+
 # --- what earlier operators gained
 
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,12 +59,12 @@ def may_be_in(ids: DataFrame, column: Column) -> Column:
         bits |= np.frombuffer(row["bits"], np.uint8)
     shared = ids.sparkSession.sparkContext.broadcast(bits)
 
-    @F.pandas_udf("boolean")
-    def holds(values: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def holds(values: pa.Array) -> pa.Array:
         found = np.ones(len(values), bool)
-        for places in _filter_places(values.to_numpy()):
+        for places in _filter_places(values.to_numpy(zero_copy_only=False)):
             found &= (shared.value[places >> 3] >> (7 - (places & 7)) & 1).astype(bool)
-        return pd.Series(found)
+        return pa.array(found)
 
     return column.isNotNull() & holds(F.coalesce(column.cast("long"), F.lit(0).cast("long")))
 
@@ -107,6 +107,14 @@ def remembering(name: str, forget: Callable[[], object]) -> None:
     _MEMORIES[name] = forget
 
 
+def released() -> None:
+    """Give memory that isn't used any more back to the system, where its C library can: workers stay when their task is over."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextlib.contextmanager
 def uncollected() -> Iterator[None]:
     """Without passes of the cycle collector, for code that makes many objects and no cycles."""

@@ -1,12 +1,12 @@
 """Alignment of two tokenizers' tokens by the bytes they end at.
 
-Python tokenises and no more: for a batch of texts it gives the ids and end offsets of both
-tokenizers over the distinct words, laid out one after the other, and each text as places among these words. No token of either
+Python tokenises: for a block of texts it gives the tokens and ends of both tokenizers over the distinct words, laid out one after
+the other in rows of bounded size, and after these each text as places among the words. No token of either
 spans the border before a space that follows another character, or between a letter and a stop (texts in which a border is in doubt
-count as one word). All else is Spark's higher-order functions: the ends that two arrays share cut
-the words into groups, positions in the sorted ends tell where each group begins, and sequences over
-these give the links. A pair's count is the number of documents that hold it linked; pairs of many
-documents are looked up in a broadcast table of bounded size, all others by a join.
+count as one word). Groups and links are built by Spark's higher-order functions, in the same stage: the ends that two arrays share
+are sorted in among the tokens of each side and cut them into groups, and each distinct group of a row gives its links once. A second
+pass of Python puts the words' groups and links together for each text. A pair's count is the number of documents that hold it
+linked; pairs of many documents are looked up in a broadcast table of bounded size, all others by a join.
 
 Nulls, ties and repeats: null and empty texts, and texts whose tokens don't spell them, have no
 tokens: zeros and an empty digest; equally frequent partners of an id are all its best; rows that share an
@@ -15,6 +15,7 @@ id, or have none, are documents of their own; an empty table gives no rows; othe
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -27,20 +28,22 @@ from pyspark.sql import types as K
 
 from . import common, token_orc
 
-#: Words of a generation that a Python worker remembers; words encoded as one text; bytes of texts that share their words, since more would be much for the JVM's collector; pairs that are broadcast at most.
-MEMO, RUN, TOGETHER, HEAD = 100_000, 500, 1 << 20, 200_000
-#: A link's code is the first id times this, plus the second; ids must be below it.
+#: Words of a generation that a Python worker remembers; words encoded as one text; bytes of texts that share their words; bytes of words in a row; texts put together at once; pairs that are broadcast at most.
+MEMO, RUN, TOGETHER, ROW, PUT, HEAD = 60_000, 500, 3 << 20, 1 << 16, 250, 200_000
+#: A link's code is the first id times this, plus the second; a token is where it starts times this, plus its id; an end is the number before its place times this. Ids must be below END.
 SECOND = 1 << 20
+#: What is left of an end without its place.
+END = SECOND - 1
 #: Fixed value: what stands for a space in the pieces.
 SPACE = "▁"
 #: Letters after which a stop begins a word of its own; a sign that marks words' borders, and is in no text that is cut.
 LETTERS, MARK = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "\x00"
 
-_IDS = K.ArrayType(K.IntegerType(), False)
-_LONG_IDS = K.ArrayType(K.LongType(), False)
-_DOC = K.StructType([K.StructField("row", K.LongType(), False), K.StructField("doc_id", K.LongType()), K.StructField("n_a", K.LongType(), False), K.StructField("n_b", K.LongType(), False), K.StructField("words", _IDS, False)])
-#: Ids and end offsets of both sides over all words of a batch, where the words end, and the texts.
-BATCH = K.StructType([*[K.StructField(n, t, False) for n, t in (("a", _LONG_IDS), ("ends_a", _IDS), ("b", _LONG_IDS), ("ends_b", _IDS), ("ends", _IDS))], K.StructField("docs", K.ArrayType(_DOC, False), False)])
+#: Rows of words have the tokens and ends of both sides and where the words end; rows of texts have the other columns.
+_LONGS = K.ArrayType(K.LongType(), False)
+BLOCK = K.StructType([*[K.StructField(n, K.LongType()) for n in ("row", "doc_id", "n_a", "n_b")], K.StructField("places", K.ArrayType(K.IntegerType(), False)), *[K.StructField(n, _LONGS) for n in ("a", "ends_a", "b", "ends_b", "ends")]])
+_BLOCK = pa.schema([*[(n, pa.int64()) for n in ("row", "doc_id", "n_a", "n_b")], ("places", pa.list_(pa.int32())), *[(n, pa.list_(pa.int64())) for n in ("a", "ends_a", "b", "ends_b", "ends")]])
+DOCUMENT = K.StructType([*[K.StructField(n, K.LongType()) for n in ("row", "doc_id", "n_a", "n_b", "n_groups", "n_links")], K.StructField("groups_sha256", K.StringType()), K.StructField("links", _LONGS)])
 
 
 class _Side:
@@ -53,13 +56,23 @@ class _Side:
     def spell(self, ids: list[bytes], words: pa.Array) -> np.ndarray:
         """Whether each word's ids spell it."""
         flat = np.frombuffer(b"".join(ids), np.int32)
-        cuts = np.concatenate([[0], np.cumsum(self.sizes[flat])])[np.cumsum([0] + [len(x) // 4 for x in ids])]
+        cuts = np.concatenate([[0], np.cumsum(self.sizes[flat])])[np.concatenate([[0], np.cumsum(counted(ids))])]
         found = self.tokens.take(pa.array(flat)).buffers()[2]
-        data = b"" if found is None else found.to_pybytes()[: cuts[-1]]
-        want = words.to_pylist()
-        if np.array_equal(np.diff(cuts), [len(w) for w in want]) and data == b"".join(want):
-            return np.ones(len(want), bool)
-        return np.array([data[x:y] == w for w, x, y in zip(want, cuts, cuts[1:])], bool)
+        data = b"" if found is None else memoryview(found).cast("B")[: cuts[-1]]
+        if np.array_equal(np.diff(cuts), pc.binary_length(words).to_numpy(zero_copy_only=False)) and np.array_equal(np.frombuffer(data, np.uint8), np.frombuffer(_bytes(words), np.uint8)):
+            return np.ones(len(words), bool)
+        return np.array([data[x:y] == w for w, x, y in zip(words.to_pylist(), cuts, cuts[1:])], bool)
+
+
+def counted(ids: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+
+
+def _bytes(words: pa.Array) -> memoryview:
+    """All words, one after the other."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    found = words.buffers()[2]
+    return memoryview(b"" if found is None else found)[ends[0] : ends[-1]]
 
 
 def _flat(ids: list[list[int]]) -> list[bytes]:
@@ -88,8 +101,8 @@ class Tokenizers:
         if any(across.search(p) for i, p in enumerate(names) if not (self.pieces.is_byte(i) or self.pieces.is_control(i) or self.pieces.is_unknown(i))):
             raise ValueError("a piece spans a space or a stop after another character, so texts can't be cut into words")
         self.second = _Side([bytes([int(p[3:5], 16)]) if self.pieces.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(names)])
-        if max(len(tokens), len(names)) > SECOND:
-            raise ValueError(f"ids must be below {SECOND}")
+        if max(len(tokens), len(names)) > END:
+            raise ValueError(f"ids must be below {END}")
         self.stop = f"([{LETTERS}])([{stops}])"
         self.doubtful = "|".join([self.encoder.doubtful, r"\A ", SPACE, r"\x00"])
         self.recent: dict[str, tuple[bytes, bytes]] = {}
@@ -142,14 +155,15 @@ class Tokenizers:
             out += [flat[a:b] for a, b in zip(cuts, cuts[1:])]
         return out
 
-    def batch(self, rows: pa.Array, doc_ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
-        """One row: the distinct words of some texts, and the texts as places among them."""
+    def block(self, rows: pa.Array, doc_ids: pa.Array, texts: pa.Array) -> list[pa.RecordBatch]:
+        """Rows of the distinct words of some texts, and the texts as places among them."""
         texts = pc.fill_null(texts, "")
         doubt = pc.match_substring_regex(texts, self.doubtful)
         cut = pc.and_not(pc.greater(pc.binary_length(texts), 0), doubt)
         marked = pc.replace_substring_regex(pc.replace_substring(texts.filter(cut), " ", MARK + " "), self.stop, rf"\1{MARK}\2")
         parts = pc.split_pattern(pc.binary_join_element_wise(" ", marked, ""), MARK)
-        coded = parts.flatten().dictionary_encode()
+        coded, pieces_of = parts.flatten().dictionary_encode(), pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+        del marked, parts
         alone = texts.filter(doubt)
         words = pa.concat_arrays([coded.dictionary, pc.binary_join_element_wise(" ", alone, "")]).cast(pa.binary())
         ids = self.ids(coded.dictionary.to_pylist(), np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))) + self.whole(alone.to_pylist())
@@ -157,7 +171,7 @@ class Tokenizers:
         fine = self.first.spell(firsts, words) & self.second.spell(seconds, words)
         cut, doubt = (x.to_numpy(zero_copy_only=False) for x in (cut, doubt))
         sizes = doubt.astype(np.int64)
-        sizes[cut] = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+        sizes[cut] = pieces_of
         text_of = np.repeat(np.arange(len(texts)), sizes)
         which = np.empty(len(text_of), np.int64)
         which[~doubt[text_of]] = coded.indices.to_numpy(zero_copy_only=False)
@@ -169,14 +183,24 @@ class Tokenizers:
             firsts, seconds = ([x for x, ok in zip(side, fine) if ok] for side in (firsts, seconds))
             words = words.filter(pa.array(fine))
         flats = [np.frombuffer(b"".join(side), np.int32) for side in (firsts, seconds)]
-        totals = [np.bincount(text_of, weights=np.array([len(x) // 4 for x in side], np.int64)[which], minlength=len(texts)).astype(np.int64) for side in (firsts, seconds)]
-        a, b = flats
-        columns = (a, np.cumsum(self.first.sizes[a]), b, np.cumsum(self.second.sizes[b]), np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False)))
-        starts = np.concatenate([[0], np.cumsum(np.bincount(text_of, minlength=len(texts)))]).astype(np.int32)
-        places = pa.ListArray.from_arrays(pa.array(starts), pa.array(which.astype(np.int32)))
-        docs = pa.StructArray.from_arrays([rows, doc_ids, *map(pa.array, totals), places], _DOC.fieldNames())
-        out = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (*[pa.array(c.astype(np.int64 if k in (0, 2) else np.int32)) for k, c in enumerate(columns)], docs)]
-        return pa.RecordBatch.from_arrays(out, BATCH.fieldNames())
+        totals = [np.bincount(text_of, weights=counted(side)[which], minlength=len(texts)).astype(np.int64) for side in (firsts, seconds)]
+        ends = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64))
+        borders = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(ROW, ends[-1] if len(ends) else 0, ROW)) + 1, [len(ends)]])).astype(np.int64)
+        lists = []
+        for side, ids, flat in zip((self.first, self.second), (firsts, seconds), flats):
+            high = np.cumsum(side.sizes[flat])
+            cuts = np.concatenate([[0], np.cumsum(counted(ids))]).astype(np.int64)[borders]
+            lists += [_lists(cuts, (high - side.sizes[flat]) * SECOND + flat), _lists(cuts, high * SECOND - 1)]
+        lists.append(_lists(borders, ends * SECOND - 1))
+        starts = np.concatenate([[0], np.cumsum(np.bincount(text_of, minlength=len(texts)))])
+        n, none = len(borders) - 1, lambda kind, size: pa.nulls(size, kind)
+        out = [pa.RecordBatch.from_arrays([*[none(f.type, n) for f in list(_BLOCK)[:5]], *lists], schema=_BLOCK)] if n else []
+        docs = [rows, doc_ids, *map(pa.array, totals), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(which.astype(np.int32)))]
+        return [*out, pa.RecordBatch.from_arrays([*docs, *[none(f.type, len(texts)) for f in list(_BLOCK)[5:]]], schema=_BLOCK)]
+
+
+def _lists(cuts: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values.astype(np.int64)))
 
 
 def _signs() -> dict[str, int]:
@@ -186,26 +210,81 @@ def _signs() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-_HELD: dict[tuple[str, str], Tokenizers] = {}
-
-
 def _tokenise(bytes_path: str, pieces_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.remembering("links", _HELD.clear)
-        if (bytes_path, pieces_path) not in _HELD:
-            _HELD[bytes_path, pieces_path] = Tokenizers(bytes_path, pieces_path)
-        own = _HELD[bytes_path, pieces_path]
-        for batch in batches:
-            size = max(1, batch.num_rows * TOGETHER // max(batch.nbytes, 1))
-            for at in range(0, batch.num_rows, size):
-                with common.uncollected():
-                    out = own.batch(*batch.slice(at, size).columns)
-                yield out
+        own = Tokenizers(bytes_path, pieces_path)
+        for block in _blocks(batches):
+            with common.uncollected():
+                out = own.block(*block.columns)
+            yield from out
+            del block, out
+        # a worker that waits for its next task holds nothing: the JVM goes on to count links
+        del own
+        common.released()
 
     return run
 
 
-# --- from here on, Spark's higher-order functions
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows one after the other, as many together as have about TOGETHER bytes."""
+    for batch in batches:
+        size = max(1, -(-batch.num_rows // max(1, round(batch.nbytes / TOGETHER))))
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
+class _Words:
+    """The groups and links of a block's words, as they come in rows, and its texts put together from them."""
+
+    def __init__(self):
+        self.rows: list[tuple[np.ndarray, pa.Array, pa.Array]] = []
+        self.held: tuple[np.ndarray, pa.Array, pa.Array] | None = None
+
+    def add(self, row: dict[str, pa.Array]) -> None:
+        """Word by word: how many groups, their text, their links."""
+        if self.held is not None:
+            self.rows, self.held = [], None
+        groups, distinct, codes = (row[n].values for n in ("groups", "distinct", "codes"))
+        cuts = np.concatenate([[0], np.searchsorted(row["shared"].values.to_numpy(), row["ends"].values.to_numpy(), "right")]).astype(np.int32)
+        own = codes.take(pc.index_in(groups, distinct))
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), groups), ";").cast(pa.large_string())
+        self.rows.append((np.diff(cuts), text, pa.ListArray.from_arrays(pa.array(own.offsets.to_numpy()[cuts]), own.values)))
+
+    def texts(self, docs: pa.RecordBatch) -> pa.RecordBatch:
+        if self.held is None:
+            none = (np.zeros(0, np.int32), pa.array([], pa.large_string()), pa.array([], pa.list_(pa.int64())))
+            self.held = tuple(join([r[k] for r in self.rows] or [none[k]]) for k, join in enumerate((np.concatenate, pa.concat_arrays, pa.concat_arrays)))
+            self.rows = []
+        sizes, texts, codes = self.held
+        places, at = docs.column("places").flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(docs.column("places")).to_numpy())]).astype(np.int64)
+        text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(at), texts.take(places)), pa.scalar(";", pa.large_string()))
+        digests = [hashlib.sha256(x.as_buffer()).hexdigest() if n else "" for x, n in zip(text.cast(pa.large_binary()), docs.column("n_a").to_pylist())]
+        links = codes.take(places)
+        ends = links.offsets.to_numpy().astype(np.int64)[at]
+        groups = np.diff(np.concatenate([[0], np.cumsum(sizes[places.to_numpy()], dtype=np.int64)])[at])
+        columns = [*docs.columns[:4], pa.array(groups), pa.array(np.diff(ends)), pa.array(digests, pa.string()), _lists(ends - ends[0], links.values.to_numpy()[ends[0] : ends[-1]])]
+        return pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"])
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = _Words()
+    for batch in batches:
+        kinds = batch.column("shared").is_valid().to_numpy(zero_copy_only=False)
+        borders = [0, *(np.flatnonzero(np.diff(kinds)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(borders, borders[1:]):
+            if low == high:
+                continue
+            if kinds[low]:
+                for k in range(low, high):
+                    words.add({n: batch.column(n)[k] for n in ("shared", "groups", "distinct", "codes", "ends")})
+            else:
+                for k in range(low, high, PUT):
+                    yield words.texts(batch.slice(k, min(PUT, high - k)))
+    del words
+    common.released()
+
+
+# --- Spark's higher-order functions
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -213,80 +292,30 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _code(a: Column, b: Column) -> Column:
-    return a * SECOND + b
-
-
-def _cuts(n: str) -> Column:
-    """How many of some ends lie up to each of those that are shared, where both lists are sorted into one, in which a shared end comes twice."""
-    both = F.col(f"both{n}")
-    twice = _once(F.concat(F.array(F.lit(-1)), both), lambda before: F.transform(both, lambda x, p: F.when(before[p] == x, p).otherwise(F.lit(0))))
-    return F.transform(F.array_remove(twice, 0), lambda p, k: p - k)
-
-
-def _at(values: Column, places: Column) -> Column:
-    return F.transform(places, lambda p: values[p])
-
-
-def _several(k: Column, a: Column, b: Column, lows_a: Column, lows_b: Column) -> Column:
-    """What a group of several tokens adds to its digest, and its links."""
-    a, b = (_at(ids, F.sequence(lows[k], lows[k + 1] - 1)) for ids, lows in ((a, lows_a), (b, lows_b)))
-    text = F.concat(F.array_join(a.cast("array<string>"), ","), F.lit("|"), F.array_join(b.cast("array<string>"), ","))
-    return F.struct(text.alias("text"), F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: _code(x, y)))).alias("codes"))
-
-
-def _groups() -> Column:
-    """struct(text, codes) of each group: mostly one token of either."""
-    a, b = F.col("a"), F.col("b")
-
-    def of(lows_a: Column, lows_b: Column) -> Column:
-        sides = []
-        for ids, lows, highs in ((a, lows_a, F.col("cuts_a")), (b, lows_b, F.col("cuts_b"))):
-            begins = F.slice(lows, F.lit(1), F.size(highs))
-            sides += [_at(ids, begins), F.zip_with(highs, begins, lambda high, low: high - low)]
-        zipped = F.arrays_zip(*[c.alias(n) for c, n in zip(sides, ("a", "n_a", "b", "n_b"))])
-
-        def one(g: Column, k: Column) -> Column:
-            single = F.struct(F.concat(g["a"].cast("string"), F.lit("|"), g["b"].cast("string")).alias("text"), F.array(_code(g["a"], g["b"])).alias("codes"))
-            return F.when(g["n_a"] + g["n_b"] == 2, single).otherwise(_several(k, a, b, lows_a, lows_b))
-
-        return F.transform(zipped, one)
-
-    lows = lambda n: F.concat(F.array(F.lit(0)), F.col(f"cuts{n}"))
-    return _once(lows("_a"), lambda lows_a: _once(lows("_b"), lambda lows_b: of(lows_a, lows_b)))
-
-
-def _words() -> Column:
-    """struct(n, text, codes): how many groups each word has, their texts and their links."""
-    def of(groups: Column, lows: Column) -> Column:
-        def one(high: Column, k: Column) -> Column:
-            own = F.sequence(lows[k], high - 1)
-            return F.struct(F.size(own).cast("long").alias("n"), F.array_join(F.transform(own, lambda g: groups[g]["text"]), ";").alias("text"), F.flatten(F.transform(own, lambda g: groups[g]["codes"])).alias("codes"))
-
-        return F.transform("cuts", one)
-
-    return _once(F.col("groups"), lambda groups: _once(F.concat(F.array(F.lit(0)), F.col("cuts")), lambda lows: of(groups, lows)))
+def _grouped(side: str) -> Column:
+    """The ids of each group of one side, joined by commas: the shared ends, sorted in among the tokens, cut them."""
+    ids = F.transform(side, lambda x: x.bitwiseAND(END))
+    return F.split(F.regexp_replace(F.array_join(ids.cast("array<string>"), ","), f",{END}$", ""), f",{END},")
 
 
-def _document(doc: Column, words: Column) -> Column:
-    places = doc["words"]
-    text = F.array_join(F.transform(places, lambda w: words[w]["text"]), ";")
-    return F.struct(
-        *[doc[c].alias(c) for c in ("row", "doc_id", "n_a", "n_b")],
-        F.aggregate(places, F.lit(0).cast("long"), lambda s, w: s + words[w]["n"]).alias("n_groups"),
-        F.when(doc["n_a"] > 0, F.sha2(text.cast("binary"), 256)).otherwise(F.lit("")).alias("groups_sha256"),
-        F.flatten(F.transform(places, lambda w: words[w]["codes"])).alias("codes"),
-    )
+def _links(group: Column) -> Column:
+    """All pairs of a group's tokens."""
+    sides = F.transform(F.split(group, r"\|"), lambda x: F.split(x, ",").cast("array<long>"))
+    none = F.array().cast("array<long>")
+    return _once(sides, lambda s: F.aggregate(s[0], none, lambda found, x: F.concat(found, F.transform(s[1], lambda y: x * SECOND + y))))
 
 
-def documents_of(batches: DataFrame) -> DataFrame:
+def documents_of(blocks: DataFrame) -> DataFrame:
     """row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and the links, sorted, of each document."""
-    shared = batches.withColumn("shared", F.array_intersect("ends_a", "ends_b"))
-    merged = shared.select("a", "b", "docs", *[F.sort_array(F.concat(x, y)).alias(n) for n, x, y in (("both_a", "ends_a", "shared"), ("both_b", "ends_b", "shared"), ("both", "shared", "ends"))])
-    cut = merged.select("a", "b", "docs", *[_cuts(n).alias(f"cuts{n}") for n in ("_a", "_b", "")])
-    words = cut.select("docs", "cuts", _groups().alias("groups")).select("docs", _words().alias("words"))
-    docs = words.select(F.explode(_once(F.col("words"), lambda words: F.transform("docs", lambda d: _document(d, words)))).alias("d")).select("d.*")
-    return docs.select("row", "doc_id", "n_a", "n_b", "n_groups", F.size("codes").cast("long").alias("n_links"), "groups_sha256", F.sort_array("codes").alias("links"))
+    rest = ("row", "doc_id", "n_a", "n_b", "places", "ends", "shared")
+    # a column that is used twice is computed in a step of its own, by generated code; within a higher-order function all is interpreted
+    shared = blocks.withColumn("shared", F.array_intersect("ends_a", "ends_b"))
+    sorted_in = shared.select(*rest, *[F.sort_array(F.concat(n, "shared")).alias(n) for n in ("a", "b")])
+    cut = sorted_in.select(*rest, *[F.when(F.size(n) > 0, _grouped(n)).alias(n) for n in ("a", "b")])
+    groups = cut.select(*rest, F.when(F.size("a") > 0, F.zip_with("a", "b", lambda x, y: F.concat(x, F.lit("|"), y))).alias("groups"))
+    distinct = groups.select("*", F.array_distinct("groups").alias("distinct"))
+    linked = distinct.select("*", F.transform("distinct", _links).alias("codes"))
+    return linked.mapInArrow(_together, DOCUMENT).withColumn("links", F.sort_array("links"))
 
 
 def frequent(pairs: DataFrame, most: int) -> DataFrame:
@@ -303,7 +332,7 @@ def token_links(docs: DataFrame, bytes_path: str, pieces_path: str, id_col: str
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every document."""
     common.tune(docs.sparkSession)
     given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    aligned = common.saved(documents_of(given.mapInArrow(_tokenise(bytes_path, pieces_path), BATCH)), "aligned")
+    aligned = common.saved(documents_of(given.mapInArrow(_tokenise(bytes_path, pieces_path), BLOCK)), "aligned")
     counted = common.saved(aligned.select(F.explode(F.array_distinct("links")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")), "pairs")
     a = F.shiftright("code", SECOND.bit_length() - 1).alias("a")
     best = counted.groupBy(a).agg(F.max("n").alias("most"))
