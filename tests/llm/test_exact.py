@@ -1,5 +1,6 @@
 """Operators against brute force, the library, or held-out rows."""
 
+import cProfile
 import hashlib
 import itertools
 import math
@@ -594,6 +595,19 @@ def test_stops_after_words_equal_the_library(words):
     assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want
 
 
+def test_encoder_works_by_batches():
+    """Distinct words are looked up, cut and learned in arrays: calls don't grow with words, and what few batches hold is forgotten first."""
+    encoder, profile = token_orc.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 1000), cProfile.Profile()
+    texts = [pa.array(["x " + " ".join(f"{w}{'a' * (k % 7)}{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}," for k in range(5000)) + " often"]) for w in ("one", "two", "three")]
+    profile.enable()
+    found = [encoder.encode(t)[0].tolist() for t in texts]
+    profile.disable()
+    assert found == [encoder.tokenizer.encode(t[0].as_py(), add_special_tokens=False).ids for t in texts]
+    assert sum(x.callcount for x in profile.getstats()) < 5000
+    encoder.encode(pa.array(["x y"]))
+    assert len(encoder.known) <= 501 and "often" in encoder.known.to_pylist()
+
+
 TRIE = trie_bpe.load(public_tokenizers.path("word_bpe_49k.json"))
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 

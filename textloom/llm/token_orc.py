@@ -30,14 +30,16 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Pieces of a generation that a Python worker remembers, besides those of one batch.
+#: Pieces that a Python worker remembers, besides those of one batch.
 MEMO = 300_000
 #: Batches whose texts are encoded together.
-GROUP = 1
+GROUP = 2
 #: New pieces that are encoded as one text, and texts encoded at once: what the library makes of them takes far more memory than their ids.
 RUN, RUNS = 500, 32
 #: Stops that may follow a word (ASCII punctuation but the apostrophe, which may begin a contraction), how many of them at most are cut off it, and the last letter of a word that they are cut from: what is a letter up to there is the same in all versions of Unicode.
 STOPS, TAIL, LETTERS = string.punctuation.replace("'", ""), 3, "\u052f"
+#: A word that stops are cut from.
+WORD = rf"\A[{''.join(map(re.escape, filter(str.isalpha, map(chr, range(ord(LETTERS) + 1)))))}]+\z"
 #: Bytes of a stripe, rows of an index entry, false positives of the Bloom filters, and the codec.
 STRIPE, STRIDE, FALSE_POSITIVES, CODEC = 16 << 20, 1000, 0.01, "zstd"
 #: Fixed value: white space as Unicode has it. A border before a space is in doubt after any of it, and at the text's end.
@@ -45,8 +47,15 @@ SPACES = r"\t-\r\x1c- \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\
 SCHEMA = "doc_id long, shard int, file_start long, n_tokens long, ids array<int>"
 
 
+def _taken(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some rows of ids, one after the other, and where each begins and the last ends."""
+    sizes = np.diff(offsets)[which]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return flat[np.arange(ends[-1]) + np.repeat(offsets[which] - ends[:-1], sizes)], ends
+
+
 class Encoder:
-    """The library's tokenizer with the ids of recent pieces, in two generations: what the older one still serves moves to the newer."""
+    """The library's tokenizer with the ids of recent pieces, kept in arrays: what is looked up, learned and put together is a whole batch at once, not a piece."""
 
     def __init__(self, path: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,103 +67,126 @@ class Encoder:
         self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.bytes[i] = len(token)  # each character stands for a byte
-        self.tails: dict[str, bytes] = {}
+        self.tails: dict[int, np.ndarray] = {}
         self.memo = memo
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known, self.ids, self.offsets = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.hits = np.zeros(0, np.int64)
 
-    def _batch(self, texts: list[str]) -> list[bytes]:
+    def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        ends = [*accumulate(map(len, ids), initial=0)]
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, ends[-1]).tobytes()
-        return [flat[4 * a : 4 * b] for a, b in zip(ends, ends[1:])]
-
-    def _learn(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces that the newer generation lacks, each with a space before it. A word with stops after it is remembered as the word alone: the splitter always cuts between letters and stops."""
-        found = list(map(self.older.get, pieces))
-        ids, cut, new = {}, [], {}
-        for p, x in zip(pieces, found):
-            if x is None:
-                word = p.rstrip(STOPS)
-                if 0 < len(p) - len(word) <= TAIL and word.isalpha() and max(word) <= LETTERS:
-                    cut.append((p, word))
-                    known = self.recent.get(word) or self.older.get(word)
-                    if known is None:
-                        new[word] = None
-                    else:
-                        ids[word] = self.recent[word] = known
-                else:
-                    new[p] = None
-        joined = [p for p in new if not p[-1:].isspace()]
-        ids.update(zip(joined, self._joined(joined)))
-        if len(joined) < len(new):
-            alone = [p for p in new if p[-1:].isspace()]
-            ids.update(zip(alone, self._batch([" " + p for p in alone])))
-        self.recent.update((p, ids[p]) for p in new)
-        for p, word in cut:
-            tail = p[len(word) :]
-            if tail not in self.tails:
-                self.tails[tail] = self._batch([tail])[0]
-            ids[p] = ids[word] + self.tails[tail]
-        self.recent.update((p, x) for p, x in zip(pieces, found) if x is not None)
-        return [ids[p] if x is None else x for p, x in zip(pieces, found)]
+        ends = np.fromiter(accumulate(map(len, ids), initial=0), np.int64, len(ids) + 1)
+        return np.fromiter(chain.from_iterable(ids), np.int32, ends[-1]), ends
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        return _cut(*self._flat(texts))
 
     def _joined(self, pieces: list[str]) -> list[bytes]:
+        return _cut(*self._runs(pa.array(pieces, pa.string())))
+
+    def _runs(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces that don't end with white space, each with a space before it: they are encoded in runs, and the bytes that tokens stand for tell where each piece ends."""
-        if not pieces:
-            return []
-        runs, rows = [" " + " ".join(pieces[k : k + RUN]) for k in range(0, len(pieces), RUN)], []
+        if not len(pieces):
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        borders = pa.array([*range(0, len(pieces), RUN), len(pieces)], pa.int32())
+        runs, rows = [" " + x for x in pc.binary_join(pa.ListArray.from_arrays(borders, pieces), " ").to_pylist()], []
         for k in range(0, len(runs), RUNS):
-            found = self.tokenizer.encode_batch_fast(runs[k : k + RUNS], add_special_tokens=False)
-            rows.append(np.fromiter(chain.from_iterable(x.ids for x in found), np.int32))
+            rows.append(self._flat(runs[k : k + RUNS])[0])
         ids = np.concatenate(rows)
-        ends, stops = np.cumsum(self.bytes[ids]), np.cumsum(pc.binary_length(pa.array(pieces, pa.string())).to_numpy().astype(np.int64) + 1)
+        ends, stops = np.cumsum(self.bytes[ids]), np.cumsum(pc.binary_length(pieces).to_numpy().astype(np.int64) + 1)
         last = np.minimum(np.searchsorted(ends, stops), len(ends) - 1)
         if not np.array_equal(ends[last], stops):  # a token that spans the border of two pieces: never so with a byte-level splitter
-            return self._batch([" " + p for p in pieces])
-        flat, cuts = ids.tobytes(), [0, *(4 * (last + 1)).tolist()]
-        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def _pieces(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Ids of the distinct pieces of some texts and of their beginnings, which of them each text's pieces are, one after the other, and where each text begins among these. What Arrow can do for all pieces at once isn't done piece by piece."""
-        if len(self.recent) > self.memo:
-            self.recent, self.older = {}, self.recent
+            return self._flat([" " + p for p in pieces.to_pylist()])
+        return ids, np.concatenate([[0], last + 1])
+
+    def _remembered(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of what is remembered, distinct pieces among it, each with a space before it; and which of them each piece is. Pieces that few batches hold are forgotten first."""
+        if len(self.known) > self.memo:
+            kept = np.sort(np.argsort(self.hits, kind="stable")[-(self.memo // 2) :])
+            self.known, self.hits = self.known.take(pa.array(kept)), self.hits[kept] >> 1
+            self.ids, self.offsets = _taken(self.ids, self.offsets, kept)
+        at = pc.index_in(pieces, value_set=self.known)
+        new = at.is_null()
+        at = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        unknown = pieces.filter(new)
+        if len(unknown):
+            new = new.to_numpy(zero_copy_only=False)
+            spaced = pc.match_substring_regex(unknown, rf"[{SPACES}]\z")
+            at[np.flatnonzero(new)[np.argsort(spaced.to_numpy(zero_copy_only=False), kind="stable")]] = len(self.known) + np.arange(len(unknown))
+            joined, alone = unknown.filter(pc.invert(spaced)), unknown.filter(spaced)
+            for ids, ends in (self._runs(joined), self._flat([" " + p for p in alone.to_pylist()])):
+                self.offsets = np.concatenate([self.offsets, len(self.ids) + ends[1:]])
+                self.ids = np.concatenate([self.ids, ids])
+            self.known = pa.concat_arrays([self.known, joined, alone])
+            self.hits = np.concatenate([self.hits, np.zeros(len(unknown), np.int64)])
+        self.hits[at] += 2
+        return self.ids, self.offsets, at
+
+    def _tails(self, pieces: pa.Array, sizes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of the distinct stops that some pieces end with, so many on each, and which of them each piece has."""
+        ends = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset + 1 :][: len(pieces)]
+        data, code = np.frombuffer(pieces.buffers()[2], np.uint8), np.zeros(len(pieces), np.int64)
+        for k in range(TAIL):
+            held = sizes > k
+            code[held] |= data[ends[held] - 1 - k].astype(np.int64) << (8 * k)
+        distinct, which = np.unique(code, return_inverse=True)
+        for x in distinct.tolist():
+            if x not in self.tails:
+                self.tails[x] = self._flat([x.to_bytes(TAIL, "big").lstrip(b"\0").decode()])[0]
+        return [self.tails[x] for x in distinct.tolist()], which
+
+    def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, one after the other, each with a space before it, and their borders. A word with stops after it is remembered as the word alone: the splitter always cuts between letters and stops."""
+        words = pc.ascii_rtrim(pieces, characters=STOPS)
+        sizes = (pc.binary_length(pieces).to_numpy() - pc.binary_length(words).to_numpy()).astype(np.int64)
+        cut = (sizes > 0) & (sizes <= TAIL)
+        cut[cut] = pc.match_substring_regex(words.filter(pa.array(cut)), WORD).to_numpy(zero_copy_only=False)
+        coded = pc.if_else(pa.array(cut), words, pieces).dictionary_encode()
+        ids, offsets, at = self._remembered(coded.dictionary)
+        tails, tail_of = self._tails(pieces.filter(pa.array(cut)), sizes[cut]) if cut.any() else ([], np.zeros(0, np.int64))
+        rows = np.empty(len(pieces) + len(tail_of), np.int64)
+        place = np.arange(len(pieces)) + np.cumsum(cut) - cut
+        rows[place] = at[coded.indices.to_numpy()]
+        rows[place[cut] + 1] = len(offsets) - 1 + tail_of
+        more = np.cumsum([len(x) for x in tails], dtype=np.int64)
+        flat, ends = _taken(np.concatenate([ids, *tails]), np.concatenate([offsets, offsets[-1] + more]), rows)
+        return flat, ends[np.append(place, len(rows))]
+
+    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the distinct pieces of some texts and of their beginnings, with their borders; which of them each text's pieces are, one after the other; and where each text begins among these."""
         doubt = pc.match_substring_regex(texts, self.doubtful)
         parts = pc.split_pattern(pc.if_else(doubt, "", texts), " ")
         starts = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
         words, begins = parts.flatten(), np.zeros(starts[-1], bool)
         begins[starts[:-1]] = True
         coded = words.filter(pa.array(~begins)).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        found = list(map(self.recent.get, distinct))
-        gaps = [k for k, x in enumerate(found) if x is None]
-        for k, x in zip(gaps, self._learn([distinct[k] for k in gaps])):
-            found[k] = x
+        flat, ends = self._distinct(coded.dictionary)
         which = np.empty(len(words), np.int64)
         which[~begins] = coded.indices.to_numpy()
-        which[begins] = np.arange(len(found), len(found) + len(texts))
-        found += self._batch(pc.if_else(doubt, texts, words.take(pa.array(starts[:-1]))).to_pylist())
-        return found, which, starts
+        which[begins] = np.arange(len(ends) - 1, len(ends) - 1 + len(texts))
+        first, borders = self._flat(pc.if_else(doubt, texts, words.take(pa.array(starts[:-1]))).to_pylist())
+        return np.concatenate([flat, first]), np.concatenate([ends, ends[-1] + borders[1:]]), which, starts
 
     def sizes(self, texts: pa.Array) -> np.ndarray:
         """Numbers of ids of each text; null as empty."""
         if not len(texts):
             return np.zeros(0, np.int64)
-        found, which, starts = self._pieces(pc.fill_null(texts, ""))
-        return np.add.reduceat(np.array([len(x) // 4 for x in found], np.int64)[which], starts[:-1])
+        _, ends, which, starts = self._pieces(pc.fill_null(texts, ""))
+        return np.add.reduceat(np.diff(ends)[which], starts[:-1])
 
     def encode(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other and each followed by `end` (ids as little-endian 32-bit integers), and where each text's begin and the last ones end; null as empty."""
         if not len(texts):
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
-        found, which, starts = self._pieces(pc.fill_null(texts, ""))
-        which = np.insert(which, starts[1:], len(found))  # the last of the rows to take
-        found.append(end)
-        lengths = np.array([len(x) // 4 for x in found], np.int64)
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
-        rows = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
-        sizes = np.add.reduceat(lengths[which], starts[:-1] + np.arange(len(texts)))
-        return rows.take(pa.array(which)).flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+        flat, ends, which, starts = self._pieces(pc.fill_null(texts, ""))
+        last = np.frombuffer(end, np.int32)
+        which = np.insert(which, starts[1:], len(ends) - 1)  # the last of the rows to take
+        ids, borders = _taken(np.concatenate([flat, last]), np.append(ends, ends[-1] + len(last)), which)
+        return ids, borders[starts + np.arange(len(starts))]
+
+
+def _cut(flat: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    data, ends = flat.tobytes(), (4 * ends).tolist()
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
 
 
 #: One encoder for each vocabulary and size of memory in a Python worker, which runs many tasks.
