@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -195,6 +196,21 @@ def test_words_of_a_block_come_once_in_bounded_rows():
     assert of_texts.column("n_a").to_pylist() == [len(TOKENIZER.encode(" " + t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_tokenising_holds_no_object_for_each_word(monkeypatch):
+    """What is remembered of words, and a block's words on their way, lie in arrays; a block's words are handed on a few rows at once."""
+    words = [f"{a}{b}{c}{d}" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzabcd" for d in "efghijklmnopqrstuvwx"]
+    own, n = token_links.Tokenizers(BYTES, PIECES), pa.array([0], pa.int64())
+    tracemalloc.start()
+    own.block(n, n, pa.array([" ".join(words * 2)]))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 60 * len(words) and len(own.known) == len(words)
+    monkeypatch.setattr(token_links, "GIVEN", 1)
+    texts = pa.RecordBatch.from_arrays([n, n, pa.array([" ".join(words * 2)])], ["row", "doc_id", "text"])
+    *given, last = token_links._tokenise(BYTES, PIECES)(iter([texts]))
+    assert last.num_rows == 1 and [b.num_rows for b in given] == [1, 1]
+
+
 # --- what earlier operators gained
 
 

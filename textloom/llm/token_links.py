@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from pyspark.sql import types as K
 
 from . import common, token_orc
 
-#: Words of a generation that a Python worker remembers; words encoded as one text; bytes of texts that share their words; bytes of words in a row; texts put together at once; pairs that are broadcast at most.
-MEMO, RUN, TOGETHER, ROW, PUT, HEAD = 60_000, 500, 3 << 20, 1 << 16, 250, 200_000
+#: Words that a Python worker remembers, besides those of one block; words encoded as one text; bytes of texts that share their words; bytes of words in a row; rows of words handed on at once; texts put together at once; pairs that are broadcast at most.
+MEMO, RUN, TOGETHER, ROW, GIVEN, PUT, HEAD = 60_000, 500, 2 << 20, 1 << 16, 4, 250, 200_000
 #: A link's code is the first id times this, plus the second; a token is where it starts times this, plus its id; an end is the number before its place times this. Ids must be below END.
 SECOND = 1 << 20
 #: What is left of an end without its place.
@@ -46,6 +47,10 @@ _BLOCK = pa.schema([*[(n, pa.int64()) for n in ("row", "doc_id", "n_a", "n_b")],
 DOCUMENT = K.StructType([*[K.StructField(n, K.LongType()) for n in ("row", "doc_id", "n_a", "n_b", "n_groups", "n_links")], K.StructField("groups_sha256", K.StringType()), K.StructField("links", _LONGS)])
 
 
+#: Ids of some words, one after the other, and where each word's begin and the last ones end.
+Ids = tuple[np.ndarray, np.ndarray]
+
+
 class _Side:
     """The bytes that a tokenizer's ids stand for."""
 
@@ -53,10 +58,10 @@ class _Side:
         self.tokens = pa.array(tokens, pa.large_binary())
         self.sizes = np.array([len(t) for t in tokens], np.int64)
 
-    def spell(self, ids: list[bytes], words: pa.Array) -> np.ndarray:
+    def spell(self, ids: Ids, words: pa.Array) -> np.ndarray:
         """Whether each word's ids spell it."""
-        flat = np.frombuffer(b"".join(ids), np.int32)
-        cuts = np.concatenate([[0], np.cumsum(self.sizes[flat])])[np.concatenate([[0], np.cumsum(counted(ids))])]
+        flat, borders = ids
+        cuts = np.concatenate([[0], np.cumsum(self.sizes[flat])])[borders]
         found = self.tokens.take(pa.array(flat)).buffers()[2]
         data = b"" if found is None else memoryview(found).cast("B")[: cuts[-1]]
         if np.array_equal(np.diff(cuts), pc.binary_length(words).to_numpy(zero_copy_only=False)) and np.array_equal(np.frombuffer(data, np.uint8), np.frombuffer(_bytes(words), np.uint8)):
@@ -64,10 +69,6 @@ class _Side:
         return np.array([data[x:y] == w for w, x, y in zip(words.to_pylist(), cuts, cuts[1:])], bool)
 
 
-def counted(ids: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-
-
 def _bytes(words: pa.Array) -> memoryview:
     """All words, one after the other."""
     ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
@@ -75,8 +76,15 @@ def _bytes(words: pa.Array) -> memoryview:
     return memoryview(b"" if found is None else found)[ends[0] : ends[-1]]
 
 
-def _flat(ids: list[list[int]]) -> list[bytes]:
-    return [np.array(x, np.int32).tobytes() for x in ids]
+def _flat(ids: list[list[int]]) -> Ids:
+    ends = np.fromiter(accumulate(map(len, ids), initial=0), np.int64, len(ids) + 1)
+    return np.fromiter(chain.from_iterable(ids), np.int32, ends[-1]), ends
+
+
+def _after(*parts: Ids) -> Ids:
+    """The words of several parts, one part after the other."""
+    cuts = np.cumsum([0, *[len(flat) for flat, _ in parts]])
+    return np.concatenate([flat for flat, _ in parts]), np.concatenate([[0], *[at + ends[1:] for at, (_, ends) in zip(cuts, parts)]])
 
 
 class Tokenizers:
@@ -105,55 +113,56 @@ class Tokenizers:
             raise ValueError(f"ids must be below {END}")
         self.stop = f"([{LETTERS}])([{stops}])"
         self.doubtful = "|".join([self.encoder.doubtful, r"\A ", SPACE, r"\x00"])
-        self.recent: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.known, self.hits = pa.array([], pa.string()), np.zeros(0, np.int64)
+        self.sides = [_flat([]), _flat([])]
 
-    def whole(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+    def whole(self, texts: list[str]) -> list[Ids]:
         """Ids of texts with a space before each, which the pieces' library adds by itself."""
-        return list(zip(self.encoder._batch([" " + t for t in texts]), _flat(self.pieces.encode(texts, num_threads=1)))) if texts else []
-
-    def ids(self, words: list[str], times: np.ndarray) -> list[tuple[bytes, bytes]]:
-        """Ids of distinct words: those with a space before them, and those that begin with a stop and follow a letter. Words that occur once aren't remembered."""
-        if len(self.recent) > MEMO:
-            self.recent, self.older = {}, self.recent
-        found = list(map(self.recent.get, words))
-        gaps = [k for k, x in enumerate(found) if x is None]
-        new = []
-        for k in gaps:
-            found[k] = x = self.older.get(words[k])
-            if x is None:
-                new.append(k)
-        plain = [k for k in new if words[k][0] == " " and not words[k][-1].isspace()]
-        bare = [words[k][1:] for k in plain]
-        for k, x in zip(plain, zip(self.encoder._joined(bare), self._joined(bare))):
-            found[k] = x
-        rest = [k for k in new if found[k] is None]
-        spaced = [k for k in rest if words[k][0] == " "]
-        for k, x in zip(spaced, self.whole([words[k][1:] for k in spaced])):
-            found[k] = x
-        after = [k for k in rest if words[k][0] != " "]
-        if after:  # the first piece is the letter before
-            second = [x[1:] for x in self.pieces.encode(["a" + words[k] for k in after], num_threads=1)]
-            for k, *x in zip(after, self.encoder._batch([words[k] for k in after]), _flat(second)):
-                found[k] = tuple(x)
-        self.recent.update((words[k], found[k]) for k in gaps if times[k] > 1)
+        return [self.encoder._flat([" " + t for t in texts]), _flat(self.pieces.encode(texts, num_threads=1))] if texts else [_flat([]), _flat([])]
+
+    def ids(self, words: pa.Array, times: np.ndarray) -> list[Ids]:
+        """Ids of distinct words: those with a space before them, and those that begin with a stop and follow a letter. Words that occur once aren't remembered, and those that few blocks hold are forgotten first."""
+        if len(self.known) > MEMO:
+            kept = np.sort(np.argsort(self.hits, kind="stable")[-(MEMO // 2) :])
+            self.known, self.hits = self.known.take(pa.array(kept)), self.hits[kept] >> 1
+            self.sides = [token_orc.taken(*x, kept) for x in self.sides]
+        at = pc.index_in(words, value_set=self.known)
+        gaps = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        at = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        new = words.take(pa.array(gaps))
+        spaced = pc.starts_with(new, " ").to_numpy(zero_copy_only=False)
+        open_end = pc.match_substring_regex(new, rf"[{token_orc.SPACES}]\z").to_numpy(zero_copy_only=False)
+        order = np.argsort(np.where(spaced, np.where(open_end, 1, 0), 2), kind="stable")
+        bare, ended, after = (new.filter(pa.array(x)) for x in (spaced & ~open_end, spaced & open_end, ~spaced))
+        bare = pc.utf8_slice_codeunits(bare, 1)
+        parts = [[self.encoder._runs(bare), self._runs(bare)], self.whole([x[1:] for x in ended.to_pylist()])]
+        if len(after):  # the first piece is the letter before
+            after = after.to_pylist()
+            parts.append([self.encoder._flat(after), _flat([x[1:] for x in self.pieces.encode(["a" + x for x in after], num_threads=1)])])
+        learned = [_after(*x) for x in zip(*parts)]
+        self.hits[at[np.setdiff1d(np.arange(len(words)), gaps, assume_unique=True)]] += 2
+        at[gaps[order]] = len(self.known) + np.arange(len(gaps))
+        found = [token_orc.taken(*_after(x, y), at) for x, y in zip(self.sides, learned)]
+        often = np.flatnonzero(times[gaps[order]] > 1)
+        self.known = pa.concat_arrays([self.known, new.take(pa.array(order[often]))])
+        self.hits = np.concatenate([self.hits, np.full(len(often), 2)])
+        self.sides = [_after(x, token_orc.taken(*y, often)) for x, y in zip(self.sides, learned)]
         return found
 
-    def _joined(self, words: list[str]) -> list[bytes]:
+    def _runs(self, words: pa.Array) -> Ids:
         """Pieces' ids of words, which are encoded in runs; the bytes that ids stand for tell where each ends."""
-        out: list[bytes] = []
+        out = [_flat([])]
         for at in range(0, len(words), RUN):
-            run = words[at : at + RUN]
-            ids = np.array(self.pieces.encode(" ".join(run)), np.int32)
+            run = words.slice(at, RUN)
+            ids = np.array(self.pieces.encode(" ".join(run.to_pylist())), np.int32)
             ends = np.cumsum(self.second.sizes[ids])
-            stops = np.cumsum(pc.binary_length(pa.array(run, pa.string())).to_numpy() + 1)
+            stops = np.cumsum(pc.binary_length(run).to_numpy() + 1)
             last = np.minimum(np.searchsorted(ends, stops), len(ends) - 1)
-            if not np.array_equal(ends[last], stops):  # never so with pieces that spell their text
-                out += _flat(self.pieces.encode(run, num_threads=1))
-                continue
-            flat, cuts = ids.tobytes(), [0, *(4 * (last + 1)).tolist()]
-            out += [flat[a:b] for a, b in zip(cuts, cuts[1:])]
-        return out
+            if np.array_equal(ends[last], stops):
+                out.append((ids, np.concatenate([[0], last + 1])))
+            else:  # never so with pieces that spell their text
+                out.append(_flat(self.pieces.encode(run.to_pylist(), num_threads=1)))
+        return _after(*out)
 
     def block(self, rows: pa.Array, doc_ids: pa.Array, texts: pa.Array) -> list[pa.RecordBatch]:
         """Rows of the distinct words of some texts, and the texts as places among them."""
@@ -166,8 +175,8 @@ class Tokenizers:
         del marked, parts
         alone = texts.filter(doubt)
         words = pa.concat_arrays([coded.dictionary, pc.binary_join_element_wise(" ", alone, "")]).cast(pa.binary())
-        ids = self.ids(coded.dictionary.to_pylist(), np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))) + self.whole(alone.to_pylist())
-        firsts, seconds = ([x[k] for x in ids] for k in (0, 1))
+        cut_ids = self.ids(coded.dictionary, np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary)))
+        firsts, seconds = (_after(*x) for x in zip(cut_ids, self.whole(alone.to_pylist())))
         fine = self.first.spell(firsts, words) & self.second.spell(seconds, words)
         cut, doubt = (x.to_numpy(zero_copy_only=False) for x in (cut, doubt))
         sizes = doubt.astype(np.int64)
@@ -180,16 +189,15 @@ class Tokenizers:
             wrong = np.bincount(text_of, weights=~fine[which], minlength=len(texts)) > 0
             which, text_of = which[~wrong[text_of]], text_of[~wrong[text_of]]
             which = (np.cumsum(fine) - 1)[which]
-            firsts, seconds = ([x for x, ok in zip(side, fine) if ok] for side in (firsts, seconds))
+            firsts, seconds = (token_orc.taken(*side, np.flatnonzero(fine)) for side in (firsts, seconds))
             words = words.filter(pa.array(fine))
-        flats = [np.frombuffer(b"".join(side), np.int32) for side in (firsts, seconds)]
-        totals = [np.bincount(text_of, weights=counted(side)[which], minlength=len(texts)).astype(np.int64) for side in (firsts, seconds)]
+        totals = [np.bincount(text_of, weights=np.diff(ends)[which], minlength=len(texts)).astype(np.int64) for _, ends in (firsts, seconds)]
         ends = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64))
         borders = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(ROW, ends[-1] if len(ends) else 0, ROW)) + 1, [len(ends)]])).astype(np.int64)
         lists = []
-        for side, ids, flat in zip((self.first, self.second), (firsts, seconds), flats):
+        for side, (flat, at) in ((self.first, firsts), (self.second, seconds)):
             high = np.cumsum(side.sizes[flat])
-            cuts = np.concatenate([[0], np.cumsum(counted(ids))]).astype(np.int64)[borders]
+            cuts = at[borders]
             lists += [_lists(cuts, (high - side.sizes[flat]) * SECOND + flat), _lists(cuts, high * SECOND - 1)]
         lists.append(_lists(borders, ends * SECOND - 1))
         starts = np.concatenate([[0], np.cumsum(np.bincount(text_of, minlength=len(texts)))])
@@ -216,9 +224,12 @@ def _tokenise(bytes_path: str, pieces_path: str):
         for block in _blocks(batches):
             with common.uncollected():
                 out = own.block(*block.columns)
-            yield from out
+            for rows in out[:-1]:
+                yield from (rows.slice(k, GIVEN) for k in range(0, rows.num_rows, GIVEN))
+            yield out[-1]
             del block, out
-        # a worker that waits for its next task holds nothing: the JVM goes on to count links
+            common.released()  # while it waits, the JVM goes on to count links
+        # a worker that waits for its next task holds nothing
         del own
         common.released()
 

@@ -47,7 +47,7 @@ SPACES = r"\t-\r\x1c- \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\
 SCHEMA = "doc_id long, shard int, file_start long, n_tokens long, ids array<int>"
 
 
-def _taken(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def taken(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Some rows of ids, one after the other, and where each begins and the last ends."""
     sizes = np.diff(offsets)[which]
     ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -77,12 +77,6 @@ class Encoder:
         ends = np.fromiter(accumulate(map(len, ids), initial=0), np.int64, len(ids) + 1)
         return np.fromiter(chain.from_iterable(ids), np.int32, ends[-1]), ends
 
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        return _cut(*self._flat(texts))
-
-    def _joined(self, pieces: list[str]) -> list[bytes]:
-        return _cut(*self._runs(pa.array(pieces, pa.string())))
-
     def _runs(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces that don't end with white space, each with a space before it: they are encoded in runs, and the bytes that tokens stand for tell where each piece ends."""
         if not len(pieces):
@@ -103,7 +97,7 @@ class Encoder:
         if len(self.known) > self.memo:
             kept = np.sort(np.argsort(self.hits, kind="stable")[-(self.memo // 2) :])
             self.known, self.hits = self.known.take(pa.array(kept)), self.hits[kept] >> 1
-            self.ids, self.offsets = _taken(self.ids, self.offsets, kept)
+            self.ids, self.offsets = taken(self.ids, self.offsets, kept)
         at = pc.index_in(pieces, value_set=self.known)
         new = at.is_null()
         at = pc.fill_null(at, 0).to_numpy().astype(np.int64)
@@ -148,7 +142,7 @@ class Encoder:
         rows[place] = at[coded.indices.to_numpy()]
         rows[place[cut] + 1] = len(offsets) - 1 + tail_of
         more = np.cumsum([len(x) for x in tails], dtype=np.int64)
-        flat, ends = _taken(np.concatenate([ids, *tails]), np.concatenate([offsets, offsets[-1] + more]), rows)
+        flat, ends = taken(np.concatenate([ids, *tails]), np.concatenate([offsets, offsets[-1] + more]), rows)
         return flat, ends[np.append(place, len(rows))]
 
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -180,15 +174,10 @@ class Encoder:
         flat, ends, which, starts = self._pieces(pc.fill_null(texts, ""))
         last = np.frombuffer(end, np.int32)
         which = np.insert(which, starts[1:], len(ends) - 1)  # the last of the rows to take
-        ids, borders = _taken(np.concatenate([flat, last]), np.append(ends, ends[-1] + len(last)), which)
+        ids, borders = taken(np.concatenate([flat, last]), np.append(ends, ends[-1] + len(last)), which)
         return ids, borders[starts + np.arange(len(starts))]
 
 
-def _cut(flat: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    data, ends = flat.tobytes(), (4 * ends).tolist()
-    return [data[a:b] for a, b in zip(ends, ends[1:])]
-
-
 #: One encoder for each vocabulary and size of memory in a Python worker, which runs many tasks.
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
