@@ -166,6 +166,15 @@ def test_scores_by_brute_force(spark, data, docs, monkeypatch):
         assert out[i].score == pytest.approx(want + model.steps[last, end], rel=1e-9)
 
 
+def test_texts_become_symbols_once(spark, data, monkeypatch):
+    """Tasks read texts twice, to count words and to code all documents: pairs, neighbours and scores come from the symbols."""
+    docs = common.table(spark, data, "documents")
+    read, run = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, *a, **k: read.append(df.columns) or run(df, *a, **k))
+    class_ngrams.class_bigram_scores(docs)
+    assert sum("text" in columns for columns in read) == 2 < len(read)
+
+
 def test_model_is_a_distribution():
     rng = np.random.default_rng(1)
     pairs = rng.integers(0, 5, (class_ngrams.SYMBOLS, class_ngrams.SYMBOLS)).astype(float)

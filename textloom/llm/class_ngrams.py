@@ -4,7 +4,8 @@ Word counts come from all training documents. The words of the vocabulary, which
 corpus, and the endings of all rarer ones, are symbols; exchange clustering assigns the symbols, and
 so every word, known or not, to classes. The most frequent words and the endings, the core, are
 exchanged first, on the driver; then sweeps over all symbols follow, in which tasks exchange the
-words whose neighbours they hold and the driver exchanges the core. A text's probability is the product of class transitions and of word emissions within
+words whose neighbours they hold and the driver exchanges the core. Texts are cut into words twice, to count
+them and to write them as symbols, from which all else is counted and scored. A text's probability is the product of class transitions and of word emissions within
 the classes, both smoothed so that they sum to one.
 
 Nulls, ties and repeats: a null text is empty and is its end token alone; a row with a null id is
@@ -102,11 +103,10 @@ class Symbols:
         return (symbols < WORDS) | (symbols >= self.size)
 
     def runs(self, batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        """The symbols of texts, each between two end tokens, many texts at once."""
+        """Coded texts, each between two end tokens, many texts at once."""
         end, rows, n = np.array([self.size + ENDINGS]), [], 0
         for batch in batches:
-            for text in common.bytes_of(batch.column(0)):
-                found = self.of(words_of(text))
+            for found in read_symbols(batch.column(0)):
                 rows += [end, found, end]
                 n += len(found) + 2
                 if n > RUN:
@@ -116,6 +116,36 @@ class Symbols:
             yield np.concatenate(rows)
 
 
+def read_symbols(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.int32) for x in column]
+
+
+CODED = "row long, doc_id long, held_out boolean, symbols binary, rare array<struct<word: binary, n: bigint>>"
+
+
+def _code(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, row = shared.value, TaskContext.get().partitionId() << 33
+        kinds = (pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
+        for batch in batches:
+            coded, rare = [], []
+            for text in common.bytes_of(batch.column(2)):
+                words = words_of(text)
+                found = symbols.of(words)
+                coded.append(found.astype(np.int32).tobytes())
+                rare.append([{"word": w, "n": n} for w, n in Counter(words[k] for k in np.flatnonzero(found >= symbols.size)).items()])
+            rows = pa.array(np.arange(row, row + batch.num_rows))
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([rows, *batch.columns[:2], *map(pa.array, (coded, rare), kinds)], ["row", "doc_id", "held_out", "symbols", "rare"])
+
+    return run
+
+
+def coded_texts(given: DataFrame, shared) -> DataFrame:
+    """row, doc_id, held_out, the symbols of each text, and its words outside the vocabulary with how often it has them; of doc_id, held_out and a text column."""
+    return common.saved(given.mapInArrow(_code(shared), CODED), "symbols")
+
+
 def _steps(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of a run, without the borders between texts."""
     end = flat.max()
@@ -144,10 +174,10 @@ def _pairs(shared):
     return run
 
 
-def pair_counts(texts: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
-    """How often each core symbol follows each other one, over all rows of a text column, with the vocabulary's other words counted as their endings, and without them; a text begins and ends with the end token."""
+def pair_counts(coded: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
+    """How often each core symbol follows each other one, over all rows of a column of coded texts, with the vocabulary's other words counted as their endings, and without them; a text begins and ends with the end token."""
     counts = np.zeros(2 * SYMBOLS * SYMBOLS)
-    for pair, n in texts.mapInArrow(_pairs(shared), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toLocalIterator():
+    for pair, n in coded.mapInArrow(_pairs(shared), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[pair] = n
     both = counts.reshape(2, SYMBOLS, SYMBOLS)
     return both[0], both[1]
@@ -221,10 +251,10 @@ def _merge(size: int):
     return run
 
 
-def neighbours(texts: DataFrame, shared, tokens: int) -> DataFrame:
+def neighbours(coded: DataFrame, shared, tokens: int) -> DataFrame:
     """Blocks of the words outside the core with how often every symbol follows and precedes each; a word stands in one block only."""
     parts = max(8, tokens // PART)
-    found = texts.mapInArrow(_neighbours(shared, parts), NEIGHBOURS)
+    found = coded.mapInArrow(_neighbours(shared, parts), NEIGHBOURS)
     return common.saved(found.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_merge(len(shared.value.core)), NEIGHBOURS), "neighbours")
 
 
@@ -411,12 +441,12 @@ def _likelihood(table: np.ndarray) -> float:
     return float(_f(table).sum() - _f(table.sum(0)).sum() - _f(table.sum(1)).sum())
 
 
-def clustered(texts: DataFrame, shared, tokens: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
+def clustered(coded: DataFrame, shared, tokens: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """The class of each symbol and the class bigrams. Tasks exchange side by side, so a sweep that lowers the likelihood isn't kept."""
-    symbols, context = shared.value, texts.sparkSession.sparkContext
-    seen, inner = pair_counts(texts, shared)
+    symbols, context = shared.value, coded.sparkSession.sparkContext
+    seen, inner = pair_counts(coded, shared)
     own = exchange(seen, classes)[symbols.core].astype(np.int16)
-    blocks, at = neighbours(texts, shared, tokens), _core_at(symbols)
+    blocks, at = neighbours(coded, shared, tokens), _core_at(symbols)
     table, after, before = class_table(blocks, symbols, own, inner, classes)
     for _ in range(SWEEPS):
         new, moving = own.copy(), table.copy()
@@ -467,13 +497,19 @@ class Model:
         return int(self.own[len(self.word) - WORDS + ending(word) if found is None else found])
 
 
-def learned(train: DataFrame, counts: DataFrame, tokens: int) -> Model:
-    """The model of a text column and its word counts, yet without denominators. The vocabulary and the number of classes grow with the tokens."""
+def vocabulary(counts: DataFrame, tokens: int) -> tuple[list[int], object]:
+    """The counts of the vocabulary's words, and its symbols, shared. The vocabulary grows with the tokens."""
     head = frequent(counts, max(HEAD, int(GROWTH * math.sqrt(tokens))))
-    symbols = Symbols([w for w, _ in head])
-    classes = max(CLASSES, int(math.sqrt(symbols.size) / PER_CLASS))
-    shared = train.sparkSession.sparkContext.broadcast(symbols)
-    return Model(symbols, [n for _, n in head], *clustered(train, shared, tokens, classes))
+    return [n for _, n in head], counts.sparkSession.sparkContext.broadcast(Symbols([w for w, _ in head]))
+
+
+def learned(train: DataFrame, counts: DataFrame, tokens: int, known: tuple[list[int], object] | None = None) -> Model:
+    """The model of a text column and its word counts, yet without denominators; or of a column of texts coded by a known vocabulary. The number of classes grows with the vocabulary."""
+    heads, shared = known or vocabulary(counts, tokens)
+    if known is None:
+        train = coded_texts(train.select(F.lit(None).cast("long"), F.lit(False), train.columns[0]), shared).select("symbols")
+    classes = max(CLASSES, int(math.sqrt(shared.value.size) / PER_CLASS))
+    return Model(shared.value, heads, *clustered(train, shared, tokens, classes))
 
 
 def _class_sizes(shared):
@@ -491,25 +527,18 @@ def _class_sizes(shared):
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, row = shared.value, TaskContext.get().partitionId() << 33
+        model = shared.value
         for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
-            for text in common.bytes_of(batch.column(2)):
-                words = words_of(text)
-                at = np.array([model.word.get(w, -1) for w in words], np.int64)
-                known = at >= 0
-                own = np.full(len(words) + 2, len(model.steps) - 1)
-                own[1:-1][known] = model.own[at[known]]
-                rest = np.flatnonzero(~known)
-                rare = Counter(words[k] for k in rest)
-                classes = {w: model.class_of(w) for w in rare}
-                own[rest + 1] = [classes[words[k]] for k in rest]
+            columns: list[list] = [[] for _ in range(4)]
+            for found in read_symbols(batch.column(3)):
+                head = found[found < len(model.word)]
+                own = np.full(len(found) + 2, len(model.steps) - 1)
+                own[1:-1] = model.own[found]
                 logs = model.steps[own[:-1], own[1:]].sum() - model.denominators[own[1:-1]].sum()
-                for column, value in zip(columns, (row, len(words) + 1, int(known.sum()), float(model.logs[at[known]].sum()), float(logs), [{"word": w, "n": n} for w, n in rare.items()])):
+                for column, value in zip(columns, (len(found) + 1, len(head), float(model.logs[head].sum()), float(logs))):
                     column.append(value)
-                row += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(c, t) for c, t in zip(columns, kinds)]], ["doc_id", "held_out", "row", "n_tokens", "n_head", "head_logs", "class_logs", "rare"])
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, columns, kinds)], ["row", "doc_id", "held_out", "n_tokens", "n_head", "head_logs", "class_logs"])
 
     return run
 
@@ -522,19 +551,21 @@ def class_bigram_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ends = train.count()
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("types")).first()
     tokens, types = size["tokens"] + ends, size["types"] + (ends > 0)
-    model = learned(train, counts, tokens)
+    known = vocabulary(counts, tokens)
+    coded = coded_texts(given, known[1])
+    model = learned(coded.where("not held_out").select("symbols"), counts, tokens, known)
     context = docs.sparkSession.sparkContext
     sizes = counts.mapInArrow(_class_sizes(context.broadcast(model)), "class int, tokens long, types long").groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).collect()
     for r in sizes:
         model.denominators[r["class"]] = math.log10(r["tokens"] + ADDED * (r["types"] + 1))
     if not sizes:
         model.denominators[:] = math.log10(ADDED)
-    scored = common.saved(given.mapInArrow(_score(context.broadcast(model)), "doc_id long, held_out boolean, row long, n_tokens long, n_head long, head_logs double, class_logs double, rare array<struct<word: binary, n: bigint>>"), "scored")
+    scored = common.saved(coded.drop("rare").mapInArrow(_score(context.broadcast(model)), "row long, doc_id long, held_out boolean, n_tokens long, n_head long, head_logs double, class_logs double"), "scored")
     # one row for each text and word outside the vocabulary; both sides are dealt for this join alone, so a word in very many texts can be split
-    rare = scored.select("row", F.explode("rare").alias("_w")).select("row", F.col("_w.word").cast("string").alias("word"), F.col("_w.n").alias("times"))
-    known = F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(F.lit(0)))
-    looked_up = rare.join(counts, "word", "left").groupBy("row").agg(known.alias("n_rare"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADDED))).alias("rare_logs"))
-    joined = scored.drop("rare").join(looked_up, "row", "left")
+    rare = coded.select("row", F.explode("rare").alias("_w")).select("row", F.col("_w.word").cast("string").alias("word"), F.col("_w.n").alias("times"))
+    seen = F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(F.lit(0)))
+    looked_up = rare.join(counts, "word", "left").groupBy("row").agg(seen.alias("n_rare"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADDED))).alias("rare_logs"))
+    joined = scored.join(looked_up, "row", "left")
     logs = F.col("head_logs") + F.coalesce("rare_logs", F.lit(0.0))
     base = logs + F.lit(math.log10(ends + ADDED)) - F.col("n_tokens") * F.lit(math.log10(tokens + ADDED * (types + 1)))
     score = logs + F.col("class_logs")
